@@ -5,18 +5,35 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import host_quality, mixing, sharding, url_lists
-from palimpsest.llm.common import table
+from palimpsest.llm import bpe, host_quality, mixing, sharding, token_files, url_lists
+from palimpsest.llm.common import scratch_path, table
+
+#: Id that ends each document in the token files.
+END_ID = 2
 
 #: The pages carry no fetch time: page n counts as fetched n * 37 hours, modulo two years, after this instant.
 FETCHED_FROM, FETCH_STEP_H, FETCH_SPAN_H = "2023-06-01", 37, 17520
 
 
+def op1_repair_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    out = scratch_path(spark, "ids")
+    token_files.write_ids(table(spark, sf_dir, "documents"), out, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN, END_ID)
+    return token_files.read_checksums(spark, out)
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.sampled(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op6_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op7_temporal_url_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr(f"timestamp_ntz '{FETCHED_FROM}' + make_dt_interval(0, cast(pmod(page_id * {FETCH_STEP_H}, {FETCH_SPAN_H}) AS int), 0, 0)").alias("fetched"))
     entries = spark.sql(f"SELECT key, CAST(at AS timestamp_ntz) AS at, action FROM VALUES {', '.join(map(str, url_lists.ENTRIES))} AS t(key, at, action)")
@@ -115,7 +132,9 @@ FROM failed f JOIN judged j ON f.source IS NOT DISTINCT FROM j.source
 """
 
 QUERIES = {
+    "op1_repair_token_files": op1_repair_token_files,
     "op4_mix_sources": op4_mix_sources,
+    "op6_segment_tree_bpe": op6_segment_tree_bpe,
     "op7_temporal_url_lists": op7_temporal_url_lists,
     "op8_jump_shards": op8_jump_shards,
     "op10_host_rules": op10_host_rules,
