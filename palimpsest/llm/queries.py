@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, host_quality, mixing, sharding, token_files, toxicity, url_lists
+from palimpsest.llm import bpe, host_quality, jaccard, mixing, sharding, token_files, toxicity, url_lists
 from palimpsest.llm.common import scratch_path, table
 
 #: Id that ends each document in the token files.
@@ -28,6 +28,10 @@ def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
+def op3_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.sampled(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
@@ -139,6 +143,7 @@ FROM failed f JOIN judged j ON f.source IS NOT DISTINCT FROM j.source
 QUERIES = {
     "op1_repair_token_files": op1_repair_token_files,
     "op2_subword_toxicity": op2_subword_toxicity,
+    "op3_partenum_jaccard": op3_partenum_jaccard,
     "op4_mix_sources": op4_mix_sources,
     "op6_segment_tree_bpe": op6_segment_tree_bpe,
     "op7_temporal_url_lists": op7_temporal_url_lists,
