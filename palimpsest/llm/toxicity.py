@@ -106,12 +106,15 @@ def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For all texts: distinct buckets, their shares of the text's subwords, and how many buckets each text has."""
     known: dict[str, int] = {}
     rows = [np.array([known.setdefault(w, len(known)) for w in cut(t)], np.int64) for t in texts]
-    flat, n = subwords(list(known))
+    words = list(known)
+    parts = [subwords(words[at : at + 20_000]) for at in range(0, len(words), 20_000)]
+    flat = np.concatenate([x.astype(np.int32) for x, _ in parts]) if parts else np.empty(0, np.int32)
+    n = np.concatenate([k for _, k in parts]) if parts else np.empty(0, np.int64)
     starts = np.cumsum(n) - n
     buckets, shares, sizes = [], [], []
     for r in rows:
         own, count = np.unique(gather(flat, starts, n, r)[0], return_counts=True)
-        buckets.append(own.astype(np.int32))
+        buckets.append(own)
         shares.append((count / max(1, count.sum())).astype(np.float32))
         sizes.append(len(own))
     return np.concatenate(buckets), np.concatenate(shares), np.array(sizes, np.int64)
