@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, host_quality, jaccard, mixing, sharding, token_files, toxicity, url_lists
+from palimpsest.llm import bpe, host_quality, jaccard, mixing, repeats, sharding, token_files, toxicity, url_lists
 from palimpsest.llm.common import scratch_path, table
 
 #: Id that ends each document in the token files.
@@ -37,6 +37,11 @@ def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", "taken", "copies")
 
 
+def op5_block_anchor_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.without_repeats(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_segment_tree_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -145,6 +150,7 @@ QUERIES = {
     "op2_subword_toxicity": op2_subword_toxicity,
     "op3_partenum_jaccard": op3_partenum_jaccard,
     "op4_mix_sources": op4_mix_sources,
+    "op5_block_anchor_repeats": op5_block_anchor_repeats,
     "op6_segment_tree_bpe": op6_segment_tree_bpe,
     "op7_temporal_url_lists": op7_temporal_url_lists,
     "op8_jump_shards": op8_jump_shards,
