@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm import bpe, host_quality, jaccard, mixing, repeats, sharding, token_files, toxicity, url_lists
+from palimpsest.llm import bpe, host_quality, jaccard, mixing, repeats, sharding, token_files, topk, toxicity, url_lists
 from palimpsest.llm.common import scratch_path, table
 
 #: Id that ends each document in the token files.
@@ -58,6 +58,11 @@ def op8_jump_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents"))
 
 
+def op9_block_pruned_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.where("vec_id % 100 = 0"), 10)
+
+
 def op10_host_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return host_quality.host_rules(table(spark, sf_dir, "documents"))
 
@@ -145,6 +150,18 @@ SELECT f.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, ba
 FROM failed f JOIN judged j ON f.source IS NOT DISTINCT FROM j.source
 """
 
+OP9_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+  SELECT q.vec_id AS query_id, v.vec_id, CAST(list_inner_product(q.e, v.e) AS BIGINT) AS score FROM v q JOIN v ON v.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), ranked AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
+"""
+
 QUERIES = {
     "op1_repair_token_files": op1_repair_token_files,
     "op2_subword_toxicity": op2_subword_toxicity,
@@ -154,9 +171,10 @@ QUERIES = {
     "op6_segment_tree_bpe": op6_segment_tree_bpe,
     "op7_temporal_url_lists": op7_temporal_url_lists,
     "op8_jump_shards": op8_jump_shards,
+    "op9_block_pruned_top_k": op9_block_pruned_top_k,
     "op10_host_rules": op10_host_rules,
 }
-SQL = {"op4_mix_sources": OP4_SQL, "op7_temporal_url_lists": OP7_SQL, "op10_host_rules": OP10_SQL}
+SQL = {"op4_mix_sources": OP4_SQL, "op7_temporal_url_lists": OP7_SQL, "op9_block_pruned_top_k": OP9_SQL, "op10_host_rules": OP10_SQL}
 
 
 def queries() -> dict:

@@ -215,3 +215,21 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """Rows of docs, all columns, that aren't predicted toxic; judged where they stand, without a join."""
+    spark = docs.sparkSession
+    ship(spark)
+    shared = spark.sparkContext.broadcast((model.row.astype(np.float32), model.bias))
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        row, bias = shared.value
+        scorer = Model(row.astype(np.float64), bias).scorer()
+        for b in batches:
+            for i in range(0, b.num_rows, 256):
+                part = b.slice(i, 256)
+                yield part.filter(pa.array(scorer.score(part.column(at).to_pylist()) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -1,44 +1,17 @@
 """The Jaccard join and components against brute force."""
 
 import random
-import re
 
 import numpy as np
 import pytest
 
 from palimpsest.llm import jaccard
 from palimpsest.llm.components import components
+from tests_llm_brute import groups
 
 SCHEMA = "doc_id long, text string, key string, n string, component_id string"
 
 
-def shingles(text):
-    words = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
-
-
-def brute(rows, percent=80):
-    sets = [shingles(t) for _, t in rows]
-    parent = list(range(len(rows)))
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
-    for i in range(len(rows)):
-        for j in range(i):
-            if sets[i] and sets[j] and min(len(sets[i]), len(sets[j])) * 100 >= percent * max(len(sets[i]), len(sets[j])):
-                both = len(sets[i] & sets[j])
-                if 100 * both >= percent * (len(sets[i]) + len(sets[j]) - both):
-                    a, b = root(i), root(j)
-                    parent[a] = b
-    least = {}
-    for i, (d, _) in enumerate(rows):
-        least[root(i)] = min(least.get(root(i), d), d)
-    return sorted((d, len(s), least[root(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets, strict=True)))
-
-
 def edited(rnd, words, n):
     words = list(words)
     for _ in range(n):
@@ -46,12 +19,12 @@ def edited(rnd, words, n):
     return words
 
 
-def corpus(seed=5, groups=40):
+def corpus(seed=5, n=40):
     rnd = random.Random(seed)
     word = lambda: f"w{int(rnd.paretovariate(0.6)) % 5000}"
     passage = [word() for _ in range(60)]
     texts = [None, "", "  \n", "one", "one", "One two", "a b c d", "a b c d e", "long " * 30000, "Aé b\x1cc"]
-    for g in range(groups):
+    for g in range(n):
         base = [word() for _ in range(rnd.choice([3, 5, 6, 9, 14, 30, 60, 120, 300, 1500]))]
         for _ in range(rnd.choice([1, 2, 3, 6])):
             texts.append(" ".join(edited(rnd, base, rnd.choice([0, 0, 1, 1, 2, len(base) // 60, len(base) // 40]))))
@@ -71,7 +44,7 @@ def run(spark, rows, **k):
 @pytest.mark.parametrize("seed", [5, 6])
 def test_equals_brute_force(spark, seed):
     rows = corpus(seed)
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows) == groups(rows)
 
 
 def test_common_features_change_nothing(spark, monkeypatch):
@@ -80,7 +53,7 @@ def test_common_features_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(jaccard, "PAIRED", 4)
     monkeypatch.setattr(jaccard, "BLOCK", 8)
     rows = corpus(7)
-    assert run(spark, rows) == brute(rows)
+    assert run(spark, rows) == groups(rows)
 
 
 def test_any_two_similar_sets_share_a_signature():

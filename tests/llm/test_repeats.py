@@ -1,30 +1,15 @@
 """Repeats across documents against brute force."""
 
 import random
-import re
 
 import pytest
 
 from palimpsest.llm import exchange, repeats
+from tests_llm_brute import repeats as brute
 
 SCHEMA = "doc_id long, text string, tag string, starts string, kept string"
 
 
-def brute(rows, window=13):
-    cut = [re.findall("[^\x20\x09-\x0d]+", t or "") for _, t in rows]
-    least = {}
-    for (d, _), w in zip(rows, cut, strict=True):
-        for i in range(len(w) - window + 1):
-            if d is not None:
-                k = tuple(w[i : i + window])
-                least[k] = min(least.get(k, d), d)
-    out = []
-    for (d, _), w in zip(rows, cut, strict=True):
-        gone = {j for i in range(len(w) - window + 1) if d is not None and least[tuple(w[i : i + window])] < d for j in range(i, i + window)}
-        out.append((d, len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
-    return sorted(out, key=str)
-
-
 def corpus(seed, n=150):
     rnd = random.Random(seed)
     word = lambda: rnd.choice(["a", "b", "Ä", "c\x1c", "日本", f"w{rnd.randrange(3000)}"]) if rnd.random() < 0.3 else f"w{rnd.randrange(3000)}"
