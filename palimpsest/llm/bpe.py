@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import ship
-from palimpsest.llm.pieces import ChunkTable, Ids, slices
+from palimpsest.llm.common import ship, tidy
+from palimpsest.llm.pieces import ChunkTable, Ids, Table, runs
 
 NONE = np.int32(2**31 - 1)
 LONG = 256
@@ -163,17 +163,18 @@ class Codec:
                     out[i] = x
         return out
 
-    def _chunks(self, chunks: list[str]) -> Ids:
+    def _chunks(self, chunks: list[str]) -> Table:
         cut = [self.split(c) for c in chunks]
         row: dict[str, int] = {}
         rows = [[row.setdefault(p, len(row)) for p in x] for x in cut]
         ids = self.pieces([p.encode() for p in row])
         flat = [ids[r] for x in rows for r in x]
         size = np.fromiter(map(len, ids), np.int64, len(ids))
-        return np.concatenate(flat) if flat else np.empty(0, np.int32), np.array([sum(size[r] for r in x) for x in rows], np.int64)
+        lengths = np.array([sum(size[r] for r in x) for x in rows], np.int64)
+        return np.concatenate(flat) if flat else np.empty(0, np.int32), np.cumsum(lengths) - lengths, lengths
 
-    def encode(self, texts: list[str | None]) -> Ids:
-        return self.table.encode([t or "" for t in texts])
+    def encode(self, texts: pa.StringArray) -> Ids:
+        return self.table.encode(texts)
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.ranks.token.__getitem__, ids))
@@ -197,11 +198,12 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            ids, texts = b.column(0), b.column(1).to_pylist()
-            for i, j in slices([t or "" for t in texts]):
-                flat, n = own.encode(texts[i:j])
+            ids, i = b.column(0), 0
+            for texts in runs(b.column(1), 4 << 20):
+                flat, n = own.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat))
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i), lists], names=["doc_id", "ids"])
+                yield pa.RecordBatch.from_arrays([ids.slice(i, len(texts)), lists], names=["doc_id", "ids"])
+                i += len(texts)
 
     return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
 
@@ -230,9 +232,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
         for b in batches:
-            texts, counts, digests, decoded = b.column(1).to_pylist(), [], [], []
-            for i, j in slices([t or "" for t in texts]):
-                flat, n = own.encode(texts[i:j])
+            counts, digests, decoded = [], [], []
+            for flat, n in (x for texts in runs(b.column(1), 4 << 20) for x in own.table.encode_runs(texts)):
                 ends = np.cumsum(n)
                 for k, e in zip(n.tolist(), ends.tolist(), strict=True):
                     ids = flat[e - k : e].tolist()
@@ -240,5 +241,6 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     digests.append(hashlib.sha256(",".join(map(own.names.__getitem__, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        tidy()
 
     return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -7,12 +7,16 @@ touches other white space are cut by the pattern itself.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Ids of many chunks, one after the other, and how many each has.
 Ids = tuple[np.ndarray, np.ndarray]
+#: Ids of many chunks in any order, where each chunk's start, and how many it has.
+Table = tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.ndarray) -> Ids:
@@ -24,26 +28,33 @@ def gather(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, rows: np.n
 
 
 class _Keys(dict):
-    """Chunk to row. Unknown chunks get the next row, or -1 if cutting around them isn't safe."""
+    """Chunk, without what stands before it, to row. If strict, chunks around which cutting isn't safe have row -1."""
 
     def __init__(self, table: ChunkTable, before: str, strict: bool):
         super().__init__()
         self.table, self.before, self.strict = table, before, strict
 
-    def __missing__(self, part: str) -> int:
-        if self.strict and (part[-1:].isspace() or not part or (self.before and part[0].isspace())):
-            row = -1
-        else:
-            row = self.table.rows + len(self.table.pending)
-            self.table.pending.append(self.before + part)
-        self[part] = row
-        return row
+    def rows(self, parts: list[str]) -> np.ndarray:
+        """Rows of parts; those not yet known get the next ones and wait to be encoded."""
+        found = list(map(self.get, parts))
+        if missing := [i for i, r in enumerate(found) if r is None]:
+            new = [parts[i] for i in missing]
+            if self.strict:
+                bare = map(str.strip if self.before else str.rstrip, new)
+                self.update(dict.fromkeys([p for p, q in zip(new, bare, strict=True) if p != q or not p], -1))
+            new = [p for p in dict.fromkeys(new) if p not in self]
+            at = self.table.rows + len(self.table.pending)
+            self.update(zip(new, range(at, at + len(new)), strict=True))
+            self.table.pending += [self.before + p for p in new]
+            for i in missing:
+                found[i] = self[parts[i]]
+        return np.array(found, np.int64)
 
 
 class ChunkTable:
-    """encode: from chunks to Ids. split: a text's pieces by the pattern. limit: the table starts anew beyond so many chunks."""
+    """encode: from chunks to a Table. split: a text's pieces by the pattern. limit: the table starts anew beyond so many chunks."""
 
-    def __init__(self, encode: Callable[[list[str]], Ids], split: Callable[[str], list[str]], limit: int = 400_000):
+    def __init__(self, encode: Callable[[list[str]], Table], split: Callable[[str], list[str]], limit: int = 400_000):
         self.encode_chunks, self.split, self.limit = encode, split, limit
         self._clear()
 
@@ -53,17 +64,10 @@ class ChunkTable:
         self.flat, self.starts, self.lengths = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.used = 0
 
-    def _rows_of(self, text: str) -> list[int]:
-        if not text:
-            return []
-        parts = text.split(" ")
-        rows = [self.first[parts[0]], *map(self.rest.__getitem__, parts[1:])]
-        return [self.piece[x] for x in self.split(text)] if -1 in rows else rows
-
     def _resolve(self) -> None:
         if not self.pending:
             return
-        flat, lengths = self.encode_chunks(self.pending)
+        flat, starts, lengths = self.encode_chunks(self.pending)
 
         def put(name: str, at: int, new: np.ndarray) -> None:
             old = getattr(self, name)
@@ -74,29 +78,48 @@ class ChunkTable:
             old[at : at + len(new)] = new
 
         put("flat", self.used, flat)
-        put("starts", self.rows, self.used + np.cumsum(lengths) - lengths)
+        put("starts", self.rows, self.used + starts)
         put("lengths", self.rows, lengths)
         self.used, self.rows, self.pending = self.used + len(flat), self.rows + len(lengths), []
 
-    def encode(self, texts: list[str]) -> Ids:
-        """Ids of all texts, one after the other, and the number of each text's."""
+    def encode(self, texts: pa.StringArray) -> Ids:
+        """Ids of all texts, one after the other, and the number of each text's. Nulls have none."""
+        parts = list(self.encode_runs(texts))
+        return (np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])) if parts else (np.empty(0, np.int32), np.empty(0, np.int64))
+
+    def encode_runs(self, texts: pa.StringArray, most: int = 1 << 18) -> Iterator[Ids]:
+        """The same for runs of texts of about so many chunks. Chunks are looked up for all texts together, each different one once."""
         if self.rows > self.limit:
             self._clear()
-        rows = [self._rows_of(t) for t in texts]
+        cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
+        parts = cut.flatten().dictionary_encode()
+        ends = np.cumsum(cut.value_lengths().to_numpy())
+        starts = np.concatenate(([0], ends[:-1]))
+        # Each different part is looked up once; what starts a text, again as such.
+        rows = self.rest.rows(parts.dictionary.to_pylist())[parts.indices.to_numpy()]
+        rows[starts] = self.first.rows(parts.take(pa.array(starts)).to_pylist())
+        counts = ends - starts
+        odd = np.unique(np.searchsorted(ends, np.flatnonzero(rows < 0), "right"))
+        if len(odd):
+            each = np.split(rows, ends[:-1])
+            for i in odd.tolist():
+                each[i] = self.piece.rows(self.split(texts[i].as_py() or ""))
+            rows, counts = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
         self._resolve()
-        counts = np.fromiter(map(len, rows), np.int64, len(rows))
-        flat, n = gather(self.flat, self.starts, self.lengths, np.fromiter((r for x in rows for r in x), np.int64, int(counts.sum())))
-        ends = np.concatenate(([0], np.cumsum(n)))[np.cumsum(counts)]
-        return flat, np.diff(ends, prepend=0)
-
-
-def slices(texts: list[str], most: int = 1 << 20):
-    """Runs (from, to) of texts with about so many characters each; a longer text stands alone."""
-    at = size = 0
-    for i, t in enumerate(texts):
-        if size and size + len(t) > most:
-            yield at, i
-            at, size = i, 0
-        size += len(t)
-    if at < len(texts):
-        yield at, len(texts)
+        ends, at = np.cumsum(counts), 0
+        while at < len(ends):
+            first = int(ends[at - 1]) if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, first + most, "right")))
+            flat, n = gather(self.flat, self.starts, self.lengths, rows[first : ends[to - 1]])
+            yield flat, np.diff(np.concatenate(([0], np.cumsum(n)))[ends[at:to] - first], prepend=0)
+            at = to
+
+
+def runs(column: pa.StringArray, most: int = 32 << 20) -> Iterator[pa.StringArray]:
+    """A column in slices of about so many bytes; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64))
+    at = 0
+    while at < len(column):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, "right")))
+        yield column.slice(at, to - at)
+        at = to

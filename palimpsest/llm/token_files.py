@@ -18,14 +18,16 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm.common import ship
-from palimpsest.llm.pieces import ChunkTable, Ids, gather, slices
+from palimpsest.llm.pieces import ChunkTable, Ids, Table, gather, runs
 
-#: Ids from which a shard is closed, and how often a pair must occur in it to become a rule.
-SHARD, LEAST, RULES_A_ROUND, ROUNDS = 1 << 20, 16, 2048, 6
+#: Ids from which a shard is closed, how often a pair must occur in it to become a rule, rules a round and rounds, and of how many places one
+#: is counted.
+SHARD, LEAST, RULES_A_ROUND, ROUNDS, COUNTED = 1 << 20, 16, 4096, 4, 4
 
 #: at: ids of this part's shards before this one. base: number of terminals; symbol base + k stands for rule k.
 SCHEMA = "part int, at long, n_tokens long, base int, doc_ids array<long>, doc_symbols array<int>, rules binary, rule_lengths binary, wide boolean, symbols binary"
@@ -34,8 +36,8 @@ SCHEMA = "part int, at long, n_tokens long, base int, doc_ids array<long>, doc_s
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (k x 2), their expanded lengths, symbols, and the end of each document's symbols.
 
-    Each round takes the pairs that occur at least so often, the most frequent first, up to a number of rules, and replaces
-    their occurrences from left to right. It ends when a round shortens the text by under a hundredth.
+    Each round counts pairs at every fourth place, takes those that seem to occur at least so often, the most frequent first, up to a number
+    of rules, and replaces their occurrences from left to right. It ends when a round shortens the text by under a hundredth.
     """
     seq = ids.astype(np.int64)
     last = np.zeros(len(seq), bool)  # the last symbol of its document
@@ -43,31 +45,37 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, r
     empty = np.diff(ends, prepend=0) == 0
     rules, lengths = np.empty((0, 2), np.int64), np.ones(base, np.int64)
     for _ in range(rounds):
-        keys = np.where(last[:-1], -1, (seq[:-1] << 32) | seq[1:])
-        ordered = np.sort(keys[keys >= 0])
+        keys = (seq[:-1] << 32) | seq[1:]
+        keys[last[:-1]] = -1
+        ordered = np.sort(keys[::COUNTED])
+        ordered = ordered[np.searchsorted(ordered, 0) :]
         if not len(ordered):
             break
         start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         count = np.diff(start, append=len(ordered))
-        often = np.flatnonzero(count >= least)
+        often = np.flatnonzero(count * COUNTED >= least)
         if len(often) > RULES_A_ROUND:
-            often = often[np.argsort(-count[often], kind="stable")[:RULES_A_ROUND]]
+            often = often[np.argpartition(-count[often], RULES_A_ROUND)[:RULES_A_ROUND]]
         if not len(often):
             break
-        pairs = np.sort(ordered[start[often]])
-        # A small table by a hash of the pair tells most places that no rule applies to them.
-        mixed = lambda k: ((k * 0x9E3779B97F4A7C1) >> 20) & 0xFFFF
-        maybe = np.zeros(1 << 16, bool)
-        maybe[mixed(pairs)] = True
-        spots = np.flatnonzero(maybe[mixed(keys)])
-        rule = np.minimum(np.searchsorted(pairs, keys[spots]), len(pairs) - 1)
-        hit = pairs[rule] == keys[spots]
-        spots, rule = spots[hit], rule[hit]
+        # The pairs by a hash; of pairs with one hash the more frequent stays, and the others wait for the next round.
+        often = often[np.argsort(count[often], kind="stable")]
+        pairs = ordered[start[often]]
+        mixed = lambda k: ((k * 0x9E3779B97F4A7C1) >> 40) & 0xFFFF
+        slot = np.zeros(1 << 16, np.int64)
+        slot[mixed(pairs)] = pairs
+        spots = np.flatnonzero(slot[mixed(keys)] == keys)
+        number = np.zeros(1 << 16, np.int32)
+        number[mixed(pairs)] = np.arange(len(pairs))
+        rule = number[mixed(keys[spots])]
         # Of places in a row every other one, from the first, can be taken.
         lead = np.concatenate(([True], spots[1:] != spots[:-1] + 1))
         nth = np.arange(len(spots)) - np.maximum.accumulate(np.where(lead, np.arange(len(spots)), 0))
         spots, rule = spots[nth % 2 == 0], rule[nth % 2 == 0]
-        used, rule = np.unique(rule, return_inverse=True)
+        named = np.zeros(len(pairs), bool)
+        named[rule] = True
+        used = np.flatnonzero(named)
+        rule = (np.cumsum(named) - 1)[rule]
         left, right = pairs[used] >> 32, pairs[used] & 0xFFFFFFFF
         seq[spots] = len(lengths) + rule
         last[spots] = last[spots + 1]
@@ -134,36 +142,47 @@ class Encoder:
         self.bytes = np.zeros(self.base, np.int64)
         for token, i in vocabulary["model"]["vocab"].items():
             self.bytes[i] = len(token)
-        self.table = ChunkTable(self._chunks, regex.compile(pattern).findall)
+        self.table = ChunkTable(self._chunks, regex.compile(pattern).findall, limit=1_500_000)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _chunks(self, chunks: list[str]) -> Ids:
-        """Chunks that start with a space before another character are joined, encoded at once, and told apart by the bytes of their tokens."""
-        joined = np.array([len(c) > 1 and c[0] == " " and not c[1].isspace() and not c[-1].isspace() for c in chunks], bool)
-        own: list = [None] * len(chunks)
-        rest = [i for i, x in enumerate(joined) if not x]
-        for i, ids in zip(rest, self._whole([chunks[i] for i in rest]), strict=True):
-            own[i] = np.array(ids, np.int32)
-        some = np.flatnonzero(joined)
+    def _chunks(self, chunks: list[str]) -> Table:
+        """Chunks of one space and what isn't space at its ends are joined, encoded at once, and told apart by the bytes of their tokens."""
+        size = np.fromiter(map(len, chunks), np.int64, len(chunks))
+        bare = np.fromiter(map(len, map(str.strip, chunks)), np.int64, len(chunks))
+        joined = (bare == size - 1) & (bare > 0) & np.array([c[0] == " " for c in chunks], bool)
+        lengths, starts, flats, used = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), [], 0
+        some, rest = np.flatnonzero(joined), np.flatnonzero(~joined)
         for at in range(0, len(some), 4096):
-            group = some[at : at + 4096].tolist()
-            ids = np.array(self._whole(["".join([chunks[i] for i in group])])[0], np.int32)
-            stops = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(chunks[i].encode()) for i in group])) + 1
-            for i, x in zip(group, np.split(ids, stops[:-1]), strict=True):
-                own[i] = x
-        return (np.concatenate(own) if own else np.empty(0, np.int32)), np.fromiter(map(len, own), np.int64, len(own))
-
-    def encode(self, texts: list[str | None]) -> Ids:
-        special = {i for i, t in enumerate(texts) if t and any(a in t for a in self.added)}
-        flat, n = self.table.encode(["" if i in special else t or "" for i, t in enumerate(texts)])
-        if not special:
-            return flat, n
-        parts = np.split(flat, np.cumsum(n)[:-1])
-        for i in special:
-            parts[i] = np.array(self._whole([texts[i]])[0], np.int32)
-        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+            group = some[at : at + 4096]
+            own = [chunks[i] for i in group.tolist()]
+            ids = np.array(self._whole(["".join(own)])[0], np.int32)
+            stops = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(c.encode()) for c in own])) + 1
+            lengths[group] = np.diff(stops, prepend=0)
+            starts[group] = used + stops - lengths[group]
+            flats.append(ids)
+            used += len(ids)
+        for i, ids in zip(rest.tolist(), self._whole([chunks[i] for i in rest.tolist()]), strict=True):
+            lengths[i], starts[i] = len(ids), used
+            flats.append(np.array(ids, np.int32))
+            used += len(ids)
+        return np.concatenate(flats) if flats else np.empty(0, np.int32), starts, lengths
+
+    def encode_runs(self, texts: pa.StringArray) -> Iterator[Ids]:
+        special = np.zeros(len(texts), bool)
+        for a in self.added:
+            special |= pc.fill_null(pc.match_substring(texts, a), False).to_numpy(zero_copy_only=False)
+        if not special.any():
+            yield from self.table.encode_runs(texts)
+            return
+        at = 0
+        for flat, n in self.table.encode_runs(pc.if_else(pa.array(special), "", texts)):
+            parts = np.split(flat, np.cumsum(n)[:-1])
+            for i in np.flatnonzero(special[at : at + len(n)]).tolist():
+                parts[i] = np.array(self._whole([texts[at + i].as_py()])[0], np.int32)
+            at += len(n)
+            yield np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
 
 
 @lru_cache(2)
@@ -194,14 +213,14 @@ def write_ids(docs: DataFrame, out: str, path: str, pattern: str, end_id: int |
         held = 0
         tail = np.array([end_id] if end_id is not None else [], np.int32)
         for b in batches:
-            texts, keys = b.column(1).to_pylist(), b.column(0).to_pylist()
-            for i, j in slices([t or "" for t in texts]):
-                flat, n = own.encode(texts[i:j])
+            keys = b.column(0).to_pylist()
+            for flat, n in (x for texts in runs(b.column(1)) for x in own.encode_runs(texts)):
                 if len(tail):
                     flat, n = np.insert(flat, np.cumsum(n), end_id), n + 1
                 ids.append(flat)
                 counts.append(n)
-                doc_ids += keys[i:j]
+                doc_ids += keys[: len(n)]
+                del keys[: len(n)]
                 held += len(flat)
                 if held >= shard:
                     yield _packed(part, at, own.base, doc_ids, np.concatenate(counts), np.concatenate(ids))
