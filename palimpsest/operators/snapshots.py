@@ -169,7 +169,7 @@ def modified(
 
 def saved(snapshots: DataFrame) -> DataFrame:
     """As written anew: the first id stays in original, ids follow from content."""
-    return snapshots.withColumn("original", F.coalesce("original", "id"))
+    return snapshots.withColumn("original", F.coalesce("original", "id") if "original" in snapshots.columns else F.col("id"))
 
 
 def refreshed(held: DataFrame, listing: DataFrame, stored: DataFrame, condition: Column | None = None) -> DataFrame:

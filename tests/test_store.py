@@ -263,3 +263,31 @@ def test_vfs_and_sources(spark, tmp_path):
     assert store.root_of("s3:bucket/x") == "s3a://bucket/x" and store.root_of("/a") == "/a"
     with pytest.raises(ValueError):
         Config().apply(chunk_size=1000)
+
+
+def test_repository(spark):
+    from palimpsest.model import FILES
+    from palimpsest.repository import Repository
+
+    nodes = small_trees(spark).withColumn("pos", F.lit(0))
+    snaps = spark.createDataFrame([snap(1, "2020-01-01T00:00:00", "r1"), snap(2, "2020-01-02T00:00:00", "r2")], SNAPS)
+    rows = entry("i", "pd", [("b1", 40), ("b2", 50), ("b3", 60), ("b4", 70)]) + entry("i", "pt", [("r1", 33), ("r2", 33), ("s", 33), ("u", 33), ("e", 33)], kind="tree")
+    files = spark.createDataFrame([("pack", "pd", 220 + 36 + 148), ("pack", "pt", 165 + 36 + 185), ("snapshot", "x", 3)], FILES)
+    repo = Repository(spark, snaps, nodes, spark.createDataFrame(rows, INDEX), files, content=spark.createDataFrame([("b1", "he"), ("b2", "llo")], "blob_id string, chunk string"))
+    assert repo.check().count() == 0
+    assert [r.name for r in repo.node_from_snapshot_path("latest~1:f").collect()] == ["f"]
+    assert {r.path for r in repo.ls(repo.get_snapshot_from_str("latest~1")).collect()} == {"a", "a/d", "a/d/y.txt", "a/x", "f"}
+    assert [r.content for r in repo.dump(nodes.where("name = 'f'").withColumnRenamed("name", "path")).collect()] == ["hello"]
+    gone = repo.delete_snapshots(repo.snapshots.where("tree = 'r1'").select("id"))
+    assert {r.blob_id for r in gone.used_blobs().collect()} == {"r2", "s", "e", "u", "b2", "b3", "b4"}
+    now = F.lit(datetime(2020, 2, 1)).cast("timestamp_ntz")
+    assert {r.pack_id: r.todo for r in gone.prune_plan(now, prune.Options(max_repack=prune.Limit(), max_unused=prune.Limit(size=0))).collect()} == {"pd": "Repack", "pt": "Repack"}
+    copied, needed = Repository(spark, snaps.limit(0), nodes.limit(0), repo.blobs.where("pack_id = 'pd'"), files).copy(repo)
+    assert copied.count() == 2 and {r.blob_id for r in needed.collect()} == {"r1", "r2", "s", "u", "e"}
+    source = spark.createDataFrame([("f", "file", 4, 1, bytearray(b"abcd")), ("g", "file", 2, 1, bytearray(b"ab"))], "path string, type string, size long, mtime long, content binary")
+    judged, cut, new = repo.backup(source, size=2)
+    assert cut.count() == 3 and new.count() == 2 and {r.status for r in judged.collect()} == {"new"}
+    assert repo.rewrite_snapshots(add_tags=["x"]).select("tags").first().tags == ["rewrite", "x"]
+    with pytest.raises(PermissionError):
+        repo.apply_config(append_only=True).prune(None, now)
+    assert {(r.tpe, r["count"]) for r in repo.infos_files().collect()} == {("pack", 2), ("snapshot", 1), ("key", 0), ("index", 0)}
