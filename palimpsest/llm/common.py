@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
@@ -85,15 +86,28 @@ def partitions(spark: SparkSession) -> int:
 
 
 def tidy() -> None:
-    """Give memory that a worker has freed back to the system; workers outlive their tasks."""
+    """Give memory that a process has freed back to the system. Large arrays are from then on mapped on their own, so they go back at once."""
     import ctypes
 
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim:
-        trim(0)
+    libc = ctypes.CDLL(None)
+    if hasattr(libc, "malloc_trim"):
+        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
+        libc.malloc_trim(0)
+
+
+def tidied(run):
+    """A function over batches for mapInArrow, after which its worker, which outlives the task, is tidy."""
+
+    @functools.wraps(run)
+    def wrapper(batches):
+        tidy()
+        yield from run(batches)
+        tidy()
+
+    return wrapper
 
 
 _shipped: set[str] = set()

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import drop_scratch, ship, written
+from palimpsest.llm.common import drop_scratch, ship, tidied, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -33,11 +33,25 @@ def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _thinned(links: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n, least = [], 0, 1 << 18
+
+        def thin() -> tuple[np.ndarray, np.ndarray]:
+            return forest(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
         for b in batches:
-            x, y = forest(b.column(0).to_numpy(), b.column(1).to_numpy())
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["a", "b"])
+            held.append((b.column(0).to_numpy(), b.column(1).to_numpy()))
+            n += b.num_rows
+            if n > least:
+                held = [thin()]
+                # A forest has fewer links than nodes, so what a task holds follows its nodes.
+                n = len(held[0][0])
+                least = max(least, 2 * n)
+        if held:
+            x, y = thin()
+            for at in range(0, len(x), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[at : at + 50_000]), pa.array(y[at : at + 50_000])], names=["a", "b"])
 
-    return links.mapInArrow(run, "a long, b long")
+    return links.mapInArrow(tidied(run), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -45,7 +59,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Labels start at the smallest neighbour. A round gives each node the least label around it and then the label of
     its label; it ends when no label changes, after about as many rounds as the logarithm of the longest path. Links are
-    first thinned to forests batch by batch. Neighbours are joined on nodes through plain shuffles, which Spark splits
+    first thinned to forests task by task. Neighbours are joined on nodes through plain shuffles, which Spark splits
     where a node has very many; minima are taken before shuffling. Each round is a table of its own.
     """
     ship(links.sparkSession)

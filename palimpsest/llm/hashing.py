@@ -45,10 +45,10 @@ def _powers(base: int, n: int) -> np.ndarray:
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    return _powers(base, 1 << max(20, n.bit_length()))[:n]
+    return _powers(base, 1 << max(4, n.bit_length()))[:n]
 
 
-def text_slices(column: pa.StringArray, most: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_slices(column: pa.StringArray, most: int = 1 << 19) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs (from, to) of a column's rows with about so many bytes each, their bytes, and where each row starts in them, the end included."""
     column = column.cast(pa.string()) if column.type != pa.string() else column
     n = len(column)

@@ -16,7 +16,7 @@ Candidates are checked: first by histograms of their features, which bound the o
 
 Signatures shared by many sets, as in large groups of near copies, are not expanded into pairs. Sets that share such signatures
 form clusters, which are split by size and hash into blocks of bounded size; a task compares two blocks and keeps only
-links of a spanning forest.
+links of a spanning forest. Pairs from other signatures that lie within a cluster need no check of their own.
 """
 
 from __future__ import annotations
@@ -30,15 +30,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exchange
-from palimpsest.llm.common import partitions, ship, written
+from palimpsest.llm.common import partitions, ship, tidied, written
 from palimpsest.llm.components import components, forest
 from palimpsest.llm.hashing import U, mixed, powers, run_hashes, text_slices, word_hashes, word_spans
 
 SHINGLE, PERCENT = 5, 80
-#: A feature is common if it is in so many sets of a batch, and in so many in all such batches; so many are kept.
-BATCH_COUNT, TOTAL_COUNT, MOST_COMMON = 4, 16, 1 << 18
+#: A feature is common if it is in so many sets of a batch (of so many features), and in so many in all such batches; so many are kept.
+BATCH_COUNT, COUNTED, TOTAL_COUNT, MOST_COMMON = 3, 1 << 22, 16, 1 << 18
 #: Sets that share a signature are paired up to this number; from there on they go to blocks of this size.
-PAIRED, BLOCK = 32, 256
+PAIRED, BLOCK = 8, 256
 #: Up to so many ids are broadcast to pick texts by; beyond, the join is shuffled.
 BROADCAST_IDS = 1 << 20
 
@@ -104,36 +104,53 @@ def signatures(s: np.ndarray, common: np.ndarray, low: np.ndarray, percent: int
 def _described(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: a document's id, set size and class key; a common feature's count and hash."""
 
+    names = ["common", "doc_id", "n", "key"]
+
+    def often(distinct: dict[int, np.ndarray]) -> pa.RecordBatch:
+        every = np.concatenate(list(distinct.values()))
+        distinct.clear()
+        every.sort()
+        start = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
+        count = np.diff(start, append=len(every))
+        kept = count >= BATCH_COUNT
+        n = int(kept.sum())
+        return pa.RecordBatch.from_arrays([pa.array([True] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(count[kept], pa.int64()), pa.array(every[start[kept]].view(np.int64))], names=names)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        distinct: dict[int, np.ndarray] = {}
+        held = 0
         for b in batches:
-            distinct: dict[int, np.ndarray] = {}
             for i, j, sets in shingle_sets(b.column(1)):
                 keys = [class_key(s) for s in sets]
-                distinct.update(zip(keys, sets, strict=True))
-                yield pa.RecordBatch.from_arrays([pa.array([False] * (j - i)), b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], names=["common", "doc_id", "n", "key"])
-            every = np.sort(np.concatenate(list(distinct.values()))) if distinct else np.empty(0, U)
-            start = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.empty(0, np.int64)
-            count = np.diff(start, append=len(every))
-            often = count >= BATCH_COUNT
-            n = int(often.sum())
-            yield pa.RecordBatch.from_arrays([pa.array([True] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(count[often], pa.int64()), pa.array(every[start[often]].view(np.int64))], names=["common", "doc_id", "n", "key"])
+                for k, s in zip(keys, sets, strict=True):
+                    if len(s) and k not in distinct:
+                        distinct[k] = s
+                        held += len(s)
+                yield pa.RecordBatch.from_arrays([pa.array([False] * (j - i)), b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], names=names)
+                if held >= COUNTED:
+                    yield often(distinct)
+                    held = 0
+        if held:
+            yield often(distinct)
 
-    return docs.mapInArrow(run, "common boolean, doc_id long, n long, key long")
+    return docs.mapInArrow(tidied(run), "common boolean, doc_id long, n long, key long")
 
 
 def _candidates(docs: DataFrame, common, percent: int, parts: int) -> DataFrame:
-    """(a, b, hot): pairs of class keys, or, if hot, a signature and a class key that has it."""
+    """(a, b, hot): pairs of class keys; if hot, links that join keys which share a signature with many others."""
     low = lows(percent)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
-        for b in batches:
-            sigs, nodes, held = [], [], 0
+        sigs, nodes, held = [], [], 0
 
-            def flush():
-                sig, node = np.concatenate(sigs), np.concatenate(nodes)
-                yield from exchange.rows((p, x) for p, x in exchange.by_part(exchange.part_of(sig, parts), parts, [sig, node]))
+        def flush():
+            sig, node = np.concatenate(sigs), np.concatenate(nodes)
+            sigs.clear()
+            nodes.clear()
+            yield from exchange.rows((p, x) for p, x in exchange.by_part(exchange.part_of(sig, parts), parts, [sig, node]))
 
+        for b in batches:
             for _, _, sets in shingle_sets(b.column(0)):
                 for s in sets:
                     key = class_key(s)
@@ -146,9 +163,9 @@ def _candidates(docs: DataFrame, common, percent: int, parts: int) -> DataFrame:
                             held += len(x)
                 if held > 1 << 20:
                     yield from flush()
-                    sigs, nodes, held = [], [], 0
-            if held:
-                yield from flush()
+                    held = 0
+        if held:
+            yield from flush()
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = exchange.received(batches)
@@ -176,29 +193,32 @@ def _candidates(docs: DataFrame, common, percent: int, parts: int) -> DataFrame:
         order = np.lexsort((b, a))
         a, b = a[order], b[order]
         fresh = np.concatenate(([True], (a[1:] != a[:-1]) | (b[1:] != b[:-1]))) if len(a) else np.empty(0, bool)
-        hot = np.repeat(size > PAIRED, size)
-        for x, y, h in ((a[fresh], b[fresh], False), (sig[hot].view(np.int64), node[hot], True)):
+        many = size > PAIRED
+        hot = forest(node[np.repeat(many, size)], np.repeat(node[start[many]], size[many]))
+        for x, y, h in ((a[fresh], b[fresh], False), (*hot, True)):
             for i in range(0, len(x), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]), pa.array(y[i : i + 50_000]), pa.array(np.full(len(x[i : i + 50_000]), h))], names=["a", "b", "hot"])
 
-    return exchange.dealt(docs.mapInArrow(emit, exchange.SCHEMA), parts).mapInArrow(meet, "a long, b long, hot boolean")
+    return exchange.dealt(docs.mapInArrow(tidied(emit), exchange.SCHEMA), parts).mapInArrow(tidied(meet), "a long, b long, hot boolean")
 
 
 def _sets(texts: DataFrame) -> DataFrame:
     """key, n, histogram (256 counts of features by their top byte) and features of (key, text), where the text has that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for b in batches:
             want = b.column(0).to_pylist()
             for i, _, sets in shingle_sets(b.column(1)):
-                kept = [(want[k], s) for k, s in enumerate(sets, i) if class_key(s) == want[k]]
-                counts = [np.bincount((s >> U(56)).astype(np.int64), minlength=256).astype(np.uint32).tobytes() for _, s in kept]
+                kept = [(want[k], s) for k, s in enumerate(sets, i) if want[k] not in seen and class_key(s) == want[k]]
+                seen.update(k for k, _ in kept)
+                counts = [np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=256), 65535).astype(np.uint16).tobytes() for _, s in kept]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for _, s in kept], pa.binary())],
                     names=["key", "n", "histogram", "features"],
                 )
 
-    return texts.mapInArrow(run, "key long, n long, histogram binary, features binary")
+    return texts.mapInArrow(tidied(run), "key long, n long, histogram binary, features binary")
 
 
 def _filtered(pairs: DataFrame, overlap, percent: int) -> DataFrame:
@@ -209,14 +229,17 @@ def _filtered(pairs: DataFrame, overlap, percent: int) -> DataFrame:
             for at in range(0, batch.num_rows, 1000):
                 a, b, na, nb, x, y = batch.slice(at, 1000).columns
                 both = np.array([overlap(p.as_buffer(), q.as_buffer()) for p, q in zip(x, y, strict=True)], np.int64)
+                both = np.minimum(both, np.minimum(na.to_numpy(), nb.to_numpy()))
                 enough = pa.array(100 * both >= percent * (na.to_numpy() + nb.to_numpy() - both))
                 yield pa.RecordBatch.from_arrays([a.filter(enough), b.filter(enough)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return pairs.mapInArrow(tidied(run), "a long, b long")
 
 
 def _bound(x, y) -> int:
-    return int(np.minimum(np.frombuffer(x, np.uint32), np.frombuffer(y, np.uint32)).sum())
+    """No less than the overlap; counts that are cut off bound nothing."""
+    both = np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16))
+    return int(both.sum(dtype=np.int64)) if both.max() < 65535 else 1 << 40
 
 
 def _exact(x, y) -> int:
@@ -235,6 +258,9 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return pairs.join(left, pairs["a"] == F.col("ka")).join(right, F.col("b") == F.col("kb")).select("a", "b", "na", "nb", "x", "y")
 
     likely = written(_filtered(beside(pairs, "histogram"), _bound, percent), "likely")
+    keys = likely.select("a").union(likely.select("b")).distinct()
+    if keys.count() <= BROADCAST_IDS:
+        sets = sets.join(F.broadcast(keys.withColumnRenamed("a", "of")), F.col("key") == F.col("of"), "left_semi")
     return _filtered(beside(likely, "features"), _exact, percent)
 
 
@@ -263,15 +289,18 @@ def compare(keys: np.ndarray, features: list[np.ndarray], side: np.ndarray, perc
     return forest(a[a != b], b[a != b])
 
 
-def _hot_links(hot: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links among sets that share a signature with many others, from (signature, key)."""
+def _clusters(links: DataFrame) -> DataFrame:
+    """key, cluster of sets that share a signature with many others."""
+    return components(links).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
+
+
+def _hot_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links within clusters."""
     import pandas as pd
 
-    least = hot.groupBy(F.col("signature").alias("s")).agg(F.min("key").alias("least"))
-    clusters = components(hot.join(least, F.col("signature") == F.col("s")).select(F.col("key").alias("a"), F.col("least").alias("b")))
     # Partners are less than a band of this width apart, even where the logarithm is rounded.
     band = F.floor(F.log("n") / F.lit(math.log(1.05 * 100 / percent))).cast("int")
-    members = clusters.select(F.col("node").alias("key"), F.col("component").alias("cluster")).join(sets.select("key", "n"), "key").withColumn("band", band)
+    members = clusters.join(sets.select("key", "n"), "key").withColumn("band", band)
     members = written(members, "members")
     blocks = members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("own"))
     order = Window.partitionBy("cluster").orderBy("band")
@@ -310,7 +339,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     spark = docs.sparkSession
     ship(spark)
-    parts = partitions(spark)
+    parts = 2 * partitions(spark)  # more than usual, as a task holds what it received
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     described = written(_described(rows), "sets")
     # At most MOST_COMMON numbers come here.
@@ -318,22 +347,26 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     common = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in often.collect()], np.int64).view(U)))
     own = described.where(~F.col("common"))
     classes = written(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
-    found = written(_candidates(rows.select("text"), common, percent, parts), "candidates")
+    found = written(_candidates(rows.where("doc_id IS NOT NULL").select("text"), common, percent, parts), "candidates")
 
-    size = classes.where("least IS NOT NULL").select(F.col("key").alias("of"), F.col("n").alias("size"))
+    size = classes.select(F.col("key").alias("of"), F.col("n").alias("size"))
+    clusters = _clusters(found.where("hot").select("a", "b"))
     pairs = found.where(~F.col("hot")).select("a", "b").distinct()
     pairs = pairs.join(size, F.col("a") == F.col("of")).select("a", "b", F.col("size").alias("na")).join(size, F.col("b") == F.col("of"))
-    pairs = written(pairs.where(100 * F.least("na", "size") >= percent * F.greatest("na", "size")).select("a", "b"), "pairs")
-    hot = written(found.where("hot").select(F.col("a").alias("signature"), F.col("b").alias("key")).join(size, F.col("key") == F.col("of")).select("signature", "key"), "hot")
+    pairs = pairs.where(100 * F.least("na", "size") >= percent * F.greatest("na", "size")).select("a", "b")
+    # Pairs within a cluster are compared there.
+    of_a, of_b = clusters.select(F.col("key").alias("ka"), F.col("cluster").alias("ca")), clusters.select(F.col("key").alias("kb"), F.col("cluster").alias("cb"))
+    pairs = pairs.join(of_a, F.col("a") == F.col("ka"), "left").join(of_b, F.col("b") == F.col("kb"), "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)))
+    pairs = written(pairs.select("a", "b"), "pairs")
 
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(hot.select("key")).distinct()
+    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(clusters.select("key")).distinct()
     wanted = written(wanted.join(classes.select(F.col("key").alias("of"), "least"), F.col("key") == F.col("of")).select("key", "least"), "wanted")
     picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = written(_sets(rows.join(picked, F.col("doc_id") == F.col("least")).select("key", "text")).dropDuplicates(["key"]), "features")
+    sets = written(_sets(rows.join(picked, F.col("doc_id") == F.col("least")).select("key", "text")), "features")
+    if sets.count() > sets.select("key").distinct().count():  # rows repeated over tasks
+        sets = written(sets.dropDuplicates(["key"]), "features")
 
-    links = _linked(pairs, sets, percent)
-    if hot.limit(1).count():
-        links = links.union(_hot_links(hot, sets, percent))
+    links = _linked(pairs, sets, percent).union(_hot_links(clusters, sets, percent))
     groups = written(components(links), "groups")
     least = groups.join(classes.select(F.col("key").alias("of"), "least"), F.col("node") == F.col("of")).groupBy("component").agg(F.min("least").alias("smallest"))
     smallest = groups.join(least, "component").select(F.col("node").alias("of"), "smallest")
