@@ -162,6 +162,63 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 10
 """
 
+OP3_SQL = f"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '{_WORD}') AS w FROM documents
+), shingles AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM words WHERE len(w) > 0)
+), sizes AS (
+  SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id
+), shared AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS (
+  SELECT a, b FROM shared o JOIN sizes x ON x.doc_id = o.a JOIN sizes y ON y.doc_id = o.b WHERE 100 * k >= 80 * (x.n + y.n - k)
+), reached AS (
+  SELECT doc_id, doc_id AS root FROM documents UNION SELECT l.b, r.root FROM reached r JOIN links l ON l.a = r.doc_id
+), components AS (
+  SELECT doc_id, min(root) AS component_id FROM reached GROUP BY doc_id
+)
+SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.component_id FROM documents d LEFT JOIN sizes s USING (doc_id) JOIN components c USING (doc_id)
+"""
+
+OP5_SQL = f"""
+WITH words AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents
+), windows AS (
+  SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM words WHERE len(w) >= 13)
+), firsts AS (
+  SELECT k, min(doc_id) AS first FROM windows GROUP BY k
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS i FROM windows JOIN firsts USING (k) WHERE first < doc_id
+), each_word AS (
+  SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM words
+), kept AS (
+  SELECT e.doc_id, string_agg(word, ' ' ORDER BY e.i) AS text, count(*) AS n FROM each_word e LEFT JOIN gone g ON g.doc_id = e.doc_id AND g.i = e.i WHERE g.i IS NULL GROUP BY e.doc_id
+)
+SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM words w LEFT JOIN kept k USING (doc_id)
+"""
+
+OP8_SQL = """
+WITH RECURSIVE bits AS (
+  SELECT b, b AS c, 0 AS n FROM (SELECT unnest(range(0, 256)) AS b) UNION ALL SELECT b, CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n + 1 FROM bits WHERE n < 8
+), crc AS (
+  SELECT list(c ORDER BY b) AS t FROM bits WHERE n = 8
+), rows_ AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) AS bytes, hex(encode(coalesce(text, ''))) AS h FROM documents
+), summed AS (
+  SELECT doc_id, bytes + 1 AS size, CAST(xor(4294967295, list_reduce(list_transform(range(0, bytes), lambda i: CAST(('0x' || substr(h, 2 * i + 1, 2)) AS BIGINT)), lambda c, b: xor(c >> 8, crc.t[1 + (xor(c, b) & 255)]), 4294967295)) AS BIGINT) AS text_crc32 FROM rows_, crc
+), jumps AS (
+  SELECT doc_id AS k, CAST(CASE WHEN coalesce(doc_id, 0) < 0 THEN 18446744073709551616::UHUGEINT - CAST(-doc_id AS UHUGEINT) ELSE CAST(coalesce(doc_id, 0) AS UHUGEINT) END AS UHUGEINT) AS state, -1::BIGINT AS b, 0::BIGINT AS j FROM (SELECT DISTINCT doc_id FROM documents)
+  UNION ALL SELECT k, (state * 2862933555777941757 + 1) % 18446744073709551616, j,
+    CAST(floor(least((2147483648.0::DOUBLE / CAST(((state * 2862933555777941757 + 1) % 18446744073709551616) // 8589934592 + 1 AS DOUBLE)) * (j + 1), 4e9)) AS BIGINT)
+  FROM jumps WHERE j < 17
+), shards AS (
+  SELECT k, max(j) FILTER (WHERE j < 16) AS shard, max(j) FILTER (WHERE j < 17) AS grown FROM jumps GROUP BY k
+)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY ((doc_id % 1024) * 31 + text_crc32) % 1024, doc_id, text_crc32, size) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard
+FROM summed s JOIN shards x ON x.k IS NOT DISTINCT FROM s.doc_id
+"""
+
 QUERIES = {
     "op1_repair_token_files": op1_repair_token_files,
     "op2_subword_toxicity": op2_subword_toxicity,
@@ -174,7 +231,7 @@ QUERIES = {
     "op9_block_pruned_top_k": op9_block_pruned_top_k,
     "op10_host_rules": op10_host_rules,
 }
-SQL = {"op4_mix_sources": OP4_SQL, "op7_temporal_url_lists": OP7_SQL, "op9_block_pruned_top_k": OP9_SQL, "op10_host_rules": OP10_SQL}
+SQL = {"op3_partenum_jaccard": OP3_SQL, "op5_block_anchor_repeats": OP5_SQL, "op8_jump_shards": OP8_SQL, "op4_mix_sources": OP4_SQL, "op7_temporal_url_lists": OP7_SQL, "op9_block_pruned_top_k": OP9_SQL, "op10_host_rules": OP10_SQL}
 
 
 def queries() -> dict:

@@ -69,7 +69,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, cells: int = 1024) -> DataF
     not visible. No rows: no rows. Other columns of docs are not read.
 
     Slots run from 0 without gaps in each shard. They are numbered in two levels, so no task sorts a whole shard:
-    rows fall into cells by a hash, one small table holds the rows of each cell, and a row's slot is the
+    rows fall into cells by doc_id and checksum, one small table holds the rows of each cell, and a row's slot is the
     number of rows in its shard's earlier cells plus its place in its own cell.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
@@ -83,7 +83,7 @@ def assign_shards(docs: DataFrame, shards: int = 16, cells: int = 1024) -> DataF
         F.lit("key").alias("law"),
         jump_hash(F.col("doc_id"), shards).alias("shard"),
         jump_hash(F.col("doc_id"), shards + 1).alias("grown_shard"),
-        F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(cells)).cast("int").alias("cell"),
+        F.pmod(F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(cells)) * 31 + F.col("text_crc32"), F.lit(cells)).cast("int").alias("cell"),
     )
     rows = written(rows, "shards")
     before = Window.partitionBy("shard").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
