@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.functions.ids import in_subset
-from palimpsest.model import BLOBS_PER_PACK, MAX_HOLE, MAX_PACK_SIZE, MAX_READ, PackSizing
+from palimpsest.model import BLOBS_PER_INDEX, BLOBS_PER_PACK, MAX_HOLE, MAX_PACK_SIZE, MAX_READ, PackSizing
 
 
 def target_size(current: Column, sizing: PackSizing) -> Column:
@@ -82,3 +82,9 @@ def subset_size(packs: DataFrame, limit: int | None = None, percent: float | Non
 def batches(ids: DataFrame, size: int = 1) -> DataFrame:
     """ids with batch: runs of size by id, for requests made together."""
     return ids.withColumn("batch", F.ceil(F.row_number().over(Window.orderBy("id")) / F.lit(size)).cast("long") - 1)
+
+
+def index_files(packs: DataFrame, writer: str, most: int = BLOBS_PER_INDEX) -> DataFrame:
+    """packs (writer, pack_id, blobs) with index_no: a writer starts a new index file once one holds most blobs."""
+    rows = packs.withColumn("length", F.col("blobs").cast("long"))
+    return filled(rows, writer, ["pack_id"], most, most).drop("length").withColumnRenamed("pack_no", "index_no")

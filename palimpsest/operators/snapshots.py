@@ -221,3 +221,9 @@ def path_of(template: str) -> Column:
     if unknown := [k for k in pieces[1::2] if k not in known]:
         raise KeyError(unknown[0])
     return F.concat(*(F.coalesce(known[p], F.lit("")) if i % 2 else F.lit(p) for i, p in enumerate(pieces)))
+
+
+def durations(rows: DataFrame, start: str = "backup_start", end: str = "backup_end") -> DataFrame:
+    """rows with duration: seconds between two times, to the microsecond."""
+    micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
+    return rows.withColumn("duration", (micros(end) - micros(start)) / 1_000_000)

@@ -170,3 +170,21 @@ def rewritten(paths: DataFrame, globs: list[str] = [], change: Callable[[DataFra
         below = settled(level.groupBy("root", above.alias("path")).agg(F.sha2(F.to_json(F.array_sort(F.collect_list(line))), 256).alias("subtree")))
         made = below if made is None else made.unionByName(below)
     return (made if made is not None else below).withColumnRenamed("subtree", "tree_id")
+
+
+def with_policy(nodes: DataFrame, atime: str = "mtime", ctime: str = "keep", device_id: str = "hardlink", xattrs: str = "keep") -> DataFrame:
+    """Nodes as they are to be stored. atime, ctime: keep, mtime (take that time) or none; device_id: keep, none or hardlink (only where a file has several
+    links); xattrs: keep or none."""
+
+    def timed(c: str, how: str) -> Column:
+        if how not in ("keep", "mtime", "none"):
+            raise ValueError(f"unknown policy {how}")
+        return F.col(c) if how == "keep" else F.col("mtime") if how == "mtime" else F.lit(None).cast(nodes.schema[c].dataType)
+
+    if device_id not in ("keep", "none", "hardlink") or xattrs not in ("keep", "none"):
+        raise ValueError("unknown policy")
+    device = {"keep": F.col("device_id"), "none": F.lit(0), "hardlink": F.when(F.col("links") > 1, F.col("device_id")).otherwise(0)}[device_id].cast("bigint")
+    new = {"atime": timed("atime", atime), "ctime": timed("ctime", ctime), "device_id": device}
+    if xattrs == "none" and "xattrs" in nodes.columns:
+        new["xattrs"] = F.array().cast(nodes.schema["xattrs"].dataType)
+    return nodes.withColumns(new)

@@ -642,3 +642,28 @@ def prune_ownership(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT id, id = repeat('0', 64) AS is_null, CAST(('0x' || substr(id, 7, 2) || substr(id, 5, 2) || substr(id, 3, 2) || substr(id, 1, 2))::UBIGINT AS BIGINT) AS as_u32 FROM snaps", t.SNAPS)
 def id_functions(spark: SparkSession, sf: str) -> DataFrame:
     return t.snaps(spark, sf).select("id", ids.is_null_id(F.col("id")).alias("is_null"), ids.as_u32(F.col("id")).alias("as_u32"))
+
+
+@query("SELECT o_orderkey AS inode, o_orderdate AS atime, NULL::TIMESTAMP AS ctime, CASE WHEN o_orderkey % 3 > 1 THEN o_custkey % 7 ELSE 0 END AS device_id FROM orders")
+def node_modification(spark: SparkSession, sf: str) -> DataFrame:
+    rows = t.read(spark, sf, "orders").select(F.col("o_orderkey").alias("inode"), F.col("o_orderdate").alias("mtime"), F.lit(None).cast("timestamp_ntz").alias("atime"), F.col("o_orderdate").alias("ctime"), (F.col("o_custkey") % 7).alias("device_id"), (F.col("o_orderkey") % 3).alias("links"))
+    return trees.with_policy(rows, ctime="none").select("inode", "atime", "ctime", "device_id")
+
+
+@query("SELECT hostname, CAST(epoch_us(max(time)) - epoch_us(min(time)) AS DOUBLE) / 1000000 AS duration FROM snaps GROUP BY hostname", t.SNAPS)
+def snapshot_durations(spark: SparkSession, sf: str) -> DataFrame:
+    rows = t.snaps(spark, sf).groupBy("hostname").agg(F.min("time").alias("backup_start"), F.max("time").alias("backup_end"))
+    return snapshots.durations(rows).select("hostname", "duration")
+
+
+@query(None)
+def index_rollover(spark: SparkSession, sf: str) -> DataFrame:
+    rows = index.packs(t.blobs(spark, sf)).where("NOT to_delete").select(F.col("index_id").alias("writer"), "pack_id", "blobs")
+    return packing.index_files(rows, "writer", 300).select("writer", "pack_id", "index_no")
+
+
+SQL["index_rollover"] = f"""WITH RECURSIVE {t.BLOBS}, {t.PACKS}, ordered AS (SELECT index_id AS writer, pack_id, blobs, row_number() OVER (PARTITION BY index_id ORDER BY pack_id) AS n FROM packs WHERE NOT to_delete),
+  folded AS (SELECT writer, pack_id, n, 0 AS index_no, blobs AS held FROM ordered WHERE n = 1 UNION ALL
+    SELECT o.writer, o.pack_id, o.n, f.index_no + c, CASE WHEN c = 1 THEN o.blobs ELSE f.held + o.blobs END
+    FROM folded f JOIN ordered o ON o.writer = f.writer AND o.n = f.n + 1, LATERAL (SELECT CASE WHEN f.held >= 300 THEN 1 ELSE 0 END AS c))
+  SELECT writer, pack_id, index_no FROM folded"""
