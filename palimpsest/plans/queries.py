@@ -375,11 +375,12 @@ def chunk_dedup_stats(spark: SparkSession, sf: str) -> DataFrame:
     return chunks.dedup_stats(chunks.fixed(t.chunk_source(spark, sf), 256))
 
 
-@query("SELECT DISTINCT sha256(chunk) AS blob_id FROM chunks WHERE CAST(path AS BIGINT) >= 50 AND chunk NOT IN (SELECT chunk FROM chunks WHERE CAST(path AS BIGINT) < 50)", t.CHUNKS)
+@query("SELECT DISTINCT sha256(chunk) AS blob_id FROM chunks WHERE path IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang <> 'en') AND chunk NOT IN (SELECT chunk FROM chunks WHERE path IN (SELECT CAST(doc_id AS VARCHAR) FROM documents WHERE lang = 'en'))", t.CHUNKS)
 def chunk_new_blobs_anti(spark: SparkSession, sf: str) -> DataFrame:
-    every = chunks.fixed(t.chunk_source(spark, sf), 256)
-    stored = every.where("CAST(path AS BIGINT) < 50").select("blob_id", F.lit(False).alias("to_delete"))
-    return index.unknown(every.where("CAST(path AS BIGINT) >= 50"), stored).select("blob_id")
+    """English documents are stored; which blobs do the others add?"""
+    docs = t.read(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"), "lang")
+    stored = chunks.fixed(docs.where("lang = 'en'"), 256).select("blob_id", F.lit(False).alias("to_delete"))
+    return index.unknown(chunks.fixed(docs.where("lang <> 'en'"), 256), stored).select("blob_id")
 
 
 _OFFSETS = 'offsets AS (SELECT path, pos, sha256(chunk) AS blob_id, "offset" AS start, length(chunk) AS length FROM chunks)'
