@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from palimpsest.llm.common import ship, tidy
+from palimpsest.llm.common import ship, tidied
 from palimpsest.llm.pieces import ChunkTable, Ids, Table, runs
 
 NONE = np.int32(2**31 - 1)
@@ -30,15 +30,15 @@ class Ranks:
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.token = dict(zip(self.rank.values(), self.rank.keys(), strict=True))
-        self.pair = {}
+        self.width = 1 + max(self.token)
+        self.pair: dict[int, int] = {}
         for whole, r in self.rank.items():
             for i in range(1, len(whole)):
                 a, b = self.rank.get(whole[:i]), self.rank.get(whole[i:])
                 if a is not None and b is not None:
-                    self.pair[a, b] = r
+                    self.pair[a * self.width + b] = r
         self.byte = np.array([self.rank[bytes([i])] for i in range(256)], np.int32)
-        self.width = 1 + max(self.token)
-        keys = np.array([a * self.width + b for a, b in self.pair], np.int64)
+        keys = np.array(list(self.pair), np.int64)
         order = np.argsort(keys)
         self.keys, self.merged = keys[order], np.array(list(self.pair.values()), np.int32)[order]
 
@@ -54,10 +54,10 @@ def merge_long(ranks: Ranks, piece: bytes) -> list[int]:
     n = len(piece)
     size = 1 << max(1, (n - 1).bit_length())
     ids, after, before = [int(ranks.byte[b]) for b in piece], list(range(1, n + 1)), list(range(-1, n - 1))
-    none, pair = int(NONE), ranks.pair
+    none, pair, width = int(NONE), ranks.pair, ranks.width
     tree = [none] * (2 * size)
     for i in range(n - 1):
-        tree[size + i] = pair.get((ids[i], ids[i + 1]), none)
+        tree[size + i] = pair.get(ids[i] * width + ids[i + 1], none)
     for k in range(size - 1, 0, -1):
         tree[k] = min(tree[2 * k], tree[2 * k + 1])
 
@@ -81,11 +81,11 @@ def merge_long(ranks: Ranks, piece: bytes) -> list[int]:
         put(j, none)
         if after[i] < n:
             before[after[i]] = i
-            put(i, pair.get((rank, ids[after[i]]), none))
+            put(i, pair.get(rank * width + ids[after[i]], none))
         else:
             put(i, none)
         if before[i] >= 0:
-            put(before[i], pair.get((ids[before[i]], rank), none))
+            put(before[i], pair.get(ids[before[i]] * width + rank, none))
     return [x for x in ids if x >= 0]
 
 
@@ -139,7 +139,7 @@ class Codec:
         import regex
 
         self.ranks, self.split = Ranks(path), regex.compile(pattern).findall
-        self.table = ChunkTable(self._chunks, self.split)
+        self.table = ChunkTable(self._chunks, self.split, limit=200_000)
         self.names = [str(i) for i in range(self.ranks.width)]
 
     def pieces(self, pieces: list[bytes]) -> list[np.ndarray]:
@@ -199,13 +199,13 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec(path, pattern)
         for b in batches:
             ids, i = b.column(0), 0
-            for texts in runs(b.column(1), 4 << 20):
+            for texts in runs(b.column(1), 1 << 20):
                 flat, n = own.encode(texts)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(n))).astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([ids.slice(i, len(texts)), lists], names=["doc_id", "ids"])
                 i += len(texts)
 
-    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, ids array<int>")
+    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(tidied(run), "doc_id long, ids array<int>")
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -219,7 +219,7 @@ def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
             found = [own.decode(x or []) for x in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(found, pa.binary())], names=["doc_id", "bytes"])
 
-    out = encoded.selectExpr("CAST(doc_id AS long) AS doc_id", "ids").mapInArrow(run, "doc_id long, bytes binary")
+    out = encoded.selectExpr("CAST(doc_id AS long) AS doc_id", "ids").mapInArrow(tidied(run), "doc_id long, bytes binary")
     return out.selectExpr("doc_id", "bytes", "CASE WHEN is_valid_utf8(CAST(bytes AS string)) THEN CAST(bytes AS string) END AS text")
 
 
@@ -233,7 +233,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
         own = codec(path, pattern)
         for b in batches:
             counts, digests, decoded = [], [], []
-            for flat, n in (x for texts in runs(b.column(1), 4 << 20) for x in own.table.encode_runs(texts)):
+            for flat, n in (x for texts in runs(b.column(1), 1 << 20) for x in own.table.encode_runs(texts)):
                 ends = np.cumsum(n)
                 for k, e in zip(n.tolist(), ends.tolist(), strict=True):
                     ids = flat[e - k : e].tolist()
@@ -241,6 +241,5 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                     digests.append(hashlib.sha256(",".join(map(own.names.__getitem__, ids)).encode()).hexdigest())
                     decoded.append(hashlib.sha256(own.decode(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts, pa.int64()), pa.array(digests, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
-        tidy()
 
-    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return docs.selectExpr("CAST(doc_id AS long) AS doc_id", "text").mapInArrow(tidied(run), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import functools
 import os
 import tempfile
@@ -55,6 +56,19 @@ def drop_scratch(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+@contextlib.contextmanager
+def settings(spark: SparkSession, values: dict[str, str]):
+    """Settings of the session that hold for a while."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 #: While tables are written: shuffle files of the finished write would otherwise stay until the driver collects its garbage;
 #: batches for Python workers are kept small, as rows here can be long.
 WRITING = {
@@ -68,14 +82,8 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder: its lineage ends there and outlives any executor."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    before = {k: spark.conf.get(k, None) for k in WRITING}
-    for k, v in WRITING.items():
-        spark.conf.set(k, v)
-    try:
+    with settings(spark, WRITING):
         df.write.parquet(path)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch = path
     return out
@@ -86,7 +94,7 @@ def partitions(spark: SparkSession) -> int:
 
 
 def tidy() -> None:
-    """Give memory that a process has freed back to the system. Large arrays are from then on mapped on their own, so they go back at once."""
+    """Give memory that a process has freed back to the system."""
     import ctypes
 
     import pyarrow as pa
@@ -94,7 +102,6 @@ def tidy() -> None:
     pa.default_memory_pool().release_unused()
     libc = ctypes.CDLL(None)
     if hasattr(libc, "malloc_trim"):
-        libc.mallopt(-3, 1 << 20)  # M_MMAP_THRESHOLD
         libc.malloc_trim(0)
 
 
@@ -110,11 +117,17 @@ def tidied(run):
     return wrapper
 
 
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _shipped: set[str] = set()
 
 
 def ship(spark: SparkSession) -> None:
-    """Make this package importable by the Python workers, once for each application."""
+    """Make this package importable by the Python workers, once for each application.
+
+    Batches of Spark's default size hold too much text for a worker's memory; where the session says nothing else they get fewer rows.
+    """
+    if spark.conf.get(BATCH, "10000") == "10000":
+        spark.conf.set(BATCH, "2000")
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return

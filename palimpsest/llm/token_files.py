@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ship
+from palimpsest.llm.common import BATCH, settings, ship, tidied
 from palimpsest.llm.pieces import ChunkTable, Ids, Table, gather, runs
 
 #: Ids from which a shard is closed, how often a pair must occur in it to become a rule, rules a round and rounds, and of how many places one
@@ -230,7 +230,9 @@ def write_ids(docs: DataFrame, out: str, path: str, pattern: str, end_id: int |
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("h"))
     rows = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h").select("doc_id", "text")
-    rows.mapInArrow(run, SCHEMA).write.option("compression", "zstd").parquet(out)
+    # The more texts a batch has, the more chunks in it are looked up together.
+    with settings(spark, {BATCH: "9999"}):
+        rows.mapInArrow(tidied(run), SCHEMA).write.option("compression", "zstd").parquet(out)
 
 
 def read_ids(spark: SparkSession, out: str) -> DataFrame:
@@ -267,7 +269,7 @@ def _read(spark: SparkSession, out: str, column: str, made) -> DataFrame:
                     starts = start + stops[i:j] - counts[i:j]
                     yield pa.RecordBatch.from_arrays([pa.array(doc_ids[i:j], pa.int64()), pa.array(starts), pa.array(counts[i:j]), made(each)], names=["doc_id", "start", "n_tokens", column.split()[0]])
 
-    return rows.mapInArrow(run, f"doc_id long, start long, n_tokens long, {column}")
+    return rows.mapInArrow(tidied(run), f"doc_id long, start long, n_tokens long, {column}")
 
 
 def read_span(spark: SparkSession, out: str, doc_id: int, first: int, n: int) -> list[list[int]]:

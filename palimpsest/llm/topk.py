@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import partitions, ship, tidy, written
+from palimpsest.llm.common import partitions, ship, tidied, written
 
 SCALE = 1024
 #: Vectors in a block, blocks that travel together, queries that travel together.
@@ -63,7 +63,7 @@ def _packed(rows: DataFrame, size: int) -> DataFrame:
         matrix = _matrix(vectors.combine_chunks() if isinstance(vectors, pa.ChunkedArray) else vectors)
         return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([at], pa.int32()), pa.array([ids.to_numpy().tobytes()], pa.binary()), pa.array([matrix.shape[1]], pa.int32()), pa.array([matrix.tobytes()], pa.binary())], names=["part", "at", "ids", "width", "matrix"])
 
-    return rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id").mapInArrow(run, "part int, at int, ids binary, width int, matrix binary")
+    return rows.repartitionByRange("vec_id").sortWithinPartitions("vec_id").mapInArrow(tidied(run), "part int, at int, ids binary, width int, matrix binary")
 
 
 def _products(rows: np.ndarray, query: np.ndarray) -> np.ndarray:
@@ -134,10 +134,9 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
                     [pa.array(np.full(len(line), qp, np.int32)), pa.array(np.full(len(line), qa, np.int32)), pa.array(line.astype(np.int32)), pa.array(query_ids[line]), pa.array(np.concatenate([x for x, _ in found])), pa.array(np.concatenate([s for _, s in found]))],
                     names=["qp", "qa", "line", "query_id", "vec_id", "score"],
                 )
-        tidy()
 
     # Packs of the stated queries against packs of all rows.
     meetings = asked.repartition(partitions(spark)).crossJoin(groups.select("ids", "width", "matrix"))
-    found = meetings.mapInArrow(run, "qp int, qa int, line int, query_id long, vec_id long, score long")
+    found = meetings.mapInArrow(tidied(run), "qp int, qa int, line int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("qp", "qa", "line").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

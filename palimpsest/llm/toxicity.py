@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ship
+from palimpsest.llm.common import ship, tidied, tidy
 from palimpsest.llm.hashing import mixed
 from palimpsest.llm.pieces import gather
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
 #: At most about so many labelled rows are fitted, of texts of at most so many characters. Scoring has no such limit.
-FIT_ROWS, FIT_CHARS = 6000, 30_000
+FIT_ROWS, FIT_CHARS = 4000, 30_000
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -69,7 +69,7 @@ class Model:
 class Scorer:
     """Log odds of texts, with a table of words seen."""
 
-    def __init__(self, model: Model, limit: int = 400_000):
+    def __init__(self, model: Model, limit: int = 200_000):
         self.model, self.limit = model, limit
         self._clear()
 
@@ -102,22 +102,40 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def bags(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For all texts: distinct buckets, their shares of the text's subwords, and how many buckets each text has."""
+def bags(texts: list[str], seen: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Buckets that at least so many texts have; for all texts the places of their buckets among these, the buckets' shares of
+    the text's subwords, and how many buckets each text has."""
     known: dict[str, int] = {}
-    rows = [np.array([known.setdefault(w, len(known)) for w in cut(t)], np.int64) for t in texts]
+    rows = [np.array([known.setdefault(w, len(known)) for w in cut(t)], np.int32) for t in texts]
     words = list(known)
-    parts = [subwords(words[at : at + 20_000]) for at in range(0, len(words), 20_000)]
-    flat = np.concatenate([x.astype(np.int32) for x, _ in parts]) if parts else np.empty(0, np.int32)
-    n = np.concatenate([k for _, k in parts]) if parts else np.empty(0, np.int64)
-    starts = np.cumsum(n) - n
+    del known
+    parts = []
+    for at in range(0, len(words), 20_000):
+        flat, n = subwords(words[at : at + 20_000])
+        parts.append((flat.astype(np.int32), n.astype(np.int32)))
+    del words
+    flat = np.concatenate([x for x, _ in parts]) if parts else np.empty(0, np.int32)
+    n = np.concatenate([k for _, k in parts]) if parts else np.empty(0, np.int32)
+    del parts
+    starts = np.cumsum(n, dtype=np.int64) - n
+
+    def bag(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.unique(gather(flat, starts, n, r)[0], return_counts=True)
+
+    texts_with = np.zeros(BUCKETS, np.int32)
+    for r in rows:
+        texts_with[bag(r)[0]] += 1
+    common = np.flatnonzero(texts_with >= seen)
+    place = np.full(BUCKETS, -1, np.int32)
+    place[common] = np.arange(len(common))
     buckets, shares, sizes = [], [], []
     for r in rows:
-        own, count = np.unique(gather(flat, starts, n, r)[0], return_counts=True)
-        buckets.append(own)
-        shares.append((count / max(1, count.sum())).astype(np.float32))
-        sizes.append(len(own))
-    return np.concatenate(buckets), np.concatenate(shares), np.array(sizes, np.int64)
+        own, count = bag(r)
+        kept = place[own] >= 0
+        buckets.append(place[own[kept]])
+        shares.append((count[kept] / max(1, count.sum())).astype(np.float32))
+        sizes.append(len(buckets[-1]))
+    return common, np.concatenate(buckets), np.concatenate(shares), np.array(sizes, np.int64)
 
 
 def train(texts: list[str], labels: np.ndarray, dim: int = 8, steps: int = 800, batch: int = 64, rate: float = 0.02, decay: float = 0.6, seen: int = 4, smooth: float = 0.02, scale: float = 1000.0, seed: int = 1) -> Model:
@@ -135,13 +153,8 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, steps: int = 800,
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), bias)
     rng = np.random.default_rng(seed)
-    buckets, shares, sizes = bags(texts)
-    common = np.flatnonzero(np.bincount(buckets, minlength=BUCKETS) >= seen)
-    place = np.full(BUCKETS, -1, np.int32)
-    place[common] = np.arange(len(common))
-    kept = place[buckets] >= 0
-    sizes = np.bincount(np.repeat(np.arange(len(sizes)), sizes)[kept], minlength=len(sizes))
-    buckets, shares, starts = place[buckets[kept]], shares[kept], np.cumsum(sizes) - sizes
+    common, buckets, shares, sizes = bags(texts, seen)
+    starts = np.cumsum(sizes) - sizes
     table = rng.normal(0, 0.01, (len(common), dim)).astype(np.float32)
     layer = rng.normal(0, 0.3, (dim, 2)).astype(np.float32)
     offset = np.array([0.0, bias], np.float32)
@@ -190,7 +203,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = F
     # About `rows` rows by the choice above, so small whatever the corpus.
     texts = docs.where(F.length("text") <= chars).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = texts.join(F.broadcast(own), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
-    return train(found.text.tolist(), found.toxic.to_numpy() == 1)
+    model = train(found.text.tolist(), found.toxic.to_numpy() == 1)
+    del found
+    tidy()
+    return model
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -214,7 +230,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out(F.col("doc_id")).alias("held_out"), "text")
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(tidied(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
@@ -232,4 +248,4 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
                 part = b.slice(i, 256)
                 yield part.filter(pa.array(scorer.score(part.column(at).to_pylist()) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidied(run), docs.schema)
