@@ -6,11 +6,11 @@ of documents, of what it keeps; the last one a row for each document of the mixt
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import bpe, jaccard, mixing, repeats, toxicity
-from palimpsest.llm.common import table, written
+from palimpsest.llm.common import count_words, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -22,25 +22,30 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
-    groups = jaccard.near_groups(docs)
-    gone = groups.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    """Of each group of near duplicates the document with the smallest id stays, with all its rows if it has several; rows without an id stay."""
+    gone = jaccard.near_groups(docs).where("component_id < doc_id").select(F.col("doc_id").alias("of"), "text_hash").distinct()
+    same = (F.col("doc_id") == F.col("of")) & (F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("text_hash"))
+    return docs.join(gone, same, "left_anti").select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Passages that an earlier document has go; a text that loses none stays as it is."""
-    found = repeats.without_repeats(docs.select("doc_id", "text")).where("n_removed > 0").select(F.col("doc_id").alias("of"), "kept")
-    text = F.when(F.col("of").isNull(), F.col("text")).otherwise(F.col("kept"))
-    n_chars = F.when(F.col("of").isNull(), F.col("n_chars")).otherwise(F.length("kept").cast("long"))
-    return docs.join(found, docs["doc_id"] == F.col("of"), "left").select("doc_id", text.alias("text"), "lang", "source", n_chars.alias("n_chars"))
+    found = repeats.without_repeats(docs.select("doc_id", F.col("text"), F.col("text").alias("was"), "lang", "source", "n_chars"), carry=("was", "lang", "source", "n_chars"))
+    whole = F.col("n_removed") == 0
+    return found.select("doc_id", F.when(whole, F.col("was")).otherwise(F.col("kept")).alias("text"), "lang", "source", F.when(whole, F.col("n_chars")).otherwise(F.length("kept").cast("long")).alias("n_chars"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mixture takes it."""
-    taken = mixing.sampled(docs).where("copies > 0").select(F.col("doc_id").alias("of"), "copies")
-    rows = docs.join(taken, docs["doc_id"] == F.col("of")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return rows.select(*COLUMNS)
+    """Each document as often as the mixture takes it. Rows with one id, source and size, whose copies can't be told apart, get theirs in the order of a hash."""
+    key = ["doc_id", "source", "size"]
+    nth = lambda by: F.row_number().over(Window.partitionBy(*key).orderBy(by))
+    taken = mixing.sampled(docs).select(*key, "copies").withColumn("nth", nth(F.desc("copies"))).where("copies > 0")
+    taken = taken.select(*(F.col(c).alias(f"_{c}") for c in [*key, "nth"]), "copies")
+    rows = docs.withColumn("size", count_words(F.col("text"))).withColumn("nth", nth(F.xxhash64("text")))
+    same = F.lit(True)
+    for c in [*key, "nth"]:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return rows.join(taken, same).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -104,7 +104,7 @@ def signatures(s: np.ndarray, common: np.ndarray, low: np.ndarray, percent: int
 def _described(docs: DataFrame) -> DataFrame:
     """Rows of two kinds: a document's id, set size and class key; a common feature's count and hash."""
 
-    names = ["common", "doc_id", "n", "key"]
+    names = ["common", "doc_id", "n", "key", "text_hash"]
 
     def often(distinct: dict[int, np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(list(distinct.values()))
@@ -114,7 +114,7 @@ def _described(docs: DataFrame) -> DataFrame:
         count = np.diff(start, append=len(every))
         kept = count >= BATCH_COUNT
         n = int(kept.sum())
-        return pa.RecordBatch.from_arrays([pa.array([True] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(count[kept], pa.int64()), pa.array(every[start[kept]].view(np.int64))], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([True] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(count[kept], pa.int64()), pa.array(every[start[kept]].view(np.int64)), pa.nulls(n, pa.int64())], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct: dict[int, np.ndarray] = {}
@@ -126,14 +126,14 @@ def _described(docs: DataFrame) -> DataFrame:
                     if len(s) and k not in distinct:
                         distinct[k] = s
                         held += len(s)
-                yield pa.RecordBatch.from_arrays([pa.array([False] * (j - i)), b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([False] * (j - i)), b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), b.column(2).slice(i, j - i)], names=names)
                 if held >= COUNTED:
                     yield often(distinct)
                     held = 0
         if held:
             yield often(distinct)
 
-    return docs.mapInArrow(tidied(run), "common boolean, doc_id long, n long, key long")
+    return docs.mapInArrow(tidied(run), "common boolean, doc_id long, n long, key long, text_hash long")
 
 
 def _candidates(docs: DataFrame, common, percent: int, parts: int) -> DataFrame:
@@ -330,7 +330,7 @@ def _hot_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id of each row of docs (doc_id, text), by links of Jaccard similarity percent / 100 or more.
+    """doc_id, n_shingles, component_id, text_hash (xxhash64) of each row of docs (doc_id, text), by links of Jaccard similarity percent / 100 or more.
 
     A set holds the distinct runs of five words, A-Z lower-cased; of fewer words, all of them as one. Rows without words are linked
     with nothing and are their own component. component_id is the smallest doc_id that links reach. Repeated rows each get a row.
@@ -341,7 +341,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     ship(spark)
     parts = 2 * partitions(spark)  # more than usual, as a task holds what it received
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    described = written(_described(rows), "sets")
+    described = written(_described(rows.withColumn("text_hash", F.xxhash64("text"))), "sets")
     # At most MOST_COMMON numbers come here.
     often = described.where("common").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= TOTAL_COUNT).orderBy(F.desc("n"), "key").limit(MOST_COMMON)
     common = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in often.collect()], np.int64).view(U)))
@@ -373,4 +373,4 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = classes.join(smallest, F.col("key") == F.col("of"), "left").select(F.col("key").alias("k"), F.coalesce("smallest", "least").alias("component_id"))
     named = written(named, "named")
     out = own.join(named, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")

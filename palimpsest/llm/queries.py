@@ -29,7 +29,7 @@ def op2_subword_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_partenum_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_groups(table(spark, sf_dir, "documents"))
+    return jaccard.near_groups(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op4_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

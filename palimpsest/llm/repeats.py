@@ -20,19 +20,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exchange
-from palimpsest.llm.common import partitions, ship, written
+from palimpsest.llm.common import partitions, ship, tidied, written
 from palimpsest.llm.hashing import U, rows_of_runs, run_hashes, text_slices, word_hashes, word_spans
 
 BLOCK = 7
 WINDOW = 2 * BLOCK - 1
 #: Bytes of text that a worker turns into packed rows at a time.
-HELD = 8 << 20
+HELD = 4 << 20
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
+def _keyed(docs: DataFrame, *more) -> DataFrame:
     """doc_id, tag, text. The tag tells rows of one doc_id with different texts apart."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag"), text.alias("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).bitwiseAND(F.lit(0x7FFFFFFF)).cast("int").alias("tag"), text.alias("text"), *more)
 
 
 class _Packer:
@@ -107,7 +107,7 @@ def _gathered(packed: DataFrame, parts: int, name: str) -> DataFrame:
             found = [np.unique(place[x:y]).astype(np.uint32).tobytes() for x, y in zip(s.tolist(), e.tolist(), strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(i[s]), pa.array(t[s].astype(np.int32)), pa.array(found, pa.binary())], names=["doc_id", "tag", name])
 
-    return exchange.dealt(packed, parts).mapInArrow(run, f"doc_id long, tag int, {name} binary")
+    return exchange.dealt(packed, parts).mapInArrow(tidied(run), f"doc_id long, tag int, {name} binary")
 
 
 def _hits(docs: DataFrame, block: int, parts: int) -> DataFrame:
@@ -158,7 +158,7 @@ def _hits(docs: DataFrame, block: int, parts: int) -> DataFrame:
         out.add(ids, tags, row[hit], [place[hit]], 0)
         yield from out.flush(_home(parts))
 
-    found = exchange.dealt(docs.mapInArrow(emit, exchange.SCHEMA), parts).mapInArrow(meet, exchange.SCHEMA)
+    found = exchange.dealt(docs.mapInArrow(tidied(emit), exchange.SCHEMA), parts).mapInArrow(tidied(meet), exchange.SCHEMA)
     return _gathered(found, parts, "hits")
 
 
@@ -210,7 +210,7 @@ def _repeated(texts: DataFrame, block: int, window: int, parts: int) -> DataFram
         out.add(ids, tags, row[order], [place[order]], 0)
         yield from out.flush(_home(parts))
 
-    found = exchange.dealt(texts.mapInArrow(emit, exchange.SCHEMA), parts).mapInArrow(meet, exchange.SCHEMA)
+    found = exchange.dealt(texts.mapInArrow(tidied(emit), exchange.SCHEMA), parts).mapInArrow(tidied(meet), exchange.SCHEMA)
     return _gathered(found, parts, "starts")
 
 
@@ -235,20 +235,21 @@ def spans(starts: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
     return at[fresh], at[last] + window
 
 
-def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, n_words, n_removed, cut (array of first word and end), kept (text) of each row of docs (doc_id, text).
+def without_repeats(docs: DataFrame, window: int = WINDOW, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, n_words, n_removed, cut (array of first word and end), kept (text), and columns to carry along, of each row of docs (doc_id, text).
 
     Words are taken unchanged. Each word goes that lies in a run of window words which also starts in a row with a smaller doc_id, as
     the input has it; what is kept is joined by single spaces. Rows of one doc_id do not remove from each other. A row without doc_id is
     kept whole and removes nothing; null and empty texts have no words; repeated rows each get a row; no rows: no rows; other columns are not read.
     """
     starts = repeat_starts(docs, window).select(F.col("doc_id").alias("i"), F.col("tag").alias("t"), "starts")
-    rows = _keyed(docs).join(starts, (F.col("doc_id") == F.col("i")) & (F.col("tag") == F.col("t")), "left").select("doc_id", "text", "starts")
+    more = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
+    rows = _keyed(docs, *more).join(starts, (F.col("doc_id") == F.col("i")) & (F.col("tag") == F.col("t")), "left").select("doc_id", "text", "starts", *(f"_{i}" for i in range(len(carry))))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                ids, texts, found = b.slice(at, 500).columns
+                ids, texts, found, *rest_of_row = b.slice(at, 500).columns
                 total, gone, cuts, kept = [], [], [], []
                 for text, own in zip(texts, found, strict=True):
                     words = text.as_buffer().to_pybytes().split()
@@ -265,8 +266,10 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
                     gone.append(total[-1] - len(words))
                     kept.append(b" ".join(words))
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.binary()).cast(pa.string())],
-                    names=["doc_id", "n_words", "n_removed", "cut", "kept"],
+                    [ids, pa.array(total, pa.int64()), pa.array(gone, pa.int64()), pa.array(cuts, pa.list_(pa.list_(pa.int32()))), pa.array(kept, pa.binary()).cast(pa.string()), *rest_of_row],
+                    names=["doc_id", "n_words", "n_removed", "cut", "kept", *(f"_{i}" for i in range(len(rest_of_row)))],
                 )
 
-    return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, cut array<array<int>>, kept string")
+    kinds = "".join(f", _{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(carry))
+    out = rows.mapInArrow(tidied(run), f"doc_id long, n_words long, n_removed long, cut array<array<int>>, kept string{kinds}")
+    return out.select("doc_id", "n_words", "n_removed", "cut", "kept", *(F.col(f"_{i}").alias(c) for i, c in enumerate(carry)))

@@ -75,3 +75,20 @@ def test_run_is_the_stages(spark, steps):
 
 def test_words_rule():
     assert re.findall("[^\x20\x09-\x0d]+", "a\x0bb\x1cc") == ["a", "b\x1cc"]
+
+
+def test_stages_take_odd_rows(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text, "en", "a", 5), (1, text, "en", "a", 5), (2, text + " x", "en", "a", 5), (2, "other", None, None, None), (None, "no id " * 30, "en", "a", 5), (None, None, None, None, None), (3, "", "en", "b", 0), (4, "long " * 30000, "en", "b", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    after = {}
+    for name, stage in corpus_pipeline.STAGES:
+        after[name] = stage(spark, docs, SF).collect()
+        assert stage(spark, docs.limit(0), SF).count() == 0
+    assert sorted((r.doc_id, r.text) for r in after["near_duplicates"] if r.doc_id) == [(1, text), (1, text), (2, "other"), (3, ""), (4, "long " * 30000)]
+    assert len(after["repeats"]) == len(rows) and [r.text for r in after["repeats"] if r.doc_id == 2 and r.lang] == ["x"]
+    want = Counter()
+    for r in mixing.sampled(docs).collect():
+        want[r.doc_id] += r.copies
+    assert Counter(r.doc_id for r in after["mixture"]) == +want
+    assert len(after["bpe"]) == len(rows)
