@@ -51,6 +51,12 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return path
 
 
+def dropped(*tables: DataFrame) -> None:
+    """Remove tables from written() that nothing unfinished reads any more."""
+    for t in tables:
+        drop_scratch(t.sparkSession, t._scratch)
+
+
 def drop_scratch(spark: SparkSession, path: str) -> None:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import drop_scratch, ship, tidied, written
+from palimpsest.llm.common import drop_scratch, dropped, ship, tidied, written
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -75,6 +75,7 @@ def components(links: DataFrame) -> DataFrame:
         drop_scratch(spark, labels._scratch)
         changed = jumped.where("was <> component").limit(1).count()
         if not changed:
+            dropped(own, both)
             return jumped.select("node", "component")
         path = jumped._scratch
         labels = jumped.select("node", "component")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exchange
-from palimpsest.llm.common import partitions, ship, tidied, written
+from palimpsest.llm.common import dropped, partitions, ship, tidied, written
 from palimpsest.llm.components import components, forest
 from palimpsest.llm.hashing import U, mixed, powers, run_hashes, text_slices, word_hashes, word_spans
 
@@ -364,7 +364,8 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     sets = written(_sets(rows.join(picked, F.col("doc_id") == F.col("least")).select("key", "text")), "features")
     if sets.count() > sets.select("key").distinct().count():  # rows repeated over tasks
-        sets = written(sets.dropDuplicates(["key"]), "features")
+        several, sets = sets, written(sets.dropDuplicates(["key"]), "features")
+        dropped(several)
 
     links = _linked(pairs, sets, percent).union(_hot_links(clusters, sets, percent))
     groups = written(components(links), "groups")
@@ -372,5 +373,6 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     smallest = groups.join(least, "component").select(F.col("node").alias("of"), "smallest")
     named = classes.join(smallest, F.col("key") == F.col("of"), "left").select(F.col("key").alias("k"), F.coalesce("smallest", "least").alias("component_id"))
     named = written(named, "named")
+    dropped(classes, found, pairs, wanted, sets, groups)
     out = own.join(named, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.llm import exchange
-from palimpsest.llm.common import partitions, ship, tidied, written
+from palimpsest.llm.common import dropped, partitions, ship, tidied, written
 from palimpsest.llm.hashing import U, rows_of_runs, run_hashes, text_slices, word_hashes, word_spans
 
 BLOCK = 7
@@ -222,9 +222,12 @@ def repeat_starts(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     ship(docs.sparkSession)
     block, parts = (window + 1) // 2, partitions(docs.sparkSession)
     rows = _keyed(docs).where("doc_id IS NOT NULL")
-    hits = written(_hits(rows, block, parts), "hits").select(F.col("doc_id").alias("i"), F.col("tag").alias("t"), "hits")
+    found = written(_hits(rows, block, parts), "hits")
+    hits = found.select(F.col("doc_id").alias("i"), F.col("tag").alias("t"), "hits")
     texts = rows.join(hits, (F.col("doc_id") == F.col("i")) & (F.col("tag") == F.col("t"))).select("doc_id", "tag", "text", "hits")
-    return written(_repeated(texts, block, window, parts), "starts")
+    starts = written(_repeated(texts, block, window, parts), "starts")
+    dropped(found)
+    return starts
 
 
 def spans(starts: bytes, window: int) -> tuple[np.ndarray, np.ndarray]:
