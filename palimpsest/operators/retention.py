@@ -57,33 +57,63 @@ class Keep:
             raise ValueError("at least one keep option is needed")
 
 
-def retained(snapshots: DataFrame, keep: Keep, by: Sequence[str] = (), now: Column | None = None, order: Sequence[str] = ("id",)) -> DataFrame:
+def _beside(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """rows with what their cell's row adds; null keys are keys."""
+    there = cells.select(*(F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)), *(c for c in cells.columns if c not in keys))
+    same = F.lit(True)
+    for i, k in enumerate(keys):
+        same = same & F.col(k).eqNullSafe(F.col(f"_k{i}"))
+    return rows.join(there, same).drop(*(f"_k{i}" for i in range(len(keys))))
+
+
+def retained(snapshots: DataFrame, keep: Keep, by: Sequence[str] = (), now: Column | None = None, order: Sequence[str] = ("id",), cell: str | None = None) -> DataFrame:
     """snapshots with keep and reasons (in a fixed order). by: columns that make groups; order: breaks ties of equal times.
 
     Columns used where present: time_local (else time) for calendar periods, tags, tree, delete_kind, delete_after. now is needed for the
     latter two only.
+
+    Without cell a group is sorted in one task. With cell, a unit such as "month", tasks sort cells of a group: what a cell needs of its neighbours, their
+    outermost snapshots and how many candidates they have, comes from tables with a row for each cell. The result is the same.
     """
     keep.check()
     columns = snapshots.columns
-    group = Window.partitionBy(*by)
+    keys = [*by, "_cell"] if cell else [*by]
+    group = Window.partitionBy(*keys)
     newest = group.orderBy(F.desc("time"), *map(F.asc, order))
     so_far = newest.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = F.col("time_local" if "time_local" in columns else "time")
-    flags = "delete_kind" in columns
+    flags, tree = "delete_kind" in columns, F.col("tree") if keep.delete_unchanged else F.lit(None).cast("string")
     now = F.current_timestamp() if now is None else now
     never = F.lit(False)
-    rows = snapshots.withColumns({
+    rows = snapshots.withColumn("_cell", F.date_trunc(cell, "time")) if cell else snapshots
+    rows = rows.withColumns({
         "_kept": must_keep(now) if flags else never,
         "_gone": must_delete(now) if flags else never,
-        "_same": F.coalesce(F.lead("tree").over(newest) == F.col("tree"), never) if keep.delete_unchanged else never,
-        "_first": F.lag("time").over(newest).isNull(),
-        "_older": F.lead("time").over(newest).isNotNull(),
+        "_newer": F.lag(local).over(newest),
+        "_older": F.lead(local).over(newest),
+        "_older_tree": F.lead(tree).over(newest),
         "_latest": F.max("time").over(group),
-        **{f"_eq_{r}": (F.lag(F.struct(*p)).over(newest) == F.struct(*p)) if p else never for r, p in periods(local).items() if r in keep.counts},
     })
+    if cell:
+        outer = rows.where("_newer IS NULL").select(*keys, local.alias("_f"), tree.alias("_ft"), F.col("_latest").alias("_most"))
+        outer = _beside(outer, rows.where("_older IS NULL").select(*keys, local.alias("_l")), keys)
+        along = Window.partitionBy(*by).orderBy(F.desc("_cell"))
+        cells = outer.select(*keys, F.lag("_l").over(along).alias("_cn"), F.lead("_f").over(along).alias("_co"), F.lead("_ft").over(along).alias("_ct"), F.max("_most").over(Window.partitionBy(*by)).alias("_cm"))
+        rows = _beside(rows, cells, keys).withColumns({
+            "_newer": F.coalesce("_newer", "_cn"), "_older_tree": F.when(F.col("_older").isNull(), F.col("_ct")).otherwise(F.col("_older_tree")), "_older": F.coalesce("_older", "_co"), "_latest": F.col("_cm"),
+        })
+    same = F.coalesce(F.col("_older_tree") == F.col("tree"), never) if keep.delete_unchanged else never
+    rows = rows.withColumn("_same", same)
     judged = ~F.col("_kept") & ~F.col("_gone") & ~F.col("_same")
-    candidate = {r: judged & (~F.col("_older") | F.col("_first") | ~F.coalesce(F.col(f"_eq_{r}"), never)) for r in keep.counts}
+    mine, other = periods(local), periods(F.col("_newer"))
+    equal = {r: (F.struct(*mine[r]) == F.struct(*other[r])) if mine[r] else never for r in keep.counts}
+    candidate = {r: judged & (F.col("_older").isNull() | F.col("_newer").isNull() | ~equal[r]) for r in keep.counts}
     rows = rows.withColumns({f"_n_{r}": F.sum(c.cast("int")).over(so_far) for r, c in candidate.items()})
+    if cell and candidate:
+        before = Window.partitionBy(*by).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1)
+        counts = rows.groupBy(*keys).agg(*(F.max(f"_n_{r}").alias(f"_c_{r}") for r in candidate))
+        counts = counts.select(*keys, *(F.coalesce(F.sum(f"_c_{r}").over(before), F.lit(0)).alias(f"_b_{r}") for r in candidate))
+        rows = _beside(rows, counts, keys).withColumns({f"_n_{r}": F.col(f"_n_{r}") + F.col(f"_b_{r}") for r in candidate})
     said: list[Column] = []
     if keep.ids:
         said.append(F.when(F.lit(False) | F.rlike("id", F.lit("^(?:" + "|".join(keep.ids) + ")")), F.lit("id")))

@@ -79,6 +79,13 @@ for _name, _counts in (("monthly", {"monthly": 6}), ("quarter_yearly", {"quarter
     _forget(f"forget_{_name}", t.history, t.HISTORY, "history", _counts)
 
 
+@query(retention_sql("snaps", {"last": 2, "daily": 7, "weekly": 4}, judged="NULL::VARCHAR"), t.SNAPS)
+def forget_by_cells(spark: SparkSession, sf: str) -> DataFrame:
+    """The same windows with no task sorting a whole group."""
+    rows = t.snaps(spark, sf).drop("delete_kind", "delete_after")
+    return shown(retention.retained(rows, retention.Keep(counts={"last": 2, "daily": 7, "weekly": 4}), by=["hostname"], cell="week"))
+
+
 @query(retention_sql("snaps", {"daily": 1}, {"last": "INTERVAL 3 DAY", "daily": "INTERVAL 7 DAY"}, judged="NULL::VARCHAR"), t.SNAPS)
 def forget_within(spark: SparkSession, sf: str) -> DataFrame:
     keep = retention.Keep(counts={"daily": 1}, within={"last": "INTERVAL 3 DAYS", "daily": "INTERVAL 7 DAYS"})

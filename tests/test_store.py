@@ -46,6 +46,16 @@ def test_retention_equals_the_counting_walk(spark, counts):
     assert sorted((r.id, r.keep, r.reasons) for r in got.collect()) == plain_retention(rows, counts, {"daily": timedelta(days=30)})
 
 
+def test_retention_by_cells_is_the_same(spark):
+    rnd, start = random.Random(7), datetime(2014, 1, 1)
+    rows = [snap(i, (start + timedelta(minutes=rnd.randrange(900_000))).isoformat(), f"t{rnd.randrange(3)}", host=rnd.choice(["a", "b", "c"]), kind=rnd.choice(["NotSet"] * 6 + ["Never", "After"]), after="2015-01-01T00:00:00") for i in range(300)]
+    df = spark.createDataFrame(rows, SNAPS).withColumn("hostname", F.when(F.col("hostname") != "c", F.col("hostname")))
+    keep = retention.Keep(counts={"last": 3, "daily": 9, "weekly": 5, "monthly": -1, "yearly": 1}, within={"daily": "INTERVAL 20 DAYS"}, delete_unchanged=True)
+    now = F.lit(datetime(2015, 1, 1)).cast("timestamp_ntz")
+    shown = lambda **k: sorted((r.id, r.keep, r.reasons) for r in retention.retained(df, keep, by=["hostname"], now=now, **k).collect())
+    assert shown() == shown(cell="month") == shown(cell="day")
+
+
 def test_retention_flags_tags_ids_and_unchanged(spark):
     now = F.lit(datetime(2020, 1, 1)).cast("timestamp_ntz")
     rows = [
