@@ -1,7 +1,7 @@
 """Token ids in files, compressed by Re-Pair, for random access.
 
 A shard holds the ids of consecutive documents, about SHARD of them. Round by round its frequent pairs of adjacent symbols
-are replaced by nonterminals, until few are left. Stored are the rules (left and right symbol), the length that
+are replaced by nonterminals, until no pair is frequent. Stored are the rules (left and right symbol), the length that
 each expands to, the remaining symbols, and where each document's symbols end. No symbol spans two documents, so one
 document is decoded from its own symbols and the rules alone, and the lengths say where an id lies before any
 expansion.
@@ -25,69 +25,101 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import BATCH, settings, ship, tidied
 from palimpsest.llm.pieces import ChunkTable, Ids, Table, gather, runs
 
-#: Ids from which a shard is closed, how often a pair must occur in it to become a rule, rules a round and rounds, and of how many places one
-#: is counted.
-SHARD, LEAST, RULES_A_ROUND, ROUNDS, COUNTED = 1 << 20, 16, 4096, 4, 4
+#: Ids from which a shard is closed, and how often a pair must occur in it to become a rule.
+SHARD, LEAST = 1 << 20, 16
 
 #: at: ids of this part's shards before this one. base: number of terminals; symbol base + k stands for rule k.
 SCHEMA = "part int, at long, n_tokens long, base int, doc_ids array<long>, doc_symbols array<int>, rules binary, rule_lengths binary, wide boolean, symbols binary"
 
 
-def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (k x 2), their expanded lengths, symbols, and the end of each document's symbols.
 
-    Each round counts pairs at every fourth place, takes those that seem to occur at least so often, the most frequent first, up to a number
-    of rules, and replaces their occurrences from left to right. It ends when a round shortens the text by under a hundredth.
+    Each round counts all pairs and replaces those that occur at least so often without overlaps; where two of them overlap the more frequent
+    goes first, and a pair that is left with too few places waits. It ends when a count of all places finds no such pair.
+
+    A pair of old symbols never becomes more frequent, so a round looks again only at places of frequent pairs and beside new symbols.
     """
-    seq = ids.astype(np.int64)
-    last = np.zeros(len(seq), bool)  # the last symbol of its document
-    last[ends[np.diff(ends, prepend=0) > 0] - 1] = True
-    empty = np.diff(ends, prepend=0) == 0
-    rules, lengths = np.empty((0, 2), np.int64), np.ones(base, np.int64)
-    for _ in range(rounds):
-        keys = (seq[:-1] << 32) | seq[1:]
-        keys[last[:-1]] = -1
-        ordered = np.sort(keys[::COUNTED])
-        ordered = ordered[np.searchsorted(ordered, 0) :]
-        if not len(ordered):
-            break
-        start = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
-        count = np.diff(start, append=len(ordered))
-        often = np.flatnonzero(count * COUNTED >= least)
-        if len(often) > RULES_A_ROUND:
-            often = often[np.argpartition(-count[often], RULES_A_ROUND)[:RULES_A_ROUND]]
+    n = len(ids)
+    full = np.diff(ends, prepend=0) > 0
+    last = np.zeros(n, bool)  # the last symbol of its document
+    last[ends[full] - 1] = True
+    # The symbols are a list linked both ways; place n is none.
+    seq = np.append(ids.astype(np.int32), np.int32(-1))
+    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after[:n][last] = n
+    before[1:][last] = n
+    before[0] = after[n] = before[n] = n
+    held = np.ones(n + 1, bool)
+    held[n] = False
+    rank_at, taken = np.full(n + 1, -1, np.int32), np.zeros(n + 1, bool)
+    found, symbols = [np.empty((0, 2), np.int64)], base
+    live, every = np.flatnonzero(~last), True
+    while True:
+        left, right = seq[live], seq[after[live]]
+        keys = (left.astype(np.int64) << 32) | right
+        # Of places of one pair in a row, all of one symbol, every other one, from the first, can be taken.
+        odd = np.zeros(len(live), bool)
+        twins = np.flatnonzero(left == right)
+        if len(twins):
+            lead = np.concatenate(([True], (after[live[twins[:-1]]] != live[twins[1:]]) | (left[twins[1:]] != left[twins[:-1]])))
+            nth = np.arange(len(twins)) - np.maximum.accumulate(np.where(lead, np.arange(len(twins)), 0))
+            odd[twins[nth % 2 == 1]] = True
+        order = np.argsort(keys)
+        keys = keys[order]
+        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+        size = np.diff(start, append=len(keys))
+        count = np.add.reduceat((~odd[order]).astype(np.int32), start) if len(start) else size
+        often = np.flatnonzero(count >= least)
         if not len(often):
-            break
-        # The pairs by a hash; of pairs with one hash the more frequent stays, and the others wait for the next round.
+            if every:
+                break
+            live, every = np.flatnonzero(held & (after < n)), True
+            continue
         often = often[np.argsort(count[often], kind="stable")]
-        pairs = ordered[start[often]]
-        mixed = lambda k: ((k * 0x9E3779B97F4A7C1) >> 40) & 0xFFFF
-        slot = np.zeros(1 << 16, np.int64)
-        slot[mixed(pairs)] = pairs
-        spots = np.flatnonzero(slot[mixed(keys)] == keys)
-        number = np.zeros(1 << 16, np.int32)
-        number[mixed(pairs)] = np.arange(len(pairs))
-        rule = number[mixed(keys[spots])]
-        # Of places in a row every other one, from the first, can be taken.
-        lead = np.concatenate(([True], spots[1:] != spots[:-1] + 1))
-        nth = np.arange(len(spots)) - np.maximum.accumulate(np.where(lead, np.arange(len(spots)), 0))
-        spots, rule = spots[nth % 2 == 0], rule[nth % 2 == 0]
-        named = np.zeros(len(pairs), bool)
-        named[rule] = True
-        used = np.flatnonzero(named)
-        rule = (np.cumsum(named) - 1)[rule]
-        left, right = pairs[used] >> 32, pairs[used] & 0xFFFFFFFF
-        seq[spots] = len(lengths) + rule
-        last[spots] = last[spots + 1]
-        keep = np.ones(len(seq), bool)
-        keep[spots + 1] = False
-        before, seq, last = len(seq), seq[keep], last[keep]
-        rules, lengths = np.concatenate([rules, np.stack([left, right], axis=1)]), np.concatenate([lengths, lengths[left] + lengths[right]])
-        if len(seq) > 0.99 * before:
-            break
+        pairs = keys[start[often]]
+        rank_of = np.full(len(start), -1, np.int32)
+        rank_of[often] = np.arange(len(often))
+        rank = np.empty(len(live), np.int32)
+        rank[order] = np.repeat(rank_of, size)
+        wanted = (rank >= 0) & ~odd
+        spots, own = live[wanted], rank[wanted]
+        live = live[rank >= 0]
+        del left, right, keys, order, odd, rank, wanted
+        won = []
+        while len(spots):
+            rank_at[spots] = own
+            first = (own > rank_at[before[spots]]) & (own >= rank_at[after[spots]])
+            rank_at[spots] = -1
+            won.append((spots[first], own[first]))
+            taken[spots[first]] = True
+            spots, own = spots[~first], own[~first]
+            free = ~(taken[before[spots]] | taken[after[spots]])
+            spots, own = spots[free], own[free]
+        spots, own = (np.concatenate(x) for x in zip(*won, strict=True))
+        taken[spots] = False
+        # The most frequent pair keeps all its places, so that each round makes a rule.
+        used = np.bincount(own, minlength=len(pairs)) >= least
+        spots, own = spots[used[own]], own[used[own]]
+        seq[spots] = symbols + (np.cumsum(used) - 1)[own]
+        symbols += int(used.sum())
+        found.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], axis=1))
+        gone = after[spots]
+        held[gone] = False
+        after[spots] = after[gone]
+        before[after[spots]] = spots
+        before[n] = n
+        # Places to look at again.
+        again = np.zeros(n + 1, bool)
+        again[live] = again[spots] = again[before[spots]] = True
+        live, every = np.flatnonzero(again & held & (after < n)), False
+    rules, sizes = np.concatenate(found), [1] * base
+    for a, b in rules.tolist():
+        sizes.append(sizes[a] + sizes[b])
+    lengths = np.array(sizes[base:], np.int64)
     out = np.zeros(len(ends), np.int64)
-    out[~empty] = np.flatnonzero(last) + 1
-    return rules, lengths[base:], seq, np.maximum.accumulate(out) if len(out) else out
+    out[full] = np.flatnonzero(after[held] == n) + 1
+    return rules, lengths, seq[held].astype(np.int64), np.maximum.accumulate(out) if len(out) else out
 
 
 class Grammar:

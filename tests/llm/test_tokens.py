@@ -89,3 +89,28 @@ def test_grammar_round_trip():
         assert grammar.expand(seq)[0].tolist() == ids.tolist()
         assert np.concatenate(([0], np.cumsum(grammar.lengths[seq])))[stops].tolist() == ends.tolist()
         assert n < 5000 or len(seq) < n
+
+
+def most_frequent(seq, stops):
+    """How often the most frequent pair of adjacent symbols of one document occurs, overlaps not counted."""
+    count = {}
+    for own in np.split(seq, stops[:-1]):
+        at, last = 0, {}
+        for at, pair in enumerate(zip(own[:-1].tolist(), own[1:].tolist(), strict=True)):
+            if last.get(pair, -2) < at - 1:
+                count[pair], last[pair] = count.get(pair, 0) + 1, at
+    return max(count.values(), default=0)
+
+
+def test_no_frequent_pair_is_left():
+    rnd = np.random.default_rng(2)
+    passage = rnd.integers(0, 400, 300)
+    copies = np.concatenate([np.concatenate([rnd.integers(0, 400, 5), passage]) for _ in range(2000)])
+    for ids, least in ((rnd.integers(0, 30, 30000), 16), (copies, 16), (np.full(100000, 7), 16), (np.arange(50000) // 3 % 5, 4), (rnd.zipf(1.3, 50000) % 400, 16)):
+        ends = np.unique(np.append(rnd.integers(1, len(ids), 40), len(ids)))
+        rules, lengths, seq, stops = token_files.compress(ids, ends, 400, least=least)
+        grammar = token_files.Grammar(400, rules, lengths)
+        assert grammar.expand(seq)[0].tolist() == ids.tolist()
+        assert np.concatenate(([0], np.cumsum(grammar.lengths[seq])))[stops].tolist() == ends.tolist()
+        assert most_frequent(seq, stops) < least
+        assert ids is not copies or lengths.max() >= 300
