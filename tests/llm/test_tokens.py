@@ -114,3 +114,9 @@ def test_no_frequent_pair_is_left():
         assert np.concatenate(([0], np.cumsum(grammar.lengths[seq])))[stops].tolist() == ends.tolist()
         assert most_frequent(seq, stops) < least
         assert ids is not copies or lengths.max() >= 300
+
+
+def test_a_rare_pair_of_id_0_among_frequent_pairs():
+    ids = np.array([*[1, 2] * 500, 0, 0, *[3, 4] * 500])
+    rules, lengths, seq, _ = token_files.compress(ids, np.array([len(ids)]), 10)
+    assert token_files.Grammar(10, rules, lengths).expand(seq)[0].tolist() == ids.tolist()
