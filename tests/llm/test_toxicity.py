@@ -56,3 +56,11 @@ def test_driver_table(spark):
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()
     own = [(got[r.doc_id].predicted, r.toxic) for r in labels if got[r.doc_id].held_out]
     assert len(got) == 1000 and sum(a == b for a, b in own) > 0.9 * len(own)
+
+
+def test_thousands_of_labels_are_all_fitted(spark, monkeypatch):
+    fitted = []
+    monkeypatch.setattr(toxicity, "train", lambda texts, labels: fitted.extend(texts))
+    docs = spark.range(7000).selectExpr("id AS doc_id", "concat('text ', id) AS text")
+    toxicity.fit(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 AS int) AS toxic"))
+    assert sorted(fitted) == sorted(f"text {i}" for i in range(7000) if zlib.crc32(str(i).encode()) % 5)
