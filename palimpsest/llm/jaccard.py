@@ -15,8 +15,8 @@ Which features count as common changes the number of candidates only, never a re
 Candidates are checked: first by histograms of their features, which bound the overlap from above, then exactly.
 
 Signatures shared by many sets, as in large groups of near copies, are not expanded into pairs. Sets that share such signatures
-form clusters, which are split by size and hash into blocks of bounded size; a task compares two blocks and keeps only
-links of a spanning forest. Pairs from other signatures that lie within a cluster need no check of their own.
+form clusters, which are split by size and hash into blocks of bounded size; a task compares two blocks, counts the links of each
+set, and keeps only those of a spanning forest. Pairs from other signatures that lie within a cluster need no check of their own.
 """
 
 from __future__ import annotations
@@ -264,8 +264,8 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return _filtered(beside(likely, "features"), _exact, percent)
 
 
-def compare(keys: np.ndarray, features: list[np.ndarray], side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links between sets of side 0 and side 1, or among all if there is one side only."""
+def compare(keys: np.ndarray, features: list[np.ndarray], weights: np.ndarray, side: np.ndarray, alone: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A spanning forest of the links between sets of side 0 and side 1, or among all if alone; and what each set is linked with, by weight."""
     sizes = np.array([len(f) for f in features], np.int64)
     every, at, count = np.unique(np.concatenate(features), return_inverse=True, return_counts=True)
     row = np.repeat(np.arange(len(sizes)), sizes)
@@ -273,7 +273,7 @@ def compare(keys: np.ndarray, features: list[np.ndarray], side: np.ndarray, perc
     column = (np.cumsum(shared) - 1)[at]
     row, column = row[shared[at]], column[shared[at]]
     left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    if not len(right) or not len(left):
+    if alone:
         left = right = np.arange(len(sizes))
     both = np.zeros((len(sizes), len(sizes)), np.float32)[: len(left), : len(right)].copy()
     order = np.argsort(column, kind="stable")
@@ -285,8 +285,12 @@ def compare(keys: np.ndarray, features: list[np.ndarray], side: np.ndarray, perc
         both += held[left] @ held[right].T
     both = both.astype(np.int64)
     x, y = np.nonzero(100 * both >= percent * (sizes[left][:, None] + sizes[right][None, :] - both))
-    a, b = keys[left[x]], keys[right[y]]
-    return forest(a[a != b], b[a != b])
+    x, y = left[x], right[y]
+    x, y = x[x != y], y[x != y]
+    count = np.bincount(x, weights[y], len(keys))
+    if not alone:
+        count += np.bincount(y, weights[x], len(keys))
+    return *forest(keys[x], keys[y]), count.astype(np.int64)
 
 
 def _clusters(links: DataFrame) -> DataFrame:
@@ -294,13 +298,13 @@ def _clusters(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("key"), F.col("component").alias("cluster"))
 
 
-def _hot_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links within clusters."""
+def _hot_links(clusters: DataFrame, sets: DataFrame, weights: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n) within clusters: links of a forest, n being 0, and with a = b what a set is linked with, by weight, in parts to be added up."""
     import pandas as pd
 
     # Partners are less than a band of this width apart, even where the logarithm is rounded.
     band = F.floor(F.log("n") / F.lit(math.log(1.05 * 100 / percent))).cast("int")
-    members = clusters.join(sets.select("key", "n"), "key").withColumn("band", band)
+    members = clusters.join(sets.select("key", "n"), "key").withColumn("band", band).join(weights, F.col("key") == F.col("of")).drop("of")
     members = written(members, "members")
     blocks = members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("own"))
     order = Window.partitionBy("cluster").orderBy("band")
@@ -320,20 +324,23 @@ def _hot_links(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         upto("above", lambda i: meeting(b, True, k, i, F.lit(0))),
         upto("below", lambda i: meeting(b - 1, True, i, k, F.lit(1))),
     )
-    rows = placed.select("cluster", "key", F.explode(meetings).alias("m")).select("cluster", "m.lower", "m.across", "m.x", "m.y", "m.side", "key").join(sets.select("key", "features"), "key")
+    rows = placed.select("cluster", "key", "weight", F.explode(meetings).alias("m")).select("cluster", "m.lower", "m.across", "m.x", "m.y", "m.side", "key", "weight").join(sets.select("key", "features"), "key")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        a, b = compare(group["key"].to_numpy(), [np.frombuffer(f, U) for f in group["features"]], group["side"].to_numpy(), percent)
-        return pd.DataFrame({"a": a, "b": b})
+        keys, alone = group["key"].to_numpy(), not group["across"].iloc[0] and group["x"].iloc[0] == group["y"].iloc[0]
+        a, b, n = compare(keys, [np.frombuffer(f, U) for f in group["features"]], group["weight"].to_numpy(), group["side"].to_numpy(), bool(alone), percent)
+        own = keys[n > 0]
+        return pd.DataFrame({"a": np.concatenate([a, own]), "b": np.concatenate([b, own]), "n": np.concatenate([np.zeros(len(a), np.int64), n[n > 0]])})
 
-    return rows.groupBy("cluster", "lower", "across", "x", "y").applyInPandas(run, "a long, b long")
+    return rows.groupBy("cluster", "lower", "across", "x", "y").applyInPandas(run, "a long, b long, n long")
 
 
 def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, text_hash (xxhash64) of each row of docs (doc_id, text), by links of Jaccard similarity percent / 100 or more.
+    """doc_id, n_shingles, component_id, n_links, text_hash (xxhash64) of each row of docs (doc_id, text), by links of Jaccard similarity percent / 100 or more.
 
     A set holds the distinct runs of five words, A-Z lower-cased; of fewer words, all of them as one. Rows without words are linked
-    with nothing and are their own component. component_id is the smallest doc_id that links reach. Repeated rows each get a row.
+    with nothing and are their own component. component_id is the smallest doc_id that links reach, n_links the number of other rows that
+    a row is itself linked with. Repeated rows each get a row.
     A row without doc_id is linked with its exact copies only and takes their component, null if none has an id. Of rows
     with one doc_id and different texts each stands for itself. No rows: no rows; other columns are not read.
     """
@@ -346,7 +353,7 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     often = described.where("common").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= TOTAL_COUNT).orderBy(F.desc("n"), "key").limit(MOST_COMMON)
     common = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in often.collect()], np.int64).view(U)))
     own = described.where(~F.col("common"))
-    classes = written(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n")), "classes")
+    classes = written(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count("*").alias("rows")), "classes")
     found = written(_candidates(rows.where("doc_id IS NOT NULL").select("text"), common, percent, parts), "candidates")
 
     size = classes.select(F.col("key").alias("of"), F.col("n").alias("size"))
@@ -367,12 +374,17 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         several, sets = sets, written(sets.dropDuplicates(["key"]), "features")
         dropped(several)
 
-    links = _linked(pairs, sets, percent).union(_hot_links(clusters, sets, percent))
-    groups = written(components(links), "groups")
+    weights = classes.select(F.col("key").alias("of"), F.col("rows").alias("weight"))
+    linked, hot = written(_linked(pairs, sets, percent), "linked"), written(_hot_links(clusters, sets, weights, percent), "hot")
+    groups = written(components(linked.union(hot.select("a", "b"))), "groups")
+    # A pair is either checked by itself or within its cluster.
+    beside = [linked.join(weights, F.col(y) == F.col("of")).select(F.col(x).alias("linked"), "weight") for x, y in (("a", "b"), ("b", "a"))]
+    near = hot.where("a = b").select("a", "n").union(beside[0]).union(beside[1]).toDF("linked", "n").groupBy("linked").agg(F.sum("n").alias("near"))
     least = groups.join(classes.select(F.col("key").alias("of"), "least"), F.col("node") == F.col("of")).groupBy("component").agg(F.min("least").alias("smallest"))
     smallest = groups.join(least, "component").select(F.col("node").alias("of"), "smallest")
-    named = classes.join(smallest, F.col("key") == F.col("of"), "left").select(F.col("key").alias("k"), F.coalesce("smallest", "least").alias("component_id"))
+    named = classes.join(smallest, F.col("key") == F.col("of"), "left").join(near, F.col("key") == F.col("linked"), "left")
+    named = named.select(F.col("key").alias("k"), F.coalesce("smallest", "least").alias("component_id"), (F.coalesce("near", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     named = written(named, "named")
-    dropped(classes, found, pairs, wanted, sets, groups)
+    dropped(classes, found, pairs, wanted, sets, linked, hot, groups)
     out = own.join(named, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "text_hash")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_hash")

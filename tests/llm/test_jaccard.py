@@ -7,7 +7,7 @@ import pytest
 
 from palimpsest.llm import jaccard
 from palimpsest.llm.components import components
-from tests_llm_brute import groups
+from tests_llm_brute import groups, shingles
 
 SCHEMA = "doc_id long, text string, key string, n string, component_id string"
 
@@ -95,3 +95,16 @@ def test_components(spark):
     df = spark.createDataFrame(links, "a long, b long").repartition(7)
     assert {r.node: r.component for r in components(df).collect()} == want
     assert components(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("paired, block", [(8, 256), (3, 8)])
+def test_every_link_is_counted(spark, monkeypatch, paired, block):
+    monkeypatch.setattr(jaccard, "PAIRED", paired)
+    monkeypatch.setattr(jaccard, "BLOCK", block)
+    rows = corpus(8)
+    sets, want = {i: shingles(t) for i, t in rows}, {i: 0 for i, _ in rows}
+    for i, s in sets.items():
+        want[i] = sum(bool(s) and i != j and 100 * len(s & t) >= 80 * len(s | t) for j, t in sets.items())
+    df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
+    assert {r.doc_id: r.n_links for r in jaccard.near_groups(df).collect()} == want
+    assert sum(want.values()) > 2 * len(rows)
