@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,8 +114,6 @@ def unescape_name(stored: str) -> bytes:
 
 def escaped(raw: Column) -> Column:
     """escape_name of a binary column, by Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda b: None if b is None else escape_name(bytes(b)))
@@ -123,8 +122,6 @@ def escaped(raw: Column) -> Column:
 
 
 def unescaped(stored: Column) -> Column:
-    import pandas as pd
-
     @F.pandas_udf("binary")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda t: None if t is None else unescape_name(t))

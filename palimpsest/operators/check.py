@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from palimpsest.functions import packfile
 from palimpsest.functions.ids import is_null_id
 from palimpsest.model import Config, guard
 from palimpsest.operators.index import ENTRY, deduplicated, packs
+from palimpsest.operators.trees import unresolved
+from palimpsest.session import ship
 
 
 def finding(level: str, kind: str | Column, **values: Column) -> list[Column]:
@@ -94,12 +98,54 @@ def cached(cache: DataFrame, stored: DataFrame) -> DataFrame:
     return both.where("a <> b").select(*finding("error", "CacheMismatch", pack_id=F.col("id"), expected=F.col("b"), actual=F.col("a")))
 
 
-def pack_bytes(files: DataFrame, entries: DataFrame) -> DataFrame:
-    """PackHashMismatch and PackSizeMismatch of pack files read whole (id, content)."""
-    rows = files.join(entries.select(F.col("pack_id").alias("id"), "pack_size").distinct(), "id")
-    hashed = rows.where(F.sha2("content", 256) != F.col("id")).select(*finding("error", "PackHashMismatch", pack_id=F.col("id"), actual=F.sha2("content", 256)))
-    sized = rows.where(F.length("content") != F.col("pack_size")).select(*finding("error", "PackSizeMismatch", pack_id=F.col("id"), expected=F.col("pack_size"), actual=F.length("content")))
-    return hashed.unionByName(sized)
+def verified_packs(files: DataFrame, blobs: DataFrame, opened: Callable[[bytes], bytes] = packfile.unsealed) -> DataFrame:
+    """What is wrong in pack files read whole (id, content), against the index: PackSizeMismatch, PackHashMismatch, PackHeaderLengthMismatch, PackHeaderMismatchIndex, each of
+    which ends a pack's check; then of its blobs PackBlobLengthMismatch and PackBlobHashMismatch; ErrorReadingPack where a piece can't be opened.
+
+    opened: from a sealed piece to its content. Files that the index doesn't know are left out, see listing(); of several entries of a pack the deduplicated() one counts.
+    A pack's blobs, limited in number, come together in one row.
+    """
+    ship(files.sparkSession)
+    own = deduplicated(packs(blobs)).select(*ENTRY)
+    held = blobs.where("blob_id IS NOT NULL").join(own, list(ENTRY), "left_semi").groupBy("pack_id").agg(F.collect_list(F.struct("offset", "length", "uncompressed_length", "blob_type", "blob_id")).alias("blobs"))
+    known = own.select("pack_id").join(held, "pack_id", "left").select(F.col("pack_id").alias("id"), "blobs")
+    rows = files.select("id", F.col("content").cast("binary").alias("content")).join(known, "id")
+    names = ["kind", "pack_id", "blob_id", "expected", "actual"]
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            found = []
+            for i, content, held in zip(pdf["id"], pdf["content"], pdf["blobs"], strict=True):
+                listed = sorted((int(b["offset"]), int(b["length"]), None if pd.isna(b["uncompressed_length"]) else int(b["uncompressed_length"]), b["blob_type"], b["blob_id"]) for b in (() if held is None else held))
+                found += [(kind, i, *rest) for kind, *rest in packfile.findings(i, bytes(content), listed, opened)]
+            yield pd.DataFrame(found, columns=names)
+
+    out = rows.mapInPandas(run, ", ".join(f"{n} string" for n in names))
+    return out.select(F.lit("error").alias("level"), "kind", "pack_id", "blob_id", F.lit(None).cast("string").alias("path"), "expected", "actual")
+
+
+def headers(files: DataFrame, opened: Callable[[bytes], bytes] = packfile.unsealed) -> DataFrame:
+    """pack_id, blob_pos, blob_id, blob_type, offset, length, uncompressed_length as the headers of pack files (id, content) say; files whose header can't be read have no rows."""
+    ship(files.sparkSession)
+    schema = "pack_id string, blob_pos int, blob_id string, blob_type string, offset long, length long, uncompressed_length long"
+
+    def run(batches: Iterator) -> Iterator:
+        import pandas as pd
+
+        for pdf in batches:
+            found = []
+            for i, content in zip(pdf["id"], pdf["content"], strict=True):
+                try:
+                    listed = packfile.header(bytes(content), opened)
+                except ValueError:
+                    continue
+                found += [(i, k, b, t, o, n, plain) for k, (o, n, plain, t, b) in enumerate(listed)]
+            out = pd.DataFrame(found, columns=[x.split()[0] for x in schema.split(", ")])
+            yield out.astype({"uncompressed_length": "Int64"})
+
+    return files.select("id", F.col("content").cast("binary").alias("content")).mapInPandas(run, schema)
 
 
 def metadata(blobs: DataFrame, files: DataFrame) -> DataFrame:
@@ -129,6 +175,28 @@ def index_repair(entries: DataFrame, files: DataFrame, config: Config = Config()
     return own.join(there, F.col("pack_id") == F.col("file"), "full_outer").select(F.coalesce("pack_id", "file").alias("pack_id"), action.alias("action"))
 
 
+def index_rebuilt(blobs: DataFrame, files: DataFrame, read: Callable[[DataFrame], DataFrame], config: Config = Config(), read_all: bool = False, opened: Callable[[bytes], bytes] = packfile.unsealed) -> DataFrame:  # noqa: B008
+    """INDEX_BLOBS after a repair: entries of packs that have a file of their size stay, once each; packs of another size, or not in the index, are entered anew from
+    their headers, live and without a time, in an index called rebuilt; others go, and so do files without a header that can be read.
+
+    files: FILES of packs. read: from ids (id) to whole files (id, content); only files that need it are read, or all if read_all."""
+    judged = index_repair(packs(blobs), files, config)
+    again = ("reread", "add", "keep") if read_all else ("reread", "add")
+    stays = judged.where("action = 'keep'").select("pack_id") if not read_all else judged.limit(0).select("pack_id")
+    first = deduplicated(blobs.select(*ENTRY).distinct()).join(stays, "pack_id", "left_semi")
+    kept = blobs.join(first, list(ENTRY), "left_semi")
+    fresh = headers(read(judged.where(F.col("action").isin(*again)).select(F.col("pack_id").alias("id"))), opened)
+    fresh = fresh.withColumns({"index_id": F.lit("rebuilt"), "to_delete": F.lit(False), "pack_time": F.lit(None).cast(blobs.schema["pack_time"].dataType)})
+    return kept.unionByName(fresh.select(*blobs.columns))
+
+
+def unread_trees(roots: DataFrame, nodes: DataFrame, blobs: DataFrame) -> DataFrame:
+    """ErrorCheckingTrees: trees that roots (tree_id) lead to, that have no nodes and that no live pack has, so that they aren't merely empty; each once, with the first path
+    found."""
+    live = blobs.where("NOT to_delete AND blob_type = 'tree'").select(F.col("blob_id").alias("tree_id"))
+    return unresolved(roots, nodes).join(live, "tree_id", "left_anti").select(*finding("error", "ErrorCheckingTrees", path=F.col("path"), blob_id=F.col("tree_id")))
+
+
 def hot_cold_repair(cold: DataFrame, hot: DataFrame) -> DataFrame:
     """id, action: copy to the hot part what it lacks or has in another size, remove from it what isn't in the cold part."""
     return _differences(cold, hot).select("id", F.when(F.col("no_left"), F.lit("remove")).otherwise(F.lit("copy")).alias("action"))

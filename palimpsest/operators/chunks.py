@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.ids import blob_id
 from palimpsest.model import KIB, MIB
+from palimpsest.session import ship
 
 #: The irreducible polynomial of the rolling hash, unless a store has its own, and the hash's window in bytes.
 POLYNOMIAL, WINDOW = 0x3DA3358B4DC173, 64
@@ -46,13 +47,17 @@ def _tables(poly: int) -> np.ndarray:
     return out
 
 
+def check_sizes(size: int, least: int, most: int) -> None:
+    if size < 1 or size & (size - 1) or not WINDOW <= least <= size <= most:
+        raise ValueError("size must be a power of two between least and most, and least no smaller than the window")
+
+
 def cuts(data: bytes, size: int = MIB, least: int = 512 * KIB, most: int = 8 * MIB, poly: int = POLYNOMIAL) -> list[int]:
     """Ends of content-defined chunks. A chunk ends where, at least `least` bytes on, the hash of the last WINDOW bytes is 0 in its low bits, or after `most`.
 
     The hash of a window depends on its bytes alone, so all are computed at once; only the choice of ends goes from left to right.
     """
-    if size & (size - 1) or not WINDOW <= least <= most:
-        raise ValueError("size must be a power of two, and least between the window and most")
+    check_sizes(size, least, most)
     n = len(data)
     if n <= least:
         return [n] if n else []
@@ -71,11 +76,14 @@ def cuts(data: bytes, size: int = MIB, least: int = 512 * KIB, most: int = 8 * M
 
 
 def content_defined(files: DataFrame, key: str = "path", content: str = "content", **options: int) -> DataFrame:
-    """key, pos, offset, length, blob_id of content-defined chunks of binary content."""
+    """key, pos, offset, length, blob_id of content-defined chunks of binary content. options: see cuts(); null and empty content has no chunks."""
     import hashlib
 
     import pandas as pd
 
+    check_sizes(*(options.get(k, v) for k, v in (("size", MIB), ("least", 512 * KIB), ("most", 8 * MIB))))
+
+    ship(files.sparkSession)
     kind = files.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

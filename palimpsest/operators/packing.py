@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from palimpsest.functions.ids import in_subset
 from palimpsest.model import BLOBS_PER_INDEX, BLOBS_PER_PACK, MAX_HOLE, MAX_PACK_SIZE, MAX_READ, PackSizing
+from palimpsest.operators.order import numbered
 
 
 def target_size(current: Column, sizing: PackSizing) -> Column:
@@ -15,44 +19,73 @@ def target_size(current: Column, sizing: PackSizing) -> Column:
     return F.least(root * sizing.grow_factor + F.lit(sizing.default), F.lit(sizing.limit), F.lit(MAX_PACK_SIZE)).cast("long")
 
 
+def too_small(size: Column, current: Column, sizing: PackSizing) -> Column:
+    return size * 100 < target_size(current, sizing) * sizing.min_percent
+
+
+def too_large(size: Column, current: Column, sizing: PackSizing) -> Column:
+    """Never, where there is no upper tolerance."""
+    return F.lit(False) if sizing.max_percent is None else size * 100 > target_size(current, sizing) * sizing.max_percent
+
+
 def size_ok(size: Column, current: Column, sizing: PackSizing) -> Column:
-    target = target_size(current, sizing)
-    ok = size * 100 >= target * sizing.min_percent
-    return ok if sizing.max_percent is None else ok & (size * 100 <= target * sizing.max_percent)
+    return ~too_small(size, current, sizing) & ~too_large(size, current, sizing)
 
 
 def filled(blobs: DataFrame, writer: str, order: list[str], target: int, most: int = BLOBS_PER_PACK) -> DataFrame:
-    """blobs with pack_no: each writer closes a pack once it holds most blobs or target bytes. A writer's blobs are folded in order."""
-    rows = blobs.groupBy(writer).agg(F.array_sort(F.collect_list(F.struct(*order, *[c for c in blobs.columns if c not in (writer, *order)]))).alias("own"))
-    start = F.struct(F.array().cast("array<int>").alias("packs"), F.lit(0).alias("no"), F.lit(0).cast("long").alias("size"), F.lit(0).alias("n"))
+    """blobs with pack_no (int, from 0 for each writer): a writer closes a pack once it holds most blobs or target bytes.
 
-    def step(a: Column, x: Column) -> Column:
-        size, n = a["size"] + x["length"], a["n"] + 1
-        full = (n >= most) | (size >= target)
-        return F.struct(
-            F.concat(a["packs"], F.array(a["no"])).alias("packs"), (a["no"] + full.cast("int")).alias("no"),
-            F.when(full, F.lit(0).cast("long")).otherwise(size).alias("size"), F.when(full, F.lit(0)).otherwise(n).alias("n"),
-        )
+    A writer's blobs are streamed in order through one task, which holds a batch and three numbers; a null length counts as 0.
+    """
+    import pyarrow as pa
 
-    rows = rows.withColumn("no", F.aggregate("own", start, step, lambda a: a["packs"]))
-    rows = rows.select(writer, F.explode(F.arrays_zip("own", "no")).alias("x"))
-    return rows.select(writer, "x.own.*", F.col("x.no").alias("pack_no"))
+    rows = blobs.repartition(writer).sortWithinPartitions(writer, *order)
+    at_writer, at_length = blobs.columns.index(writer), blobs.columns.index("length")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        who, no, size, n = object(), 0, 0, 0
+        for b in batches:
+            out = []
+            for w, length in zip(b.column(at_writer).to_pylist(), b.column(at_length).to_pylist(), strict=True):
+                if w != who:
+                    who, no, size, n = w, 0, 0, 0
+                out.append(no)
+                size, n = size + (length or 0), n + 1
+                if n >= most or size >= target:
+                    no, size, n = no + 1, 0, 0
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.int32())], names=[*b.schema.names, "pack_no"])
+
+    out = rows.mapInArrow(run, StructType([*blobs.schema, StructField("pack_no", IntegerType(), False)]))
+    return out.select(writer, *order, *[c for c in blobs.columns if c not in (writer, *order)], "pack_no")
 
 
 def coalesced(blobs: DataFrame, hole: int = MAX_HOLE, most: int = MAX_READ) -> DataFrame:
     """pack_id, offset, length, blobs: reads that cover the wanted blobs (pack_id, offset, length). A blob joins the read before it if it begins after its end,
-    at most hole bytes on, and the whole stays within most. Folds run within packs, whose number of blobs is limited."""
-    rows = blobs.groupBy("pack_id").agg(F.array_sort(F.collect_list(F.struct(F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length")))).alias("own"))
-    read = lambda o, n, k: F.struct(o.alias("offset"), n.alias("length"), k.cast("long").alias("blobs"))
-    kind = "array<struct<offset: bigint, length: bigint, blobs: bigint>>"
+    at most hole bytes on, and the whole stays within most. Packs are streamed in order through tasks that hold a batch and one read."""
+    import pyarrow as pa
+
+    rows = blobs.select("pack_id", F.col("offset").cast("long").alias("offset"), F.col("length").cast("long").alias("length"))
+    rows = rows.repartition("pack_id").sortWithinPartitions("pack_id", "offset", "length")
+    names = ["pack_id", "offset", "length", "blobs"]
 
-    def step(reads: Column, x: Column) -> Column:
-        last = F.get(reads, F.size(reads) - 1)
-        end, whole = last["offset"] + last["length"], x["offset"] + x["length"] - last["offset"]
-        joins = (F.size(reads) > 0) & (x["offset"] >= end) & (x["offset"] <= end + hole) & (whole <= most)
-        return F.when(F.coalesce(joins, F.lit(False)), F.concat(F.slice(reads, F.lit(1), F.size(reads) - 1), F.array(read(last["offset"], whole, last["blobs"] + 1)))).otherwise(F.concat(reads, F.array(read(x["offset"], x["length"], F.lit(1))))).cast(kind)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: list | None = None
+        for b in batches:
+            out = []
+            for p, o, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if now and now[0] == p and now[1] + now[2] <= o <= now[1] + now[2] + hole and o + n - now[1] <= most:
+                    now[2], now[3] = o + n - now[1], now[3] + 1
+                else:
+                    out += [now] if now else []
+                    now = [p, o, n, 1]
+            yield made(out)
+        yield made([now] if now else [])
 
-    return rows.select("pack_id", F.inline(F.aggregate("own", F.array().cast(kind), step)))
+    def made(out: list) -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names=names)
+
+    return rows.mapInArrow(run, "pack_id string, offset long, length long, blobs long")
 
 
 def subset_nm(packs: DataFrame, n: int, m: int) -> DataFrame:
@@ -61,27 +94,31 @@ def subset_nm(packs: DataFrame, n: int, m: int) -> DataFrame:
 
 
 def subset_size(packs: DataFrame, limit: int | None = None, percent: float | None = None, seed: int = 0) -> DataFrame:
-    """Packs (id, size) in an order shuffled by seed, taken while they are smaller than what remains of limit bytes, or of percent of all."""
+    """Packs (id, size) in an order shuffled by seed, taken while they are smaller than what remains of limit bytes, or of percent of all.
+
+    Each choice depends on all before it: a row for each pack that fits at all is streamed through one task, which holds a batch and one number.
+    """
     import pandas as pd
 
     if limit is None:
         limit = int((packs.agg(F.sum("size")).first()[0] or 0) * percent / 100.0)
-    shuffled = packs.withColumn("_order", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id")), 256))
+    shuffled = packs.where(F.col("size") < limit).withColumn("_order", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("id")), 256))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rest, kept = limit, []
-        for size in pdf.sort_values("_order")["size"]:
-            kept.append(rest > size)
-            rest -= size * kept[-1]
-        return pdf.sort_values("_order")[kept].drop(columns="_order")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rest = limit
+        for pdf in batches:
+            kept = []
+            for size in pdf["size"].tolist():
+                kept.append(rest > size)
+                rest -= size * kept[-1]
+            yield pdf[kept].drop(columns="_order")
 
-    # Each choice depends on all before it; what is folded is a row for each pack that fits at all.
-    return shuffled.where(F.col("size") < limit).groupBy().applyInPandas(run, packs.schema)
+    return shuffled.repartition(1).sortWithinPartitions("_order").mapInPandas(run, packs.schema)
 
 
 def batches(ids: DataFrame, size: int = 1) -> DataFrame:
-    """ids with batch: runs of size by id, for requests made together."""
-    return ids.withColumn("batch", F.ceil(F.row_number().over(Window.orderBy("id")) / F.lit(size)).cast("long") - 1)
+    """ids with batch: runs of size by id, for requests made together. Null ids come first; repeated ids each count."""
+    return numbered(ids, ["id"], "_n").withColumn("batch", F.floor(F.col("_n") / F.lit(size)).cast("long")).drop("_n")
 
 
 def index_files(packs: DataFrame, writer: str, most: int = BLOBS_PER_INDEX) -> DataFrame:

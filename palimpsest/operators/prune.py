@@ -10,10 +10,18 @@ from pyspark.sql import functions as F
 
 from palimpsest.model import BLOBS_PER_PACK, DATA_SIZING, TREE_SIZING, PackSizing
 from palimpsest.operators.index import ENTRY, deduplicated, packs
-from palimpsest.operators.packing import size_ok, target_size
+from palimpsest.operators.packing import target_size, too_large, too_small
+from palimpsest.session import settled, ship, unsettled
 
 #: Orders an entry's blobs among all: entries marked for deletion first.
 ORDER = ("live", "index_id", "pack_id", "blob_pos")
+#: Copies of a blob are counted up to this number (a fixed value of the format's reference behaviour).
+MOST_COPIES = 255
+#: Up to so many rows ownership is a fold in one task; beyond, rounds of joins.
+FOLD_ROWS = 1 << 18
+
+# What a pack's status can hold, in order.
+STATUSES = ("NotCompressed", "TooYoung", "TimeNotSet", "TooLarge", "TooSmall", "HasUnusedBlobs", "HasUsedBlobs", "Marked")
 
 
 @dataclass(frozen=True)
@@ -68,36 +76,79 @@ def claim(entries: Iterable[tuple[object, list[str]]], copies: dict[str, int]) -
     return found
 
 
-def ownership(blobs: DataFrame, used: DataFrame) -> DataFrame:
-    """blobs with used: whether this copy is the one that counts.
-
-    Blobs with one copy need a join only. Entries that hold further copies of used blobs are folded in order, after those marked for deletion; what is
-    folded are these entries only.
-    """
+def _folded(shared: DataFrame) -> DataFrame:
+    """Which of shared (an entry's used blobs, ORDER, blob_id, copies) count, by one fold over all of them; for tables of a checked size."""
     import pandas as pd
 
-    rows = blobs.where("blob_id IS NOT NULL").join(used.select("blob_id").distinct().withColumn("_used", F.lit(True)), "blob_id", "left").withColumn("live", ~F.col("to_delete"))
-    copies = rows.where("_used").groupBy("blob_id").agg(F.count("*").alias("_copies"))
-    rows = rows.join(copies, "blob_id", "left")
-    contested = rows.where("_copies > 1").select(*ENTRY).distinct()
-    plain = rows.join(contested, list(ENTRY), "left_anti").select(*blobs.columns, F.coalesce("_used", F.lit(False)).alias("used"))
+    ship(shared.sparkSession)
+
+    def run(batches):
+        pdf = pd.concat([*batches]).sort_values(list(ORDER))
+        left = dict(zip(pdf["blob_id"], pdf["copies"].clip(upper=MOST_COPIES).astype(int), strict=True))
+        taken = claim(((k, g["blob_id"].tolist()) for k, g in pdf.groupby(["live", "index_id", "pack_id"], sort=True)), left)
+        pdf = pdf[[x for own in taken.values() for x in own]]
+        yield pdf[["live", "index_id", "pack_id", "blob_pos"]]
+
+    return shared.repartition(1).mapInPandas(run, shared.select(*ORDER).schema)
+
 
-    columns = list(blobs.columns)
+def _rounds(shared: DataFrame) -> DataFrame:
+    """The same by rounds of joins, for any number of rows and without a task that holds a group.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(list(ORDER))
-        left = {b: int(n) for b, n in zip(pdf["blob_id"], pdf["_copies"], strict=True) if n == n and n}
-        entries = [(k, g["blob_id"].tolist()) for k, g in pdf.groupby(["live", "index_id", "pack_id"], sort=True)]
-        taken = claim(entries, left)
-        pdf["used"] = [x for k, _ in entries for x in taken[k]]
-        return pdf[[*columns, "used"]]
+    A copy decides if it is a blob's last one, or the MOST_COPIES-th of more. An entry is needed if it holds the deciding copy of a blob that no needed entry
+    before it has; that is known once it is known of the entries before, so each round settles what depends on the round before it.
+    """
+    entry = ["live", "index_id", "pack_id"]
+    nth = F.row_number().over(Window.partitionBy("blob_id").orderBy(*ORDER))
+    ranked = shared.withColumn("k", nth).where(F.col("k") <= MOST_COPIES)
+    held = settled(
+        ranked.groupBy("blob_id", *entry).agg(F.min("k").alias("k"), F.min("blob_pos").alias("first"), F.max(F.when(F.col("k") == F.least("copies", F.lit(MOST_COPIES)), F.col("blob_pos"))).alias("decides"))
+    )  # a blob has at most MOST_COPIES rows here
+    whether = held.groupBy(*entry).agg(F.count("decides").alias("n"))
+    known = settled(whether.select(*entry, F.when(F.col("n") == 0, F.lit(False)).alias("needed")))
+    before = Window.partitionBy("blob_id").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    while True:
+        seen = held.join(known, entry).withColumns({"taken": F.coalesce(F.max("needed").over(before), F.lit(False)), "open": F.coalesce(F.bool_or(F.col("needed").isNull()).over(before), F.lit(False))})
+        seen = seen.where("decides IS NOT NULL").groupBy(*entry).agg(F.bool_or(~F.col("taken") & ~F.col("open")).alias("yes"), F.bool_and("taken").alias("no"))
+        found = known.join(seen, entry, "left").select(*entry, F.coalesce("needed", F.when(F.col("yes"), F.lit(True)).when(F.col("no"), F.lit(False))).alias("needed"))
+        found, old = settled(found), known
+        left = found.where("needed IS NULL").limit(1).count()
+        known = found
+        unsettled(old)
+        if not left:
+            break
+    owners = held.join(known.where("needed"), entry).groupBy("blob_id").agg(F.min_by(F.struct(*entry, "first", "decides"), "k").alias("o"), F.min("k").alias("k")).select("blob_id", "o.*", "k")
+    # The blob at which an entry is found to be needed counts where it was met, others where the entry holds them first.
+    deciding = owners.groupBy(*entry).agg(F.min("decides").alias("met"))
+    return owners.join(deciding, entry).select(*entry, F.when(F.col("decides") == F.col("met"), F.col("decides")).otherwise(F.col("first")).alias("blob_pos"))
+
+
+def ownership(blobs: DataFrame, used: DataFrame, fold_rows: int = FOLD_ROWS) -> DataFrame:
+    """blobs with used: whether this copy is the one that counts.
 
-    folded = rows.join(contested, list(ENTRY), "left_semi").groupBy().applyInPandas(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in blobs.schema) + ", used boolean")
-    return plain.unionByName(folded)
+    Blobs with one copy need a join only. Where used blobs have further copies, the entries that hold these are taken in order, after those marked for deletion
+    (see claim()): in one fold where their used blobs are no more than fold_rows, else in rounds of joins. Rows without a blob are left out.
+    """
+    rows = blobs.where("blob_id IS NOT NULL").join(used.select("blob_id").distinct().withColumn("_used", F.lit(True)), "blob_id", "left").withColumn("live", ~F.col("to_delete"))
+    copies = rows.where("_used").groupBy("blob_id").agg(F.count("*").alias("copies"))
+    rows = settled(rows.join(copies, "blob_id", "left"))
+    contested = rows.where("copies > 1").select(*ENTRY).distinct()
+    shared = settled(rows.where("_used").join(contested, list(ENTRY), "left_semi").select(*ORDER, "blob_id", "copies"))
+    n = shared.count()
+    if not n:
+        return rows.select(*blobs.columns, F.coalesce("_used", F.lit(False)).alias("used"))
+    taken = (_folded if n <= fold_rows else _rounds)(shared)
+    taken = taken.select(*(F.col(c).alias(f"_{c}") for c in ORDER))
+    same = F.lit(True)
+    for c in ORDER:
+        same = same & (F.col(c) == F.col(f"_{c}"))
+    plain = rows.join(contested, list(ENTRY), "left_anti").select(*blobs.columns, F.coalesce("_used", F.lit(False)).alias("used"))
+    mixed = rows.join(contested, list(ENTRY), "left_semi").join(taken, same, "left").select(*blobs.columns, F.col("_blob_pos").isNotNull().alias("used"))
+    return plain.unionByName(mixed)
 
 
 def usage(owned: DataFrame) -> DataFrame:
-    """Entries of packs() with used_blobs, unused_blobs, used_size, unused_size."""
+    """Entries of packs() with used_blobs, unused_blobs, used_size, unused_size, uncompressed (whether any blob is)."""
     own = owned.groupBy(*ENTRY).agg(
         F.count_if("used").alias("used_blobs"), F.count_if(~F.col("used")).alias("unused_blobs"),
         F.coalesce(F.sum(F.when(F.col("used"), F.col("length"))), F.lit(0)).alias("used_size"), F.coalesce(F.sum(F.when(~F.col("used"), F.col("length"))), F.lit(0)).alias("unused_size"),
@@ -106,79 +157,116 @@ def usage(owned: DataFrame) -> DataFrame:
     return packs(owned).join(own, list(ENTRY))
 
 
-def decided(entries: DataFrame, now: Column, options: Options = Options()) -> DataFrame:  # noqa: B008
-    """entries of usage() with todo: Keep, Repack (a candidate, see repacked()), MarkDelete, Delete, KeepMarked, KeepMarkedAndCorrect or Recover; and reason."""
-    totals = Window.partitionBy("blob_type")
-    current = F.sum(F.when(~F.col("to_delete"), F.col("pack_size"))).over(totals)
-    ok = F.when(F.col("blob_type") == "tree", size_ok(F.col("pack_size"), current, options.tree_sizing)).otherwise(size_ok(F.col("pack_size"), current, options.data_sizing))
+def sizes_of(entries: DataFrame) -> dict[str, int]:
+    """All bytes of packs of each type, those marked for deletion and duplicates included: what a pack's size is judged against."""
+    found = {r.blob_type: int(r.n) for r in entries.groupBy("blob_type").agg(F.sum("pack_size").alias("n")).collect()}
+    return {t: found.get(t, 0) for t in ("tree", "data")}
+
+
+def decided(entries: DataFrame, now: Column, options: Options = Options(), sizes: dict[str, int] | None = None) -> DataFrame:  # noqa: B008
+    """entries of usage() with todo: Keep, Repack (a candidate, see repacked()), MarkDelete, Delete, KeepMarked, KeepMarkedAndCorrect or Recover; reason;
+    and status, what was found about the pack, in the order of STATUSES.
+
+    sizes: sizes_of() all entries of the index, before duplicates went; else those of entries count.
+    """
+    sizes = sizes_of(entries) if sizes is None else sizes
+    either = lambda f: F.when(F.col("blob_type") == "tree", f(F.col("pack_size"), F.lit(sizes["tree"]), options.tree_sizing)).otherwise(f(F.col("pack_size"), F.lit(sizes["data"]), options.data_sizing))
+    small, large, marked = either(too_small), either(too_large), F.col("to_delete")
     young = F.coalesce(F.col("pack_time") > now - F.expr(options.keep_pack), F.lit(False))
     fixed = young | (F.lit(options.repack_cacheable_only) & (F.col("blob_type") == "data"))
-    compress = F.lit(options.repack_all) | (F.lit(options.repack_uncompressed) & F.col("uncompressed"))
+    uncompressed = F.lit(options.repack_uncompressed) & F.col("uncompressed")
     used, unused = F.col("used_blobs") > 0, F.col("unused_blobs") > 0
+    old = F.coalesce(now - F.expr(options.keep_delete) >= F.col("pack_time"), F.lit(False))
     say = lambda todo, reason=None: F.struct(F.lit(todo).alias("todo"), F.lit(reason).cast("string").alias("reason"))
-    live = (
-        F.when(~used & young, say("Keep")).when(~used, say("MarkDelete")).when(fixed, say("Keep")).when(~unused & compress, say("Repack", "ToCompress"))
-        .when(~unused & ~ok, say("Repack", "SizeMismatch")).when(~unused, say("Keep")).otherwise(say("Repack", "PartlyUsed"))
+    of_live = (
+        F.when(~used & young, say("Keep")).when(~used, say("MarkDelete")).when(fixed, say("Keep")).when(~unused & (uncompressed | F.lit(options.repack_all)), say("Repack", "ToCompress"))
+        .when(~unused & (small | large), say("Repack", "SizeMismatch")).when(~unused, say("Keep")).otherwise(say("Repack", "PartlyUsed"))
     )
-    old = F.coalesce(now - F.expr(options.keep_delete) >= F.col("pack_time"), F.lit(False))
-    marked = F.when(used, say("Recover")).when(old, say("Delete")).when(F.col("pack_time").isNull(), say("KeepMarkedAndCorrect")).otherwise(say("KeepMarked"))
-    return entries.withColumn("_d", F.when(F.col("to_delete"), marked).otherwise(live)).select(*entries.columns, "_d.todo", "_d.reason")
+    of_marked = F.when(used, say("Recover")).when(old, say("Delete")).when(F.col("pack_time").isNull(), say("KeepMarkedAndCorrect")).otherwise(say("KeepMarked"))
+    holds = {
+        "NotCompressed": uncompressed, "TooYoung": F.when(marked, ~used & old).otherwise(young), "TimeNotSet": marked & ~used & F.col("pack_time").isNull(), "TooLarge": large, "TooSmall": small,
+        "HasUnusedBlobs": ~marked & (~used | unused), "HasUsedBlobs": used, "Marked": marked,
+    }
+    status = F.filter(F.array(*(F.when(holds[s], F.lit(s)) for s in STATUSES)), lambda x: x.isNotNull())
+    return entries.withColumns({"_d": F.when(marked, of_marked).otherwise(of_live), "status": status}).select(*[c for c in entries.columns if c != "status"], "_d.todo", "_d.reason", "status")
+
+
+def share() -> Column:
+    """Unused bytes of all, as a fraction of 2^64 that is exact enough to order any two packs: sizes below 2^32 differ by over 2^-64 or not at all."""
+    whole = F.greatest(F.col("used_size") + F.col("unused_size"), F.lit(1)).cast("decimal(10,0)")
+    scaled = F.col("unused_size").cast("decimal(10,0)") * F.lit(str(1 << 64)).cast("decimal(20,0)")
+    # Long division in whole numbers: a decimal quotient would be rounded.
+    return F.floor((scaled - scaled % whole) / whole).cast("decimal(20,0)")
 
 
 def repack_order() -> list[Column]:
-    """Trees first, then the largest share of unused bytes, compared as exact fractions of all bytes."""
-    share = F.col("unused_size").cast("decimal(38,0)") / F.greatest(F.col("used_size") + F.col("unused_size"), F.lit(1)).cast("decimal(20,0)")
-    return [F.when(F.col("blob_type") == "tree", 0).otherwise(1), share.desc(), F.col("index_id"), F.col("pack_id")]
-
-
-def fold_candidates(candidates: list[dict], sizes: dict, max_repack: float, max_unused: float, no_resize: bool, targets: dict[str, int]) -> list[str]:
-    """Keep or Repack for each candidate, in order. sizes: used and unused bytes that stay for certain, which decisions change."""
-    bytes_of, repacks = {"tree": 0, "data": 0}, set()
-    todo: list[str | None] = []
-    after = sizes["unused_after"]
-    for c in candidates:
-        t, resize = c["blob_type"], c["reason"] == "SizeMismatch"
-        enough = after < max_unused and c["reason"] == "PartlyUsed" and t == "data"
-        if sum(bytes_of.values()) + c["used_size"] >= max_repack or enough or (resize and no_resize):
-            todo.append("Keep")
-            continue
-        bytes_of[t] += c["used_size"]
+    """Trees first, then the largest share of unused bytes, then index and pack."""
+    return [F.when(F.col("blob_type") == "tree", 0).otherwise(1), share().desc(), F.col("index_id"), F.col("pack_id")]
+
+
+class Fold:
+    """Keep, Repack or None (its type decides, see grown) for each candidate, in order. after: unused bytes that stay for certain."""
+
+    def __init__(self, after: int, max_repack: float, max_unused: float, no_resize: bool = False):
+        self.after, self.max_repack, self.max_unused, self.no_resize = after, max_repack, max_unused, no_resize
+        self.bytes_of, self.repacks = {"tree": 0, "data": 0}, set()
+
+    def __call__(self, blob_type: str, reason: str, used_size: int, unused_size: int) -> str | None:
+        resize = reason == "SizeMismatch"
+        enough = self.after < self.max_unused and reason == "PartlyUsed" and blob_type == "data"
+        if sum(self.bytes_of.values()) + used_size >= self.max_repack or enough or (resize and self.no_resize):
+            return "Keep"
+        self.bytes_of[blob_type] += used_size
         if resize:
-            todo.append(None)
-        else:
-            todo.append("Repack")
-            repacks.add(t)
-            after -= c["unused_size"]
-    grown = {t: t in repacks or bytes_of[t] > targets[t] for t in bytes_of}
-    return [x or ("Repack" if grown[c["blob_type"]] else "Keep") for x, c in zip(todo, candidates, strict=True)]
+            return None
+        self.repacks.add(blob_type)
+        self.after -= unused_size
+        return "Repack"
+
+    def grown(self, targets: dict[str, int]) -> dict[str, bool]:
+        """Whether packs of a type that only have a wrong size are repacked: if others of it are anyway, or a whole pack comes together."""
+        return {t: t in self.repacks or n > targets[t] for t, n in self.bytes_of.items()}
 
 
-def repacked(entries: DataFrame, options: Options = Options()) -> DataFrame:  # noqa: B008
+def repacked(entries: DataFrame, options: Options = Options(), sizes: dict[str, int] | None = None) -> DataFrame:  # noqa: B008
     """decided() entries with candidates settled: Repack or Keep, by limits on what is repacked and what may stay unused.
 
-    Candidates are folded in order, since each depends on the sums before it; a candidate is a row for a pack. A limit of 100 percent unused or more is no limit.
+    Each candidate depends on the sums before it, so they are folded in order, a row for a pack, streamed through one task that holds a batch at a time. A limit of
+    100 percent unused or more is no limit.
     """
     import pandas as pd
 
-    sums = entries.agg(F.sum("used_size").alias("used"), F.sum("unused_size").alias("unused"), F.sum(F.when(F.col("todo").isin("MarkDelete", "Delete"), F.col("unused_size")).otherwise(0)).alias("gone")).first()
+    spark = entries.sparkSession
+    ship(spark)
+    entries = settled(entries)
+    sizes = sizes_of(entries) if sizes is None else sizes
+    sums = entries.agg(F.sum("used_size").alias("used"), F.sum("unused_size").alias("unused"), F.sum(F.when(F.col("todo") == "MarkDelete", F.col("unused_size")).otherwise(0)).alias("gone")).first()
     used, unused, gone = (int(x or 0) for x in sums)
     inf = float("inf")
     cap, rest = options.max_repack, options.max_unused
     max_repack = cap.size if cap.size is not None else inf if cap.percent is None else cap.percent * (used + unused) // 100
     max_unused = 0 if options.repack_uncompressed or options.repack_all else rest.size if rest.size is not None else inf if rest.percent is None or rest.percent >= 100 else rest.percent * used // (100 - rest.percent)
-    current = {r.blob_type: int(r.s or 0) for r in entries.where("NOT to_delete").groupBy("blob_type").agg(F.sum("pack_size").alias("s")).collect()}
-    spark = entries.sparkSession
-    sized = {t: spark.range(1).select(target_size(F.lit(current.get(t, 0)), s)).first()[0] for t, s in (("tree", options.tree_sizing), ("data", options.data_sizing))}
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("_n")
-        rows["todo"] = fold_candidates(rows.to_dict("records"), {"unused_after": unused - gone}, max_repack, max_unused, options.no_resize, sized)
-        return rows[["index_id", "pack_id", "to_delete", "todo"]]
-
-    ranked = entries.where("todo = 'Repack'").select(*ENTRY, "blob_type", "reason", "used_size", "unused_size", F.row_number().over(Window.orderBy(*repack_order())).alias("_n"))
+    targets = spark.range(1).select(target_size(F.lit(sizes["tree"]), options.tree_sizing).alias("tree"), target_size(F.lit(sizes["data"]), options.data_sizing).alias("data")).first().asDict()
+    no_resize = options.no_resize
+
+    def run(batches):
+        fold = Fold(unused - gone, max_repack, max_unused, no_resize)
+        for pdf in batches:
+            said = [fold(*row) for row in zip(pdf["blob_type"], pdf["reason"], pdf["used_size"].tolist(), pdf["unused_size"].tolist(), strict=True)]
+            yield pd.DataFrame({**{f"_{c}": pdf[c] for c in ENTRY}, "_todo": said, "_type": pdf["blob_type"]})
+        for t, yes in fold.grown(targets).items():
+            yield pd.DataFrame({"_index_id": [None], "_pack_id": [None], "_to_delete": [None], "_todo": ["Repack" if yes else "Keep"], "_type": [t]})
+
+    ranked = entries.where("todo = 'Repack'").select(*ENTRY, "blob_type", "reason", "used_size", "unused_size", *(c.alias(f"_o{i}") for i, c in enumerate((repack_order()[0], share()))))
+    ranked = ranked.repartition(1).sortWithinPartitions("_o0", F.desc("_o1"), "index_id", "pack_id").drop("_o0", "_o1")
     kinds = {f.name: f.dataType.simpleString() for f in entries.schema}
-    said = ranked.groupBy().applyInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in (*ENTRY, "todo"))).withColumnRenamed("todo", "_todo")
-    return entries.join(said, list(ENTRY), "left").withColumn("todo", F.coalesce("_todo", "todo")).drop("_todo")
+    said = settled(ranked.mapInPandas(run, ", ".join(f"_{c} {kinds[c]}" for c in ENTRY) + ", _todo string, _type string"))
+    grown = said.where("_pack_id IS NULL").select(F.col("_type").alias("blob_type"), F.col("_todo").alias("_grown"))
+    said = said.where("_pack_id IS NOT NULL").drop("_type")
+    same = (F.col("index_id") == F.col("_index_id")) & (F.col("pack_id") == F.col("_pack_id")) & (F.col("to_delete") == F.col("_to_delete"))
+    rows = entries.join(said, same, "left").join(F.broadcast(grown), "blob_type", "left")  # grown has two rows
+    todo = F.when(F.col("_pack_id").isNull(), F.col("todo")).otherwise(F.coalesce("_todo", "_grown"))
+    return rows.withColumn("todo", todo).select(*entries.columns)
 
 
 def existing(entries: DataFrame, files: DataFrame) -> DataFrame:
@@ -189,27 +277,53 @@ def existing(entries: DataFrame, files: DataFrame) -> DataFrame:
     return rows.select(F.coalesce("pack_id", "file").alias("pack_id"), state.alias("state")).where("state IS NOT NULL")
 
 
-def index_files(entries: DataFrame, instant_delete: bool = False, least: int = BLOBS_PER_PACK) -> DataFrame:
-    """index_id, rebuild: an index is written anew if a pack in it isn't simply kept, or if it has fewer than least blobs; a single one only for the former."""
+def duplicates(entries: DataFrame) -> DataFrame:
+    """Entries that deduplicated() drops: other entries of the same packs."""
+    return entries.select(*ENTRY).join(deduplicated(entries.select(*ENTRY)), list(ENTRY), "left_anti")
+
+
+def index_files(entries: DataFrame, instant_delete: bool = False, least: int = BLOBS_PER_PACK, dropped: DataFrame | None = None) -> DataFrame:
+    """index_id, rebuild: an index is written anew if a pack in it isn't simply kept, if duplicates() were dropped from it, or if it has fewer than least blobs. If
+    all that is left to write is one index that is only too small, it stays."""
     changes = ~F.col("todo").isin("Keep", *(() if instant_delete else ("KeepMarked",)))
-    rows = entries.groupBy("index_id").agg(F.bool_or(changes).alias("changed"), F.sum("blobs").alias("n"))
-    all_ = Window.partitionBy()
-    lone = (F.count("*").over(all_) == 1) & ~F.bool_or("changed").over(all_)
-    return rows.select("index_id", ((F.col("changed") | (F.col("n") < least)) & ~lone).alias("rebuild"))
+    rows = entries.select("index_id", changes.alias("changed"), F.col("blobs").alias("n"))
+    if dropped is not None:
+        rows = rows.unionByName(dropped.select("index_id", F.lit(True).alias("changed"), F.lit(0).cast("long").alias("n")))
+    rows = rows.groupBy("index_id").agg(F.bool_or("changed").alias("changed"), F.sum("n").alias("n"))
+    rows = rows.withColumn("rebuild", F.col("changed") | (F.col("n") < least))
+    lone = rows.agg((~F.coalesce(F.bool_or("changed"), F.lit(False)) & (F.count_if("rebuild") == 1)).alias("lone"))
+    return rows.select("index_id", (F.col("rebuild") & ~lone.scalar()).alias("rebuild"))
 
 
 def stats(entries: DataFrame) -> DataFrame:
-    """blob_type, todo, packs, used_size, unused_size."""
-    return entries.groupBy("blob_type", "todo").agg(F.count("*").alias("packs"), F.sum("used_size").alias("used_size"), F.sum("unused_size").alias("unused_size"))
+    """blob_type, todo, status, packs, used_blobs, unused_blobs, used_size, unused_size."""
+    sums = ("used_blobs", "unused_blobs", "used_size", "unused_size")
+    return entries.groupBy("blob_type", "todo", "status").agg(F.count("*").alias("packs"), *(F.sum(c).alias(c) for c in sums))
 
 
 def gains(entries: DataFrame) -> DataFrame:
-    """blob_type, used, unused, removed (unused bytes in deleted packs), repacked, repack_removed, unused_after."""
-    total = lambda c, *todo: F.coalesce(F.sum(F.when(F.col("todo").isin(*todo), F.col(c))), F.lit(0))
-    removed, gone = total("unused_size", "MarkDelete", "Delete"), total("unused_size", "Repack")
-    return entries.groupBy("blob_type").agg(
-        F.sum("used_size").alias("used"), F.sum("unused_size").alias("unused"), removed.alias("removed"), total("used_size", "Repack").alias("repacked"), gone.alias("repack_removed"),
-        (F.sum("unused_size") - removed - gone).alias("unused_after"),
+    """blob_type; of sizes and of blobs: used, unused, remove (unused, in packs that are marked now), repack (all of repacked packs), repackrm (their unused part) and unused_after.
+
+    Packs marked before and deleted now have their own statistics, see pack_stats().
+    """
+    total = lambda c, *todo: F.coalesce(F.sum(F.when(F.col("todo").isin(*todo), c)), F.lit(0))
+    out = []
+    for unit in ("size", "blobs"):
+        u, n = F.col(f"used_{unit}"), F.col(f"unused_{unit}")
+        remove, gone = total(n, "MarkDelete"), total(n, "Repack")
+        out += [F.sum(u).alias(f"used_{unit}"), F.sum(n).alias(f"unused_{unit}"), remove.alias(f"remove_{unit}"), total(u + n, "Repack").alias(f"repack_{unit}"), gone.alias(f"repackrm_{unit}"), (F.sum(n) - remove - gone).alias(f"unused_after_{unit}")]
+    return entries.groupBy("blob_type").agg(*out)
+
+
+def pack_stats(entries: DataFrame) -> DataFrame:
+    """One row: live packs that are used, partly_used, unused, to repack, to keep; packs marked before that are removed, recovered or stay marked, and their bytes."""
+    live, used, unused = ~F.col("to_delete"), F.col("used_blobs") > 0, F.col("unused_blobs") > 0
+    of = {"remove": ("Delete",), "recover": ("Recover",), "keep": ("KeepMarked", "KeepMarkedAndCorrect")}
+    return entries.agg(
+        F.count_if(live & used & ~unused).alias("used"), F.count_if(live & used & unused).alias("partly_used"), F.count_if(live & ~used).alias("unused"),
+        F.count_if(F.col("todo") == "Repack").alias("repack"), F.count_if(F.col("todo") == "Keep").alias("keep"),
+        *(F.count_if(F.col("todo").isin(*t)).alias(f"marked_{k}") for k, t in of.items()),
+        *(F.coalesce(F.sum(F.when(F.col("todo").isin(*t), F.col("pack_size"))), F.lit(0)).alias(f"marked_{k}_size") for k, t in of.items()),
     )
 
 
@@ -218,7 +332,8 @@ def plan(blobs: DataFrame, used: DataFrame, now: Column, options: Options = Opti
     if missing(used, blobs).limit(1).count():
         raise LookupError("used blobs are missing in the index")
     first = deduplicated(blobs.select(*ENTRY).distinct())
-    return repacked(decided(usage(ownership(blobs.join(first, list(ENTRY), "left_semi"), used)), now, options), options)
+    sizes = sizes_of(packs(blobs))
+    return repacked(decided(usage(ownership(blobs.join(first, list(ENTRY), "left_semi"), used)), now, options, sizes), options, sizes)
 
 
 def new_index(blobs: DataFrame, planned: DataFrame, now: Column) -> DataFrame:

@@ -66,14 +66,14 @@ def _beside(rows: DataFrame, cells: DataFrame, keys: Sequence[str]) -> DataFrame
     return rows.join(there, same).drop(*(f"_k{i}" for i in range(len(keys))))
 
 
-def retained(snapshots: DataFrame, keep: Keep, by: Sequence[str] = (), now: Column | None = None, order: Sequence[str] = ("id",), cell: str | None = None) -> DataFrame:
+def retained(snapshots: DataFrame, keep: Keep, by: Sequence[str] = (), now: Column | None = None, order: Sequence[str] = ("id",), cell: str | None = "month") -> DataFrame:
     """snapshots with keep and reasons (in a fixed order). by: columns that make groups; order: breaks ties of equal times.
 
     Columns used where present: time_local (else time) for calendar periods, tags, tree, delete_kind, delete_after. now is needed for the
     latter two only.
 
-    Without cell a group is sorted in one task. With cell, a unit such as "month", tasks sort cells of a group: what a cell needs of its neighbours, their
-    outermost snapshots and how many candidates they have, comes from tables with a row for each cell. The result is the same.
+    Tasks sort cells of a group, such as its months: what a cell needs of its neighbours, their outermost snapshots and how many candidates they have, comes
+    from tables with a row for each cell. With None as cell a group is sorted in one task; the result is the same. Null times make a cell of their own, the oldest.
     """
     keep.check()
     columns = snapshots.columns

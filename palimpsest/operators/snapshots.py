@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from palimpsest.functions.ids import is_full_id
 from palimpsest.model import Config, guard
+from palimpsest.operators.trees import roots_of
 
 CRITERIA = ("hostname", "label", "paths", "tags")
 #: Names of the criteria as users write them.
@@ -58,8 +59,13 @@ def latest(snapshots: DataFrame, n: int = 0, condition: Column | None = None) ->
 
 
 def by_prefix(table: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """prefix, matches, id (where one matches, else null) for each row of prefixes (prefix)."""
-    hits = prefixes.select("prefix").distinct().join(table.select("id"), F.startswith(F.col("id"), F.col("prefix")), "left")
+    """prefix, matches, id (where one matches, else null) for each row of prefixes (prefix).
+
+    An equi-join: each id is offered under the lengths that prefixes have, of which there are at most as many as an id has characters."""
+    own = prefixes.select("prefix").distinct()
+    lengths = [r.n for r in own.select(F.length("prefix").alias("n")).distinct().where("n IS NOT NULL").collect()]
+    cut = table.select("id", F.explode(F.array(*(F.substring("id", 1, n) for n in lengths)).cast("array<string>")).alias("cut")).where(F.length("id") >= F.length("cut"))
+    hits = own.join(cut, F.col("prefix") == F.col("cut"), "left")
     return hits.groupBy("prefix").agg(F.count("id").alias("matches"), F.min("id").alias("id")).select("prefix", "matches", F.when(F.col("matches") == 1, F.col("id")).alias("id"))
 
 
@@ -128,6 +134,11 @@ def grouped(snapshots: DataFrame, by: Sequence[str] = DEFAULT_CRITERION) -> Data
     return rows.groupBy("group").agg(F.count("*").alias("snapshots"), F.max("time").alias("newest"), F.min("time").alias("oldest")).orderBy(*(F.asc_nulls_first(f"group.{c}") for c in CRITERIA))
 
 
+def members(snapshots: DataFrame, by: Sequence[str] = DEFAULT_CRITERION) -> DataFrame:
+    """snapshots with group, what each is grouped by: the flat form of groups. Grouping that anew by other criteria regroups it."""
+    return snapshots.withColumn("group", group_key(by))
+
+
 def in_group(group: dict) -> Column:
     """Whether a snapshot belongs to a group; fields that are null there fit all."""
     found = F.lit(True)
@@ -205,9 +216,13 @@ def parents_of(new: DataFrame, snapshots: DataFrame, by: Sequence[str] = DEFAULT
 
 
 def merged(snapshots: DataFrame) -> DataFrame:
-    """What a merge of snapshots records: the latest time, all paths without those below others, all tags, all as parents."""
-    flat = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(c))))
-    return snapshots.agg(F.max("time").alias("time"), flat("paths").alias("paths"), flat("tags").alias("tags"), F.array_sort(F.collect_set("id")).alias("parents"))
+    """What a merge of snapshots records, one row: the latest time, all paths without those below others, all tags, all as parents.
+
+    Each list is made distinct before it is collected; null lists and null paths add nothing; no snapshots: no time and empty lists."""
+    each = lambda c: snapshots.select(F.explode(c).alias(c)).where(F.col(c).isNotNull()).distinct()
+    as_list = lambda df, c: df.agg(F.array_sort(F.collect_list(c)).alias(c)).scalar()
+    tops = roots_of(each("paths").withColumnRenamed("paths", "path"))
+    return snapshots.agg(F.max("time").alias("time")).select("time", as_list(tops, "path").alias("paths"), as_list(each("tags"), "tags").alias("tags"), as_list(snapshots.select("id").distinct(), "id").alias("parents"))
 
 
 def path_of(template: str) -> Column:

@@ -8,25 +8,42 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from palimpsest.functions.paths import excluded, lineage, parts
+from palimpsest.operators.order import numbered, numbered_within
 from palimpsest.session import settled
 
 
 def reachable(roots: DataFrame, nodes: DataFrame, max_depth: int = 10_000) -> DataFrame:
-    """tree_id, depth (the least) of every tree under roots (tree_id), each visited once."""
-    edges = nodes.where("subtree IS NOT NULL").select("tree_id", "subtree").distinct()
-    seen = level = settled(roots.select("tree_id").distinct().withColumn("depth", F.lit(0)))
+    """tree_id, depth (the least), path (one of that depth, the same in every run; empty for a root) of every tree under roots (tree_id), each visited once.
+
+    Null ids lead nowhere; a tree that has no nodes, as one that can't be read, is in the result and ends there."""
+    edges = nodes.where("subtree IS NOT NULL").select("tree_id", "name", "subtree")
+    seen = level = settled(roots.where("tree_id IS NOT NULL").select("tree_id").distinct().withColumns({"depth": F.lit(0), "path": F.lit("")}))
+    path = F.when(F.col("path") == "", F.col("name")).otherwise(F.concat_ws("/", "path", "name"))
     for depth in range(1, max_depth):
-        level = settled(level.join(edges, "tree_id").select(F.col("subtree").alias("tree_id")).distinct().join(seen.select("tree_id"), "tree_id", "left_anti").withColumn("depth", F.lit(depth)))
+        found = level.select("tree_id", "path").join(edges, "tree_id").groupBy(F.col("subtree").alias("tree_id")).agg(F.min(path).alias("path"))
+        level = settled(found.join(seen.select("tree_id"), "tree_id", "left_anti").select("tree_id", F.lit(depth).alias("depth"), "path"))
         if not level.limit(1).count():
             return seen
         seen = seen.unionByName(level)
     raise RecursionError("trees are deeper than max_depth")
 
 
+def once(roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """All columns of nodes with path and depth, each tree under roots listed once, at its first path, however many snapshots and folders share it."""
+    found = reachable(roots, nodes).select(F.col("tree_id").alias("_t"), F.col("depth").alias("_d"), F.col("path").alias("_above"))
+    path = F.when(F.col("_above") == "", F.col("name")).otherwise(F.concat_ws("/", "_above", "name"))
+    return nodes.join(found, F.col("tree_id") == F.col("_t")).withColumns({"path": path, "depth": F.col("_d") + 1}).drop("_t", "_d", "_above")
+
+
+def unresolved(roots: DataFrame, nodes: DataFrame) -> DataFrame:
+    """tree_id, depth, path of trees that are reached but have no nodes: empty ones, and those that a walk can't read."""
+    return reachable(roots, nodes).join(nodes.select("tree_id").distinct(), "tree_id", "left_anti")
+
+
 def closure(roots: DataFrame, nodes: DataFrame, max_depth: int = 10_000) -> DataFrame:
     """All columns of nodes with root, path and depth for every path under roots (root, tree_id). Shared trees appear under each path."""
     out, level = None, roots.select("root", "tree_id", F.lit("").alias("above"))
@@ -43,7 +60,7 @@ def listed(paths: DataFrame, globs: list[str] = [], recursive: bool = True) -> D
     """Paths of a closure in depth-first order (pos). Excluded paths aren't shown, but what lies below them is unless excluded too."""
     rows = paths.where(~excluded(F.col("path"), globs)) if globs else paths
     rows = rows if recursive else rows.where("depth = 1")
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy("root").orderBy(parts(F.col("path")))) - 1)
+    return numbered_within(rows.withColumn("_at", parts(F.col("path"))), ["root"], ["_at"], "pos").drop("_at")
 
 
 def at_path(roots: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
@@ -60,17 +77,24 @@ def at_path(roots: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
 
 def matching(paths: DataFrame, condition: Column) -> DataFrame:
     """Paths of a closure that fulfil a condition, what lies in a directory before the directory."""
-    return paths.where(condition).withColumn("pos", F.row_number().over(Window.partitionBy("root").orderBy(F.concat(parts(F.col("path")), F.array(F.lit("\U0010ffff"))))) - 1)
+    at = F.concat(parts(F.col("path")), F.array(F.lit("\U0010ffff")))
+    return numbered_within(paths.where(condition).withColumn("_at", at), ["root"], ["_at"], "pos").drop("_at")
 
 
 def encoded(found: DataFrame, node: list[str]) -> DataFrame:
-    """found with path_no and node_no: numbers of distinct paths and of distinct nodes."""
-    return found.withColumns({"path_no": F.dense_rank().over(Window.orderBy("path")) - 1, "node_no": F.dense_rank().over(Window.orderBy(*node)) - 1})
+    """found with path_no and node_no: numbers of distinct paths and of distinct nodes, in their order, null first."""
+    for name, columns in (("path_no", ["path"]), ("node_no", node)):
+        own = numbered(found.select(*columns).distinct(), columns, name).select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(columns)), name)
+        same = F.lit(True)
+        for i, c in enumerate(columns):
+            same = same & F.col(c).eqNullSafe(F.col(f"_{i}"))
+        found = found.join(own, same).drop(*(f"_{i}" for i in range(len(columns))))
+    return found
 
 
 def used_blobs(roots: DataFrame, nodes: DataFrame) -> DataFrame:
     """blob_id, blob_type of all trees and contents that roots (tree_id) reach."""
-    trees = settled(reachable(roots, nodes))
+    trees = reachable(roots, nodes)
     held = nodes.join(trees.select("tree_id"), "tree_id", "left_semi").select(F.explode("content").alias("blob_id")).distinct()
     return trees.select(F.col("tree_id").alias("blob_id"), F.lit("tree").alias("blob_type")).unionByName(held.select("blob_id", F.lit("data").alias("blob_type")))
 
@@ -92,7 +116,7 @@ def events(paths: DataFrame) -> DataFrame:
     rows = dirs.select(p.alias("at"), F.lit(0).alias("n"), F.lit("NewTree").alias("event"), "path", mode.alias("mode"))
     rows = rows.unionByName(dirs.select(F.concat(p, F.array(F.lit("\U0010ffff"))).alias("at"), F.lit(1).alias("n"), F.lit("EndTree").alias("event"), "path", F.lit(None).cast("int").alias("mode")))
     rows = rows.unionByName(paths.where("type <> 'dir'").select(p.alias("at"), F.lit(0).alias("n"), F.lit("Other").alias("event"), "path", F.lit(None).cast("int").alias("mode")))
-    return rows.select((F.row_number().over(Window.orderBy("at", "n")) - 1).alias("pos"), "event", "path", "mode")
+    return numbered(rows, ["at", "n"], "pos").select("pos", "event", "path", "mode")
 
 
 def roots_of(paths: DataFrame) -> DataFrame:
@@ -137,11 +161,34 @@ def compared(nodes: DataFrame, parents: DataFrame, ignore_ctime: bool = False, i
     return rows
 
 
-def backup_summary(compared_nodes: DataFrame) -> DataFrame:
-    """Counts of files and directories by status, and bytes processed."""
-    count = lambda kind, s: F.count_if((F.col("type") == kind) & (F.col("status") == s))
+def statuses_of_dirs(files: DataFrame) -> DataFrame:
+    """path, type (dir), status of all directories above entries (path, status): new if all below is new, unmodified if all is, else changed.
+
+    Stands for the comparison of tree ids where trees of the parent aren't at hand."""
+    above = files.select("status", F.explode(F.slice(lineage(F.col("path")), F.lit(1), F.size(parts(F.col("path"))) - 1)).alias("path"))
+    status = F.when(F.bool_and(F.col("status") == "new"), "new").when(F.bool_and(F.col("status") == "unmodified"), "unmodified").otherwise("changed")
+    return above.groupBy("path").agg(status.alias("status")).select("path", F.lit("dir").alias("type"), "status")
+
+
+def backup_summary(compared_nodes: DataFrame, added: DataFrame | None = None) -> DataFrame:
+    """One row: files (all but directories) and directories by status and in all, and bytes processed, of nodes (type, status, size).
+
+    added: blobs that were stored (blob_type, length, packed): their number by type, bytes before and after packing, in all and by type; zeros without."""
+    is_dir = F.col("type") == "dir"
+    count = lambda d, s: F.count_if((is_dir if d else ~is_dir) & (F.col("status") == s))
     names = [(k, s) for k in ("file", "dir") for s in ("new", "changed", "unmodified")]
-    return compared_nodes.agg(*(count(k, s).alias(f"{k}s_{s}") for k, s in names), F.coalesce(F.sum(F.when(F.col("type") == "file", F.col("size"))), F.lit(0)).alias("bytes_processed"))
+    rows = compared_nodes.agg(
+        *(count(k == "dir", s).alias(f"{k}s_{s}") for k, s in names), F.count_if(~is_dir).alias("files_processed"), F.count_if(is_dir).alias("dirs_processed"),
+        F.coalesce(F.sum(F.when(~is_dir, F.col("size"))), F.lit(0)).alias("bytes_processed"),
+    )
+    of = lambda t: F.lit(True) if t is None else F.col("blob_type") == t
+    total = lambda c, t: F.coalesce(F.sum(F.when(of(t), F.col(c))), F.lit(0)).cast("long")
+    added = compared_nodes.sparkSession.createDataFrame([], "blob_type string, length long, packed long") if added is None else added
+    sums = added.agg(
+        F.count_if(of("data")).alias("data_blobs"), F.count_if(of("tree")).alias("tree_blobs"), total("length", None).alias("data_added"), total("packed", None).alias("data_added_packed"),
+        *(total(c, t).alias(f"data_added_{n}{x}") for t, n in (("data", "files"), ("tree", "trees")) for c, x in (("length", ""), ("packed", "_packed"))),
+    )
+    return rows.join(F.broadcast(sums))  # one row beside one row
 
 
 def tree_summary(paths: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.functions.paths import parts
+from palimpsest.functions.paths import lineage, parts
+from palimpsest.operators.order import with_previous
+from palimpsest.operators.trees import at_path
 
 
 def entries(snapshots: DataFrame, path: Column, latest: str = "no", identical_as_link: bool = False) -> DataFrame:
@@ -15,9 +17,7 @@ def entries(snapshots: DataFrame, path: Column, latest: str = "no", identical_as
     """
     p = parts(path)
     rows = snapshots.select("id", "time", "tree", path.alias("path"), F.array_join(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), "/").alias("dir"), F.element_at(p, -1).alias("name"))
-    order = Window.orderBy("time", "id")
-    was = {c: F.lag(c).over(order) for c in ("path", "dir", "tree", "name")}
-    rows = rows.withColumns({f"_{c}": v for c, v in was.items()})
+    rows = with_previous(rows, ["time", "id"], ["path", "dir", "tree", "name"])
     fresh = rows.where(~F.coalesce(F.col("_path") == F.col("path"), F.lit(False)))
     link = F.lit(identical_as_link) & F.coalesce((F.col("_dir") == F.col("dir")) & (F.col("_tree") == F.col("tree")), F.lit(False))
     out = fresh.select("path", F.when(link, "link").otherwise("tree").alias("kind"), F.when(~link, F.col("tree")).alias("tree"), F.when(link, F.col("_name")).alias("target"))
@@ -27,3 +27,61 @@ def entries(snapshots: DataFrame, path: Column, latest: str = "no", identical_as
         at = F.when(F.col("dir") == "", F.lit("latest")).otherwise(F.concat_ws("/", "dir", F.lit("latest")))
         out = out.unionByName(top.select(at.alias("path"), F.when(as_link, "link").otherwise("tree").alias("kind"), F.when(~as_link, F.col("t.tree")).alias("tree"), F.when(as_link, F.col("t.name")).alias("target")))
     return out
+
+
+def folders(entries: DataFrame) -> DataFrame:
+    """path of every virtual directory: all above entries, and the root, which is empty."""
+    above = entries.select(F.explode(F.slice(lineage(F.col("path")), F.lit(1), F.size(parts(F.col("path"))) - 1)).alias("path"))
+    return above.unionByName(entries.sparkSession.createDataFrame([("",)], "path string")).distinct()
+
+
+def resolved(entries: DataFrame, paths: DataFrame) -> DataFrame:
+    """paths (path) with kind, tree, rest, target. kind: tree, where a snapshot's tree is met on the way, rest being what of the path lies in it; link likewise (what
+    follows a link is not looked at); dir for a virtual directory; null where there is nothing."""
+    asked = paths.select("path", F.array_join(parts(F.col("path")), "/").alias("_p")).distinct()
+    steps = asked.select("path", "_p", F.explode(lineage(F.col("_p"))).alias("_at"))
+    own = entries.select(F.col("path").alias("_e"), "kind", "tree", "target")
+    first = F.min_by(F.struct("_e", "kind", "tree", "target"), F.length("_e"))
+    met = steps.join(own, F.col("_at") == F.col("_e")).groupBy("path", "_p").agg(first.alias("m")).select(F.col("path").alias("_q"), "m.*", F.expr("ltrim('/', substring(_p, length(m._e) + 1))").alias("rest"))
+    rows = asked.join(met, F.col("path") == F.col("_q"), "left").join(folders(entries).select(F.col("path").alias("_f")), F.col("_p") == F.col("_f"), "left")
+    kind = F.coalesce("kind", F.when(F.col("_f").isNotNull(), F.lit("dir")))
+    return rows.select("path", kind.alias("kind"), "tree", F.when(F.col("kind") == "tree", F.col("rest")).alias("rest"), "target")
+
+
+def listed(entries: DataFrame, path: str) -> DataFrame:
+    """name, type (dir or symlink), target of what a virtual directory holds; empty if it isn't one."""
+    at = "/".join(x for x in path.split("/") if x not in ("", "."))
+    n = len(at.split("/")) if at else 0
+    p = parts(F.col("path"))
+    inside = entries.where((F.size(p) > n) & (F.array_join(F.slice(p, F.lit(1), F.lit(n)), "/") == at)) if n else entries
+    own = F.size(p) == n + 1
+    rows = inside.select(F.element_at(p, n + 1).alias("name"), F.when(own & (F.col("kind") == "link"), "symlink").otherwise("dir").alias("type"), F.when(own, F.col("target")).alias("target"))
+    return rows.distinct()
+
+
+def node_at(entries: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
+    """The node at a path of the virtual directory: kind, name, type, subtree; within a snapshot's tree, the stored node. No row if there is none."""
+    spark = entries.sparkSession
+    found = resolved(entries, spark.createDataFrame([(path,)], "path string")).where("kind IS NOT NULL").first()
+    kinds = "kind string, name string, type string, subtree string"
+    if found is None:
+        return spark.createDataFrame([], kinds)
+    if found.kind != "tree" or not found.rest:
+        return spark.createDataFrame([(found.kind, "", "symlink" if found.kind == "link" else "dir", found.tree)], kinds)
+    inner = at_path(spark.createDataFrame([("", found.tree)], "root string, tree_id string"), nodes, found.rest)
+    return inner.where("name IS NOT NULL").select(F.lit("tree").alias("kind"), "name", "type", "subtree")
+
+
+def dir_entries(entries: DataFrame, nodes: DataFrame, path: str) -> DataFrame:
+    """name, type of what lies at a path: entries of a virtual or a stored directory, none of a file; a link is refused."""
+    spark = entries.sparkSession
+    found = resolved(entries, spark.createDataFrame([(path,)], "path string")).first()
+    if found.kind == "link":
+        raise NotADirectoryError(f"{path} is a link")
+    if found.kind != "tree":
+        return listed(entries, path).select("name", "type")
+    tree = found.tree
+    if found.rest:
+        node = node_at(entries, nodes, path).first()
+        tree = node.subtree if node else None
+    return nodes.where(F.col("tree_id") == F.lit(tree)).select("name", "type")

@@ -325,19 +325,16 @@ def read_subset_nm(spark: SparkSession, sf: str) -> DataFrame:
     return packing.subset_nm(t.pack_files(spark, sf).withColumn("id", F.sha2("id", 256)), 10, 7)
 
 
-_TAKE = """ordered AS (SELECT id, size, row_number() OVER (ORDER BY sha256('0:' || id)) AS n FROM files WHERE size < 20000),
-  folded AS (SELECT 0 AS n, CAST(20000 AS BIGINT) AS rest, NULL::VARCHAR AS id, NULL::BIGINT AS size, false AS took UNION ALL
-    SELECT o.n, CASE WHEN f.rest > o.size THEN f.rest - o.size ELSE f.rest END, o.id, o.size, f.rest > o.size FROM folded f JOIN ordered o ON o.n = f.n + 1)"""
+_TAKE = """ordered AS (SELECT list({'id': id, 'size': size, 'rest': CAST(20000 AS BIGINT), 'took': CAST([] AS VARCHAR[])} ORDER BY sha256('0:' || id)) AS l FROM files WHERE size < 20000),
+  folded AS (SELECT list_reduce(l, lambda a, x: {'id': x.id, 'size': x.size, 'rest': a.rest - CASE WHEN a.rest > x.size THEN x.size ELSE 0 END, 'took': CASE WHEN a.rest > x.size THEN list_append(a.took, x.id) ELSE a.took END},
+    {'id': '', 'size': CAST(0 AS BIGINT), 'rest': CAST(20000 AS BIGINT), 'took': CAST([] AS VARCHAR[])}) AS f FROM ordered)"""
 
 
-@query(None)
+@query("SELECT id, size FROM files WHERE id IN (SELECT unnest(f.took) FROM folded)", t.FILES, _TAKE)
 def read_subset_size(spark: SparkSession, sf: str) -> DataFrame:
     return packing.subset_size(t.pack_files(spark, sf), limit=20000)
 
 
-SQL["read_subset_size"] = f"WITH RECURSIVE {t.FILES}, {_TAKE} SELECT id, size FROM folded WHERE took"
-
-
 @query(None)
 def read_coalesce(spark: SparkSession, sf: str) -> DataFrame:
     wanted = t.blobs(spark, sf).select("pack_id", F.col("offset"), F.least("length", F.lit(25)).alias("length")).distinct()
@@ -454,7 +451,7 @@ def tree_find_path(spark: SparkSession, sf: str) -> DataFrame:
     return trees.at_path(t.roots(spark), t.nodes(spark, sf), path).select("root", "name", "subtree")
 
 
-@query("SELECT tree_id, CAST(min(depth) AS INTEGER) AS depth FROM (SELECT subtree AS tree_id, depth FROM paths WHERE subtree IS NOT NULL UNION ALL SELECT tree_id, 0 FROM roots) GROUP BY tree_id", t.NODES)
+@query("SELECT tree_id, CAST(min(depth) AS INTEGER) AS depth, arg_min(path, depth) AS path FROM (SELECT subtree AS tree_id, depth, path FROM paths WHERE subtree IS NOT NULL UNION ALL SELECT tree_id, 0, '' FROM roots) GROUP BY tree_id", t.NODES)
 def tree_unique_visit(spark: SparkSession, sf: str) -> DataFrame:
     return trees.reachable(t.roots(spark), t.nodes(spark, sf))
 
@@ -524,9 +521,22 @@ def parent_diff(spark: SparkSession, sf: str) -> DataFrame:
     return _compared(spark, sf).select("path", "parent_pos", "status")
 
 
-@query("SELECT count(*) FILTER (WHERE type = 'file' AND status = 'new') AS files_new, count(*) FILTER (WHERE type = 'file' AND status = 'changed') AS files_changed, count(*) FILTER (WHERE type = 'file' AND status = 'unmodified') AS files_unmodified, CAST(0 AS BIGINT) AS dirs_new, CAST(0 AS BIGINT) AS dirs_changed, CAST(0 AS BIGINT) AS dirs_unmodified, CAST(sum(size) FILTER (WHERE type = 'file') AS BIGINT) AS bytes_processed FROM statuses", _VERSIONS, _PAIRS, _COMPARED)
+_SUMMARY = """dirs AS (SELECT 'dir' AS type, CASE WHEN bool_and(status = 'new') THEN 'new' WHEN bool_and(status = 'unmodified') THEN 'unmodified' ELSE 'changed' END AS status, NULL::BIGINT AS size FROM statuses GROUP BY split_part(path, '/', 1)),
+  every AS (SELECT type, status, size FROM statuses UNION ALL SELECT * FROM dirs), added AS (SELECT blob_type, coalesce(uncompressed_length, length - 32) AS length, length AS packed FROM blobs WHERE NOT to_delete)"""
+_COUNTS = ", ".join(f"count(*) FILTER (WHERE (type = 'dir') = {k == 'dirs'} AND status = '{s}') AS {k}_{s}" for k in ("files", "dirs") for s in ("new", "changed", "unmodified"))
+_ADDED = ", ".join(f"CAST(sum({c}) FILTER (WHERE blob_type = '{t}') AS BIGINT) AS data_added_{n}{x}" for t, n in (("data", "files"), ("tree", "trees")) for c, x in (("length", ""), ("packed", "_packed")))
+
+
+@query(
+    f"SELECT * FROM (SELECT {_COUNTS}, count(*) FILTER (WHERE type <> 'dir') AS files_processed, count(*) FILTER (WHERE type = 'dir') AS dirs_processed, CAST(sum(size) AS BIGINT) AS bytes_processed FROM every), "
+    f"(SELECT count(*) FILTER (WHERE blob_type = 'data') AS data_blobs, count(*) FILTER (WHERE blob_type = 'tree') AS tree_blobs, CAST(sum(length) AS BIGINT) AS data_added, CAST(sum(packed) AS BIGINT) AS data_added_packed, {_ADDED} FROM added)",
+    _VERSIONS, _PAIRS, _COMPARED, t.BLOBS, _SUMMARY,
+)
 def backup_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return trees.backup_summary(_compared(spark, sf))
+    files = _compared(spark, sf).select("path", "type", "status", "size")
+    every = files.unionByName(trees.statuses_of_dirs(files), allowMissingColumns=True)
+    added = t.blobs(spark, sf).where("NOT to_delete").select("blob_type", index.data_length().alias("length"), F.col("length").alias("packed"))
+    return trees.backup_summary(every, added)
 
 
 _SIDES = "wanted AS (SELECT path, arg_min(type, inode) AS type, arg_min(size, inode) AS size, min(mtime) AS mtime FROM versions WHERE source IN (1, 2) GROUP BY path), there AS (SELECT path, arg_min(type, inode) AS type, arg_min(size, inode) AS size, min(mtime) AS mtime FROM versions WHERE source IN (2, 3) GROUP BY path)"
@@ -545,7 +555,17 @@ def hardlink_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return restore.without_hardlinks(rows).select("path", "link_to")
 
 
-@query(None)
+def _level(table: str, above: str, level: int, sub: str) -> str:
+    return f"""{table} AS (SELECT root, {above} AS path, sha256('[' || string_agg('{{"name":"' || name || '","type":"' || type || '","size":' || coalesce(size, 0) || ',"content":"' || coalesce(array_to_string(content, ','), '') || '","subtree":"' || {sub} || '"}}', ',' ORDER BY name) || ']') AS tree_id
+      FROM kept {'' if level == 4 else f"LEFT JOIN l{level + 1} ON l{level + 1}.root = kept.root AND l{level + 1}.path = kept.path"} WHERE depth = {level} GROUP BY kept.root, {above})""".replace("SELECT root", "SELECT kept.root")
+
+
+_SUB = "CASE WHEN type = 'dir' THEN coalesce(l{0}.tree_id, sha256('[]')) ELSE '' END"
+_ABOVE = "regexp_replace(kept.path, '/?[^/]*$', '')"
+_REWRITTEN = ["kept AS (SELECT * FROM paths WHERE NOT regexp_matches(path, '^/?(?:.*/)?o[^/]*9$'))", _level("l4", _ABOVE, 4, "''"), *(_level(f"l{d}", _ABOVE, d, _SUB.format(d + 1)) for d in (3, 2, 1))]
+
+
+@query("SELECT root, path, tree_id FROM l4 UNION ALL SELECT root, path, tree_id FROM l3 UNION ALL SELECT root, path, tree_id FROM l2 UNION ALL SELECT root, path, tree_id FROM l1", t.NODES, *_REWRITTEN)
 def tree_rewrite(spark: SparkSession, sf: str) -> DataFrame:
     return trees.rewritten(trees.closure(t.roots(spark), t.nodes(spark, sf)), ["!o*9"]).select("root", "path", "tree_id")
 
@@ -570,7 +590,7 @@ def copy_needed_blobs(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _used(spark: SparkSession, sf: str) -> DataFrame:
-    """Parts below a size are in use; of blobs with several copies only those in one entry stay, so that ownership is a plain join."""
+    """Parts below a size are in use."""
     return t.read(spark, sf, "part").where("p_size < 20").select(F.col("p_partkey").cast("string").alias("blob_id"))
 
 
@@ -580,69 +600,147 @@ def _single(spark: SparkSession, sf: str) -> DataFrame:
     return rows.withColumn("blob_id", F.concat_ws("-", "blob_id", "index_id", "pack_id", F.col("to_delete").cast("string"), "blob_pos"))
 
 
-_SINGLE = "single AS (SELECT * REPLACE (concat_ws('-', blob_id, index_id, pack_id, CAST(to_delete AS VARCHAR), blob_pos) AS blob_id) FROM blobs), used AS (SELECT blob_id FROM single WHERE CAST(split_part(blob_id, '-', 1) AS BIGINT) IN (SELECT p_partkey FROM part WHERE p_size < 20))"
-_USAGE = """usage AS (SELECT p.*, u.* EXCLUDE (index_id, pack_id, to_delete) FROM packs p JOIN (SELECT index_id, pack_id, to_delete, count(x.blob_id) AS used_blobs, count(*) - count(x.blob_id) AS unused_blobs,
-  CAST(coalesce(sum(length) FILTER (WHERE x.blob_id IS NOT NULL), 0) AS BIGINT) AS used_size, CAST(coalesce(sum(length) FILTER (WHERE x.blob_id IS NULL), 0) AS BIGINT) AS unused_size FROM single s LEFT JOIN used x ON s.blob_id = x.blob_id GROUP BY ALL) u USING (index_id, pack_id, to_delete))"""
+_SINGLE = """single AS (SELECT b.* REPLACE (concat_ws('-', blob_id, index_id, pack_id, CAST(to_delete AS VARCHAR), blob_pos) AS blob_id) FROM blobs b SEMI JOIN firsts USING (index_id, pack_id, to_delete)),
+  used AS (SELECT blob_id FROM single WHERE CAST(split_part(blob_id, '-', 1) AS BIGINT) IN (SELECT p_partkey FROM part WHERE p_size < 20))"""
+_USAGE = """usage AS (SELECT p.*, u.* EXCLUDE (index_id, pack_id, to_delete) FROM firsts p JOIN (SELECT index_id, pack_id, to_delete, count(x.blob_id) AS used_blobs, count(*) - count(x.blob_id) AS unused_blobs,
+  CAST(coalesce(sum(length) FILTER (WHERE x.blob_id IS NOT NULL), 0) AS BIGINT) AS used_size, CAST(coalesce(sum(length) FILTER (WHERE x.blob_id IS NULL), 0) AS BIGINT) AS unused_size,
+  bool_or(uncompressed_length IS NULL) AS uncompressed FROM single s LEFT JOIN used x ON s.blob_id = x.blob_id GROUP BY ALL) u USING (index_id, pack_id, to_delete)),
+  aims AS (SELECT blob_type, CAST(floor(sqrt(CAST(sum(pack_size) AS DOUBLE))) AS BIGINT) + 300 AS aim FROM packs GROUP BY blob_type)"""
 _PRUNE_NOW = datetime(2001, 1, 1)
-_DECIDED = f"""decided AS (SELECT *, CASE WHEN to_delete THEN CASE WHEN used_blobs > 0 THEN 'Recover' WHEN pack_time <= TIMESTAMP '{_PRUNE_NOW}' - INTERVAL 23 HOUR THEN 'Delete' WHEN pack_time IS NULL THEN 'KeepMarkedAndCorrect' ELSE 'KeepMarked' END
-  WHEN used_blobs = 0 AND young THEN 'Keep' WHEN used_blobs = 0 THEN 'MarkDelete' WHEN young THEN 'Keep' WHEN unused_blobs = 0 AND ok THEN 'Keep' ELSE 'Repack' END AS todo,
-  CASE WHEN NOT to_delete AND used_blobs > 0 AND NOT young THEN CASE WHEN unused_blobs > 0 THEN 'PartlyUsed' WHEN NOT ok THEN 'SizeMismatch' END END AS reason
-  FROM (SELECT *, coalesce(pack_time > TIMESTAMP '{_PRUNE_NOW}' - INTERVAL 30 DAY, false) AS young,
-    pack_size * 100 >= 30 * (CAST(floor(sqrt(CAST(coalesce(sum(pack_size) FILTER (WHERE NOT to_delete) OVER (PARTITION BY blob_type), 0) AS DOUBLE))) AS BIGINT) * 1 + 300) AS ok FROM usage))"""
+# Written from the rules: sizes are judged against all packs, those marked and those indexed twice included.
+_DECIDED = f"""decided AS (SELECT * EXCLUDE (young, old, small, large, aim), CASE WHEN to_delete THEN CASE WHEN used_blobs > 0 THEN 'Recover' WHEN old THEN 'Delete' WHEN pack_time IS NULL THEN 'KeepMarkedAndCorrect' ELSE 'KeepMarked' END
+  WHEN used_blobs = 0 AND young THEN 'Keep' WHEN used_blobs = 0 THEN 'MarkDelete' WHEN young THEN 'Keep' WHEN unused_blobs = 0 AND NOT small AND NOT large THEN 'Keep' ELSE 'Repack' END AS todo,
+  CASE WHEN NOT to_delete AND used_blobs > 0 AND NOT young THEN CASE WHEN unused_blobs > 0 THEN 'PartlyUsed' WHEN small OR large THEN 'SizeMismatch' END END AS reason,
+  concat_ws(',', CASE WHEN (young AND NOT to_delete) OR (to_delete AND used_blobs = 0 AND old) THEN 'TooYoung' END, CASE WHEN to_delete AND used_blobs = 0 AND pack_time IS NULL THEN 'TimeNotSet' END, CASE WHEN large THEN 'TooLarge' END, CASE WHEN small THEN 'TooSmall' END,
+    CASE WHEN NOT to_delete AND (used_blobs = 0 OR unused_blobs > 0) THEN 'HasUnusedBlobs' END, CASE WHEN used_blobs > 0 THEN 'HasUsedBlobs' END, CASE WHEN to_delete THEN 'Marked' END) AS status
+  FROM (SELECT usage.*, aim, coalesce(pack_time > TIMESTAMP '{_PRUNE_NOW}' - INTERVAL 30 DAY, false) AS young, coalesce(pack_time <= TIMESTAMP '{_PRUNE_NOW}' - INTERVAL 23 HOUR, false) AS old,
+    pack_size * 100 < 30 * aim AS small, pack_size * 100 > 110 * aim AS large FROM usage JOIN aims USING (blob_type)))"""
+_PLANNED = (t.BLOBS, t.PACKS, t.FIRST, _SINGLE, _USAGE, _DECIDED)
 
 
 def _prune_options(**k) -> prune.Options:
     from palimpsest.model import PackSizing
 
-    return prune.Options(keep_pack="INTERVAL 30 DAYS", tree_sizing=PackSizing(300, 1), data_sizing=PackSizing(300, 1), **k)
+    return prune.Options(keep_pack="INTERVAL 30 DAYS", tree_sizing=PackSizing(300, 1, max_percent=110), data_sizing=PackSizing(300, 1, max_percent=110), **k)
 
 
 def _usage(spark: SparkSession, sf: str) -> DataFrame:
-    rows = _single(spark, sf)
+    """Each copy of a blob is one of its own here, so that ownership is a plain join; prune_ownership has those with copies."""
+    rows = t.blobs(spark, sf)
+    first = index.deduplicated(rows.select(*index.ENTRY).distinct())
+    rows = rows.join(first, list(index.ENTRY), "left_semi").withColumn("blob_id", F.concat_ws("-", "blob_id", "index_id", "pack_id", F.col("to_delete").cast("string"), "blob_pos"))
     used = rows.select("blob_id", F.split_part("blob_id", F.lit("-"), F.lit(1)).alias("part")).join(_used(spark, sf).withColumnRenamed("blob_id", "part"), "part", "left_semi")
     return prune.usage(prune.ownership(rows, used))
 
 
+def _sizes(spark: SparkSession, sf: str) -> dict[str, int]:
+    return prune.sizes_of(index.packs(t.blobs(spark, sf)))
+
+
 def _decided(spark: SparkSession, sf: str) -> DataFrame:
-    return prune.decided(_usage(spark, sf), F.lit(_PRUNE_NOW).cast("timestamp_ntz"), _prune_options())
+    return prune.decided(_usage(spark, sf), F.lit(_PRUNE_NOW).cast("timestamp_ntz"), _prune_options(), _sizes(spark, sf))
 
 
-@query("SELECT index_id, pack_id, to_delete, blob_type, used_blobs, unused_blobs, used_size, unused_size FROM usage", t.BLOBS, t.PACKS, _SINGLE, _USAGE)
+@query("SELECT index_id, pack_id, to_delete, blob_type, used_blobs, unused_blobs, used_size, unused_size FROM usage", *_PLANNED[:5])
 def prune_usage(spark: SparkSession, sf: str) -> DataFrame:
     return _usage(spark, sf).select("index_id", "pack_id", "to_delete", "blob_type", "used_blobs", "unused_blobs", "used_size", "unused_size")
 
 
-@query("SELECT index_id, pack_id, to_delete, todo, reason FROM decided", t.BLOBS, t.PACKS, _SINGLE, _USAGE, _DECIDED)
+@query("SELECT index_id, pack_id, to_delete, todo, reason, status FROM decided", *_PLANNED)
 def prune_decide(spark: SparkSession, sf: str) -> DataFrame:
-    return _decided(spark, sf).select("index_id", "pack_id", "to_delete", "todo", "reason")
+    return _decided(spark, sf).select("index_id", "pack_id", "to_delete", "todo", "reason", F.array_join("status", ",").alias("status"))
 
 
-@query("SELECT blob_type, todo, count(*) AS packs, CAST(sum(used_size) AS BIGINT) AS used_size, CAST(sum(unused_size) AS BIGINT) AS unused_size FROM decided GROUP BY ALL", t.BLOBS, t.PACKS, _SINGLE, _USAGE, _DECIDED)
+@query("SELECT blob_type, todo, status, count(*) AS packs, CAST(sum(used_blobs) AS BIGINT) AS used_blobs, CAST(sum(unused_blobs) AS BIGINT) AS unused_blobs, CAST(sum(used_size) AS BIGINT) AS used_size, CAST(sum(unused_size) AS BIGINT) AS unused_size FROM decided GROUP BY ALL", *_PLANNED)
 def prune_stats(spark: SparkSession, sf: str) -> DataFrame:
-    return prune.stats(_decided(spark, sf))
+    return prune.stats(_decided(spark, sf)).withColumn("status", F.array_join("status", ","))
+
+
+_LIMITS = (10, 5)
+# The greedy choice as a fold over a list; sizes here are so small that shares are exact as doubles.
+_FOLDED = f"""limits AS (SELECT {_LIMITS[0]} * CAST(sum(used_size + unused_size) AS BIGINT) // 100 AS cap, {_LIMITS[1]} * CAST(sum(used_size) AS BIGINT) // (100 - {_LIMITS[1]}) AS rest, CAST(sum(unused_size) - coalesce(sum(unused_size) FILTER (WHERE todo = 'MarkDelete'), 0) AS BIGINT) AS after FROM decided),
+  ordered AS (SELECT *, row_number() OVER (ORDER BY blob_type = 'data', unused_size::DOUBLE / (used_size + unused_size) DESC, index_id, pack_id) AS n FROM decided WHERE todo = 'Repack'),
+  folded AS (SELECT list_reduce(
+      (SELECT list({{'t': blob_type, 'r': reason, 'u': used_size, 'x': unused_size, 'bt': 0::BIGINT, 'bd': 0::BIGINT, 'dt': false, 'dd': false, 'after': 0::BIGINT, 'said': []::VARCHAR[]}} ORDER BY n) FROM ordered),
+      lambda a, c: {{'t': c.t, 'r': c.r, 'u': c.u, 'x': c.x,
+        'bt': a.bt + CASE WHEN c.t = 'tree' AND NOT (a.bt + a.bd + c.u >= cap) THEN c.u ELSE 0 END,
+        'bd': a.bd + CASE WHEN c.t = 'data' AND NOT (a.bt + a.bd + c.u >= cap OR (a.after < rest AND c.r = 'PartlyUsed')) THEN c.u ELSE 0 END,
+        'dt': a.dt OR (c.t = 'tree' AND c.r <> 'SizeMismatch' AND NOT (a.bt + a.bd + c.u >= cap)),
+        'dd': a.dd OR (c.t = 'data' AND c.r <> 'SizeMismatch' AND NOT (a.bt + a.bd + c.u >= cap OR (a.after < rest AND c.r = 'PartlyUsed'))),
+        'after': a.after - CASE WHEN c.r <> 'SizeMismatch' AND NOT (a.bt + a.bd + c.u >= cap OR (a.after < rest AND c.r = 'PartlyUsed' AND c.t = 'data')) THEN c.x ELSE 0 END,
+        'said': list_append(a.said, CASE WHEN a.bt + a.bd + c.u >= cap OR (a.after < rest AND c.r = 'PartlyUsed' AND c.t = 'data') THEN 'Keep' WHEN c.r = 'SizeMismatch' THEN 'Resize' ELSE 'Repack' END)}},
+      {{'t': '', 'r': '', 'u': 0::BIGINT, 'x': 0::BIGINT, 'bt': 0::BIGINT, 'bd': 0::BIGINT, 'dt': false, 'dd': false, 'after': after, 'said': []::VARCHAR[]}}) AS f FROM limits),
+  planned AS (SELECT d.* REPLACE (CASE WHEN o.n IS NULL THEN d.todo WHEN f.said[o.n] <> 'Resize' THEN f.said[o.n]
+      WHEN CASE WHEN d.blob_type = 'tree' THEN f.dt OR f.bt > aim ELSE f.dd OR f.bd > aim END THEN 'Repack' ELSE 'Keep' END AS todo)
+    FROM decided d JOIN aims USING (blob_type) LEFT JOIN ordered o USING (index_id, pack_id, to_delete) CROSS JOIN folded)"""
+
+
+def _planned(spark: SparkSession, sf: str) -> DataFrame:
+    sizes = _sizes(spark, sf)
+    return prune.repacked(_decided(spark, sf), _prune_options(max_repack=prune.Limit(percent=_LIMITS[0]), max_unused=prune.Limit(percent=_LIMITS[1])), sizes)
+
+
+@query("SELECT index_id, pack_id, to_delete, todo FROM planned", *_PLANNED, _FOLDED)
+def prune_decide_repack(spark: SparkSession, sf: str) -> DataFrame:
+    return _planned(spark, sf).select("index_id", "pack_id", "to_delete", "todo")
+
 
+def _gain(unit: str) -> str:
+    total = lambda e, todo: f"CAST(coalesce(sum({e}) FILTER (WHERE todo = '{todo}'), 0) AS BIGINT)"
+    u, n = f"used_{unit}", f"unused_{unit}"
+    return f"CAST(sum({u}) AS BIGINT) AS {u}, CAST(sum({n}) AS BIGINT) AS {n}, {total(n, 'MarkDelete')} AS remove_{unit}, {total(f'{u} + {n}', 'Repack')} AS repack_{unit}, {total(n, 'Repack')} AS repackrm_{unit}, CAST(coalesce(sum({n}) FILTER (WHERE todo NOT IN ('MarkDelete', 'Repack')), 0) AS BIGINT) AS unused_after_{unit}"
 
-@query("SELECT blob_type, CAST(sum(used_size) AS BIGINT) AS used, CAST(sum(unused_size) AS BIGINT) AS unused, CAST(coalesce(sum(unused_size) FILTER (WHERE todo IN ('MarkDelete', 'Delete')), 0) AS BIGINT) AS removed, CAST(coalesce(sum(used_size) FILTER (WHERE todo = 'Repack'), 0) AS BIGINT) AS repacked, CAST(coalesce(sum(unused_size) FILTER (WHERE todo = 'Repack'), 0) AS BIGINT) AS repack_removed, CAST(coalesce(sum(unused_size) FILTER (WHERE todo NOT IN ('MarkDelete', 'Delete', 'Repack')), 0) AS BIGINT) AS unused_after FROM decided GROUP BY blob_type", t.BLOBS, t.PACKS, _SINGLE, _USAGE, _DECIDED)
+
+@query(f"SELECT blob_type, {_gain('size')}, {_gain('blobs')} FROM planned GROUP BY blob_type", *_PLANNED, _FOLDED)
 def prune_gains(spark: SparkSession, sf: str) -> DataFrame:
-    return prune.gains(_decided(spark, sf))
+    return prune.gains(_planned(spark, sf))
+
+
+@query(
+    "SELECT count(*) FILTER (WHERE NOT to_delete AND used_blobs > 0 AND unused_blobs = 0) AS used, count(*) FILTER (WHERE NOT to_delete AND used_blobs > 0 AND unused_blobs > 0) AS partly_used, count(*) FILTER (WHERE NOT to_delete AND used_blobs = 0) AS unused, "
+    "count(*) FILTER (WHERE todo = 'Repack') AS repack, count(*) FILTER (WHERE todo = 'Keep') AS keep, count(*) FILTER (WHERE todo = 'Delete') AS marked_remove, count(*) FILTER (WHERE todo = 'Recover') AS marked_recover, count(*) FILTER (WHERE todo LIKE 'KeepMarked%') AS marked_keep, "
+    "CAST(coalesce(sum(pack_size) FILTER (WHERE todo = 'Delete'), 0) AS BIGINT) AS marked_remove_size, CAST(coalesce(sum(pack_size) FILTER (WHERE todo = 'Recover'), 0) AS BIGINT) AS marked_recover_size, CAST(coalesce(sum(pack_size) FILTER (WHERE todo LIKE 'KeepMarked%'), 0) AS BIGINT) AS marked_keep_size FROM planned",
+    *_PLANNED, _FOLDED,
+)
+def prune_pack_stats(spark: SparkSession, sf: str) -> DataFrame:
+    return prune.pack_stats(_planned(spark, sf))
 
 
-@query("SELECT index_id, bool_or(todo NOT IN ('Keep', 'KeepMarked')) OR sum(blobs) < 2500 AS rebuild FROM decided GROUP BY index_id", t.BLOBS, t.PACKS, _SINGLE, _USAGE, _DECIDED)
+_REBUILT = """dropped AS (SELECT DISTINCT index_id FROM packs ANTI JOIN firsts USING (index_id, pack_id, to_delete)),
+  musts AS (SELECT p.index_id, bool_or(todo NOT IN ('Keep', 'KeepMarked')) OR p.index_id IN (FROM dropped) AS must, sum(blobs) < {least} AS small FROM {of} p GROUP BY p.index_id)"""
+
+
+@query("SELECT index_id, (must OR small) AND NOT (SELECT NOT bool_or(must) AND count(*) FILTER (WHERE must OR small) = 1 FROM musts) AS rebuild FROM musts", *_PLANNED, _REBUILT.format(least=2500, of="decided"))
 def prune_index_filter(spark: SparkSession, sf: str) -> DataFrame:
-    return prune.index_files(_decided(spark, sf), least=2500)
+    return prune.index_files(_decided(spark, sf), least=2500, dropped=prune.duplicates(index.packs(t.blobs(spark, sf))))
 
 
-@query("SELECT coalesce(d.pack_id, f.id) AS pack_id, CASE WHEN d.pack_id IS NULL THEN 'unindexed' WHEN f.id IS NULL AND d.todo <> 'Delete' THEN 'missing' WHEN f.size <> d.pack_size THEN 'size mismatch' END AS state FROM (SELECT * FROM decided QUALIFY row_number() OVER (PARTITION BY pack_id ORDER BY to_delete, index_id) = 1) d FULL JOIN files f ON d.pack_id = f.id WHERE d.pack_id IS NULL OR (f.id IS NULL AND d.todo <> 'Delete') OR f.size <> d.pack_size", t.BLOBS, t.PACKS, _SINGLE, _USAGE, _DECIDED, t.FILES)
+@query("SELECT coalesce(d.pack_id, f.id) AS pack_id, CASE WHEN d.pack_id IS NULL THEN 'unindexed' WHEN f.id IS NULL AND d.todo <> 'Delete' THEN 'missing' WHEN f.size <> d.pack_size THEN 'size mismatch' END AS state FROM decided d FULL JOIN files f ON d.pack_id = f.id WHERE d.pack_id IS NULL OR (f.id IS NULL AND d.todo <> 'Delete') OR f.size <> d.pack_size", *_PLANNED, t.FILES)
 def prune_existing_packs(spark: SparkSession, sf: str) -> DataFrame:
     return prune.existing(_decided(spark, sf), t.pack_files(spark, sf))
 
 
-@query(None)
-def prune_decide_repack(spark: SparkSession, sf: str) -> DataFrame:
-    return prune.repacked(_decided(spark, sf), _prune_options(max_repack=prune.Limit(percent=10), max_unused=prune.Limit(percent=5))).select("index_id", "pack_id", "to_delete", "todo")
+@query(f"SELECT b.index_id, b.pack_id, b.blob_pos, CASE WHEN todo IN ('MarkDelete', 'Repack') THEN true WHEN todo = 'Recover' THEN false ELSE b.to_delete END AS to_delete, CASE WHEN todo IN ('MarkDelete', 'Repack', 'KeepMarkedAndCorrect') THEN TIMESTAMP '{_PRUNE_NOW}' ELSE b.pack_time END AS pack_time FROM blobs b JOIN decided d USING (index_id, pack_id, to_delete) WHERE todo <> 'Delete'", *_PLANNED)
+def prune_new_index(spark: SparkSession, sf: str) -> DataFrame:
+    out = prune.new_index(t.blobs(spark, sf), _decided(spark, sf), F.lit(_PRUNE_NOW).cast("timestamp_ntz"))
+    return out.select("index_id", "pack_id", "blob_pos", "to_delete", "pack_time")
 
 
-@query(None)
+# Entries are visited one after the other; c: copies left of each used blob, o: the entry that has it, p: its place among that entry's used blobs.
+_OWNED = """numbers AS (SELECT CAST(p_partkey AS VARCHAR) AS blob_id, row_number() OVER (ORDER BY p_partkey) AS b FROM part WHERE p_size < 20),
+  held AS (SELECT index_id, pack_id, to_delete, blob_pos, b, row_number() OVER (PARTITION BY index_id, pack_id, to_delete ORDER BY blob_pos) AS j, row_number() OVER (PARTITION BY index_id, pack_id, to_delete, b ORDER BY blob_pos) AS r FROM blobs JOIN numbers USING (blob_id)),
+  grouped AS (SELECT index_id, pack_id, to_delete, list(b ORDER BY j) AS bs, list(r ORDER BY j) AS rs, row_number() OVER (ORDER BY NOT to_delete, index_id, pack_id) AS n FROM held GROUP BY index_id, pack_id, to_delete),
+  copies AS (SELECT list(least(k, 255) ORDER BY b) AS c FROM (SELECT n.b, count(h.b) AS k FROM numbers n LEFT JOIN held h USING (b) GROUP BY n.b)),
+  folded AS (SELECT list_reduce((SELECT list({'bs': bs, 'rs': rs, 'n': n, 'at': NULL::BIGINT, 'c': []::BIGINT[], 'o': []::BIGINT[], 'p': []::BIGINT[]} ORDER BY n) FROM grouped),
+    lambda a, x: list_transform([{'y': x, 'at': list_min(list_filter(range(1, len(x.bs) + 1), lambda q: a.c[x.bs[q]] > 0 AND a.c[x.bs[q]] = x.rs[q]))}], lambda z: {'bs': x.bs, 'rs': x.rs, 'n': x.n, 'at': z.at,
+      'c': list_transform(a.c, lambda v, i: CASE WHEN v = 0 OR NOT list_contains(x.bs, i) THEN v WHEN z.at IS NOT NULL THEN 0 ELSE v - list_max(list_transform(x.bs, lambda w, k: CASE WHEN w = i THEN x.rs[k] ELSE 0 END)) END),
+      'o': list_transform(a.o, lambda v, i: CASE WHEN z.at IS NOT NULL AND a.c[i] > 0 AND list_contains(x.bs, i) THEN x.n ELSE v END),
+      'p': list_transform(a.p, lambda v, i: CASE WHEN z.at IS NOT NULL AND a.c[i] > 0 AND list_contains(x.bs, i) THEN CASE WHEN x.bs[z.at] = i THEN z.at ELSE list_position(x.bs, i) END ELSE v END)})[1],
+    {'bs': []::BIGINT[], 'rs': []::BIGINT[], 'n': 0::BIGINT, 'at': NULL::BIGINT, 'c': c, 'o': list_transform(c, lambda v: 0::BIGINT), 'p': list_transform(c, lambda v: 0::BIGINT)}) AS f FROM copies),
+  owned AS (SELECT h.index_id, h.pack_id, h.to_delete, h.blob_pos FROM held h JOIN grouped g USING (index_id, pack_id, to_delete) CROSS JOIN folded WHERE f.o[h.b] = g.n AND f.p[h.b] = h.j)"""
+
+
+@query("SELECT index_id, pack_id, to_delete, blob_pos, blob_id, o.blob_pos IS NOT NULL AS used FROM blobs b LEFT JOIN owned o USING (index_id, pack_id, to_delete, blob_pos)", t.BLOBS, _OWNED)
 def prune_ownership(spark: SparkSession, sf: str) -> DataFrame:
     return prune.ownership(t.blobs(spark, sf), _used(spark, sf)).select("index_id", "pack_id", "to_delete", "blob_pos", "blob_id", "used")
 

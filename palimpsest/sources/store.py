@@ -86,6 +86,17 @@ def save(df: DataFrame, path: str, by: str | None = None, dry_run: bool = False)
     return df
 
 
+def put(spark: SparkSession, root: str, files: dict[tuple[str, str], bytes], dry_run: bool = False) -> None:
+    """Write files, by type and id, under a location of any file system that Spark knows; packs go to a folder by the first two characters of their id. For the few files
+    that a driver makes, such as snapshots and indexes; tables are written by save()."""
+    jvm = spark.sparkContext._jvm
+    for (tpe, i), content in () if dry_run else files.items():
+        where = jvm.org.apache.hadoop.fs.Path(f"{root_of(root)}/{FOLDERS[tpe]}/{i[:2] + '/' if tpe == 'pack' else ''}{i}")
+        out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+        out.write(bytearray(content))
+        out.close()
+
+
 def removed(table: DataFrame, ids: DataFrame, config: Config = Config()) -> DataFrame:  # noqa: B008
     guard(config, "removing files")
     return table.join(ids.select("id"), "id", "left_anti")

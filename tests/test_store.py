@@ -2,10 +2,11 @@
 
 import hashlib
 import random
+from dataclasses import replace
 from datetime import datetime, timedelta
 
 import pytest
-from palimpsest.functions import ids, paths, times
+from palimpsest.functions import ids, packfile, paths, times
 from palimpsest.model import Config, PackSizing
 from palimpsest.operators import check, chunks, index, packing, prune, restore, retention, snapshots, trees, vfs
 from palimpsest.sources import store
@@ -256,8 +257,157 @@ def test_claims():
     assert prune.claim([("p", ["a", "b"]), ("q", ["b", "a"])], {"a": 2, "b": 2}) == {"p": [False, False], "q": [True, True]}
     assert prune.claim([("p", ["a", "b", "a"]), ("q", ["a"])], {"a": 3, "b": 1}) == {"p": [True, True, False], "q": [False]}
     assert prune.claim([("p", ["a", "a"])], {"a": 2}) == {"p": [False, True]}
-    repacks = [{"blob_type": "data", "reason": "PartlyUsed", "used_size": u, "unused_size": n} for u, n in ((50, 50), (80, 20), (10, 1))]
-    assert prune.fold_candidates(repacks, {"unused_after": 71}, 100, 5, False, {"tree": 0, "data": 0}) == ["Repack", "Keep", "Repack"]
+    fold = prune.Fold(71, 100, 5)
+    assert [fold("data", "PartlyUsed", u, n) for u, n in ((50, 50), (80, 20), (10, 1))] == ["Repack", "Keep", "Repack"]
+    fold = prune.Fold(0, 1000, 0)
+    assert [fold("data", "SizeMismatch", 10, 0), fold("tree", "SizeMismatch", 10, 0), fold("tree", "ToCompress", 10, 0)] == [None, None, "Repack"]
+    assert fold.grown({"tree": 100, "data": 10}) == {"tree": True, "data": False} and fold.grown({"tree": 100, "data": 9})["data"]
+
+
+def test_ownership_by_rounds_is_the_fold(spark):
+    rnd = random.Random(5)
+    rows = []
+    for k in range(60):
+        ids = [f"b{rnd.randrange(40)}" for _ in range(rnd.randrange(1, 6))]
+        rows += entry(f"i{rnd.randrange(3)}", f"p{k:02}", [(b, 10 + k) for b in ids], rnd.random() < 0.3, "2020-01-01T00:00:00")
+    rows += [r for k in range(300) for r in entry("many", f"q{k:03}", [("hot", 10)])]
+    rows += [r for k in range(6) for r in entry("chain", f"c{k}", [(f"l{k}", 5), (f"l{k + 1}", 5)])]  # each depends on the one before it
+    blobs = spark.createDataFrame(rows, INDEX)
+    used = spark.createDataFrame([(f"b{i}",) for i in range(30)] + [("hot",), *((f"l{k}",) for k in range(1, 6))], "blob_id string")
+    shown = lambda n: sorted((r.index_id, r.pack_id, r.to_delete, r.blob_pos, r.used) for r in prune.ownership(blobs, used, fold_rows=n).collect())
+    folded = shown(1 << 18)
+    assert len(folded) == len(rows) and shown(0) == folded
+    assert [p for _, p, _, _, u in folded if u and p.startswith("q")] == ["q254"]
+
+
+def test_prune_order_and_accounts(spark):
+    """Shares that differ in the seventh digit are told apart; unused bytes of packs deleted now, marked before, stay in the account; marked packs count for sizes."""
+    kinds = "index_id string, pack_id string, to_delete boolean, blob_type string, pack_size long, blobs long, pack_time timestamp_ntz, used_blobs long, unused_blobs long, used_size long, unused_size long, uncompressed boolean"
+    old = datetime(2020, 1, 1)
+    rows = [("i", str(k), False, "data", 6_000_100, 2, old, 1, 1, 3_000_000, 3_000_000 + k, False) for k in (1, 2, 3)]
+    df = spark.createDataFrame(rows, kinds)
+    assert [r.pack_id for r in df.orderBy(*prune.repack_order()).collect()] == ["3", "2", "1"]
+    now = F.lit(datetime(2020, 2, 1)).cast("timestamp_ntz")
+    options = prune.Options(max_repack=prune.Limit(), max_unused=prune.Limit(size=52), data_sizing=PackSizing(0, 0))
+    rows = [("i", "a", False, "data", 100, 2, old, 1, 1, 900, 5, False), ("i", "d", True, "data", 100, 1, old, 0, 1, 0, 100, False)]
+    entries = prune.decided(spark.createDataFrame(rows, kinds), now, options)
+    assert {r.pack_id: r.todo for r in prune.repacked(entries, options).collect()} == {"a": "Repack", "d": "Delete"}
+    assert {r.pack_id: r.status for r in entries.collect()} == {"a": ["HasUnusedBlobs", "HasUsedBlobs"], "d": ["TooYoung", "Marked"]}
+    done = prune.repacked(entries, options)
+    g = prune.gains(done).first()
+    assert (g.remove_size, g.repack_size, g.repackrm_size, g.unused_after_size) == (0, 905, 5, 100)
+    s = prune.pack_stats(done).first()
+    assert (s.partly_used, s.repack, s.marked_remove, s.marked_remove_size) == (1, 1, 1, 100)
+    sizing = prune.Options(data_sizing=PackSizing(0, 10, min_percent=100))
+    full = [("i", "a", False, "data", 100, 1, old, 1, 0, 50, 0, False), ("i", "d", True, "data", 9_900, 1, old, 0, 1, 0, 100, False)]
+    assert [r.reason for r in prune.decided(spark.createDataFrame(full, kinds), now, sizing).where("pack_id = 'a'").collect()] == ["SizeMismatch"]
+
+
+def test_index_files_of_a_plan(spark):
+    kinds = "index_id string, pack_id string, to_delete boolean, todo string, blobs long"
+    shown = lambda rows, **k: {r.index_id: r.rebuild for r in prune.index_files(spark.createDataFrame(rows, kinds), least=10, **k).collect()}
+    assert shown([("a", "1", False, "Keep", 50), ("b", "2", False, "Keep", 3)]) == {"a": False, "b": False}
+    assert shown([("a", "1", False, "Keep", 5), ("b", "2", False, "Keep", 3)]) == {"a": True, "b": True}
+    assert shown([("a", "1", False, "Repack", 50), ("b", "2", False, "Keep", 3)]) == {"a": True, "b": True}
+    assert shown([("a", "1", True, "KeepMarked", 50)]) == {"a": False} and shown([("a", "1", True, "KeepMarked", 50)], instant_delete=True) == {"a": True}
+    twice = spark.createDataFrame([("a", "1", False), ("b", "1", False), ("b", "2", True)], "index_id string, pack_id string, to_delete boolean")
+    assert [tuple(r) for r in prune.duplicates(twice).collect()] == [("b", "1", False)]
+    assert shown([("a", "1", False, "Keep", 50), ("b", "2", True, "KeepMarked", 50)], dropped=prune.duplicates(twice)) == {"a": False, "b": True}
+
+
+def test_virtual_paths(spark):
+    rows = [("h/a/1", "tree", "root", None), ("h/a/2", "link", None, "1"), ("g/1", "tree", "R0", None)]
+    df = spark.createDataFrame(rows, "path string, kind string, tree string, target string")
+    asked = spark.createDataFrame([("/h/a/1/x/y",), ("h/a",), ("",), ("h/a/2/q",), ("h/b",), ("h/a/1",)], "path string")
+    got = {r.path: (r.kind, r.tree, r.rest, r.target) for r in vfs.resolved(df, asked).collect()}
+    assert got == {"/h/a/1/x/y": ("tree", "root", "x/y", None), "h/a": ("dir", None, None, None), "": ("dir", None, None, None), "h/a/2/q": ("link", None, None, "1"), "h/b": (None,) * 4, "h/a/1": ("tree", "root", "", None)}
+    assert {tuple(r) for r in vfs.listed(df, "/h/a").collect()} == {("1", "dir", None), ("2", "symlink", "1")} and {r.name for r in vfs.listed(df, "").collect()} == {"h", "g"}
+    nodes = spark.createDataFrame([("root", "x", "dir", "sub"), ("sub", "y", "file", None)], "tree_id string, name string, type string, subtree string")
+    assert tuple(vfs.node_at(df, nodes, "h/a/1/x/y").first()) == ("tree", "y", "file", None) and tuple(vfs.node_at(df, nodes, "h").first())[2] == "dir"
+    assert vfs.node_at(df, nodes, "h/a/1/z").count() == 0 and vfs.node_at(df, nodes, "nowhere").count() == 0
+    assert [r.name for r in vfs.dir_entries(df, nodes, "h/a/1/x").collect()] == ["y"] and [r.name for r in vfs.dir_entries(df, nodes, "h/a/1").collect()] == ["x"]
+    assert {r.name for r in vfs.dir_entries(df, nodes, "h").collect()} == {"a"} and vfs.dir_entries(df, nodes, "h/a/1/x/y").count() == 0
+    with pytest.raises(NotADirectoryError):
+        vfs.dir_entries(df, nodes, "h/a/2")
+
+
+def test_merged_snapshots_keep_topmost_paths(spark):
+    rows = [("1", datetime(2020, 1, 1), ["/a/b", "/ab"], ["x"]), ("2", datetime(2020, 1, 2), ["/a"], None), ("3", None, None, ["y", "x"])]
+    got = snapshots.merged(spark.createDataFrame(rows, "id string, time timestamp_ntz, paths array<string>, tags array<string>")).first()
+    assert (got.time, got.paths, got.tags, got.parents) == (datetime(2020, 1, 2), ["/a", "/ab"], ["x", "y"], ["1", "2", "3"])
+
+
+def pack_rows(i, pack):
+    return [(f"i{i}", hashlib.sha256(pack).hexdigest(), False, None, k, b[4], b[3], b[0], b[1], b[2]) for k, b in enumerate(packfile.header(pack))]
+
+
+def test_packs_are_verified_and_read_again(spark):
+    import zstandard
+
+    good = packfile.built([("data", b"hello"), ("tree", b"{}")])
+    zipped = packfile.built([("data", b"x" * 1000)], zstandard.ZstdCompressor().compress)
+    blob_wrong = good[:16] + b"j" + good[17:]
+    cut, wrong_length = good[:-1], good[:-4] + b"\1\0\0\0"
+    name = lambda p: hashlib.sha256(p).hexdigest()
+    rows = pack_rows(1, good) + pack_rows(2, zipped)
+    rows += [(r[0], name(blob_wrong), *r[2:]) for r in pack_rows(3, good)] + [(r[0], name(wrong_length), *r[2:]) for r in pack_rows(4, good)] + [(r[0], name(cut), *r[2:]) for r in pack_rows(5, good)]
+    swapped = packfile.built([("data", b"hellu"), ("tree", b"{}")])
+    rows += [(r[0], name(swapped), *r[2:]) for r in pack_rows(6, good)] + [(r[0], "f" * 64, *r[2:]) for r in pack_rows(7, good)]
+    short = packfile.built([("data", b"x" * 1000)], lambda b: zstandard.ZstdCompressor().compress(b[:-1]))
+    rows += [(*r[:5], hashlib.sha256(b"x" * 999).hexdigest(), *r[6:]) for r in pack_rows(8, short)]
+    index_rows = spark.createDataFrame([(*r[:3], r[3], *r[4:]) for r in rows], INDEX)
+    packs_ = [(name(p), bytearray(p)) for p in (good, zipped, blob_wrong, wrong_length, cut, swapped, short)] + [("f" * 64, bytearray(good))]
+    files = spark.createDataFrame(packs_, "id string, content binary")
+    found = {(r.pack_id, r.kind) for r in check.verified_packs(files, index_rows).collect()}
+    assert found == {
+        (name(blob_wrong), "PackBlobHashMismatch"), (name(wrong_length), "PackHeaderLengthMismatch"), (name(cut), "PackSizeMismatch"), (name(swapped), "PackHeaderMismatchIndex"), ("f" * 64, "PackHashMismatch"),
+        (name(short), "PackHeaderMismatchIndex"),
+    }
+    listed = [(*packfile.header(short)[0][:4], hashlib.sha256(b"x" * 1000).hexdigest())]
+    assert [k for k, *_ in packfile.findings(name(short), short, listed)] == ["PackBlobLengthMismatch", "PackBlobHashMismatch"]
+    sizes = files.select(F.lit("pack").alias("tpe"), "id", F.length("content").cast("long").alias("size"))
+    broken = index_rows.withColumn("length", F.when(F.col("pack_id") == name(zipped), F.col("length") + 1).otherwise(F.col("length"))).where(F.col("pack_id") != name(swapped))
+    new = check.index_rebuilt(broken, sizes, lambda ids: files.join(ids, "id")).where(F.col("pack_id").isin(name(good), name(zipped), name(swapped), name(cut)))
+    assert {(r.index_id, r.pack_id, r.blob_pos, r.blob_id, r.length) for r in new.collect()} == {
+        *((r[0], r[1], r[4], r[5], r[8]) for r in pack_rows(1, good)), *(("rebuilt", r[1], r[4], r[5], r[8]) for r in pack_rows(2, zipped) + pack_rows(6, swapped)),
+    }
+    with pytest.raises(ValueError):
+        packfile.header(b"ab")
+
+
+def test_source_filters(spark):
+    from palimpsest.sources.filters import filtered
+
+    rows = [
+        ("r/.git", "dir", None, 1, None, None), ("r/.gitignore", "file", 9, 1, None, "*.o\n!keep.o\nbuild/\n/top\n# no\n\n"), ("r/a.o", "file", 1, 1, None, None), ("r/keep.o", "file", 1, 1, None, None),
+        ("r/build/x", "file", 1, 1, None, None), ("r/build/keep.o", "file", 1, 1, None, None), ("r/s/top", "file", 1, 1, None, None), ("r/top", "file", 1, 1, None, None), ("r/s/.gitignore", "file", 5, 1, None, "!a.o\n"), ("r/s/a.o", "file", 1, 1, None, None),
+        ("r/.git/info/exclude", "file", 3, 1, None, "*.tmp"), ("r/t.tmp", "file", 1, 1, None, None), ("q/.gitignore", "file", 3, 1, None, "*"), ("q/b", "file", 7, 1, None, None), ("q/CACHE", "file", 1, 1, ["user.no"], None),
+        ("m", "dir", None, 2, None, None), ("m/z", "file", 1, 2, None, None), ("q/.own", "file", 1, 1, None, "b"),
+    ]
+    df = spark.createDataFrame(rows, "path string, type string, size long, device_id long, xattrs array<string>, content string")
+    every = {r[0] for r in rows}
+    gone = lambda **k: every - {r.path for r in filtered(df, **k).collect()}
+    assert gone() == set()
+    assert gone(git_ignore=True) == {"r/a.o", "r/build/x", "r/build/keep.o", "r/top", "r/t.tmp"}
+    assert gone(git_ignore=True, no_require_git=True) == gone(git_ignore=True) | {"q/.gitignore", "q/b", "q/CACHE", "q/.own"}
+    assert gone(custom_ignorefiles=[".own"]) == {"q/b"}
+    assert gone(exclude_if_present=["CACHE"]) == {"q/.gitignore", "q/b", "q/CACHE", "q/.own"}
+    assert gone(exclude_if_xattr=["user.no"]) == {"q/CACHE"}
+    assert gone(one_file_system=True) in ({"m", "m/z"}, every - {"m", "m/z"}) and gone(exclude_larger_than=6) == {"q/b", "r/.gitignore"}
+
+
+def test_plugged_in_source(spark):
+    from palimpsest.sources import entries
+
+    class Numbers(entries.Entries):
+        def parts(self):
+            return ["a", "b"]
+
+        def entries(self, part):
+            yield from ((f"{part}/{i}", "file", i, datetime(2020, 1, 1), bytes(i)) for i in range(3))
+
+    got = entries.read(spark, Numbers(), "numbers")
+    assert sorted((r.path, r.size, len(r.content)) for r in got.collect()) == [(f"{p}/{i}", i, i) for p in "ab" for i in range(3)]
 
 
 def test_vfs_and_sources(spark, tmp_path):
@@ -297,6 +447,12 @@ def test_repository(spark):
     source = spark.createDataFrame([("f", "file", 4, 1, bytearray(b"abcd")), ("g", "file", 2, 1, bytearray(b"ab"))], "path string, type string, size long, mtime long, content binary")
     judged, cut, new = repo.backup(source, size=2)
     assert cut.count() == 3 and new.count() == 2 and {r.status for r in judged.collect()} == {"new"}
+    assert {(r.kind, r.path) for r in replace(repo, nodes=nodes.where("tree_id <> 's'"), blobs=repo.blobs.where("blob_id <> 's'")).check().collect()} >= {("ErrorCheckingTrees", "a"), ("SubTreeMissingInIndex", "a")}
+    new, made = repo.rewrite_snapshots_and_trees(["!f"])
+    assert {(r.id, r.tags == ["rewrite"], r.tree != "r1") for r in new.collect()} == {(snaps.first().id, True, True)} and made.where("path = ''").count() == 2
+    assert repo.rewrite_snapshots_and_trees()[0].count() == 0 and repo.rewrite_snapshots_and_trees(label="other")[0].count() == 2
+    assert '"name":"f"' in repo.cat_tree("latest~1").first().content and '"name":"y.txt"' in repo.cat_tree("latest~1:a/d").first().content
+    assert repo.drop_data_from_index().blobs.count() == 5 and repo.drop_index().blobs.count() == 0
     assert repo.rewrite_snapshots(add_tags=["x"]).select("tags").first().tags == ["rewrite", "x"]
     with pytest.raises(PermissionError):
         repo.apply_config(append_only=True).prune(None, now)
