@@ -30,11 +30,11 @@ def data_length() -> Column:
     return F.coalesce(F.col("uncompressed_length"), F.col("length") - OVERHEAD)
 
 
-def packs(blobs: DataFrame) -> DataFrame:
-    """A row for each entry of a pack in an index: blob_type (that of its first blob; data if it has none), blobs, pack_size (what the file must measure)."""
+def packs(blobs: DataFrame, *more: Column) -> DataFrame:
+    """A row for each entry of a pack in an index: blob_type (that of its first blob; data if it has none), blobs, pack_size (what the file must measure), and more aggregates."""
     first = F.min_by("blob_type", "blob_pos")
     size = F.coalesce(F.sum(F.col("length") + entry_length()), F.lit(0)) + OVERHEAD + HEADER_LENGTH
-    return blobs.groupBy(*ENTRY).agg(F.coalesce(first, F.lit("data")).alias("blob_type"), F.count("blob_id").alias("blobs"), size.cast("long").alias("pack_size"), F.min("pack_time").alias("pack_time"))
+    return blobs.groupBy(*ENTRY).agg(F.coalesce(first, F.lit("data")).alias("blob_type"), F.count("blob_id").alias("blobs"), size.cast("long").alias("pack_size"), F.min("pack_time").alias("pack_time"), *more)
 
 
 def deduplicated(entries: DataFrame) -> DataFrame:

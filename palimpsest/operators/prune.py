@@ -83,13 +83,15 @@ def _folded(shared: DataFrame) -> DataFrame:
     ship(shared.sparkSession)
 
     def run(batches):
-        pdf = pd.concat([*batches]).sort_values(list(ORDER))
-        left = dict(zip(pdf["blob_id"], pdf["copies"].clip(upper=MOST_COPIES).astype(int), strict=True))
-        taken = claim(((k, g["blob_id"].tolist()) for k, g in pdf.groupby(["live", "index_id", "pack_id"], sort=True)), left)
-        pdf = pdf[[x for own in taken.values() for x in own]]
-        yield pdf[["live", "index_id", "pack_id", "blob_pos"]]
+        pdf = pd.concat([*batches], ignore_index=True)
+        left = dict(zip(pdf["blob_id"], pdf["copies"].clip(upper=MOST_COPIES).tolist(), strict=True))
+        entry = pdf[["live", "index_id", "pack_id"]]
+        starts = [*(entry != entry.shift()).any(axis=1).to_numpy().nonzero()[0].tolist(), len(pdf)]
+        ids = pdf["blob_id"].tolist()
+        taken = claim(((i, ids[i:j]) for i, j in zip(starts, starts[1:], strict=False)), left)
+        yield pdf[[x for own in taken.values() for x in own]][["live", "index_id", "pack_id", "blob_pos"]]
 
-    return shared.repartition(1).mapInPandas(run, shared.select(*ORDER).schema)
+    return shared.repartition(1).sortWithinPartitions(*ORDER).mapInPandas(run, shared.select(*ORDER).schema)
 
 
 def _rounds(shared: DataFrame) -> DataFrame:
@@ -129,32 +131,32 @@ def ownership(blobs: DataFrame, used: DataFrame, fold_rows: int = FOLD_ROWS) ->
     Blobs with one copy need a join only. Where used blobs have further copies, the entries that hold these are taken in order, after those marked for deletion
     (see claim()): in one fold where their used blobs are no more than fold_rows, else in rounds of joins. Rows without a blob are left out.
     """
-    rows = blobs.where("blob_id IS NOT NULL").join(used.select("blob_id").distinct().withColumn("_used", F.lit(True)), "blob_id", "left").withColumn("live", ~F.col("to_delete"))
-    copies = rows.where("_used").groupBy("blob_id").agg(F.count("*").alias("copies"))
-    rows = settled(rows.join(copies, "blob_id", "left"))
+    every = blobs.where("blob_id IS NOT NULL")
+    copies = every.join(used.select("blob_id").distinct(), "blob_id", "left_semi").groupBy("blob_id").agg(F.count("*").alias("copies"))
+    rows = settled(every.join(copies, "blob_id", "left").withColumns({"live": ~F.col("to_delete"), "_used": F.col("copies").isNotNull()}))
     contested = rows.where("copies > 1").select(*ENTRY).distinct()
-    shared = settled(rows.where("_used").join(contested, list(ENTRY), "left_semi").select(*ORDER, "blob_id", "copies"))
+    shared = rows.where("_used").join(contested, list(ENTRY), "left_semi").select(*ORDER, "blob_id", "copies")
     n = shared.count()
     if not n:
-        return rows.select(*blobs.columns, F.coalesce("_used", F.lit(False)).alias("used"))
+        return rows.select(*blobs.columns, F.col("_used").alias("used"))
+    shared = settled(shared)
     taken = (_folded if n <= fold_rows else _rounds)(shared)
     taken = taken.select(*(F.col(c).alias(f"_{c}") for c in ORDER))
     same = F.lit(True)
     for c in ORDER:
         same = same & (F.col(c) == F.col(f"_{c}"))
-    plain = rows.join(contested, list(ENTRY), "left_anti").select(*blobs.columns, F.coalesce("_used", F.lit(False)).alias("used"))
+    plain = rows.join(contested, list(ENTRY), "left_anti").select(*blobs.columns, F.col("_used").alias("used"))
     mixed = rows.join(contested, list(ENTRY), "left_semi").join(taken, same, "left").select(*blobs.columns, F.col("_blob_pos").isNotNull().alias("used"))
     return plain.unionByName(mixed)
 
 
 def usage(owned: DataFrame) -> DataFrame:
     """Entries of packs() with used_blobs, unused_blobs, used_size, unused_size, uncompressed (whether any blob is)."""
-    own = owned.groupBy(*ENTRY).agg(
-        F.count_if("used").alias("used_blobs"), F.count_if(~F.col("used")).alias("unused_blobs"),
-        F.coalesce(F.sum(F.when(F.col("used"), F.col("length"))), F.lit(0)).alias("used_size"), F.coalesce(F.sum(F.when(~F.col("used"), F.col("length"))), F.lit(0)).alias("unused_size"),
+    total = lambda c: F.coalesce(F.sum(F.when(c, F.col("length"))), F.lit(0))
+    return packs(
+        owned, F.count_if("used").alias("used_blobs"), F.count_if(~F.col("used")).alias("unused_blobs"), total(F.col("used")).alias("used_size"), total(~F.col("used")).alias("unused_size"),
         F.bool_or(F.col("uncompressed_length").isNull()).alias("uncompressed"),
     )
-    return packs(owned).join(own, list(ENTRY))
 
 
 def sizes_of(entries: DataFrame) -> dict[str, int]:

@@ -12,6 +12,7 @@ from palimpsest.functions import ids, paths
 from palimpsest.model import DATA_SIZING, TREE_SIZING
 from palimpsest.operators import check, chunks, index, packing, prune, restore, retention, snapshots, trees, vfs
 from palimpsest.plans import tables as t
+from palimpsest.session import settled
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -624,21 +625,21 @@ def _prune_options(**k) -> prune.Options:
     return prune.Options(keep_pack="INTERVAL 30 DAYS", tree_sizing=PackSizing(300, 1, max_percent=110), data_sizing=PackSizing(300, 1, max_percent=110), **k)
 
 
-def _usage(spark: SparkSession, sf: str) -> DataFrame:
+def _usage(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
     """Each copy of a blob is one of its own here, so that ownership is a plain join; prune_ownership has those with copies."""
-    rows = t.blobs(spark, sf)
+    rows = t.blobs(spark, sf) if rows is None else rows
     first = index.deduplicated(rows.select(*index.ENTRY).distinct())
     rows = rows.join(first, list(index.ENTRY), "left_semi").withColumn("blob_id", F.concat_ws("-", "blob_id", "index_id", "pack_id", F.col("to_delete").cast("string"), "blob_pos"))
     used = rows.select("blob_id", F.split_part("blob_id", F.lit("-"), F.lit(1)).alias("part")).join(_used(spark, sf).withColumnRenamed("blob_id", "part"), "part", "left_semi")
     return prune.usage(prune.ownership(rows, used))
 
 
-def _sizes(spark: SparkSession, sf: str) -> dict[str, int]:
-    return prune.sizes_of(index.packs(t.blobs(spark, sf)))
-
-
-def _decided(spark: SparkSession, sf: str) -> DataFrame:
-    return prune.decided(_usage(spark, sf), F.lit(_PRUNE_NOW).cast("timestamp_ntz"), _prune_options(), _sizes(spark, sf))
+def _decided(spark: SparkSession, sf: str, plan=None) -> DataFrame:
+    """Decisions, or what plan makes of them and the sizes. The index, which is made of other tables here, is settled first."""
+    rows = settled(t.blobs(spark, sf))
+    sizes = prune.sizes_of(index.packs(rows))
+    found = prune.decided(_usage(spark, sf, rows), F.lit(_PRUNE_NOW).cast("timestamp_ntz"), _prune_options(), sizes)
+    return plan(found, sizes) if plan else found
 
 
 @query("SELECT index_id, pack_id, to_delete, blob_type, used_blobs, unused_blobs, used_size, unused_size FROM usage", *_PLANNED[:5])
@@ -676,8 +677,8 @@ _FOLDED = f"""limits AS (SELECT {_LIMITS[0]} * CAST(sum(used_size + unused_size)
 
 
 def _planned(spark: SparkSession, sf: str) -> DataFrame:
-    sizes = _sizes(spark, sf)
-    return prune.repacked(_decided(spark, sf), _prune_options(max_repack=prune.Limit(percent=_LIMITS[0]), max_unused=prune.Limit(percent=_LIMITS[1])), sizes)
+    options = _prune_options(max_repack=prune.Limit(percent=_LIMITS[0]), max_unused=prune.Limit(percent=_LIMITS[1]))
+    return _decided(spark, sf, lambda found, sizes: prune.repacked(found, options, sizes))
 
 
 @query("SELECT index_id, pack_id, to_delete, todo FROM planned", *_PLANNED, _FOLDED)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -58,9 +59,39 @@ def get(table: DataFrame, i: str) -> DataFrame:
     return table.where(F.col("id") == i)
 
 
+def _empty_files(spark: SparkSession, path: str) -> DataFrame:
+    """path, mtime of files without content, which Spark's file sources pass over: folders directly below path are listed in a task each."""
+    import pyarrow as pa
+    from pyarrow import fs
+
+    scheme = urlparse(path).scheme
+    files, inner = fs.FileSystem.from_uri(path if scheme else f"file://{path}")
+    whole = path if scheme else f"file:{path}"
+    lead = whole[: len(whole) - len(inner)]
+
+    def found(folder: str, deep: bool) -> list[tuple]:
+        own = files.get_file_info(fs.FileSelector(folder, recursive=deep))
+        return [(lead + x.path, x.mtime) for x in own if x.type == fs.FileType.File and not x.size]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            own = [x for f in b.column(0).to_pylist() for x in found(f, True)]
+            yield pa.RecordBatch.from_arrays([pa.array([p for p, _ in own], pa.string()), pa.array([t for _, t in own], pa.timestamp("us", "UTC"))], names=["path", "mtime"])
+
+    below = [(x.path,) for x in files.get_file_info(fs.FileSelector(inner)) if x.type == fs.FileType.Directory]
+    schema = "path string, mtime timestamp"
+    out = spark.createDataFrame(found(inner, False), schema)
+    if below:
+        out = out.unionByName(spark.createDataFrame(below, "inner string").repartition(len(below)).mapInArrow(run, schema))
+    return out
+
+
 def walked(spark: SparkSession, path: str, marker: str | None = None, max_size: int | None = None, keep: Column | None = None) -> DataFrame:
-    """path, type, size, mtime, content of files under a folder, without those too large, those in folders that hold a marker file, or those a condition leaves out."""
+    """path, type, size, mtime, content of files under a folder, empty ones included, without those too large, those in folders that hold a marker file, or those a
+    condition leaves out."""
     rows = _binary(spark, path, True).select(F.col("path"), F.lit("file").alias("type"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"), "content")
+    empty = _empty_files(spark, root_of(path))
+    rows = rows.unionByName(empty.select("path", F.lit("file").alias("type"), F.lit(0).cast("long").alias("size"), "mtime", F.unhex(F.lit("")).alias("content")))
     if max_size is not None:
         rows = rows.where(F.col("size") <= max_size)
     if marker is not None:
