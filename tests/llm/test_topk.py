@@ -38,11 +38,28 @@ def test_few_and_none(spark):
     assert run(spark, vectors, [], 3) == run(spark, [], vectors, 3) == run(spark, vectors[:1], vectors[:1], 3) == []
 
 
-def test_blocks_are_pruned():
+def test_blocks_are_passed_over(spark):
+    """Vectors in tight groups: most blocks can't reach a query's threshold and are never scored; the result is still that of brute force."""
     rng = np.random.default_rng(1)
-    rows = np.repeat(rng.integers(-900, 900, (40, 8)), 128, axis=0) + rng.integers(-5, 5, (5120, 8)).astype(float)
-    blocks = topk.Blocks(np.arange(5120), rows)
-    query = rng.integers(-900, 900, 8).astype(float)
-    ids, scores = blocks.best(-1, query, 10)
-    want = sorted(zip((-(rows @ query)).astype(int).tolist(), range(5120)))[:10]
-    assert list(zip((-scores).tolist(), ids.tolist())) == want and blocks.scored < 10
+    rows = np.repeat(rng.integers(-900, 900, (60, 8)), topk.BLOCK, axis=0) + rng.integers(-5, 5, (60 * topk.BLOCK, 8))
+    vectors = [(i, (r / 1024).tolist()) for i, r in enumerate(rows)]
+    queries = vectors[::97]
+    schema = "vec_id long, embedding array<double>"
+    v, q = spark.createDataFrame(vectors, schema), spark.createDataFrame(queries, schema)
+    found, first, second = topk.search(v, q, 10)
+    scored = sum(len(r["keys"]) // 8 for r in first.union(second).collect())
+    assert scored < 0.2 * 60 * len(queries)
+    score = rows @ rows[::97].T
+    want = []
+    for n, (i, _) in enumerate(queries):
+        order = [x for x in np.lexsort((np.arange(len(rows)), -score[:, n])).tolist() if x != i][:10]
+        want += [(i, r, x, int(score[x, n])) for r, x in enumerate(order, 1)]
+    assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "CartesianProduct" not in found._jdf.queryExecution().toString()
+
+
+def test_bounds_hold():
+    rng = np.random.default_rng(2)
+    rows, queries = rng.integers(-900, 900, (128, 8)).astype(float), rng.integers(-900, 900, (20, 8)).astype(float)
+    high, low = topk.summary(rows)
+    assert (topk.bounds(queries, high[None], low[None])[:, 0] >= (queries @ rows.T).max(axis=1)).all()
