@@ -5,6 +5,7 @@ from __future__ import annotations
 import contextlib
 import functools
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -33,13 +34,13 @@ def count_words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where none is set."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Where it is unset, the warehouse; on a single machine, a folder of its own."""
     sc = spark.sparkContext
     found = spark.conf.get("spark.checkpoint.dir", None) or (sc._jsc.sc().getCheckpointDir().get() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
-    if not found:
+    if not found and re.match(r"local(\[|$)", sc.master):
         found = tempfile.mkdtemp(prefix="palimpsest-")
         sc.setCheckpointDir(found)
-    return found
+    return found or spark.conf.get("spark.sql.warehouse.dir")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:

@@ -21,8 +21,10 @@ from palimpsest.llm.pieces import gather
 
 GRAMS = (3, 4, 5)
 BUCKETS = 1 << 17
-#: At most about so many labelled rows are fitted, of texts of at most so many characters. Scoring has no such limit.
-FIT_ROWS, FIT_CHARS = 6000, 30_000
+#: About so many labelled rows are fitted, whatever their length. Scoring has no such limit.
+FIT_ROWS = 6000
+#: How often each fitted row is seen, and steps of training that are made in any case.
+EPOCHS, STEPS = 8.5, 800
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -102,11 +104,22 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-def bags(texts: list[str], seen: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+#: A text's different words and how often each occurs: as long as its vocabulary, not as the text.
+Counted = tuple[list[str], np.ndarray]
+
+
+def counted(text: str | None) -> Counted:
+    seen: dict[str, int] = {}
+    for w in cut(text):
+        seen[w] = seen.get(w, 0) + 1
+    return list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+
+
+def bags(texts: list[Counted], seen: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets that at least so many texts have; for all texts the places of their buckets among these, the buckets' shares of
     the text's subwords, and how many buckets each text has."""
     known: dict[str, int] = {}
-    rows = [np.array([known.setdefault(w, len(known)) for w in cut(t)], np.int32) for t in texts]
+    rows = [np.array([known.setdefault(w, len(known)) for w in words], np.int32) for words, _ in texts]
     words = list(known)
     del known
     parts = []
@@ -119,18 +132,20 @@ def bags(texts: list[str], seen: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     del parts
     starts = np.cumsum(n, dtype=np.int64) - n
 
-    def bag(r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(gather(flat, starts, n, r)[0], return_counts=True)
+    def bag(r: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        every, each = gather(flat, starts, n, r)
+        own, at = np.unique(every, return_inverse=True)
+        return own, np.bincount(at, np.repeat(times, each), len(own))
 
     texts_with = np.zeros(BUCKETS, np.int32)
-    for r in rows:
-        texts_with[bag(r)[0]] += 1
+    for r, (_, times) in zip(rows, texts, strict=True):
+        texts_with[bag(r, times)[0]] += 1
     common = np.flatnonzero(texts_with >= seen)
     place = np.full(BUCKETS, -1, np.int32)
     place[common] = np.arange(len(common))
     buckets, shares, sizes = [], [], []
-    for r in rows:
-        own, count = bag(r)
+    for r, (_, times) in zip(rows, texts, strict=True):
+        own, count = bag(r, times)
         kept = place[own] >= 0
         buckets.append(place[own[kept]])
         shares.append((count[kept] / max(1, count.sum())).astype(np.float32))
@@ -138,11 +153,26 @@ def bags(texts: list[str], seen: int) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return common, np.concatenate(buckets), np.concatenate(shares), np.array(sizes, np.int64)
 
 
-def train(texts: list[str], labels: np.ndarray, dim: int = 8, steps: int = 800, batch: int = 64, rate: float = 0.02, decay: float = 0.6, seen: int = 4, smooth: float = 0.02, scale: float = 1000.0, seed: int = 1) -> Model:
-    """Fit embeddings and layer together with Adam on the cross entropy.
+def loss_and_gradients(table: np.ndarray, layer: np.ndarray, offset: np.ndarray, own: np.ndarray, part: np.ndarray, of: np.ndarray, wanted: np.ndarray, scale: float) -> tuple[float, tuple[np.ndarray, ...]]:
+    """Mean cross entropy of a batch, and its gradients by embeddings, layer and offset. own, part, of: buckets of the batch, their shares, and which text each is of.
+
+    The mean is linear in the embeddings, so it needs one number for each bucket and class; an embedding's gradient is the layer's weights times the
+    bucket's share-weighted errors."""
+    votes = table @ layer
+    odds = np.stack([np.bincount(of, part * votes[own, c], len(wanted)) for c in (0, 1)], axis=1) * scale + offset
+    top = odds.max(axis=1, keepdims=True)
+    p = np.exp(odds - top)
+    total = p.sum(axis=1, keepdims=True)
+    error = (p / total - wanted) / len(wanted)
+    pulled = np.stack([np.bincount(own, part * error[of, c], len(table)) for c in (0, 1)], axis=1).astype(np.float32) * scale
+    loss = float(-(wanted * (odds - top - np.log(total))).sum() / len(wanted))
+    return loss, (pulled @ layer.T, table.T @ pulled, error.sum(axis=0))
+
 
-    The mean is linear in the embeddings, so a step needs one number for each bucket: an embedding's gradient is the
-    layer's weights times the bucket's share-weighted errors. Buckets in fewer than `seen` texts stay at zero, each
+def train(texts: list[Counted], labels: np.ndarray, dim: int = 8, steps: int | None = None, batch: int = 64, rate: float = 0.02, decay: float = 0.6, seen: int = 4, smooth: float = 0.02, scale: float = 1000.0, seed: int = 1) -> Model:
+    """Fit embeddings and layer together with Adam on the cross entropy. steps: as many as see each row EPOCHS times, STEPS at least.
+
+    Buckets in fewer than `seen` texts stay at zero, each
     embedding is shortened a little at every step (a group lasso, so most end at zero), and labels count as wrong
     with probability `smooth`: else rows with wrong labels would be learned by their rare words. Means are multiplied by
     `scale`, as those of many rows are small. Without rows, or with one label only, the model answers by the share of label 1.
@@ -152,6 +182,7 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, steps: int = 800,
     bias = float(np.log(share / (1 - share)))
     if not len(labels) or labels.min() == labels.max():
         return Model(np.zeros(BUCKETS), bias)
+    steps = max(STEPS, int(EPOCHS * len(labels) / batch)) if steps is None else steps
     rng = np.random.default_rng(seed)
     common, buckets, shares, sizes = bags(texts, seen)
     starts = np.cumsum(sizes) - sizes
@@ -168,15 +199,9 @@ def train(texts: list[str], labels: np.ndarray, dim: int = 8, steps: int = 800,
         some, at = order[at : at + batch], at + batch
         own, n = gather(buckets, starts, sizes, some)
         part, _ = gather(shares, starts, sizes, some)
-        of = np.repeat(np.arange(len(some)), n)
-        # What each class gets from a bucket; then the mean over a text's subwords.
-        votes = table @ layer
-        odds = np.stack([np.bincount(of, part * votes[own, c], len(some)) for c in (0, 1)], axis=1) * scale + offset
-        p = np.exp(odds - odds.max(axis=1, keepdims=True))
-        error = (p / p.sum(axis=1, keepdims=True) - wanted[some]) / len(some)
-        pulled = np.stack([np.bincount(own, part * error[of, c], len(common)) for c in (0, 1)], axis=1).astype(np.float32) * scale
+        _, gradients = loss_and_gradients(table, layer, offset, own, part, np.repeat(np.arange(len(some)), n), wanted[some], scale)
         now = rate * (1 - step / (steps + 1))
-        for x, g, s in ((table, pulled @ layer.T, state[0]), (layer, table.T @ pulled, state[1]), (offset, error.sum(axis=0), state[2])):
+        for x, g, s in zip((table, layer, offset), gradients, state, strict=True):
             s[0] += 0.1 * (g - s[0])
             s[1] += 0.01 * (g * g - s[1])
             x -= now * (s[0] / (1 - 0.9**step)) / (np.sqrt(s[1] / (1 - 0.99**step)) + 1e-6)
@@ -190,20 +215,31 @@ def held_out(doc_id):
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS, chars: int = FIT_CHARS) -> Model:
-    """Fit on labelled rows of docs that aren't held out: a hash of doc_id picks about rows of them.
+def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
+    """Fit on labelled rows of docs that aren't held out: a hash of doc_id picks about rows of them, whatever the length of their texts.
 
-    The bound is what the driver holds. Rows with null labels, ids or texts and texts over chars characters don't take part in the fit.
+    The bound is what the driver holds, which gets each text's different words and their counts. Rows with null labels, ids or texts don't take part in the fit; of several
+    labels of one doc_id the highest counts; repeated rows of docs each count; empty tables give a model that answers by the share of label 1.
     """
+    ship(docs.sparkSession)
     own = labels.where("toxic IS NOT NULL AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))
     own = own.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     n = own.count()
     limit = int(min(1.0, rows / max(1, n)) * (2**31 - 1))
     own = own.where(F.pmod(F.xxhash64("doc_id"), F.lit(2**31 - 1)) <= limit)
+    names = ["doc_id", "h", "toxic", "words", "counts"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [counted(t) for t in b.column(3).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([" ".join(w) for w, _ in made], pa.string()), pa.array([c.astype(np.int32).tobytes() for _, c in made], pa.binary())], names=names)
+
     # About `rows` rows by the choice above, so small whatever the corpus.
-    texts = docs.where(F.length("text") <= chars).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = texts.join(F.broadcast(own), "doc_id").select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "text"])
-    model = train(found.text.tolist(), found.toxic.to_numpy() == 1)
+    texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
+    texts = texts.select("doc_id", F.xxhash64("text").alias("h"), "toxic", "text").mapInArrow(tidied(run), "doc_id long, h long, toxic int, words string, counts binary")
+    found = texts.toPandas().sort_values(["doc_id", "h"])
+    # Words hold no white space, so that they can be joined by it.
+    model = train([(w.split(), np.frombuffer(c, np.int32).astype(np.int64)) for w, c in zip(found.words, found["counts"], strict=True)], found.toxic.to_numpy() == 1)
     del found
     tidy()
     return model
@@ -234,7 +270,9 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
-    """Rows of docs, all columns, that aren't predicted toxic; judged where they stand, without a join."""
+    """Rows of docs, all columns, that aren't predicted toxic; judged where they stand, without a join.
+
+    Null and empty texts have the score of a text without words, null ids are kept, repeated rows are each judged alike; no rows: no rows."""
     spark = docs.sparkSession
     ship(spark)
     shared = spark.sparkContext.broadcast((model.row.astype(np.float32), model.bias))
