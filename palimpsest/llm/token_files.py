@@ -15,6 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,16 +30,18 @@ from palimpsest.llm.pieces import ChunkTable, Ids, Table, gather, runs
 SHARD, LEAST = 1 << 20, 16
 
 #: at: ids of this part's shards before this one. base: number of terminals; symbol base + k stands for rule k.
-SCHEMA = "part int, at long, n_tokens long, base int, doc_ids array<long>, doc_symbols array<int>, rules binary, rule_lengths binary, wide boolean, symbols binary"
+#: least, most: the range of doc_ids that aren't null, by which files and their row groups are passed over.
+SCHEMA = "part int, at long, n_tokens long, base int, least long, most long, doc_ids array<long>, doc_symbols array<int>, rules binary, rule_lengths binary, wide boolean, symbols binary"
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Rules (k x 2), their expanded lengths, symbols, and the end of each document's symbols.
 
-    Each round counts all pairs and replaces those that occur at least so often without overlaps; where two of them overlap the more frequent
-    goes first, and a pair that is left with too few places waits. It ends when a count of all places finds no such pair.
+    Each round counts pairs and replaces those that occur at least so often without overlaps; where two of them overlap the more frequent
+    goes first, and a pair that is left with too few places waits. It ends when no pair is frequent.
 
-    A pair of old symbols never becomes more frequent, so a round looks again only at places of frequent pairs and beside new symbols.
+    A pair of two symbols that both are there already never becomes more frequent. So a round looks at places of pairs that were frequent in the round
+    before, and at those beside symbols made in it; any other pair was counted when the later of its symbols was new.
     """
     n = len(ids)
     full = np.diff(ends, prepend=0) > 0
@@ -54,10 +57,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
     held[n] = False
     rank_at, taken = np.full(n + 1, -1, np.int32), np.zeros(n + 1, bool)
     found, symbols = [np.empty((0, 2), np.int64)], base
-    live, every = np.flatnonzero(~last), True
-    while True:
+    live, place_bits = np.flatnonzero(~last).astype(np.int32), max(1, n).bit_length()
+    while len(live):
         left, right = seq[live], seq[after[live]]
-        keys = (left.astype(np.int64) << 32) | right
         # Of places of one pair in a row, all of one symbol, every other one, from the first, can be taken.
         odd = np.zeros(len(live), bool)
         twins = np.flatnonzero(left == right)
@@ -65,27 +67,29 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
             lead = np.concatenate(([True], (after[live[twins[:-1]]] != live[twins[1:]]) | (left[twins[1:]] != left[twins[:-1]])))
             nth = np.arange(len(twins)) - np.maximum.accumulate(np.where(lead, np.arange(len(twins)), 0))
             odd[twins[nth % 2 == 1]] = True
-        order = np.argsort(keys)
-        keys = keys[order]
-        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.empty(0, np.int64)
+        keys, order = _sorted_pairs(left, right, symbols.bit_length(), place_bits)
+        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         size = np.diff(start, append=len(keys))
-        count = np.add.reduceat((~odd[order]).astype(np.int32), start) if len(start) else size
-        often = np.flatnonzero(count >= least)
+        count = size
+        if odd.any():
+            count = size - np.add.reduceat(odd[order].astype(np.int32), start)
+        frequent = count >= least
+        often = np.flatnonzero(frequent)
         if not len(often):
-            if every:
-                break
-            live, every = np.flatnonzero(held & (after < n)), True
-            continue
-        often = often[np.argsort(count[often], kind="stable")]
-        pairs = keys[start[often]]
-        rank_of = np.full(len(start), -1, np.int32)
-        rank_of[often] = np.arange(len(often))
-        rank = np.empty(len(live), np.int32)
-        rank[order] = np.repeat(rank_of, size)
-        wanted = (rank >= 0) & ~odd
+            break
+        some = np.repeat(frequent, size)
+        pairs, order = keys[start[often]], order[some]
+        by_count = np.argsort(count[often], kind="stable")
+        rank_of = np.empty(len(often), np.int32)
+        rank_of[by_count] = np.arange(len(often), dtype=np.int32)
+        pairs = pairs[by_count]
+        rank = np.full(len(live), -1, np.int32)
+        rank[order] = np.repeat(rank_of, size[often])
+        there = rank >= 0
+        wanted = there & ~odd
         spots, own = live[wanted], rank[wanted]
-        live = live[rank >= 0]
-        del left, right, keys, order, odd, rank, wanted
+        live = live[there]
+        del left, right, keys, order, odd, rank, wanted, there, some
         won = []
         while len(spots):
             rank_at[spots] = own
@@ -100,7 +104,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
         taken[spots] = False
         # The most frequent pair keeps all its places, so that each round makes a rule.
         used = np.bincount(own, minlength=len(pairs)) >= least
-        spots, own = spots[used[own]], own[used[own]]
+        keep = used[own]
+        spots, own = spots[keep], own[keep]
         seq[spots] = symbols + (np.cumsum(used) - 1)[own]
         symbols += int(used.sum())
         found.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], axis=1))
@@ -112,7 +117,7 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
         # Places to look at again.
         again = np.zeros(n + 1, bool)
         again[live] = again[spots] = again[before[spots]] = True
-        live, every = np.flatnonzero(again & held & (after < n)), False
+        live = np.flatnonzero(again & held & (after < n)).astype(np.int32)
     rules, sizes = np.concatenate(found), [1] * base
     for a, b in rules.tolist():
         sizes.append(sizes[a] + sizes[b])
@@ -122,6 +127,19 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
     return rules, lengths, seq[held].astype(np.int64), np.maximum.accumulate(out) if len(out) else out
 
 
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, symbol_bits: int, place_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (left in the upper 32 bits) in their order, and where each stood. Pair and place are sorted as one number where they fit into one."""
+    if 2 * symbol_bits + place_bits > 63:
+        keys = (left.astype(np.int64) << 32) | right
+        order = np.argsort(keys, kind="stable")
+        return keys[order], order
+    both = (left.astype(np.int64) << (symbol_bits + place_bits)) | (right.astype(np.int64) << place_bits) | np.arange(len(left))
+    both.sort()
+    mask = (1 << symbol_bits) - 1
+    pair = both >> place_bits
+    return ((pair >> symbol_bits) << 32) | (pair & mask), both & ((1 << place_bits) - 1)
+
+
 class Grammar:
     """The rules of a shard: what each symbol expands to, and to how many ids."""
 
@@ -146,8 +164,9 @@ def _packed(part: int, at: int, base: int, doc_ids: list, counts: np.ndarray, id
     ends = np.cumsum(counts)
     rules, lengths, symbols, stops = compress(ids, ends, base)
     wide = base + len(rules) > 1 << 16
-    row = [part, at, len(ids), base, doc_ids, np.diff(stops, prepend=0).tolist(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), wide, symbols.astype("<u4" if wide else "<u2").tobytes()]
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.bool_(), pa.binary()]
+    own = [i for i in doc_ids if i is not None]
+    row = [part, at, len(ids), base, own[0] if own else None, own[-1] if own else None, doc_ids, np.diff(stops, prepend=0).tolist(), rules.astype("<u4").tobytes(), lengths.astype("<u4").tobytes(), wide, symbols.astype("<u4" if wide else "<u2").tobytes()]
+    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.bool_(), pa.binary()]
     return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, kinds, strict=True)], names=[x.split()[0] for x in SCHEMA.split(", ")])
 
 
@@ -170,31 +189,55 @@ class Encoder:
             vocabulary = json.load(f)
         self.added = [x["content"] for x in vocabulary["added_tokens"]]
         self.base = self.tokenizer.get_vocab_size()
+        split = vocabulary.get("pre_tokenizer") or {}
+        # What an ASCII piece looks like to the model: bytes that don't print stand for characters from 256 on, in their order.
+        self.by_piece = vocabulary["model"]["type"] == "BPE" and not vocabulary.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
+        self.shown = {c: 256 + n for n, c in enumerate([*range(33), 127])}
+        self.findall = regex.compile(pattern).findall
         # In the file each byte of a token is one character.
         self.bytes = np.zeros(self.base, np.int64)
         for token, i in vocabulary["model"]["vocab"].items():
             self.bytes[i] = len(token)
-        self.table = ChunkTable(self._chunks, regex.compile(pattern).findall, limit=1_500_000)
+        self.table = ChunkTable(self._chunks, self.findall, limit=1_500_000)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _chunks(self, chunks: list[str]) -> Table:
-        """Chunks of one space and what isn't space at its ends are joined, encoded at once, and told apart by the bytes of their tokens."""
+        """Chunks of one space and what isn't space at its ends are joined, as the pattern never joins them itself, and told apart again by lengths.
+
+        Those of ASCII are cut into pieces by the pattern, and each different piece goes to the library's model once. For others, what the pattern matches depends on the
+        version of Unicode: the library gets them joined, and bytes of tokens tell them apart. All else goes to the library chunk by chunk."""
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         bare = np.fromiter(map(len, map(str.strip, chunks)), np.int64, len(chunks))
-        joined = (bare == size - 1) & (bare > 0) & np.array([c[0] == " " for c in chunks], bool)
+        joined = (bare == size - 1) & (bare > 0) & np.fromiter((c[0] == " " for c in chunks), bool, len(chunks))
+        plain = joined & np.fromiter(map(str.isascii, chunks), bool, len(chunks)) & self.by_piece
         lengths, starts, flats, used = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), [], 0
-        some, rest = np.flatnonzero(joined), np.flatnonzero(~joined)
-        for at in range(0, len(some), 4096):
-            group = some[at : at + 4096]
-            own = [chunks[i] for i in group.tolist()]
-            ids = np.array(self._whole(["".join(own)])[0], np.int32)
-            stops = np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(c.encode()) for c in own])) + 1
+
+        def put(group: np.ndarray, ids: np.ndarray, stops: np.ndarray) -> None:
+            nonlocal used
             lengths[group] = np.diff(stops, prepend=0)
             starts[group] = used + stops - lengths[group]
             flats.append(ids)
             used += len(ids)
+
+        some = np.flatnonzero(plain)
+        if len(some):
+            pieces = self.findall("".join([chunks[i] for i in some.tolist()]))
+            known = dict(zip(dict.fromkeys(pieces), range(len(pieces)), strict=False))
+            tokenize, shown = self.tokenizer.model.tokenize, self.shown
+            each = [[t.id for t in tokenize(p.translate(shown))] for p in known]
+            n = np.fromiter(map(len, each), np.int64, len(each))
+            ids, width = gather(np.fromiter(chain.from_iterable(each), np.int32, int(n.sum())), np.cumsum(n) - n, n, np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)))
+            last = np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(size[some]))
+            put(some, ids, np.cumsum(width)[last])
+        some = np.flatnonzero(joined & ~plain)
+        for at in range(0, len(some), 4096):
+            group = some[at : at + 4096]
+            own = [chunks[i] for i in group.tolist()]
+            ids = np.array(self._whole(["".join(own)])[0], np.int32)
+            put(group, ids, np.searchsorted(np.cumsum(self.bytes[ids]), np.cumsum([len(c.encode()) for c in own])) + 1)
+        rest = np.flatnonzero(~joined)
         for i, ids in zip(rest.tolist(), self._whole([chunks[i] for i in rest.tolist()]), strict=True):
             lengths[i], starts[i] = len(ids), used
             flats.append(np.array(ids, np.int32))
@@ -304,17 +347,35 @@ def _read(spark: SparkSession, out: str, column: str, made) -> DataFrame:
     return rows.mapInArrow(tidied(run), f"doc_id long, start long, n_tokens long, {column}")
 
 
+def expanded_span(base: int, rules: np.ndarray, lengths: np.ndarray, symbols: np.ndarray, first: int, n: int) -> list[int]:
+    """Ids first to first + n of what symbols expand to. Rules outside that span are passed over by their lengths; those within are followed down one by one."""
+    width = np.ones(len(symbols), np.int64)
+    width[symbols >= base] = lengths[symbols[symbols >= base] - base]
+    ends = np.cumsum(width)
+    i, j = int(np.searchsorted(ends, first, "right")), int(np.searchsorted(ends, first + n, "left")) + 1
+    skip, out = first - (int(ends[i - 1]) if i else 0), []
+    waiting = symbols[i:j].tolist()[::-1]
+    while waiting and len(out) < n:
+        s = waiting.pop()
+        size = 1 if s < base else int(lengths[s - base])
+        if skip >= size:
+            skip -= size
+        elif s < base:
+            out.append(s)
+        else:
+            waiting += (int(rules[s - base, 1]), int(rules[s - base, 0]))
+    return out
+
+
 def read_span(spark: SparkSession, out: str, doc_id: int, first: int, n: int) -> list[list[int]]:
-    """Ids first to first + n of a document, for each row with that doc_id, expanding only the symbols that hold them."""
-    shards = spark.read.schema(SCHEMA).parquet(out).where(F.array_contains("doc_ids", F.lit(doc_id).cast("long")))
+    """Ids first to first + n of a document, for each row with that doc_id. Only shards whose range holds the id are read, and only rules that the span needs are expanded."""
+    of = F.lit(doc_id).cast("long")
+    shards = spark.read.schema(SCHEMA).parquet(out).where((F.col("least") <= of) & (F.col("most") >= of) & F.array_contains("doc_ids", of))
     found = []
     for s in shards.orderBy("part", "at").toLocalIterator():
-        grammar, seq = _shard(s.rules, s.rule_lengths, s.base, s.wide, s.symbols)
+        rules, lengths = np.frombuffer(s.rules, "<u4").reshape(-1, 2), np.frombuffer(s.rule_lengths, "<u4")
+        seq = np.frombuffer(s.symbols, "<u4" if s.wide else "<u2").astype(np.int64)
         stops = np.cumsum(s.doc_symbols)
         for k in [k for k, x in enumerate(s.doc_ids) if x == doc_id]:
-            own = seq[stops[k] - s.doc_symbols[k] : stops[k]]
-            ends = np.cumsum(grammar.lengths[own])
-            i, j = np.searchsorted(ends, first, "right"), np.searchsorted(ends, first + n, "left") + 1
-            skipped = int(ends[i - 1]) if i else 0
-            found.append(grammar.expand(own[i:j])[0][first - skipped : first - skipped + n].tolist())
+            found.append(expanded_span(s.base, rules, lengths, seq[stops[k] - s.doc_symbols[k] : stops[k]], first, n))
     return found

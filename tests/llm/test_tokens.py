@@ -120,3 +120,34 @@ def test_a_rare_pair_of_id_0_among_frequent_pairs():
     ids = np.array([*[1, 2] * 500, 0, 0, *[3, 4] * 500])
     rules, lengths, seq, _ = token_files.compress(ids, np.array([len(ids)]), 10)
     assert token_files.Grammar(10, rules, lengths).expand(seq)[0].tolist() == ids.tolist()
+
+
+def test_spans_follow_only_the_rules_they_need():
+    rng = np.random.default_rng(4)
+    phrase = rng.integers(0, 30, 200)
+    ids = np.concatenate([np.concatenate([phrase, rng.integers(0, 30, 10)]) for _ in range(60)]).astype(np.int32)
+    rules, lengths, symbols, _ = token_files.compress(ids, np.array([len(ids)]), 30)
+    assert lengths.max() > 64
+    for first, n in ((0, 5), (37, 400), (len(ids) - 3, 10), (len(ids), 4), (500, 0), (0, len(ids))):
+        assert token_files.expanded_span(30, rules, lengths, symbols, first, n) == ids[first : first + n].tolist()
+    # A span in the middle of long rules doesn't touch rules beside it.
+    broken = rules.copy()
+    broken[~np.isin(np.arange(len(rules)), needed(30, rules, lengths, symbols, 1000, 3))] = 10**6
+    assert token_files.expanded_span(30, broken, lengths, symbols, 1000, 3) == ids[1000:1003].tolist()
+
+
+def needed(base, rules, lengths, symbols, first, n):
+    """Rules whose expansion overlaps the span."""
+    out, at = set(), 0
+
+    def down(s, at):
+        if s >= base and at < first + n and at + lengths[s - base] > first:
+            out.add(s - base)
+            left = rules[s - base, 0]
+            down(left, at)
+            down(rules[s - base, 1], at + (1 if left < base else lengths[left - base]))
+
+    for s in symbols:
+        down(s, at)
+        at += 1 if s < base else lengths[s - base]
+    return sorted(out)
