@@ -1,17 +1,18 @@
 """Near-duplicate groups by an exact Jaccard join on word shingles, with PartEnum signatures (Arasu and others, 2006).
 
 Sets fall into bands of sizes. Two sets of one band (or neighbouring bands) that are similar enough differ in at most k features, k
-following from the band. The feature domain is cut into more than k partitions, and a set's signatures are what it
-holds in single partitions: with at most k differences some partition agrees. (This is the enumeration of one-element
-subsets; larger ones give more signatures a set, not fewer.) An agreement on nothing would join everything, so:
+following from the band. The feature domain is cut twice: into groups, more than k / 2 of them, so that some group holds at most one difference; and each group
+into CELLS cells, of which that difference spoils one. A set's signatures are, for each group, what it holds in each subset of all cells but one: similar
+sets of a band share the signature of a group with the spoiled cell left out. An agreement on nothing would join everything, so:
 
- 1. Features common in the corpus are left out of the domain. Differences only become fewer. A set that still has features
-    in more than k partitions is safe by its non-empty signatures alone, as one of these agrees with any partner.
+ 1. Features common in the corpus are left out of the domain. Differences only become fewer. Signatures of nothing aren't given. A group in which a set
+    has two cells that aren't empty is strong: whichever cell is left out, something is left. A set with more than k / 2 strong groups is safe, as
+    one of them holds at most one difference to any partner.
  2. A set that isn't safe gives signatures on a finer cut as well, where the same holds.
  3. A set that isn't safe there either is mostly common text and gives signatures on the whole domain; and if even those
-    are too few, for its empty partitions too. Two unsafe sets meet here.
+    are too few, for each of its features, of which some agree in any case. Two unsafe sets meet here.
 
-Which features count as common changes the number of candidates only, never a result. Classes of equal sets take part once.
+Which features count as common changes the number of candidates only, never a result. Classes of equal sets take part once; they are told apart by 128 bits.
 Candidates are checked: first by histograms of their features, which bound the overlap from above, then exactly.
 
 Signatures shared by many sets, as in large groups of near copies, are not expanded into pairs. Sets that share such signatures
@@ -36,7 +37,11 @@ from palimpsest.llm.hashing import U, mixed, powers, run_hashes, text_slices, wo
 
 SHINGLE, PERCENT = 5, 80
 #: A feature is common if it is in so many sets of a batch (of so many features), and in so many in all such batches; so many are kept.
-BATCH_COUNT, COUNTED, TOTAL_COUNT, MOST_COMMON = 3, 1 << 22, 16, 1 << 18
+BATCH_COUNT, COUNTED, TOTAL_COUNT, MOST_COMMON = 3, 1 << 21, 16, 1 << 18
+#: Cells of a group, and how many more groups there are than need be: of those that hold too many differences and those that aren't strong, some are left.
+CELLS, SPARE, FINE = 3, 1.25, 6
+#: Classes that a task remembers having given signatures for; more are forgotten, and some signatures then given twice.
+REMEMBERED = 1 << 19
 #: Sets that share a signature are paired up to this number; from there on they go to blocks of this size.
 PAIRED, BLOCK = 8, 256
 #: Up to so many ids are broadcast to pick texts by; beyond, the join is shuffled.
@@ -69,9 +74,19 @@ def shingle_sets(column: pa.Array, k: int = SHINGLE, lower: bool = True) -> Iter
         yield i, j, out
 
 
-def class_key(s: np.ndarray) -> int:
-    """One number for a set, as a signed long. Equal sets have equal keys; n sets share one by chance with probability n**2 / 2**65."""
-    return int(mixed(s + U(0x632BE59BD9B4E019)).sum(dtype=U).astype(np.int64))
+def class_key(s: np.ndarray, doubtful: dict[int, None] | frozenset = frozenset()) -> int:
+    """One number for a set, as a signed long. Equal sets have equal keys. doubtful: keys that sets with different check() share; these sets get another key."""
+    key = int(mixed(s + U(0x632BE59BD9B4E019)).sum(dtype=U).astype(np.int64))
+    return other_key(s) if key in doubtful else key
+
+
+def check(s: np.ndarray) -> int:
+    """A second number, independent of the first: sets that agree in both are taken as equal, n sets of which do so by chance with probability n**2 / 2**129."""
+    return int(mixed(mixed(s ^ U(0xA0761D6478BD642F)) + U(0xE7037ED1A0B428DB)).sum(dtype=U).astype(np.int64))
+
+
+def other_key(s: np.ndarray) -> int:
+    return int(mixed(np.array([check(s)], np.int64).view(U) ^ U(0x8EBC6AF09C88C6E3))[0].astype(np.int64))
 
 
 def signatures(s: np.ndarray, common: np.ndarray, low: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -86,25 +101,33 @@ def signatures(s: np.ndarray, common: np.ndarray, low: np.ndarray, percent: int
         k = int(2 * (low[i + 1] - 1) * (100 - percent) // (100 + percent))
         if not k:
             continue  # sets this small are equal or no partners
-        for level, (features, cuts) in enumerate(((rest, math.ceil(1.3 * (k + 1))), (rest, 6 * (k + 1)), (s, math.ceil(1.3 * (k + 1))))):
-            # As features are sorted, so are their partitions.
-            place = exchange.part_of(features, cuts)
-            at = np.flatnonzero(np.concatenate(([True], place[1:] != place[:-1]))) if len(place) else np.empty(0, np.int64)
-            held = np.add.reduceat(mixed(features ^ U(0x9E3779B97F4A7C15)), at) if len(at) else np.empty(0, U)
-            names = place[at].astype(U)
-            if len(at) <= k and level == 2:
-                empty = np.setdiff1d(np.arange(cuts), place[at]).astype(U)
-                names, held = np.concatenate([names, empty]), np.concatenate([held, np.zeros(len(empty), U)])
-            out.append(mixed(held + mixed(names * U(1000003) + U(i * 7919 + (level << 50)))))
-            if len(at) > k:
+        least = k // 2 + 1
+        for level, (features, groups) in enumerate(((rest, math.ceil(SPARE * least)), (rest, FINE * least), (s, math.ceil(SPARE * least)))):
+            # As features are sorted, so are their cells.
+            cell = exchange.part_of(features, groups * CELLS)
+            at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.empty(0, np.int64)
+            held, some = np.zeros(groups * CELLS, U), np.zeros(groups * CELLS, bool)
+            if len(at):
+                held[cell[at]] = np.add.reduceat(mixed(features ^ U(0x9E3779B97F4A7C15)), at)
+                some[cell[at]] = True
+            held, some = held.reshape(groups, CELLS), some.reshape(groups, CELLS)
+            filled = some.sum(axis=1)
+            # All cells of a group but one: what is in them, if anything.
+            content = (held.sum(axis=1, dtype=U)[:, None] - held).ravel()
+            names = np.arange(groups * CELLS).astype(U)
+            given = (filled[:, None] - some > 0).ravel()
+            out.append(mixed(content[given] + mixed(names[given] * U(1000003) + U(i * 7919 + (level << 50)))))
+            if (filled >= 2).sum() >= least:
                 break
+        else:
+            out.append(mixed(mixed(s ^ U(0x9E3779B97F4A7C15)) + U(i * 7919 + (3 << 50))))
     return np.concatenate(out) if out else np.empty(0, U)
 
 
 def _described(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: a document's id, set size and class key; a common feature's count and hash."""
+    """Rows of two kinds: a document's id, set size, class key, check and other key; a common feature's count and hash."""
 
-    names = ["common", "doc_id", "n", "key", "text_hash"]
+    names = ["common", "doc_id", "n", "key", "text_hash", "check", "other"]
 
     def often(distinct: dict[int, np.ndarray]) -> pa.RecordBatch:
         every = np.concatenate(list(distinct.values()))
@@ -114,7 +137,7 @@ def _described(docs: DataFrame) -> DataFrame:
         count = np.diff(start, append=len(every))
         kept = count >= BATCH_COUNT
         n = int(kept.sum())
-        return pa.RecordBatch.from_arrays([pa.array([True] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(count[kept], pa.int64()), pa.array(every[start[kept]].view(np.int64)), pa.nulls(n, pa.int64())], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([True] * n, pa.bool_()), pa.nulls(n, pa.int64()), pa.array(count[kept], pa.int64()), pa.array(every[start[kept]].view(np.int64)), *[pa.nulls(n, pa.int64())] * 3], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         distinct: dict[int, np.ndarray] = {}
@@ -126,17 +149,17 @@ def _described(docs: DataFrame) -> DataFrame:
                     if len(s) and k not in distinct:
                         distinct[k] = s
                         held += len(s)
-                yield pa.RecordBatch.from_arrays([pa.array([False] * (j - i)), b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), b.column(2).slice(i, j - i)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([False] * (j - i)), b.column(0).slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys, pa.int64()), b.column(2).slice(i, j - i), pa.array([check(s) for s in sets], pa.int64()), pa.array([other_key(s) for s in sets], pa.int64())], names=names)
                 if held >= COUNTED:
                     yield often(distinct)
                     held = 0
         if held:
             yield often(distinct)
 
-    return docs.mapInArrow(tidied(run), "common boolean, doc_id long, n long, key long, text_hash long")
+    return docs.mapInArrow(tidied(run), "common boolean, doc_id long, n long, key long, text_hash long, check long, other long")
 
 
-def _candidates(docs: DataFrame, common, percent: int, parts: int) -> DataFrame:
+def _candidates(docs: DataFrame, common, doubtful: frozenset, percent: int, parts: int) -> DataFrame:
     """(a, b, hot): pairs of class keys; if hot, links that join keys which share a signature with many others."""
     low = lows(percent)
 
@@ -152,8 +175,10 @@ def _candidates(docs: DataFrame, common, percent: int, parts: int) -> DataFrame:
 
         for b in batches:
             for _, _, sets in shingle_sets(b.column(0)):
+                if len(seen) > REMEMBERED:
+                    seen.clear()
                 for s in sets:
-                    key = class_key(s)
+                    key = class_key(s, doubtful)
                     if key not in seen:
                         seen.add(key)
                         x = signatures(s, common.value, low, percent)
@@ -202,7 +227,7 @@ def _candidates(docs: DataFrame, common, percent: int, parts: int) -> DataFrame:
     return exchange.dealt(docs.mapInArrow(tidied(emit), exchange.SCHEMA), parts).mapInArrow(tidied(meet), "a long, b long, hot boolean")
 
 
-def _sets(texts: DataFrame) -> DataFrame:
+def _sets(texts: DataFrame, doubtful: frozenset) -> DataFrame:
     """key, n, histogram (256 counts of features by their top byte) and features of (key, text), where the text has that key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +235,7 @@ def _sets(texts: DataFrame) -> DataFrame:
         for b in batches:
             want = b.column(0).to_pylist()
             for i, _, sets in shingle_sets(b.column(1)):
-                kept = [(want[k], s) for k, s in enumerate(sets, i) if want[k] not in seen and class_key(s) == want[k]]
+                kept = [(want[k], s) for k, s in enumerate(sets, i) if want[k] not in seen and class_key(s, doubtful) == want[k]]
                 seen.update(k for k, _ in kept)
                 counts = [np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=256), 65535).astype(np.uint16).tobytes() for _, s in kept]
                 yield pa.RecordBatch.from_arrays(
@@ -341,20 +366,27 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     A set holds the distinct runs of five words, A-Z lower-cased; of fewer words, all of them as one. Rows without words are linked
     with nothing and are their own component. component_id is the smallest doc_id that links reach, n_links the number of other rows that
     a row is itself linked with. Repeated rows each get a row.
-    A row without doc_id is linked with its exact copies only and takes their component, null if none has an id. Of rows
+    A row without doc_id is linked like any other, but has no id to give: its component is named by those that have one, null if none has. Of rows
     with one doc_id and different texts each stands for itself. No rows: no rows; other columns are not read.
     """
     spark = docs.sparkSession
     ship(spark)
     parts = 2 * partitions(spark)  # more than usual, as a task holds what it received
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    described = written(_described(rows.withColumn("text_hash", F.xxhash64("text"))), "sets")
+    hashed = rows.withColumn("text_hash", F.xxhash64("text"))
+    described = written(_described(hashed), "sets")
     # At most MOST_COMMON numbers come here.
     often = described.where("common").groupBy("key").agg(F.sum("n").alias("n")).where(F.col("n") >= TOTAL_COUNT).orderBy(F.desc("n"), "key").limit(MOST_COMMON)
     common = spark.sparkContext.broadcast(np.sort(np.array([r.key for r in often.collect()], np.int64).view(U)))
     own = described.where(~F.col("common"))
-    classes = written(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.max("n").alias("n"), F.count("*").alias("rows")), "classes")
-    found = written(_candidates(rows.where("doc_id IS NOT NULL").select("text"), common, percent, parts), "candidates")
+    # Keys that different sets share by chance: n**2 / 2**65 are to be expected of n sets, three of 10**10.
+    shared = own.where("n > 0").groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b")
+    doubtful = frozenset(r.key for r in shared.select("key").collect())
+    if doubtful:
+        own = own.withColumn("key", F.when(F.col("key").isin(*doubtful), F.col("other")).otherwise(F.col("key")))
+    first = F.coalesce(F.min_by("text_hash", "doc_id"), F.min("text_hash"))
+    classes = written(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), first.alias("first"), F.max("n").alias("n"), F.count("*").alias("rows")), "classes")
+    found = written(_candidates(rows.select("text"), common, doubtful, percent, parts), "candidates")
 
     size = classes.select(F.col("key").alias("of"), F.col("n").alias("size"))
     clusters = _clusters(found.where("hot").select("a", "b"))
@@ -367,9 +399,10 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     pairs = written(pairs.select("a", "b"), "pairs")
 
     wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(clusters.select("key")).distinct()
-    wanted = written(wanted.join(classes.select(F.col("key").alias("of"), "least"), F.col("key") == F.col("of")).select("key", "least"), "wanted")
+    wanted = written(wanted.join(classes.select(F.col("key").alias("of"), "least", "first"), F.col("key") == F.col("of")).select("key", "least", "first"), "wanted")
     picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    sets = written(_sets(rows.join(picked, F.col("doc_id") == F.col("least")).select("key", "text")), "features")
+    there = hashed.join(picked, (F.col("text_hash") == F.col("first")) & F.col("doc_id").eqNullSafe(F.col("least")))
+    sets = written(_sets(there.select("key", "text"), doubtful), "features")
     if sets.count() > sets.select("key").distinct().count():  # rows repeated over tasks
         several, sets = sets, written(sets.dropDuplicates(["key"]), "features")
         dropped(several)

@@ -104,22 +104,22 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(odds, -40, 40)))
 
 
-#: A text's different words and how often each occurs: as long as its vocabulary, not as the text.
-Counted = tuple[list[str], np.ndarray]
+#: A text's different words, joined by spaces, and how often each occurs: as long as its vocabulary, not as the text.
+Counted = tuple[str, np.ndarray]
 
 
 def counted(text: str | None) -> Counted:
     seen: dict[str, int] = {}
     for w in cut(text):
         seen[w] = seen.get(w, 0) + 1
-    return list(seen), np.fromiter(seen.values(), np.int64, len(seen))
+    return " ".join(seen), np.fromiter(seen.values(), np.int32, len(seen))
 
 
 def bags(texts: list[Counted], seen: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Buckets that at least so many texts have; for all texts the places of their buckets among these, the buckets' shares of
     the text's subwords, and how many buckets each text has."""
     known: dict[str, int] = {}
-    rows = [np.array([known.setdefault(w, len(known)) for w in words], np.int32) for words, _ in texts]
+    rows = [np.array([known.setdefault(w, len(known)) for w in words.split()], np.int32) for words, _ in texts]
     words = list(known)
     del known
     parts = []
@@ -232,16 +232,18 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             made = [counted(t) for t in b.column(3).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([" ".join(w) for w, _ in made], pa.string()), pa.array([c.astype(np.int32).tobytes() for _, c in made], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([w for w, _ in made], pa.string()), pa.array([c.tobytes() for _, c in made], pa.binary())], names=names)
 
     # About `rows` rows by the choice above, so small whatever the corpus.
     texts = docs.where("text IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(own), "doc_id")
     texts = texts.select("doc_id", F.xxhash64("text").alias("h"), "toxic", "text").mapInArrow(tidied(run), "doc_id long, h long, toxic int, words string, counts binary")
     found = texts.toPandas().sort_values(["doc_id", "h"])
-    # Words hold no white space, so that they can be joined by it.
-    model = train([(w.split(), np.frombuffer(c, np.int32).astype(np.int64)) for w, c in zip(found.words, found["counts"], strict=True)], found.toxic.to_numpy() == 1)
+    texts, toxic = [(w, np.frombuffer(c, np.int32)) for w, c in zip(found.words, found["counts"], strict=True)], found.toxic.to_numpy() == 1
     del found
     tidy()
+    model = train(texts, toxic)
+    del texts
+    tidy()
     return model
 
 

@@ -58,8 +58,8 @@ def test_common_features_change_nothing(spark, monkeypatch):
 
 def test_any_two_similar_sets_share_a_signature():
     rng, low = np.random.default_rng(3), jaccard.lows()
-    for trial in range(300):
-        n = int(rng.integers(4, 400))
+    for trial in range(1000):
+        n = int(rng.choice([rng.integers(4, 30), rng.integers(4, 400)]))
         s = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
         most = len(s) // 9
         cut, add = int(rng.integers(0, most + 1)), int(rng.integers(0, most + 1))
@@ -78,6 +78,32 @@ def test_odd_rows(spark):
     assert sorted((tuple(r)[:3] for r in jaccard.near_groups(df).collect()), key=str) == [(4, 1, 4), (None, 1, 4), (None, 1, None)]
 
 
+def test_rows_without_ids_are_linked_too(spark):
+    """Near copies without an id, and what only they bridge."""
+    rnd = random.Random(3)
+    rows = corpus(9, 25)
+    base = [f"q{i}" for i in range(100)]
+    far = lambda n: " ".join(f"z{i}" if i < n else w for i, w in enumerate(base))
+    rows += [(9000, far(0)), (9001, far(5)), (9002, far(10)), (9003, far(15))]
+    hidden = {i for i, _ in rows if rnd.random() < 0.3} - {9000, 9003} | {9001, 9002}
+    component = {i: c for i, _, c in groups(rows)}
+    named = {}
+    for i, c in component.items():
+        if i not in hidden:
+            named[c] = min(named.get(c, i), i)
+    df = spark.createDataFrame([(None if i in hidden else i, t) for i, t in rows], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.near_groups(df).collect()), key=str)
+    assert got == sorted(((None if i in hidden else i, named.get(component[i])) for i, _ in rows), key=str)
+    assert (9003, 9000) in got
+
+
+def test_sets_that_share_a_key_are_told_apart():
+    a, b = np.array([1, 2, 3], np.uint64), np.array([4, 5], np.uint64)
+    doubtful = frozenset([jaccard.class_key(a)])
+    assert jaccard.class_key(a, doubtful) == jaccard.other_key(a) != jaccard.class_key(a)
+    assert jaccard.class_key(b, doubtful) == jaccard.class_key(b) and jaccard.check(a) != jaccard.check(b)
+
+
 def test_components(spark):
     rnd = random.Random(2)
     links = [(i, i + 1) for i in range(200)] + [(1000 + rnd.randrange(300), 1000 + rnd.randrange(300)) for _ in range(150)] + [(5000, 5000 + i) for i in range(1, 100)]
