@@ -64,7 +64,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     ship(links.sparkSession)
     spark = links.sparkSession
-    own = written(_thinned(links.select("a", "b").where("a <> b")), "links")
+    first = written(_thinned(links.select("a", "b").where("a <> b")), "links")
+    # What many small tasks left of one component is thinned again where they are read together.
+    own = written(_thinned(first), "links")
+    dropped(first)
     both = written(own.select("a", "b").union(own.select("b", "a")).distinct(), "neighbours")
     labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
     while True:

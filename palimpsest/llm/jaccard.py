@@ -8,9 +8,8 @@ sets of a band share the signature of a group with the spoiled cell left out. An
  1. Features common in the corpus are left out of the domain. Differences only become fewer. Signatures of nothing aren't given. A group in which a set
     has two cells that aren't empty is strong: whichever cell is left out, something is left. A set with more than k / 2 strong groups is safe, as
     one of them holds at most one difference to any partner.
- 2. A set that isn't safe gives signatures on a finer cut as well, where the same holds.
- 3. A set that isn't safe there either is mostly common text and gives signatures on the whole domain; and if even those
-    are too few, for each of its features, of which some agree in any case. Two unsafe sets meet here.
+ 2. A set that isn't safe is mostly common text and gives signatures on the whole domain as well, where the same holds.
+ 3. A set that isn't safe there either gives a signature for each of its features, of which some agree in any case. Two unsafe sets meet here.
 
 Which features count as common changes the number of candidates only, never a result. Classes of equal sets take part once; they are told apart by 128 bits.
 Candidates are checked: first by histograms of their features, which bound the overlap from above, then exactly.
@@ -38,8 +37,8 @@ from palimpsest.llm.hashing import U, mixed, powers, run_hashes, text_slices, wo
 SHINGLE, PERCENT = 5, 80
 #: A feature is common if it is in so many sets of a batch (of so many features), and in so many in all such batches; so many are kept.
 BATCH_COUNT, COUNTED, TOTAL_COUNT, MOST_COMMON = 3, 1 << 21, 16, 1 << 18
-#: Cells of a group, and how many more groups there are than need be: of those that hold too many differences and those that aren't strong, some are left.
-CELLS, SPARE, FINE = 3, 1.25, 6
+#: Cells of a group, and how many more groups there are than need be, without common features and on the whole domain: some of them aren't strong.
+CELLS, SPARE, SPARE_WHOLE = 3, 1.25, 1.6
 #: Classes that a task remembers having given signatures for; more are forgotten, and some signatures then given twice.
 REMEMBERED = 1 << 19
 #: Sets that share a signature are paired up to this number; from there on they go to blocks of this size.
@@ -102,7 +101,7 @@ def signatures(s: np.ndarray, common: np.ndarray, low: np.ndarray, percent: int
         if not k:
             continue  # sets this small are equal or no partners
         least = k // 2 + 1
-        for level, (features, groups) in enumerate(((rest, math.ceil(SPARE * least)), (rest, FINE * least), (s, math.ceil(SPARE * least)))):
+        for level, (features, groups) in enumerate(((rest, math.ceil(SPARE * least)), (s, math.ceil(SPARE_WHOLE * least)))):
             # As features are sorted, so are their cells.
             cell = exchange.part_of(features, groups * CELLS)
             at = np.flatnonzero(np.concatenate(([True], cell[1:] != cell[:-1]))) if len(cell) else np.empty(0, np.int64)
@@ -171,7 +170,12 @@ def _candidates(docs: DataFrame, common, doubtful: frozenset, percent: int, part
             sig, node = np.concatenate(sigs), np.concatenate(nodes)
             sigs.clear()
             nodes.clear()
-            yield from exchange.rows((p, x) for p, x in exchange.by_part(exchange.part_of(sig, parts), parts, [sig, node]))
+            yield from exchange.rows((p, runs(*x)) for p, x in exchange.by_part(exchange.part_of(sig, parts), parts, [sig, node]))
+
+        def runs(sig: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
+            """A set's signatures follow each other, so its key goes along once."""
+            start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+            return [sig, node[start], np.diff(start, append=len(node)).astype(np.uint32)]
 
         for b in batches:
             for _, _, sets in shingle_sets(b.column(0)):
@@ -196,7 +200,9 @@ def _candidates(docs: DataFrame, common, doubtful: frozenset, percent: int, part
         got = exchange.received(batches)
         if not got:
             return
-        sig, node = (np.concatenate(x) for x in zip(*got, strict=True))
+        sig, node, times = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        node = np.repeat(node, times)
         order = np.argsort(sig)
         sig, node = sig[order], node[order]
         same = sig[1:] == sig[:-1]
