@@ -243,7 +243,7 @@ def _sets(texts: DataFrame, doubtful: frozenset) -> DataFrame:
             for i, _, sets in shingle_sets(b.column(1)):
                 kept = [(want[k], s) for k, s in enumerate(sets, i) if want[k] not in seen and class_key(s, doubtful) == want[k]]
                 seen.update(k for k, _ in kept)
-                counts = [np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=256), 65535).astype(np.uint16).tobytes() for _, s in kept]
+                counts = [np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for _, s in kept]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([k for k, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for _, s in kept], pa.binary())],
                     names=["key", "n", "histogram", "features"],
@@ -269,8 +269,8 @@ def _filtered(pairs: DataFrame, overlap, percent: int) -> DataFrame:
 
 def _bound(x, y) -> int:
     """No less than the overlap; counts that are cut off bound nothing."""
-    both = np.minimum(np.frombuffer(x, np.uint16), np.frombuffer(y, np.uint16))
-    return int(both.sum(dtype=np.int64)) if both.max() < 65535 else 1 << 40
+    both = np.minimum(np.frombuffer(x, np.uint8), np.frombuffer(y, np.uint8))
+    return int(both.sum(dtype=np.int64)) if both.max() < 255 else 1 << 40
 
 
 def _exact(x, y) -> int:
