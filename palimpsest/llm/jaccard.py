@@ -173,9 +173,9 @@ def _candidates(docs: DataFrame, common, doubtful: frozenset, percent: int, part
             yield from exchange.rows((p, runs(*x)) for p, x in exchange.by_part(exchange.part_of(sig, parts), parts, [sig, node]))
 
         def runs(sig: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-            """A set's signatures follow each other, so its key goes along once."""
+            """A set's signatures follow each other, so its key goes along once. Of a signature 40 bits go along, besides the part; agreeing by chance only makes a candidate more."""
             start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-            return [sig, node[start], np.diff(start, append=len(node)).astype(np.uint32)]
+            return [(sig >> U(32)).astype(np.uint8), sig.astype(np.uint32), node[start], np.diff(start, append=len(node)).astype(np.uint32)]
 
         for b in batches:
             for _, _, sets in shingle_sets(b.column(0)):
@@ -200,8 +200,10 @@ def _candidates(docs: DataFrame, common, doubtful: frozenset, percent: int, part
         got = exchange.received(batches)
         if not got:
             return
-        sig, node, times = (np.concatenate(x) for x in zip(*got, strict=True))
+        high, low, node, times = (np.concatenate(x) for x in zip(*got, strict=True))
         del got
+        sig = (high.astype(U) << U(32)) | low
+        del high, low
         node = np.repeat(node, times)
         order = np.argsort(sig)
         sig, node = sig[order], node[order]
