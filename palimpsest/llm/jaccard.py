@@ -41,8 +41,8 @@ BATCH_COUNT, COUNTED, TOTAL_COUNT, MOST_COMMON = 3, 1 << 21, 16, 1 << 18
 CELLS, SPARE, SPARE_WHOLE = 3, 1.25, 1.6
 #: Classes that a task remembers having given signatures for; more are forgotten, and some signatures then given twice.
 REMEMBERED = 1 << 19
-#: Sets that share a signature are paired up to this number; from there on they go to blocks of this size.
-PAIRED, BLOCK = 8, 256
+#: Sets that share a signature are paired up to this number; from there on they go to blocks of about so many sets, and of so many features.
+PAIRED, BLOCK, BLOCK_FEATURES = 8, 512, 1 << 22
 #: Up to so many ids are broadcast to pick texts by; beyond, the join is shuffled.
 BROADCAST_IDS = 1 << 20
 
@@ -339,7 +339,7 @@ def _hot_links(clusters: DataFrame, sets: DataFrame, weights: DataFrame, percent
     band = F.floor(F.log("n") / F.lit(math.log(1.05 * 100 / percent))).cast("int")
     members = clusters.join(sets.select("key", "n"), "key").withColumn("band", band).join(weights, F.col("key") == F.col("of")).drop("of")
     members = written(members, "members")
-    blocks = members.groupBy("cluster", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("own"))
+    blocks = members.groupBy("cluster", "band").agg(F.ceil(F.greatest(F.count("*") / F.lit(BLOCK), F.sum("n") / F.lit(BLOCK_FEATURES))).cast("int").alias("own"))
     order = Window.partitionBy("cluster").orderBy("band")
     near = lambda f: F.when(f("band").over(order) == F.col("band") + (1 if f is F.lead else -1), f("own").over(order)).otherwise(0)
     blocks = written(blocks.select("cluster", "band", "own", near(F.lead).alias("above"), near(F.lag).alias("below")), "blocks")

@@ -123,10 +123,11 @@ def test_components(spark):
     assert components(df.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("paired, block", [(8, 256), (3, 8)])
-def test_every_link_is_counted(spark, monkeypatch, paired, block):
+@pytest.mark.parametrize("paired, block, features", [(8, 512, 1 << 22), (3, 8, 1 << 22), (3, 512, 500)])
+def test_every_link_is_counted(spark, monkeypatch, paired, block, features):
     monkeypatch.setattr(jaccard, "PAIRED", paired)
     monkeypatch.setattr(jaccard, "BLOCK", block)
+    monkeypatch.setattr(jaccard, "BLOCK_FEATURES", features)
     rows = corpus(8)
     sets, want = {i: shingles(t) for i, t in rows}, {i: 0 for i, _ in rows}
     for i, s in sets.items():
