@@ -15,8 +15,10 @@ Which features count as common changes the number of candidates only, never a re
 Candidates are checked: first by histograms of their features, which bound the overlap from above, then exactly.
 
 Signatures shared by many sets, as in large groups of near copies, are not expanded into pairs. Sets that share such signatures
-form clusters, which are split by size and hash into blocks of bounded size; a task compares two blocks, counts the links of each
-set, and keeps only those of a spanning forest. Pairs from other signatures that lie within a cluster need no check of their own.
+form clusters. In a large corpus loosely similar texts chain most of them into one, so these sets are told apart by their rarest features: of sets
+similar enough, a fifth of either's, rarest first, has one in common. Again, features shared by few sets make pairs, and those shared by many
+make clusters, now of sets that are mostly near copies. These are split by size and hash into blocks of bounded size; a task compares two blocks, counts the links of each
+set, and keeps only those of a spanning forest. Pairs that lie within a cluster need no check of their own.
 """
 
 from __future__ import annotations
@@ -166,17 +168,6 @@ def _candidates(docs: DataFrame, common, doubtful: frozenset, percent: int, part
         seen: set[int] = set()
         sigs, nodes, held = [], [], 0
 
-        def flush():
-            sig, node = np.concatenate(sigs), np.concatenate(nodes)
-            sigs.clear()
-            nodes.clear()
-            yield from exchange.rows((p, runs(*x)) for p, x in exchange.by_part(exchange.part_of(sig, parts), parts, [sig, node]))
-
-        def runs(sig: np.ndarray, node: np.ndarray) -> list[np.ndarray]:
-            """A set's signatures follow each other, so its key goes along once. Of a signature 40 bits go along, besides the part; agreeing by chance only makes a candidate more."""
-            start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
-            return [(sig >> U(32)).astype(np.uint8), sig.astype(np.uint32), node[start], np.diff(start, append=len(node)).astype(np.uint32)]
-
         for b in batches:
             for _, _, sets in shingle_sets(b.column(0)):
                 if len(seen) > REMEMBERED:
@@ -191,10 +182,30 @@ def _candidates(docs: DataFrame, common, doubtful: frozenset, percent: int, part
                             nodes.append(np.full(len(x), key, np.int64))
                             held += len(x)
                 if held > 1 << 20:
-                    yield from flush()
+                    yield from _given(sigs, nodes, parts)
                     held = 0
         if held:
-            yield from flush()
+            yield from _given(sigs, nodes, parts)
+
+    return _met(docs.mapInArrow(tidied(emit), exchange.SCHEMA), parts)
+
+
+def _runs(node: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys that follow each other go along once, with their number."""
+    start = np.flatnonzero(np.concatenate(([True], node[1:] != node[:-1])))
+    return node[start], np.diff(start, append=len(node)).astype(np.uint32)
+
+
+def _given(sigs: list[np.ndarray], nodes: list[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
+    """Signatures and the keys that have them, by parts of the signatures; the lists are emptied. Of a signature 40 bits go along, besides the part; agreeing by chance only makes a candidate more."""
+    sig, node = np.concatenate(sigs), np.concatenate(nodes)
+    sigs.clear()
+    nodes.clear()
+    yield from exchange.rows((p, [(s >> U(32)).astype(np.uint8), s.astype(np.uint32), *_runs(k)]) for p, (s, k) in exchange.by_part(exchange.part_of(sig, parts), parts, [sig, node]))
+
+
+def _met(given: DataFrame, parts: int) -> DataFrame:
+    """(a, b, hot) of what _given() gave: pairs of keys; if hot, links that join keys which share a signature with many others."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = exchange.received(batches)
@@ -232,11 +243,90 @@ def _candidates(docs: DataFrame, common, doubtful: frozenset, percent: int, part
             for i in range(0, len(x), 50_000):
                 yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 50_000]), pa.array(y[i : i + 50_000]), pa.array(np.full(len(x[i : i + 50_000]), h))], names=["a", "b", "hot"])
 
-    return exchange.dealt(docs.mapInArrow(tidied(emit), exchange.SCHEMA), parts).mapInArrow(tidied(meet), "a long, b long, hot boolean")
+    return exchange.dealt(given, parts).mapInArrow(tidied(meet), "a long, b long, hot boolean")
 
 
-def _sets(texts: DataFrame, doubtful: frozenset) -> DataFrame:
-    """key, n, histogram (256 counts of features by their top byte) and features of (key, text), where the text has that key."""
+def _prefixes(sets: DataFrame, percent: int, parts: int) -> DataFrame:
+    """(a, b, hot) as of _candidates(), of sets (key, features) among themselves, by features that are among the rarest of both.
+
+    A set's features are put in one order for all, by how many of the sets have them, then by themselves. Sets similar enough agree in percent of either, so the
+    first features of both, a number one above what may differ, have one in common. Those that no other set has make no candidates.
+    """
+    low = lows(percent)
+
+    def dealt_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
+
+        def flush():
+            feature = np.concatenate([f for _, f in held])
+            node = np.repeat(np.array([k for k, _ in held], np.int64), [len(f) for _, f in held])
+            held.clear()
+            yield from exchange.rows((p, [f, *_runs(k)]) for p, (f, k) in exchange.by_part(exchange.part_of(feature, parts), parts, [feature, node]))
+
+        for b in batches:
+            for key, x in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+                held.append((key, np.frombuffer(x.as_buffer(), U)))
+                n += len(held[-1][1])
+                if n > 1 << 20:
+                    yield from flush()
+                    n = 0
+        if n:
+            yield from flush()
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = exchange.received(batches)
+        if not got:
+            return
+        feature, node, times = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        node = np.repeat(node, times)
+        _, at, count = np.unique(feature, return_inverse=True, return_counts=True)
+        count = count[at].astype(np.uint32)
+        del at
+        order = np.argsort(node, kind="stable")
+        feature, node, count = feature[order], node[order], count[order]
+        # Of features that one set alone has, only the number goes back.
+        alone, several = _runs(node[count == 1]) if (count == 1).any() else (np.empty(0, np.int64), np.empty(0, np.uint32)), count > 1
+        node, feature, count = np.concatenate([node[several], alone[0]]), np.concatenate([feature[several], np.zeros(len(alone[0]), U)]), np.concatenate([count[several], np.zeros(len(alone[0]), np.uint32)])
+        number = np.concatenate([np.ones(int(several.sum()), np.uint32), alone[1]])
+        for p, (k, f, c, x) in exchange.by_part(exchange.part_of(mixed(node.view(U)), parts), parts, [node, feature, count, number]):
+            only = c == 0
+            yield from exchange.rows([(p, [k[only], x[only], f[~only], c[~only], *(_runs(k[~only]) if not only.all() else (k[:0], x[:0]))])])
+
+    def rarest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = exchange.received(batches)
+        if not got:
+            return
+        only, number, feature, count, node, times = (np.concatenate(x) for x in zip(*got, strict=True))
+        del got
+        node = np.repeat(node, times)
+        keys, at = np.unique(np.concatenate([only, node]), return_inverse=True)
+        single = np.bincount(at[: len(only)], number, len(keys)).astype(np.int64)
+        own = at[len(only) :]
+        size = single + np.bincount(own, minlength=len(keys))
+        order = np.lexsort((feature, count, own))
+        feature, own = feature[order], own[order]
+        nth = np.arange(len(own)) - np.searchsorted(own, own)
+        first = size - -(-percent * size // 100) + 1
+        kept = nth < (first - single)[own]
+        feature, own = feature[kept], own[kept]
+        # Partners are of one band or of neighbouring ones.
+        band = np.searchsorted(low, size, "right") - 1
+        upper = 100 * size[own] >= percent * low[band[own] + 1]
+        own, feature, where = np.concatenate([own, own[upper]]), np.concatenate([feature, feature[upper]]), np.concatenate([band[own], band[own[upper]] + 1])
+        if len(own):
+            order = np.argsort(own, kind="stable")
+            yield from _given([mixed(feature[order] ^ mixed(where[order].astype(U)))], [keys[own[order]]], parts)
+
+    there = exchange.dealt(sets.mapInArrow(tidied(dealt_out), exchange.SCHEMA), parts).mapInArrow(tidied(counted), exchange.SCHEMA)
+    return _met(exchange.dealt(there, parts).mapInArrow(tidied(rarest), exchange.SCHEMA), parts)
+
+
+def _sets(texts: DataFrame, doubtful: frozenset, column: str) -> DataFrame:
+    """key, n and column of (key, text), where the text has that key: its features, or their histogram (256 counts by their top byte)."""
+
+    def held(s: np.ndarray) -> bytes:
+        return s.tobytes() if column == "features" else np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
@@ -245,13 +335,9 @@ def _sets(texts: DataFrame, doubtful: frozenset) -> DataFrame:
             for i, _, sets in shingle_sets(b.column(1)):
                 kept = [(want[k], s) for k, s in enumerate(sets, i) if want[k] not in seen and class_key(s, doubtful) == want[k]]
                 seen.update(k for k, _ in kept)
-                counts = [np.minimum(np.bincount((s >> U(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() for _, s in kept]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([k for k, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()), pa.array(counts, pa.binary()), pa.array([s.tobytes() for _, s in kept], pa.binary())],
-                    names=["key", "n", "histogram", "features"],
-                )
+                yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in kept], pa.int64()), pa.array([len(s) for _, s in kept], pa.int64()), pa.array([held(s) for _, s in kept], pa.binary())], names=["key", "n", column])
 
-    return texts.mapInArrow(tidied(run), "key long, n long, histogram binary, features binary")
+    return texts.mapInArrow(tidied(run), f"key long, n long, {column} binary")
 
 
 def _filtered(pairs: DataFrame, overlap, percent: int) -> DataFrame:
@@ -282,19 +368,17 @@ def _exact(x, y) -> int:
     return int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Those pairs (a, b) of keys whose sets are similar enough."""
+def _beside(pairs: DataFrame, sets: DataFrame, column: str) -> DataFrame:
+    """Pairs (a, b) of keys with sizes and the column of their sets."""
+    left = sets.select(F.col("key").alias("ka"), F.col("n").alias("na"), F.col(column).alias("x"))
+    right = sets.select(F.col("key").alias("kb"), F.col("n").alias("nb"), F.col(column).alias("y"))
+    return pairs.join(left, pairs["a"] == F.col("ka")).join(right, F.col("b") == F.col("kb")).select("a", "b", "na", "nb", "x", "y")
 
-    def beside(pairs: DataFrame, column: str) -> DataFrame:
-        left = sets.select(F.col("key").alias("ka"), F.col("n").alias("na"), F.col(column).alias("x"))
-        right = sets.select(F.col("key").alias("kb"), F.col("n").alias("nb"), F.col(column).alias("y"))
-        return pairs.join(left, pairs["a"] == F.col("ka")).join(right, F.col("b") == F.col("kb")).select("a", "b", "na", "nb", "x", "y")
 
-    likely = written(_filtered(beside(pairs, "histogram"), _bound, percent), "likely")
-    keys = likely.select("a").union(likely.select("b")).distinct()
-    if keys.count() <= BROADCAST_IDS:
-        sets = sets.join(F.broadcast(keys.withColumnRenamed("a", "of")), F.col("key") == F.col("of"), "left_semi")
-    return _filtered(beside(likely, "features"), _exact, percent)
+def _of(keys: DataFrame, sets: DataFrame) -> DataFrame:
+    """Sets of some keys; if they aren't too many, the others are left out before anything is shuffled."""
+    keys = keys.select(F.col("key").alias("of")).distinct()
+    return sets.join(F.broadcast(keys) if keys.count() <= BROADCAST_IDS else keys, F.col("key") == F.col("of"), "left_semi")
 
 
 def compare(keys: np.ndarray, features: list[np.ndarray], weights: np.ndarray, side: np.ndarray, alone: bool, percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -396,27 +480,48 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     classes = written(own.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), first.alias("first"), F.max("n").alias("n"), F.count("*").alias("rows")), "classes")
     found = written(_candidates(rows.select("text"), common, doubtful, percent, parts), "candidates")
 
+    def of_texts(keys: DataFrame, column: str, label: str) -> DataFrame:
+        """A row for each of these keys, from a text of each."""
+        wanted = written(keys.distinct().join(classes.select(F.col("key").alias("of"), "least", "first"), F.col("key") == F.col("of")).select("key", "least", "first"), "wanted")
+        picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+        there = hashed.join(picked, (F.col("text_hash") == F.col("first")) & F.col("doc_id").eqNullSafe(F.col("least")))
+        sets = written(_sets(there.select("key", "text"), doubtful, column), label)
+        if sets.count() > wanted.count():  # rows repeated over tasks
+            several, sets = sets, written(sets.dropDuplicates(["key"]), label)
+            dropped(several)
+        dropped(wanted)
+        return sets
+
+    def apart(pairs: DataFrame, clusters: DataFrame) -> DataFrame:
+        """Pairs but those within a cluster."""
+        of_a, of_b = clusters.select(F.col("key").alias("ka"), F.col("cluster").alias("ca")), clusters.select(F.col("key").alias("kb"), F.col("cluster").alias("cb"))
+        pairs = pairs.join(of_a, F.col("a") == F.col("ka"), "left").join(of_b, F.col("b") == F.col("kb"), "left")
+        return pairs.where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False))).select("a", "b")
+
     size = classes.select(F.col("key").alias("of"), F.col("n").alias("size"))
-    clusters = _clusters(found.where("hot").select("a", "b"))
-    pairs = found.where(~F.col("hot")).select("a", "b").distinct()
-    pairs = pairs.join(size, F.col("a") == F.col("of")).select("a", "b", F.col("size").alias("na")).join(size, F.col("b") == F.col("of"))
-    pairs = pairs.where(100 * F.least("na", "size") >= percent * F.greatest("na", "size")).select("a", "b")
-    # Pairs within a cluster are compared there.
-    of_a, of_b = clusters.select(F.col("key").alias("ka"), F.col("cluster").alias("ca")), clusters.select(F.col("key").alias("kb"), F.col("cluster").alias("cb"))
-    pairs = pairs.join(of_a, F.col("a") == F.col("ka"), "left").join(of_b, F.col("b") == F.col("kb"), "left").where(~F.coalesce(F.col("ca") == F.col("cb"), F.lit(False)))
-    pairs = written(pairs.select("a", "b"), "pairs")
-
-    wanted = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).union(clusters.select("key")).distinct()
-    wanted = written(wanted.join(classes.select(F.col("key").alias("of"), "least", "first"), F.col("key") == F.col("of")).select("key", "least", "first"), "wanted")
-    picked = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    there = hashed.join(picked, (F.col("text_hash") == F.col("first")) & F.col("doc_id").eqNullSafe(F.col("least")))
-    sets = written(_sets(there.select("key", "text"), doubtful), "features")
-    if sets.count() > sets.select("key").distinct().count():  # rows repeated over tasks
-        several, sets = sets, written(sets.dropDuplicates(["key"]), "features")
-        dropped(several)
+
+    def sized(pairs: DataFrame) -> DataFrame:
+        pairs = pairs.select("a", "b").distinct().join(size, F.col("a") == F.col("of")).select("a", "b", F.col("size").alias("na")).join(size, F.col("b") == F.col("of"))
+        return pairs.where(100 * F.least("na", "size") >= percent * F.greatest("na", "size")).select("a", "b")
+
+    # What shares signatures with many others is looked at again, by its rarest features.
+    loose = _clusters(found.where("hot").select("a", "b"))
+    shared = of_texts(loose.select("key"), "features", "shared")
+    closer = written(_prefixes(shared.select("key", "features"), percent, parts), "closer")
+    dropped(shared)
+    clusters = _clusters(closer.where("hot").select("a", "b"))
+    # Pairs within a loose cluster are among the closer ones, those within a cluster are compared there.
+    pairs = written(apart(apart(sized(found.where(~F.col("hot"))), loose).union(sized(closer.where(~F.col("hot")))).distinct(), clusters), "pairs")
+
+    sets = of_texts(pairs.select(F.col("a").alias("key")).union(pairs.select("b")), "histogram", "histograms")
+    likely = written(_filtered(_beside(pairs, sets, "histogram"), _bound, percent), "likely")
+    dropped(sets)
+    ends = likely.select(F.col("a").alias("key")).union(likely.select("b"))
+    sets = of_texts(ends.union(clusters.select("key")), "features", "features")
 
     weights = classes.select(F.col("key").alias("of"), F.col("rows").alias("weight"))
-    linked, hot = written(_linked(pairs, sets, percent), "linked"), written(_hot_links(clusters, sets, weights, percent), "hot")
+    linked = written(_filtered(_beside(likely, _of(ends, sets), "features"), _exact, percent), "linked")
+    hot = written(_hot_links(clusters, _of(clusters, sets), weights, percent), "hot")
     groups = written(components(linked.union(hot.select("a", "b"))), "groups")
     # A pair is either checked by itself or within its cluster.
     beside = [linked.join(weights, F.col(y) == F.col("of")).select(F.col(x).alias("linked"), "weight") for x, y in (("a", "b"), ("b", "a"))]
@@ -426,6 +531,6 @@ def near_groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     named = classes.join(smallest, F.col("key") == F.col("of"), "left").join(near, F.col("key") == F.col("linked"), "left")
     named = named.select(F.col("key").alias("k"), F.coalesce("smallest", "least").alias("component_id"), (F.coalesce("near", F.lit(0)) + F.col("rows") - 1).alias("n_links"))
     named = written(named, "named")
-    dropped(classes, found, pairs, wanted, sets, linked, hot, groups)
+    dropped(classes, found, closer, pairs, likely, sets, linked, hot, groups)
     out = own.join(named, (F.col("key") == F.col("k")) & (F.col("n") > 0), "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "text_hash")

@@ -135,3 +135,21 @@ def test_every_link_is_counted(spark, monkeypatch, paired, block, features):
     df = spark.createDataFrame([(i, t) for i, t in rows], "doc_id long, text string")
     assert {r.doc_id: r.n_links for r in jaccard.near_groups(df).collect()} == want
     assert sum(want.values()) > 2 * len(rows)
+
+
+def test_loosely_similar_sets_are_not_compared_with_each_other(spark, monkeypatch):
+    """Texts that share half of their words share signatures with many others, but only near copies go to blocks."""
+    rnd = random.Random(4)
+    page = [f"p{i}" for i in range(100)]
+    loose = [page + [f"u{k}x{i}" for i in range(40)] for k in range(150)]
+    near = [edited(rnd, loose[0], k % 3) for k in range(30)]
+    rows = list(enumerate(" ".join(x) for x in loose + near))
+    seen, within = [], jaccard._hot_links
+
+    def counted(clusters, *rest):
+        seen.append(clusters.count())
+        return within(clusters, *rest)
+
+    monkeypatch.setattr(jaccard, "_hot_links", counted)
+    assert run(spark, rows) == groups(rows)
+    assert 10 < seen[0] <= 31
