@@ -60,6 +60,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
     live, place_bits = np.flatnonzero(~last).astype(np.int32), max(1, n).bit_length()
     while len(live):
         left, right = seq[live], seq[after[live]]
+        # Pairs whose hash few places have aren't frequent, and needn't be sorted.
+        if len(live) > 1 << 15:
+            bucket = (((left.astype(np.uint32) * np.uint32(0x9E3779B1) + right.astype(np.uint32)) * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.int64)
+            likely = (np.bincount(bucket, minlength=1 << 18) >= least)[bucket]
+            live, left, right = live[likely], left[likely], right[likely]
+            del bucket, likely
+            if not len(live):
+                break
         # Of places of one pair in a row, all of one symbol, every other one, from the first, can be taken.
         odd = np.zeros(len(live), bool)
         twins = np.flatnonzero(left == right)
@@ -226,7 +234,8 @@ class Encoder:
             pieces = self.findall("".join([chunks[i] for i in some.tolist()]))
             known = dict(zip(dict.fromkeys(pieces), range(len(pieces)), strict=False))
             tokenize, shown = self.tokenizer.model.tokenize, self.shown
-            each = [[t.id for t in tokenize(p.translate(shown))] for p in known]
+            # No ASCII piece has the separator.
+            each = [[t.id for t in tokenize(p)] for p in "\uffff".join(known).translate(shown).split("\uffff")]
             n = np.fromiter(map(len, each), np.int64, len(each))
             ids, width = gather(np.fromiter(chain.from_iterable(each), np.int32, int(n.sum())), np.cumsum(n) - n, n, np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)))
             last = np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(size[some]))

@@ -151,3 +151,15 @@ def needed(base, rules, lengths, symbols, first, n):
         down(s, at)
         at += 1 if s < base else lengths[s - base]
     return sorted(out)
+
+
+def test_pairs_that_cannot_be_frequent_are_not_sorted(monkeypatch):
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 50_000, 200_000).astype(np.int32)
+    ids[:4000] = np.tile([7, 8, 9, 10], 1000)
+    seen, plain = [], token_files._sorted_pairs
+    monkeypatch.setattr(token_files, "_sorted_pairs", lambda left, *rest: seen.append(len(left)) or plain(left, *rest))
+    rules, lengths, symbols, ends = token_files.compress(ids, np.array([1500, 200_000]), 50_000)
+    grammar = token_files.Grammar(50_000, rules, lengths)
+    assert np.array_equal(grammar.expand(symbols)[0], ids) and grammar.expand(symbols[: ends[0]])[1].sum() == 1500
+    assert len(rules) and seen[0] < 20_000
