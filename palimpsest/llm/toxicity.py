@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import ship, tidied, tidy
+from palimpsest.llm.common import ship, tidied, tidy, tidy_driver
 from palimpsest.llm.hashing import mixed
 from palimpsest.llm.pieces import gather
 
@@ -143,14 +143,17 @@ def bags(texts: list[Counted], seen: int) -> tuple[np.ndarray, np.ndarray, np.nd
     common = np.flatnonzero(texts_with >= seen)
     place = np.full(BUCKETS, -1, np.int32)
     place[common] = np.arange(len(common))
-    buckets, shares, sizes = [], [], []
-    for r, (_, times) in zip(rows, texts, strict=True):
+    # Their places are counted, so they are put where they stay: lists of them would be held twice while they are joined.
+    total = int(texts_with[common].sum(dtype=np.int64))
+    buckets, shares, sizes, at = np.empty(total, np.int32), np.empty(total, np.float32), np.zeros(len(rows), np.int64), 0
+    for i, (r, (_, times)) in enumerate(zip(rows, texts, strict=True)):
         own, count = bag(r, times)
         kept = place[own] >= 0
-        buckets.append(place[own[kept]])
-        shares.append((count[kept] / max(1, count.sum())).astype(np.float32))
-        sizes.append(len(buckets[-1]))
-    return common, np.concatenate(buckets), np.concatenate(shares), np.array(sizes, np.int64)
+        sizes[i] = kept.sum()
+        buckets[at : at + sizes[i]] = place[own[kept]]
+        shares[at : at + sizes[i]] = count[kept] / max(1, count.sum())
+        at += int(sizes[i])
+    return common, buckets, shares, sizes
 
 
 def loss_and_gradients(table: np.ndarray, layer: np.ndarray, offset: np.ndarray, own: np.ndarray, part: np.ndarray, of: np.ndarray, wanted: np.ndarray, scale: float) -> tuple[float, tuple[np.ndarray, ...]]:
@@ -241,6 +244,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> Model:
     texts, toxic = [(w, np.frombuffer(c, np.int32)) for w, c in zip(found.words, found["counts"], strict=True)], found.toxic.to_numpy() == 1
     del found
     tidy()
+    tidy_driver(docs.sparkSession)
     model = train(texts, toxic)
     del texts
     tidy()

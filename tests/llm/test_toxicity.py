@@ -1,10 +1,11 @@
 """Toxicity: held-out accuracy, misspellings, odd rows."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
 
-from palimpsest.llm import toxicity
+from palimpsest.llm import common, toxicity
 from palimpsest.llm.queries import op2_subword_toxicity
 
 RUDE = ["numskull", "blockhead", "nitwit"]
@@ -73,6 +74,26 @@ def test_bags_are_those_of_plain_loops():
         at += n
 
 
+def test_bags_are_held_once():
+    """What the driver takes while bags are made is little more than the bags."""
+    rng = np.random.default_rng(5)
+    vocabulary = np.array(["".join(rng.choice(list("abdefhilmnoprstu"), 8)) for _ in range(2000)])
+    texts = [toxicity.counted(" ".join(rng.choice(vocabulary, 1200))) for _ in range(150)]
+    tracemalloc.start()
+    made = toxicity.bags(texts, 4)
+    held, peak = sum(x.nbytes for x in made), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert held > 10_000_000 and peak < 1.6 * held
+
+
+def test_native_memory_of_the_driver_is_given_back(spark, monkeypatch):
+    assert common.tidy_driver(spark)
+    seen, plain = [], common.tidy_driver
+    monkeypatch.setattr(common, "tidy_driver", lambda s: seen.append(plain(s)))
+    assert common.written(spark.range(10), "tidied").count() == 10
+    assert seen == [True]
+
+
 def test_gradients_are_those_of_differences():
     """A step's gradients against differences of the loss, which is computed by a plain loop over texts."""
     rng = np.random.default_rng(0)
