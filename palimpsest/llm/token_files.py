@@ -47,9 +47,9 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
     full = np.diff(ends, prepend=0) > 0
     last = np.zeros(n, bool)  # the last symbol of its document
     last[ends[full] - 1] = True
-    # The symbols are a list linked both ways; place n is none.
+    # The symbols are a list linked both ways; place n is none. Places are of the type that numpy takes as an index as it is.
     seq = np.append(ids.astype(np.int32), np.int32(-1))
-    after, before = np.arange(1, n + 2, dtype=np.int32), np.arange(-1, n, dtype=np.int32)
+    after, before = np.arange(1, n + 2, dtype=np.intp), np.arange(-1, n, dtype=np.intp)
     after[:n][last] = n
     before[1:][last] = n
     before[0] = after[n] = before[n] = n
@@ -57,14 +57,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
     held[n] = False
     rank_at, taken = np.full(n + 1, -1, np.int32), np.zeros(n + 1, bool)
     found, symbols = [np.empty((0, 2), np.int64)], base
-    live, place_bits = np.flatnonzero(~last).astype(np.int32), max(1, n).bit_length()
+    live, place_bits = np.flatnonzero(~last), max(1, n).bit_length()
     while len(live):
-        left, right = seq[live], seq[after[live]]
+        left, right = seq.take(live), seq.take(after.take(live))
         # Pairs whose hash few places have aren't frequent, and needn't be sorted.
         if len(live) > 1 << 15:
             bucket = (((left.astype(np.uint32) * np.uint32(0x9E3779B1) + right.astype(np.uint32)) * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.int64)
-            likely = (np.bincount(bucket, minlength=1 << 18) >= least)[bucket]
-            live, left, right = live[likely], left[likely], right[likely]
+            likely = np.flatnonzero((np.bincount(bucket, minlength=1 << 18) >= least).take(bucket))
+            live, left, right = live.take(likely), left.take(likely), right.take(likely)
             del bucket, likely
             if not len(live):
                 break
@@ -101,13 +101,14 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
         won = []
         while len(spots):
             rank_at[spots] = own
-            first = (own > rank_at[before[spots]]) & (own >= rank_at[after[spots]])
+            first = (own > rank_at.take(before.take(spots))) & (own >= rank_at.take(after.take(spots)))
             rank_at[spots] = -1
-            won.append((spots[first], own[first]))
-            taken[spots[first]] = True
-            spots, own = spots[~first], own[~first]
-            free = ~(taken[before[spots]] | taken[after[spots]])
-            spots, own = spots[free], own[free]
+            ahead, rest = np.flatnonzero(first), np.flatnonzero(~first)
+            won.append((spots.take(ahead), own.take(ahead)))
+            taken[won[-1][0]] = True
+            spots, own = spots.take(rest), own.take(rest)
+            free = np.flatnonzero(~(taken.take(before.take(spots)) | taken.take(after.take(spots))))
+            spots, own = spots.take(free), own.take(free)
         spots, own = (np.concatenate(x) for x in zip(*won, strict=True))
         taken[spots] = False
         # The most frequent pair keeps all its places, so that each round makes a rule.
@@ -125,7 +126,8 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
         # Places to look at again.
         again = np.zeros(n + 1, bool)
         again[live] = again[spots] = again[before[spots]] = True
-        live = np.flatnonzero(again & held & (after < n)).astype(np.int32)
+        live = np.flatnonzero(again)
+        live = live.take(np.flatnonzero(held.take(live) & (after.take(live) < n)))
     rules, sizes = np.concatenate(found), [1] * base
     for a, b in rules.tolist():
         sizes.append(sizes[a] + sizes[b])
@@ -207,10 +209,22 @@ class Encoder:
         for token, i in vocabulary["model"]["vocab"].items():
             self.bytes[i] = len(token)
         self.table = ChunkTable(self._chunks, self.findall, limit=1_500_000)
+        self.pieces = ChunkTable(self._plain_pieces, self.findall, limit=300_000)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _plain_pieces(self, pieces: list[str]) -> Table:
+        """Different ASCII pieces, by the library's model."""
+        # No ASCII piece has the separator.
+        text, tokenize = "\uffff".join(pieces), self.tokenizer.model.tokenize
+        # Few characters have to be replaced, and rarely others than the space: each by itself is faster than a translation.
+        for c in sorted(self.shown.keys() & set(map(ord, set(text)))):
+            text = text.replace(chr(c), chr(self.shown[c]))
+        each = [[t.id for t in tokenize(p)] for p in text.split("\uffff")]
+        n = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter(chain.from_iterable(each), np.int32, int(n.sum())), np.cumsum(n) - n, n
+
     def _chunks(self, chunks: list[str]) -> Table:
         """Chunks of one space and what isn't space at its ends are joined, as the pattern never joins them itself, and told apart again by lengths.
 
@@ -232,12 +246,12 @@ class Encoder:
         some = np.flatnonzero(plain)
         if len(some):
             pieces = self.findall("".join([chunks[i] for i in some.tolist()]))
-            known = dict(zip(dict.fromkeys(pieces), range(len(pieces)), strict=False))
-            tokenize, shown = self.tokenizer.model.tokenize, self.shown
-            # No ASCII piece has the separator.
-            each = [[t.id for t in tokenize(p)] for p in "\uffff".join(known).translate(shown).split("\uffff")]
-            n = np.fromiter(map(len, each), np.int64, len(each))
-            ids, width = gather(np.fromiter(chain.from_iterable(each), np.int32, int(n.sum())), np.cumsum(n) - n, n, np.fromiter(map(known.__getitem__, pieces), np.int64, len(pieces)))
+            known = self.pieces
+            if known.rows > known.limit:
+                known.clear()
+            rows = known.piece.rows(pieces)
+            known.resolve()
+            ids, width = gather(known.flat, known.starts, known.lengths, rows)
             last = np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(size[some]))
             put(some, ids, np.cumsum(width)[last])
         some = np.flatnonzero(joined & ~plain)

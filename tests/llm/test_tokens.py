@@ -5,11 +5,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 P = pytest.importorskip("public_tokenizers")
 
-from palimpsest.llm import bpe, token_files  # noqa: E402
+from palimpsest.llm import bpe, pieces, token_files  # noqa: E402
 
 RANKS, JSON = P.path("byte_bpe_multi_50k.tiktoken"), P.path("byte_bpe_50k.json")
 SCHEMA = "doc_id long, text string, ids string, start string, part string"
@@ -163,3 +164,32 @@ def test_pairs_that_cannot_be_frequent_are_not_sorted(monkeypatch):
     grammar = token_files.Grammar(50_000, rules, lengths)
     assert np.array_equal(grammar.expand(symbols)[0], ids) and grammar.expand(symbols[: ends[0]])[1].sum() == 1500
     assert len(rules) and seen[0] < 20_000
+
+
+def test_strings_without_spaces_are_listed():
+    for parts in ([], [""], ["", ""], ["a"], ["", "a", "\n", "\uffff", "\x00", "\u65e5\u672c", "\U0001f600"]):
+        assert pieces._unspaced(pa.array(parts, pa.string())) == parts
+
+
+def test_every_control_character_is_shown_to_the_model_as_the_library_does():
+    from tokenizers import Tokenizer
+
+    texts = [f"a{chr(c)}b x{chr(c)}{chr(c)} {chr(c)}y end.{chr(c)}Start" for c in range(128)]
+    tokenizer = Tokenizer.from_file(JSON)
+    flat, n = token_files.Encoder(JSON, P.PATTERN).table.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_pieces_are_not_translated_character_by_character():
+    """Counts characters that the slow translation looks up: it asks a dict for each of them."""
+    asked = []
+
+    class Shown(dict):
+        def __getitem__(self, c):
+            asked.append(c)
+            return super().__getitem__(c)
+
+    own = token_files.Encoder(JSON, P.PATTERN)
+    own.shown = Shown(own.shown)
+    own.table.encode(pa.array([" ".join(f"word{i}" for i in range(3000))]))
+    assert len(asked) < 100
