@@ -8,7 +8,7 @@ touches other white space are cut by the pattern itself.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +36,11 @@ def _unspaced(parts: pa.StringArray) -> list[str]:
 
 
 class _Keys(dict):
-    """Chunk, without what stands before it, to row. If strict, chunks around which cutting isn't safe have row -1."""
+    """Chunk to row. If strict, chunks around which cutting isn't safe have row -1."""
 
-    def __init__(self, table: ChunkTable, before: str, strict: bool):
+    def __init__(self, table: ChunkTable, strict: bool):
         super().__init__()
-        self.table, self.before, self.strict = table, before, strict
+        self.table, self.strict = table, strict
 
     def rows(self, parts: list[str]) -> np.ndarray:
         """Rows of parts; those not yet known get the next ones and wait to be encoded."""
@@ -50,30 +50,50 @@ class _Keys(dict):
             each = [parts[i] for i in missing.tolist()]
             new = dict.fromkeys(each)
             if self.strict:
-                bare = map(str.strip if self.before else str.rstrip, new)
+                bare = map(str.rstrip, new)
                 odd = dict.fromkeys([p for p, q in zip(new, bare, strict=True) if p != q or not p], -1)
                 self.update(odd)
                 new = [p for p in new if p not in odd]
             at = self.table.rows + len(self.table.pending)
             self.update(zip(new, range(at, at + len(new)), strict=True))
-            self.table.pending += [self.before + p for p in new]
+            self.table.pending += new
             found[missing] = np.fromiter(map(self.__getitem__, each), np.int64, len(each))
         return found
 
 
 class ChunkTable:
-    """encode: from chunks to a Table. split: a text's pieces by the pattern. limit: the table starts anew beyond so many chunks."""
+    """encode: from chunks to a Table. split: a text's pieces by the pattern. limit, most: the table starts anew beyond so many chunks, or bytes of them."""
 
-    def __init__(self, encode: Callable[[list[str]], Table], split: Callable[[str], list[str]], limit: int = 400_000):
-        self.encode_chunks, self.split, self.limit = encode, split, limit
+    def __init__(self, encode: Callable[[list[str]], Table], split: Callable[[str], list[str]], limit: int = 400_000, most: int = 256 << 20):
+        self.encode_chunks, self.split, self.limit, self.most = encode, split, limit, most
         self.clear()
 
     def clear(self) -> None:
         self.rows, self.pending = 0, []
-        self.first, self.rest, self.piece = _Keys(self, "", True), _Keys(self, " ", True), _Keys(self, "", False)
+        self.first, self.piece = _Keys(self, True), _Keys(self, False)
+        # Chunks that a space stands before, without it, and their rows: by far the most, and as Arrow strings a tenth of what a dict takes.
+        self.known, self.known_rows = None, np.empty(0, np.int64)
         self.flat, self.starts, self.lengths = np.empty(1 << 16, np.int32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int64)
         self.used = 0
 
+    def rest(self, parts: pa.StringArray) -> np.ndarray:
+        """Rows of different parts, each after a space. Those not yet known get the next ones and wait to be encoded; those around which cutting isn't safe have row -1."""
+        if self.known is None:
+            self.known = parts.slice(0, 0)
+        at = pc.fill_null(pc.index_in(parts, value_set=self.known), -1).to_numpy()
+        missing = np.flatnonzero(at < 0)
+        rows = np.empty(len(parts), np.int64)
+        rows[at >= 0] = self.known_rows.take(at[at >= 0])
+        if len(missing):
+            new = parts.take(pa.array(missing))
+            each = _unspaced(new)
+            size, bare = (np.fromiter(map(len, x), np.int64, len(each)) for x in (each, map(str.strip, each)))
+            safe = (size == bare) & (size > 0)
+            rows[missing] = np.where(safe, self.rows + len(self.pending) + np.cumsum(safe) - 1, -1)
+            self.pending += map(" ".__add__, compress(each, safe.tolist()))
+            self.known, self.known_rows = pa.concat_arrays([self.known, new]), np.concatenate([self.known_rows, rows[missing]])
+        return rows
+
     def resolve(self) -> None:
         if not self.pending:
             return
@@ -99,14 +119,14 @@ class ChunkTable:
 
     def encode_runs(self, texts: pa.StringArray, most: int = 1 << 18) -> Iterator[Ids]:
         """The same for runs of texts of about so many chunks. Chunks are looked up for all texts together, each different one once."""
-        if self.rows > self.limit:
+        if self.rows > self.limit or self.known is not None and self.known.nbytes > self.most:
             self.clear()
         cut = pc.split_pattern(pc.fill_null(texts, ""), " ")
         parts = cut.flatten().dictionary_encode()
         ends = np.cumsum(cut.value_lengths().to_numpy())
         starts = np.concatenate(([0], ends[:-1]))
         # Each different part is looked up once; what starts a text, again as such.
-        rows = self.rest.rows(_unspaced(parts.dictionary))[parts.indices.to_numpy()]
+        rows = self.rest(parts.dictionary)[parts.indices.to_numpy()]
         rows[starts] = self.first.rows(parts.take(pa.array(starts)).to_pylist())
         counts = ends - starts
         odd = np.unique(np.searchsorted(ends, np.flatnonzero(rows < 0), "right"))

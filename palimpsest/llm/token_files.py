@@ -15,7 +15,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,6 +29,9 @@ from palimpsest.llm.pieces import ChunkTable, Ids, Table, gather, runs
 #: Ids from which a shard is closed, and how often a pair must occur in it to become a rule.
 SHARD, LEAST = 1 << 20, 16
 
+#: How the model shows byte 255.
+END_OF_PIECE = "\xff"
+
 #: at: ids of this part's shards before this one. base: number of terminals; symbol base + k stands for rule k.
 #: least, most: the range of doc_ids that aren't null, by which files and their row groups are passed over.
 SCHEMA = "part int, at long, n_tokens long, base int, least long, most long, doc_ids array<long>, doc_symbols array<int>, rules binary, rule_lengths binary, wide boolean, symbols binary"
@@ -43,12 +46,49 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
     A pair of two symbols that both are there already never becomes more frequent. So a round looks at places of pairs that were frequent in the round
     before, and at those beside symbols made in it; any other pair was counted when the later of its symbols was new.
     """
-    n = len(ids)
     full = np.diff(ends, prepend=0) > 0
-    last = np.zeros(n, bool)  # the last symbol of its document
-    last[ends[full] - 1] = True
-    # The symbols are a list linked both ways; place n is none. Places are of the type that numpy takes as an index as it is.
-    seq = np.append(ids.astype(np.int32), np.int32(-1))
+    seq, last = ids.astype(np.int32), np.zeros(len(ids), bool)
+    last[ends[full] - 1] = True  # the last symbol of its document
+    found, symbols = [np.empty((0, 2), np.int64)], base
+    live = np.flatnonzero(~last)
+    # While many places are looked at, symbols stand side by side, and close up after each round.
+    while len(live) > len(seq) >> 3:
+        n = len(seq)
+        frequent = _frequent_pairs(live, seq.take(live), seq.take(live + 1), None, least, symbols, n)
+        if not frequent:
+            live = live[:0]
+            break
+        live, own, pairs, odd = frequent
+        rank = np.full(n + 2, -1, np.int32)  # of place k at k + 1
+        rank[live + 1] = own
+        rank[odd + 1] = -1
+        won = []
+        while True:
+            first = np.zeros(n + 2, bool)
+            first[1:-1] = (rank[1:-1] > rank[:-2]) & (rank[1:-1] >= rank[2:])
+            spots = np.flatnonzero(first)
+            if not len(spots):
+                break
+            won.append((spots - 1, rank.take(spots)))
+            rank[spots] = rank[spots - 1] = rank[spots + 1] = -1
+        spots, new, pairs = _kept(won, pairs, least)
+        seq[spots] = symbols + new
+        last[spots] = last[spots + 1]
+        symbols += len(pairs)
+        found.append(pairs)
+        # 1: the last of its document, 2: a place to look at again, 4: a new symbol.
+        marks, held = last.astype(np.uint8), np.ones(n, bool)
+        marks[live] = 2
+        marks[spots] = 6 + last.take(spots)
+        held[spots + 1] = False
+        at = np.flatnonzero(held)
+        seq, marks = seq.take(at), marks.take(at)
+        last, again = (marks & 1) > 0, marks > 1
+        again[:-1] |= marks[1:] > 3
+        live = np.flatnonzero(again & ~last)
+    # Then they are a list linked both ways; place n is none. Places are of the type that numpy takes as an index as it is.
+    n = len(seq)
+    seq = np.append(seq, np.int32(-1))
     after, before = np.arange(1, n + 2, dtype=np.intp), np.arange(-1, n, dtype=np.intp)
     after[:n][last] = n
     before[1:][last] = n
@@ -56,48 +96,16 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
     held = np.ones(n + 1, bool)
     held[n] = False
     rank_at, taken = np.full(n + 1, -1, np.int32), np.zeros(n + 1, bool)
-    found, symbols = [np.empty((0, 2), np.int64)], base
-    live, place_bits = np.flatnonzero(~last), max(1, n).bit_length()
     while len(live):
-        left, right = seq.take(live), seq.take(after.take(live))
-        # Pairs whose hash few places have aren't frequent, and needn't be sorted.
-        if len(live) > 1 << 15:
-            bucket = (((left.astype(np.uint32) * np.uint32(0x9E3779B1) + right.astype(np.uint32)) * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.int64)
-            likely = np.flatnonzero((np.bincount(bucket, minlength=1 << 18) >= least).take(bucket))
-            live, left, right = live.take(likely), left.take(likely), right.take(likely)
-            del bucket, likely
-            if not len(live):
-                break
-        # Of places of one pair in a row, all of one symbol, every other one, from the first, can be taken.
-        odd = np.zeros(len(live), bool)
-        twins = np.flatnonzero(left == right)
-        if len(twins):
-            lead = np.concatenate(([True], (after[live[twins[:-1]]] != live[twins[1:]]) | (left[twins[1:]] != left[twins[:-1]])))
-            nth = np.arange(len(twins)) - np.maximum.accumulate(np.where(lead, np.arange(len(twins)), 0))
-            odd[twins[nth % 2 == 1]] = True
-        keys, order = _sorted_pairs(left, right, symbols.bit_length(), place_bits)
-        start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-        size = np.diff(start, append=len(keys))
-        count = size
-        if odd.any():
-            count = size - np.add.reduceat(odd[order].astype(np.int32), start)
-        frequent = count >= least
-        often = np.flatnonzero(frequent)
-        if not len(often):
+        frequent = _frequent_pairs(live, seq.take(live), seq.take(after.take(live)), after, least, symbols, n)
+        if not frequent:
             break
-        some = np.repeat(frequent, size)
-        pairs, order = keys[start[often]], order[some]
-        by_count = np.argsort(count[often], kind="stable")
-        rank_of = np.empty(len(often), np.int32)
-        rank_of[by_count] = np.arange(len(often), dtype=np.int32)
-        pairs = pairs[by_count]
-        rank = np.full(len(live), -1, np.int32)
-        rank[order] = np.repeat(rank_of, size[often])
-        there = rank >= 0
-        wanted = there & ~odd
-        spots, own = live[wanted], rank[wanted]
-        live = live[there]
-        del left, right, keys, order, odd, rank, wanted, there, some
+        live, own, pairs, odd = frequent
+        rank_at[live] = own
+        rank_at[odd] = -1
+        wanted = np.flatnonzero(rank_at.take(live) >= 0)
+        rank_at[live] = -1
+        spots, own = live.take(wanted), own.take(wanted)
         won = []
         while len(spots):
             rank_at[spots] = own
@@ -109,15 +117,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
             spots, own = spots.take(rest), own.take(rest)
             free = np.flatnonzero(~(taken.take(before.take(spots)) | taken.take(after.take(spots))))
             spots, own = spots.take(free), own.take(free)
-        spots, own = (np.concatenate(x) for x in zip(*won, strict=True))
-        taken[spots] = False
-        # The most frequent pair keeps all its places, so that each round makes a rule.
-        used = np.bincount(own, minlength=len(pairs)) >= least
-        keep = used[own]
-        spots, own = spots[keep], own[keep]
-        seq[spots] = symbols + (np.cumsum(used) - 1)[own]
-        symbols += int(used.sum())
-        found.append(np.stack([pairs[used] >> 32, pairs[used] & 0xFFFFFFFF], axis=1))
+        for x, _ in won:
+            taken[x] = False
+        spots, new, pairs = _kept(won, pairs, least)
+        seq[spots] = symbols + new
+        symbols += len(pairs)
+        found.append(pairs)
         gone = after[spots]
         held[gone] = False
         after[spots] = after[gone]
@@ -132,22 +137,69 @@ def compress(ids: np.ndarray, ends: np.ndarray, base: int, least: int = LEAST) -
     for a, b in rules.tolist():
         sizes.append(sizes[a] + sizes[b])
     lengths = np.array(sizes[base:], np.int64)
-    out = np.zeros(len(ends), np.int64)
-    out[full] = np.flatnonzero(after[held] == n) + 1
-    return rules, lengths, seq[held].astype(np.int64), np.maximum.accumulate(out) if len(out) else out
-
-
-def _sorted_pairs(left: np.ndarray, right: np.ndarray, symbol_bits: int, place_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (left in the upper 32 bits) in their order, and where each stood. Pair and place are sorted as one number where they fit into one."""
+    at, out = np.flatnonzero(held), np.zeros(len(ends), np.int64)
+    out[full] = np.flatnonzero(after.take(at) == n) + 1
+    return rules, lengths, seq.take(at).astype(np.int64), np.maximum.accumulate(out) if len(out) else out
+
+
+def _kept(won: list[tuple[np.ndarray, np.ndarray]], pairs: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of pairs that still have enough, which of those pairs each has, and those pairs. The most frequent pair keeps all its places, so that each round makes a rule."""
+    spots, own = (np.concatenate(x) for x in zip(*won, strict=True))
+    used = np.bincount(own, minlength=len(pairs)) >= least
+    keep = np.flatnonzero(used.take(own))
+    return spots.take(keep), (np.cumsum(used) - 1).take(own.take(keep)), pairs[used]
+
+
+def _frequent_pairs(live: np.ndarray, left: np.ndarray, right: np.ndarray, after: np.ndarray | None, least: int, symbols: int, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """Places of frequent pairs, the rank of each one's pair, these pairs from the rarest on, and places that overlap with the one before. after: the place after each; by default the next."""
+    # Pairs whose hash few places have aren't frequent, and needn't be sorted.
+    # An eighth of the places tells whether enough are dropped for that to be worth while.
+    some = len(live) >> 3
+    if len(live) > 1 << 15 and np.mean(_not_alone(left[:some], right[:some], max(2, least >> 3))) < 0.6:
+        likely = np.flatnonzero(_not_alone(left, right, least))
+        if not len(likely):
+            return None
+        live, left, right = live.take(likely), left.take(likely), right.take(likely)
+        del likely
+    # Of places of one pair in a row, all of one symbol, every other one, from the first, can be taken.
+    twins = odd = np.flatnonzero(left == right)
+    if len(twins):
+        at = live.take(twins)
+        lead = np.concatenate(([True], ((at[:-1] + 1 if after is None else after.take(at[:-1])) != at[1:]) | (left[twins[1:]] != left[twins[:-1]])))
+        nth = np.arange(len(twins)) - np.maximum.accumulate(np.where(lead, np.arange(len(twins)), 0))
+        odd = twins[nth % 2 == 1]
+    keys, at, bits = _sorted_pairs(left, right, live, symbols.bit_length(), max(1, n).bit_length())
+    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    size, each = np.diff(start, append=len(keys)), keys.take(start)
+    count = size
+    if len(odd):
+        count = size - np.bincount(np.searchsorted(each, (left[odd].astype(np.int64) << bits) | right[odd]), minlength=len(size))
+    frequent = count >= least
+    often = np.flatnonzero(frequent)
+    if not len(often):
+        return None
+    by_count = np.argsort(count[often], kind="stable")
+    rank_of = np.empty(len(often), np.int32)
+    rank_of[by_count] = np.arange(len(often), dtype=np.int32)
+    chosen = each.take(often.take(by_count))
+    return at[np.repeat(frequent, size)], np.repeat(rank_of, size[often]), np.stack([chosen >> bits, chosen & ((1 << bits) - 1)], axis=1), live[odd]
+
+
+def _not_alone(left: np.ndarray, right: np.ndarray, least: int) -> np.ndarray:
+    """Whether a pair's hash has so many places."""
+    bucket = (((left.astype(np.uint32) * np.uint32(0x9E3779B1) + right.astype(np.uint32)) * np.uint32(0x85EBCA6B)) >> np.uint32(14)).astype(np.intp)
+    return (np.bincount(bucket, minlength=1 << 18) >= least).take(bucket)
+
+
+def _sorted_pairs(left: np.ndarray, right: np.ndarray, live: np.ndarray, symbol_bits: int, place_bits: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Pairs as numbers (left above, right in the lower bits) in their order, the place of each, and how many bits are lower. Pair and place are sorted as one number where they fit into one."""
     if 2 * symbol_bits + place_bits > 63:
         keys = (left.astype(np.int64) << 32) | right
         order = np.argsort(keys, kind="stable")
-        return keys[order], order
-    both = (left.astype(np.int64) << (symbol_bits + place_bits)) | (right.astype(np.int64) << place_bits) | np.arange(len(left))
+        return keys.take(order), live.take(order), 32
+    both = (left.astype(np.int64) << (symbol_bits + place_bits)) | (right.astype(np.int64) << place_bits) | live
     both.sort()
-    mask = (1 << symbol_bits) - 1
-    pair = both >> place_bits
-    return ((pair >> symbol_bits) << 32) | (pair & mask), both & ((1 << place_bits) - 1)
+    return both >> place_bits, both & ((1 << place_bits) - 1), symbol_bits
 
 
 class Grammar:
@@ -200,40 +252,55 @@ class Encoder:
         self.added = [x["content"] for x in vocabulary["added_tokens"]]
         self.base = self.tokenizer.get_vocab_size()
         split = vocabulary.get("pre_tokenizer") or {}
-        # What an ASCII piece looks like to the model: bytes that don't print stand for characters from 256 on, in their order.
         self.by_piece = vocabulary["model"]["type"] == "BPE" and not vocabulary.get("normalizer") and split.get("type") == "ByteLevel" and not split.get("add_prefix_space") and split.get("use_regex", True)
-        self.shown = {c: 256 + n for n, c in enumerate([*range(33), 127])}
+        # What a piece looks like to the model: bytes that don't print stand for characters from 256 on, in their order.
+        self.shown = {c: 256 + n for n, c in enumerate([*range(33), *range(127, 161), 173])}
+        self.character = np.arange(256, dtype="<u2")
+        self.character[list(self.shown)] = list(self.shown.values())
+        self.by_piece = self.by_piece and all(chr(c) in vocabulary["model"]["vocab"] for c in self.character.tolist())
+        self.agreed: dict[str, bool] = {}
         self.findall = regex.compile(pattern).findall
         # In the file each byte of a token is one character.
         self.bytes = np.zeros(self.base, np.int64)
         for token, i in vocabulary["model"]["vocab"].items():
             self.bytes[i] = len(token)
         self.table = ChunkTable(self._chunks, self.findall, limit=1_500_000)
-        self.pieces = ChunkTable(self._plain_pieces, self.findall, limit=300_000)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _split_alike(self, c: str) -> bool:
+        """Whether the library and the pattern take a character for the same kind: letter, number or other, not white space. Their versions of Unicode may differ."""
+        if c not in self.agreed:
+            text = f"a{c}1{c}!{c}a"
+            each = [text[i:j] for _, (i, j) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+            self.agreed[c] = len(each) == 5 and each == self.findall(text)
+        return self.agreed[c]
+
     def _plain_pieces(self, pieces: list[str]) -> Table:
-        """Different ASCII pieces, by the library's model."""
-        # No ASCII piece has the separator.
-        text, tokenize = "\uffff".join(pieces), self.tokenizer.model.tokenize
-        # Few characters have to be replaced, and rarely others than the space: each by itself is faster than a translation.
-        for c in sorted(self.shown.keys() & set(map(ord, set(text)))):
-            text = text.replace(chr(c), chr(self.shown[c]))
-        each = [[t.id for t in tokenize(p)] for p in text.split("\uffff")]
-        n = np.fromiter(map(len, each), np.int64, len(each))
-        return np.fromiter(chain.from_iterable(each), np.int32, int(n.sum())), np.cumsum(n) - n, n
+        """Different pieces, by the library's model; bytes of tokens tell them apart."""
+        # The lone surrogate becomes byte 255, which no text has.
+        raw, tokenize = np.frombuffer("\udcff".join(pieces).encode("utf-8", "surrogateescape"), np.uint8), self.tokenizer.model.tokenize
+        shown = self.character.take(raw).tobytes().decode("utf-16-le")
+        ids = np.array([t.id for p in shown.split(END_OF_PIECE) for t in tokenize(p)], np.int32)
+        ends = np.append(np.flatnonzero(raw == 255), len(raw)) - np.arange(len(pieces))
+        lengths = np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1, prepend=0)
+        return ids, np.cumsum(lengths) - lengths, lengths
 
     def _chunks(self, chunks: list[str]) -> Table:
         """Chunks of one space and what isn't space at its ends are joined, as the pattern never joins them itself, and told apart again by lengths.
 
-        Those of ASCII are cut into pieces by the pattern, and each different piece goes to the library's model once. For others, what the pattern matches depends on the
-        version of Unicode: the library gets them joined, and bytes of tokens tell them apart. All else goes to the library chunk by chunk."""
+        Those of ASCII and of characters that the library and the pattern take for the same are cut into pieces by the pattern, and each different piece goes to the library's
+        model once. For others, what the pattern matches depends on the version of Unicode: the library gets them joined, and bytes of tokens tell them apart. All else goes
+        to the library chunk by chunk."""
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         bare = np.fromiter(map(len, map(str.strip, chunks)), np.int64, len(chunks))
-        joined = (bare == size - 1) & (bare > 0) & np.fromiter((c[0] == " " for c in chunks), bool, len(chunks))
-        plain = joined & np.fromiter(map(str.isascii, chunks), bool, len(chunks)) & self.by_piece
+        joined = (bare == size - 1) & (bare > 0) & np.fromiter(map(str.startswith, chunks, repeat(" ")), bool, len(chunks))
+        plain = joined & np.fromiter(map(str.isascii, chunks), bool, len(chunks))
+        wider = np.flatnonzero(joined & ~plain).tolist() if self.by_piece else []
+        apart = {c for c in set("".join([chunks[i] for i in wider])) if not c.isascii() and not self._split_alike(c)}
+        plain[[i for i in wider if apart.isdisjoint(chunks[i])] if apart else wider] = True
+        plain &= self.by_piece
         lengths, starts, flats, used = np.zeros(len(chunks), np.int64), np.zeros(len(chunks), np.int64), [], 0
 
         def put(group: np.ndarray, ids: np.ndarray, stops: np.ndarray) -> None:
@@ -246,12 +313,8 @@ class Encoder:
         some = np.flatnonzero(plain)
         if len(some):
             pieces = self.findall("".join([chunks[i] for i in some.tolist()]))
-            known = self.pieces
-            if known.rows > known.limit:
-                known.clear()
-            rows = known.piece.rows(pieces)
-            known.resolve()
-            ids, width = gather(known.flat, known.starts, known.lengths, rows)
+            each = pa.array(pieces, pa.string()).dictionary_encode()
+            ids, width = gather(*self._plain_pieces(each.dictionary.to_pylist()), each.indices.to_numpy())
             last = np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(size[some]))
             put(some, ids, np.cumsum(width)[last])
         some = np.flatnonzero(joined & ~plain)
@@ -340,7 +403,7 @@ def read_ids(spark: SparkSession, out: str) -> DataFrame:
 
 def read_checksums(spark: SparkSession, out: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 (of little-endian unsigned 32-bit ids) of each document in files under out."""
-    return _read(spark, out, "ids_crc32 long", lambda x: pa.array([zlib.crc32(ids.astype("<u4").tobytes()) for ids in x], pa.int64()))
+    return _read(spark, out, "ids_crc32 long", lambda x: pa.array([zlib.crc32(ids.astype("<i4", copy=False)) for ids in x], pa.int64()))
 
 
 def _read(spark: SparkSession, out: str, column: str, made) -> DataFrame:

@@ -193,3 +193,50 @@ def test_pieces_are_not_translated_character_by_character():
     own.shown = Shown(own.shown)
     own.table.encode(pa.array([" ".join(f"word{i}" for i in range(3000))]))
     assert len(asked) < 100
+
+
+def test_pieces_of_other_scripts_go_to_the_model_too():
+    from tokenizers import Tokenizer
+
+    rnd = random.Random(7)
+    letters = ["a", "b", "é", "ß", "ж", "日", "٣", "²", "́", "…", ",", "\U0001f600", "'s", "1", "\n", "­", "\u0085", "　", "᠎", "​", "\U0001e4d0", "Ɤ"]
+    texts = [" ".join("".join(rnd.choice(letters) for _ in range(rnd.randrange(1, 9))) for _ in range(60)) for _ in range(60)]
+    tokenizer = Tokenizer.from_file(JSON)
+    want = [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+    encoded = lambda own, texts: [x.tolist() for x in (lambda flat, n: np.split(flat, np.cumsum(n)[:-1]))(*own.table.encode(pa.array(texts)))]
+    assert encoded(token_files.Encoder(JSON, P.PATTERN), texts) == want
+    # Characters on which library and pattern don't agree go to the library with their chunks.
+    own, whole = token_files.Encoder(JSON, P.PATTERN), []
+    plain = own._whole
+    own._whole = lambda chunks: whole.extend(chunks) or plain(chunks)
+    own.agreed["ж"] = False
+    assert encoded(own, ["x café garçon жук naïve", "x 日本 été."]) == [tokenizer.encode(t, add_special_tokens=False).ids for t in ("x café garçon жук naïve", "x 日本 été.")]
+    assert sorted(whole) == [" жук", "x"]
+
+
+def test_known_chunks_are_not_encoded_again_until_the_table_is_full():
+    asked = []
+
+    def encode(chunks):
+        asked.extend(chunks)
+        return np.fromiter(map(len, chunks), np.int32, len(chunks)), np.arange(len(chunks)), np.ones(len(chunks), np.int64)
+
+    table = pieces.ChunkTable(encode, str.split, most=64)
+    texts = pa.array(["a bb ccc bb", "a ccc dddd"])
+    for _ in range(2):
+        assert table.encode(texts)[0].tolist() == [1, 3, 4, 3, 1, 4, 5]
+        assert sorted(asked) == [" a", " bb", " ccc", " dddd", "a"]
+    table.encode(pa.array(["a " + "x" * 100]))
+    asked.clear()
+    assert table.encode(texts)[0].tolist() == [1, 3, 4, 3, 1, 4, 5]
+    assert sorted(asked) == [" a", " bb", " ccc", " dddd", "a"]
+
+
+def test_pairs_are_not_hashed_where_few_would_be_dropped(monkeypatch):
+    """The hash of all places is the largest part of a round in which most pairs are frequent."""
+    rng, seen, plain = np.random.default_rng(3), [], token_files._not_alone
+    ids = rng.integers(0, 60, 400_000).astype(np.int32)
+    monkeypatch.setattr(token_files, "_not_alone", lambda left, *rest: seen.append(len(left)) or plain(left, *rest))
+    rules, lengths, symbols, _ = token_files.compress(ids, np.array([len(ids)]), 60)
+    assert np.array_equal(token_files.Grammar(60, rules, lengths).expand(symbols)[0], ids)
+    assert seen[0] < len(ids) // 7 and sum(x > 300_000 for x in seen) == 0
