@@ -15,7 +15,8 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
+from itertools import compress as picked
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -29,9 +30,6 @@ from palimpsest.llm.pieces import ChunkTable, Ids, Table, gather, runs
 #: Ids from which a shard is closed, and how often a pair must occur in it to become a rule.
 SHARD, LEAST = 1 << 20, 16
 
-#: How the model shows byte 255.
-END_OF_PIECE = "\xff"
-
 #: at: ids of this part's shards before this one. base: number of terminals; symbol base + k stands for rule k.
 #: least, most: the range of doc_ids that aren't null, by which files and their row groups are passed over.
 SCHEMA = "part int, at long, n_tokens long, base int, least long, most long, doc_ids array<long>, doc_symbols array<int>, rules binary, rule_lengths binary, wide boolean, symbols binary"
@@ -259,12 +257,18 @@ class Encoder:
         self.character[list(self.shown)] = list(self.shown.values())
         self.by_piece = self.by_piece and all(chr(c) in vocabulary["model"]["vocab"] for c in self.character.tolist())
         self.agreed: dict[str, bool] = {}
+        # 1: letters, 2: numbers, 3: others. 0: white space, the apostrophe, and what isn't agreed on or wasn't met yet.
+        self.kinds = np.zeros(0x110000, np.uint8)
         self.findall = regex.compile(pattern).findall
         # In the file each byte of a token is one character.
         self.bytes = np.zeros(self.base, np.int64)
         for token, i in vocabulary["model"]["vocab"].items():
             self.bytes[i] = len(token)
-        self.table = ChunkTable(self._chunks, self.findall, limit=1_500_000)
+        if self.by_piece:
+            for c in map(chr, range(128)):
+                self._split_alike(c)
+            self.kinds[ord("'")] = 0
+        self.table = ChunkTable(self._chunks, self._split, limit=1_500_000)
 
     def _whole(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -275,23 +279,43 @@ class Encoder:
             text = f"a{c}1{c}!{c}a"
             each = [text[i:j] for _, (i, j) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
             self.agreed[c] = len(each) == 5 and each == self.findall(text)
+            if self.agreed[c]:
+                self.kinds[ord(c)] = 1 if len(each[0]) == 2 else 2 if len(each[1]) == 3 else 3
         return self.agreed[c]
 
-    def _plain_pieces(self, pieces: list[str]) -> Table:
-        """Different pieces, by the library's model; bytes of tokens tell them apart."""
-        # The lone surrogate becomes byte 255, which no text has.
-        raw, tokenize = np.frombuffer("\udcff".join(pieces).encode("utf-8", "surrogateescape"), np.uint8), self.tokenizer.model.tokenize
-        shown = self.character.take(raw).tobytes().decode("utf-16-le")
-        ids = np.array([t.id for p in shown.split(END_OF_PIECE) for t in tokenize(p)], np.int32)
-        ends = np.append(np.flatnonzero(raw == 255), len(raw)) - np.arange(len(pieces))
-        lengths = np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends) + 1, prepend=0)
-        return ids, np.cumsum(lengths) - lengths, lengths
+    def _split(self, text: str) -> list[str]:
+        """Pieces of a text as the library cuts it: by the pattern, which is faster, if both agree on its characters."""
+        if not self.by_piece or text.isascii() or all(c.isascii() or self._split_alike(c) for c in set(text)):
+            return self.findall(text)
+        return [text[i:j] for _, (i, j) in self.tokenizer.pre_tokenizer.pre_tokenize_str(text)]
+
+    def _plain_pieces(self, pieces: pa.StringArray) -> Ids:
+        """Pieces, each different one by the library's model; bytes of tokens tell them apart."""
+        coded, tokenize = pieces.dictionary_encode(), self.tokenizer.model.tokenize
+        ends = np.frombuffer(coded.dictionary.buffers()[1], np.int32)[: len(coded.dictionary) + 1]
+        shown = self.character.take(np.frombuffer(coded.dictionary.buffers()[2], np.uint8)[: ends[-1]]).tobytes().decode("utf-16-le")
+        ids = np.array([t.id for i, j in pairwise(ends.tolist()) for t in tokenize(shown[i:j])], np.int32)
+        lengths = np.diff(np.searchsorted(np.cumsum(self.bytes[ids]), ends[1:]) + 1, prepend=0)
+        return gather(ids, np.cumsum(lengths) - lengths, lengths, coded.indices.to_numpy())
+
+    def _cut(self, chunks: list[str], size: np.ndarray) -> tuple[pa.StringArray, np.ndarray]:
+        """Pieces of chunks of a space, letters, numbers and others: they end where the kind changes, and the space goes with what follows. And where each chunk's pieces end."""
+        text = "".join(chunks)
+        points, ends = np.frombuffer(text.encode("utf-32-le"), "<u4"), np.cumsum(size)
+        kind = self.kinds.take(points)
+        kind[ends - size] = kind.take(ends - size + 1)
+        new = np.append(True, kind[1:] != kind[:-1])
+        new[ends - size] = True
+        first = np.flatnonzero(new)
+        bytes_to = np.cumsum(1 + (points > 0x7F).astype(np.int32) + (points > 0x7FF) + (points > 0xFFFF), dtype=np.int32)
+        offsets = np.append(np.append(np.int32(0), bytes_to.take(first[1:] - 1)), bytes_to[-1:])
+        return pa.StringArray.from_buffers(len(first), pa.py_buffer(offsets), pa.py_buffer(text.encode())), np.append(np.searchsorted(first, ends[:-1]), len(first))
 
     def _chunks(self, chunks: list[str]) -> Table:
         """Chunks of one space and what isn't space at its ends are joined, as the pattern never joins them itself, and told apart again by lengths.
 
-        Those of ASCII and of characters that the library and the pattern take for the same are cut into pieces by the pattern, and each different piece goes to the library's
-        model once. For others, what the pattern matches depends on the version of Unicode: the library gets them joined, and bytes of tokens tell them apart. All else goes
+        Those of ASCII and of characters that the library and the pattern take for the same are cut into pieces, by the pattern if they hold white space or an apostrophe, and each
+        different piece goes to the library's model once. For others, what the pattern matches depends on the version of Unicode: the library gets them joined, and bytes of tokens tell them apart. All else goes
         to the library chunk by chunk."""
         size = np.fromiter(map(len, chunks), np.int64, len(chunks))
         bare = np.fromiter(map(len, map(str.strip, chunks)), np.int64, len(chunks))
@@ -312,11 +336,20 @@ class Encoder:
 
         some = np.flatnonzero(plain)
         if len(some):
-            pieces = self.findall("".join([chunks[i] for i in some.tolist()]))
-            each = pa.array(pieces, pa.string()).dictionary_encode()
-            ids, width = gather(*self._plain_pieces(each.dictionary.to_pylist()), each.indices.to_numpy())
-            last = np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(size[some]))
-            put(some, ids, np.cumsum(width)[last])
+            own = [chunks[i] for i in some.tolist()]
+            starts_at = np.cumsum(size[some]) - size[some]
+            kind = self.kinds.take(np.frombuffer("".join(own).encode("utf-32-le"), "<u4"))
+            kind[starts_at] = 1
+            easy = np.minimum.reduceat(kind, starts_at) > 0
+            if easy.any():
+                pieces, ends = self._cut(list(picked(own, easy.tolist())), size[some[easy]])
+                ids, width = self._plain_pieces(pieces)
+                put(some[easy], ids, np.cumsum(width)[ends - 1])
+            if not easy.all():
+                pieces = self.findall("".join(picked(own, (~easy).tolist())))
+                ids, width = self._plain_pieces(pa.array(pieces, pa.string()))
+                last = np.searchsorted(np.cumsum(np.fromiter(map(len, pieces), np.int64, len(pieces))), np.cumsum(size[some[~easy]]))
+                put(some[~easy], ids, np.cumsum(width)[last])
         some = np.flatnonzero(joined & ~plain)
         for at in range(0, len(some), 4096):
             group = some[at : at + 4096]

@@ -240,3 +240,12 @@ def test_pairs_are_not_hashed_where_few_would_be_dropped(monkeypatch):
     rules, lengths, symbols, _ = token_files.compress(ids, np.array([len(ids)]), 60)
     assert np.array_equal(token_files.Grammar(60, rules, lengths).expand(symbols)[0], ids)
     assert seen[0] < len(ids) // 7 and sum(x > 300_000 for x in seen) == 0
+
+
+def test_texts_are_cut_as_the_library_cuts_them_where_the_pattern_knows_newer_letters():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(JSON)
+    texts = [f"a  {chr(c)}'s {chr(c)}b\n {chr(c)}1" for c in (0x16EA3, 0x18FBE, 0x85, 0xA0, 0xE9, 0x65E5)]
+    flat, n = token_files.Encoder(JSON, P.PATTERN).table.encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(flat, np.cumsum(n)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
