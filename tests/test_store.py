@@ -457,3 +457,14 @@ def test_repository(spark):
     with pytest.raises(PermissionError):
         repo.apply_config(append_only=True).prune(None, now)
     assert {(r.tpe, r["count"]) for r in repo.infos_files().collect()} == {("pack", 2), ("snapshot", 1), ("key", 0), ("index", 0)}
+
+
+def test_merged_lists_do_not_pass_the_driver(spark):
+    rows = [("1", datetime(2020, 1, 1), ["/a/b", "/ab", None], ["x"]), ("2", datetime(2020, 1, 2), ["/a"], None), ("2", None, None, ["y", "x"]), (None, None, None, None)]
+    df = spark.createDataFrame(rows, "id string, time timestamp_ntz, paths array<string>, tags array<string>")
+    assert "ubquery" not in snapshots.merged(df)._jdf.queryExecution().toString()
+    got = snapshots.merge_counted(df).first()
+    assert (got.time, got.paths, got.tags, got.parents) == (datetime(2020, 1, 2), ["/a", "/ab"], ["x", "y"], 2)
+    assert sorted(tuple(r) for r in snapshots.merge_members(df).collect()) == [("parents", "1"), ("parents", "2"), ("paths", "/a"), ("paths", "/ab"), ("tags", "x"), ("tags", "y")]
+    none = snapshots.merged(df.limit(0)).first()
+    assert (none.time, none.paths, none.tags, none.parents) == (None, [], [], [])
