@@ -468,3 +468,18 @@ def test_merged_lists_do_not_pass_the_driver(spark):
     assert sorted(tuple(r) for r in snapshots.merge_members(df).collect()) == [("parents", "1"), ("parents", "2"), ("paths", "/a"), ("paths", "/ab"), ("tags", "x"), ("tags", "y")]
     none = snapshots.merged(df.limit(0)).first()
     assert (none.time, none.paths, none.tags, none.parents) == (None, [], [], [])
+
+
+@pytest.mark.parametrize("limit", [0, 1, 40, 700, 5_000, 40_000, 1_000_000])
+def test_subsets_by_size_are_folded_in_parts(spark, limit):
+    """No task gets more than a part of the packs, and what is taken is what one walk takes."""
+    rnd = random.Random(limit)
+    packs = [(f"{i}", rnd.choice((0, 1, 5, 7, 50, rnd.randrange(300)))) for i in range(1500)]
+    rest, want = limit, []
+    for name, size in sorted(packs, key=lambda p: hashlib.sha256(f"3:{p[0]}".encode()).hexdigest()):
+        if rest > size:
+            want.append((name, size))
+            rest -= size
+    df = spark.createDataFrame(packs, "id string, size long")
+    for n in (100, 1 << 18):
+        assert sorted(tuple(r) for r in packing.subset_size(df, limit=limit, seed=3, fold_rows=n).collect()) == sorted(want)
