@@ -483,3 +483,30 @@ def test_subsets_by_size_are_folded_in_parts(spark, limit):
     df = spark.createDataFrame(packs, "id string, size long")
     for n in (100, 1 << 18):
         assert sorted(tuple(r) for r in packing.subset_size(df, limit=limit, seed=3, fold_rows=n).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_ownership_in_rounds_and_a_walk_is_the_claim(spark, seed, monkeypatch):
+    """Rounds, a walk over what they leave and both together claim what the plain walk does; a chain of entries doesn't take a round each."""
+    rnd, rows = random.Random(seed), []
+    for k in range(90):
+        ids = [f"b{rnd.randrange(60)}" for _ in range(rnd.randrange(1, 7))]
+        rows += entry(f"i{rnd.randrange(3)}", f"p{k:02}", [(b, 10 + k) for b in ids], rnd.random() < 0.3, "2020-01-01T00:00:00")
+    rows += [r for k in range(30) for r in entry("chain", f"c{k:02}", [(f"l{k:02}", 5), (f"l{k + 1:02}", 5)])]
+    used = {f"b{i}" for i in range(45)} | {f"l{k:02}" for k in range(1, 30)}
+    blobs, each = spark.createDataFrame(rows, INDEX), {}
+    for r in blobs.where("blob_id IS NOT NULL").orderBy(~F.col("to_delete"), "index_id", "pack_id", "blob_pos").collect():
+        each.setdefault((r.index_id, r.pack_id, r.to_delete), []).append((r.blob_pos, r.blob_id))
+    copies = {}
+    for b in (b for own in each.values() for _, b in own if b in used):
+        copies[b] = copies.get(b, 0) + 1
+    kept = {k: [x for x in own if x[1] in used] for k, own in each.items()}
+    claimed = prune.claim(((k, [b for _, b in own]) for k, own in kept.items()), copies)
+    want = {(*k, pos) for k, own in kept.items() for (pos, _), yes in zip(own, claimed[k], strict=True) if yes}
+    tables, settled = [], prune.settled
+    monkeypatch.setattr(prune, "settled", lambda df: tables.append(0) or settled(df))
+    for n in (0, 25, 140):
+        tables.clear()
+        got = prune.ownership(blobs, spark.createDataFrame([(b,) for b in used], "blob_id string"), fold_rows=n).where("used").collect()
+        assert {(r.index_id, r.pack_id, r.to_delete, r.blob_pos) for r in got} == want and len(got) == len(want)
+        assert n < 140 or len(tables) < 15
