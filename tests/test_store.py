@@ -510,3 +510,26 @@ def test_ownership_in_rounds_and_a_walk_is_the_claim(spark, seed, monkeypatch):
         got = prune.ownership(blobs, spark.createDataFrame([(b,) for b in used], "blob_id string"), fold_rows=n).where("used").collect()
         assert {(r.index_id, r.pack_id, r.to_delete, r.blob_pos) for r in got} == want and len(got) == len(want)
         assert n < 140 or len(tables) < 15
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repacking_is_folded_in_parts(spark, seed):
+    """No task gets more than a part of the candidates, and what is repacked is what one fold says."""
+    kinds = "index_id string, pack_id string, to_delete boolean, blob_type string, pack_size long, used_size long, unused_size long, todo string, reason string"
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(400):
+        reason = rnd.choice(("PartlyUsed", "PartlyUsed", "SizeMismatch", "ToCompress", None))
+        u, n = rnd.randrange(1, 50), rnd.randrange(1, 50) if reason == "PartlyUsed" else 0
+        rows.append((f"i{k % 3}", f"p{k}", False, rnd.choice(("tree", "data")), u + n, u, n, "Repack" if reason else rnd.choice(("Keep", "MarkDelete")), reason))
+    options = prune.Options(max_repack=prune.Limit(percent=(10, 40, 70, 95, None, 1)[seed]), max_unused=prune.Limit(percent=(5, 20, 30, 0, 10, 99)[seed]), no_resize=seed == 2, data_sizing=PackSizing(100, 1), tree_sizing=PackSizing(100_000, 1))
+    df = spark.createDataFrame(rows, kinds)
+    shown = lambda n: sorted(map(tuple, prune.repacked(df, options, fold_rows=n).select("pack_id", "todo", "blob_type").collect()))
+    ordered = [r for r in df.where("todo = 'Repack'").orderBy(*prune.repack_order()).collect()]
+    used, unused = sum(r[5] for r in rows), sum(r[6] for r in rows)
+    most = float("inf") if options.max_repack.percent is None else options.max_repack.percent * (used + unused) // 100
+    fold = prune.Fold(unused - sum(r[6] for r in rows if r[7] == "MarkDelete"), most, options.max_unused.percent * used // (100 - options.max_unused.percent), options.no_resize)
+    said = {r.pack_id: fold(r.blob_type, r.reason, r.used_size, r.unused_size) for r in ordered}
+    grown = fold.grown({"tree": 100_000 + int(sum(r[4] for r in rows if r[3] == "tree") ** 0.5), "data": 100 + int(sum(r[4] for r in rows if r[3] == "data") ** 0.5)})
+    want = sorted((r[1], (said[r[1]] or ("Repack" if grown[r[3]] else "Keep")) if r[7] == "Repack" else r[7], r[3]) for r in rows)
+    assert shown(1 << 18) == want and shown(60) == want
