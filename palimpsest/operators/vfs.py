@@ -15,12 +15,18 @@ def entries(snapshots: DataFrame, path: Column, latest: str = "no", identical_as
 
     A snapshot at the path of the one before it adds nothing. One with the same tree and directory as the one before becomes a link to that, if asked for.
     """
-    p = parts(path)
-    rows = snapshots.select("id", "time", "tree", path.alias("path"), F.array_join(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), "/").alias("dir"), F.element_at(p, -1).alias("name"))
-    rows = with_previous(rows, ["time", "id"], ["path", "dir", "tree", "name"])
+    p = parts(F.col("path"))
+    cut = lambda p: (F.array_join(F.slice(p, F.lit(1), F.greatest(F.size(p) - 1, F.lit(0))), "/"), F.element_at(p, -1))
+    rows = with_previous(snapshots.select("id", "time", "tree", path.alias("path")), ["time", "id"], ["path", "tree"] if identical_as_link else ["path"])
+    dir_, name = cut(p)
+    rows = rows.withColumns({"dir": dir_, "name": name})
     fresh = rows.where(~F.coalesce(F.col("_path") == F.col("path"), F.lit(False)))
-    link = F.lit(identical_as_link) & F.coalesce((F.col("_dir") == F.col("dir")) & (F.col("_tree") == F.col("tree")), F.lit(False))
-    out = fresh.select("path", F.when(link, "link").otherwise("tree").alias("kind"), F.when(~link, F.col("tree")).alias("tree"), F.when(link, F.col("_name")).alias("target"))
+    if identical_as_link:
+        was_dir, was = cut(parts(F.col("_path")))
+        link = F.coalesce((was_dir == F.col("dir")) & (F.col("_tree") == F.col("tree")), F.lit(False))
+    else:
+        link, was = F.lit(False), F.lit(None).cast("string")
+    out = fresh.select("path", F.when(link, "link").otherwise("tree").alias("kind"), F.when(~link, F.col("tree")).alias("tree"), F.when(link, was).alias("target"))
     if latest != "no":
         top = rows.groupBy("dir").agg(F.max_by(F.struct("tree", "name"), F.struct("time", "id")).alias("t"))
         as_link = F.lit(latest == "link")
@@ -38,12 +44,18 @@ def folders(entries: DataFrame) -> DataFrame:
 def resolved(entries: DataFrame, paths: DataFrame) -> DataFrame:
     """paths (path) with kind, tree, rest, target. kind: tree, where a snapshot's tree is met on the way, rest being what of the path lies in it; link likewise (what
     follows a link is not looked at); dir for a virtual directory; null where there is nothing."""
-    asked = paths.select("path", F.array_join(parts(F.col("path")), "/").alias("_p")).distinct()
-    steps = asked.select("path", "_p", F.explode(lineage(F.col("_p"))).alias("_at"))
-    own = entries.select(F.col("path").alias("_e"), "kind", "tree", "target")
-    first = F.min_by(F.struct("_e", "kind", "tree", "target"), F.length("_e"))
-    met = steps.join(own, F.col("_at") == F.col("_e")).groupBy("path", "_p").agg(first.alias("m")).select(F.col("path").alias("_q"), "m.*", F.expr("ltrim('/', substring(_p, length(m._e) + 1))").alias("rest"))
-    rows = asked.join(met, F.col("path") == F.col("_q"), "left").join(folders(entries).select(F.col("path").alias("_f")), F.col("_p") == F.col("_f"), "left")
+    # Only paths above that are as deep as some entry can be one.
+    depths = sorted(r[0] for r in entries.select(F.size(parts(F.col("path"))).alias("n")).distinct().collect() if r[0] and r[0] > 0)  # as many rows as there are depths
+    asked = paths.select("path").distinct()
+    p = parts(F.col("path"))
+    above = F.filter(F.array(*(F.when(F.size(p) >= n, F.array_join(F.slice(p, 1, n), "/")) for n in depths)), lambda x: x.isNotNull()) if depths else F.array().cast("array<string>")
+    steps = asked.select(F.col("path").alias("_q"), F.explode(above).alias("_at"))
+    own = entries.groupBy(F.col("path").alias("_e")).agg(F.min(F.struct("kind", "tree", "target")).alias("m")).select("_e", "m.*")
+    met = steps.join(own, F.col("_at") == F.col("_e")).select("_q", "_e", "kind", "tree", "target")
+    if len(depths) > 1:
+        met = met.groupBy("_q").agg(F.min_by(F.struct("_e", "kind", "tree", "target"), F.length("_e")).alias("m")).select("_q", "m.*")
+    rows = asked.join(met, F.col("path") == F.col("_q"), "left").withColumn("_p", F.array_join(p, "/")).join(folders(entries).select(F.col("path").alias("_f")), F.col("_p") == F.col("_f"), "left")
+    rows = rows.withColumn("rest", F.expr("ltrim('/', substring(_p, length(_e) + 1))"))
     kind = F.coalesce("kind", F.when(F.col("_f").isNotNull(), F.lit("dir")))
     return rows.select("path", kind.alias("kind"), "tree", F.when(F.col("kind") == "tree", F.col("rest")).alias("rest"), "target")
 

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta
 import pytest
 from palimpsest.functions import ids, packfile, paths, times
 from palimpsest.model import Config, PackSizing
-from palimpsest.operators import check, chunks, index, packing, prune, restore, retention, snapshots, trees, vfs
+from palimpsest.operators import check, chunks, index, order, packing, prune, restore, retention, snapshots, trees, vfs
 from palimpsest.sources import store
 from pyspark.sql import functions as F
 
@@ -533,3 +533,21 @@ def test_repacking_is_folded_in_parts(spark, seed):
     grown = fold.grown({"tree": 100_000 + int(sum(r[4] for r in rows if r[3] == "tree") ** 0.5), "data": 100 + int(sum(r[4] for r in rows if r[3] == "data") ** 0.5)})
     want = sorted((r[1], (said[r[1]] or ("Repack" if grown[r[3]] else "Keep")) if r[7] == "Repack" else r[7], r[3]) for r in rows)
     assert shown(1 << 18) == want and shown(60) == want
+
+
+def test_values_of_the_row_before_need_no_join_of_rows(spark):
+    rnd = random.Random(2)
+    rows = [(k, rnd.randrange(20), rnd.choice((None, "a", "b" * 30))) for k in range(700)]
+    df = spark.createDataFrame(rows, "k int, g int, v string").repartition(5)
+    found = order.with_previous(df, ["g", "k"], ["k", "v"])
+    assert "SortMergeJoin" not in found._jdf.queryExecution().executedPlan().toString()
+    ordered = sorted(rows, key=lambda r: (r[1], r[0]))
+    want = {r[0]: (b[0], b[2]) for b, r in zip([(None,) * 3, *ordered], ordered, strict=False)}
+    assert {r.k: (r._k, r._v) for r in found.collect()} == want
+
+
+def test_virtual_paths_of_several_depths(spark):
+    df = spark.createDataFrame([("a/b/c", "tree", "1", None), ("d", "tree", "2", None), ("a/b/c", "tree", "1", None), ("d/e", "tree", "3", None)], "path string, kind string, tree string, target string")
+    asked = spark.createDataFrame([("d/e/f",), ("a/b/c/x",), ("a/b",), ("/d",), ("a/b/c",), ("a/b/c",), (None,)], "path string")
+    got = sorted(((r.path, r.kind, r.tree, r.rest) for r in vfs.resolved(df, asked).collect()), key=str)
+    assert got == sorted([("d/e/f", "tree", "2", "e/f"), ("a/b/c/x", "tree", "1", "x"), ("a/b", "dir", None, None), ("/d", "tree", "2", ""), ("a/b/c", "tree", "1", ""), (None, None, None, None)], key=str)
