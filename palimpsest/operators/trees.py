@@ -49,10 +49,10 @@ def closure(roots: DataFrame, nodes: DataFrame, max_depth: int = 10_000) -> Data
     out, level = None, roots.select("root", "tree_id", F.lit("").alias("above"))
     for depth in range(1, max_depth):
         found = settled(level.join(nodes, "tree_id").withColumn("path", F.when(F.col("above") == "", F.col("name")).otherwise(F.concat_ws("/", "above", "name"))).withColumn("depth", F.lit(depth)).drop("above"))
-        if not found.limit(1).count():
-            return out if out is not None else found
         out = found if out is None else out.unionByName(found)
         level = found.where("subtree IS NOT NULL").select("root", F.col("subtree").alias("tree_id"), F.col("path").alias("above"))
+        if not level.limit(1).count():  # asked before nodes are joined once more, all of them for nothing
+            return out
     raise RecursionError("trees are deeper than max_depth")
 
 
@@ -203,9 +203,14 @@ def rewritten(paths: DataFrame, globs: list[str] = [], change: Callable[[DataFra
     """
     rows = paths.select("root", "path", "depth", "name", "type", "size", "content")
     if globs:
-        out = rows.where(excluded(F.col("path"), globs)).select("root", F.col("path").alias("over"))
-        lost = rows.select("root", "path", F.explode(lineage(F.col("path"))).alias("over")).join(out, ["root", "over"], "left_semi").select("root", "path").distinct()
-        rows = rows.join(lost, ["root", "path"], "left_anti")
+        gone = excluded(F.col("path"), globs)
+        # What lies below is looked for only if something can.
+        deepest = rows.agg(F.max("depth")).first()[0] or 0
+        out = settled(rows.where(gone & (F.col("depth") < deepest)).select("root", F.col("path").alias("over")))
+        rows = rows.where(~gone)
+        if out.limit(1).count():
+            lost = rows.select("root", "path", F.explode(lineage(F.col("path"))).alias("over")).join(out, ["root", "over"], "left_semi").select("root", "path").distinct()
+            rows = rows.join(lost, ["root", "path"], "left_anti")
     rows = settled(change(rows) if change else rows)
     above = F.array_join(F.slice(parts(F.col("path")), F.lit(1), F.col("depth") - 1), "/")
     made = None

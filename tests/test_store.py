@@ -551,3 +551,17 @@ def test_virtual_paths_of_several_depths(spark):
     asked = spark.createDataFrame([("d/e/f",), ("a/b/c/x",), ("a/b",), ("/d",), ("a/b/c",), ("a/b/c",), (None,)], "path string")
     got = sorted(((r.path, r.kind, r.tree, r.rest) for r in vfs.resolved(df, asked).collect()), key=str)
     assert got == sorted([("d/e/f", "tree", "2", "e/f"), ("a/b/c/x", "tree", "1", "x"), ("a/b", "dir", None, None), ("/d", "tree", "2", ""), ("a/b/c", "tree", "1", ""), (None, None, None, None)], key=str)
+
+
+def test_closure_joins_nodes_once_a_level(spark, monkeypatch):
+    """Nodes are not joined again below the last level, and nothing is looked for below excluded files; below excluded directories all goes."""
+    rows = [("r", "d", "dir", None, "t"), ("r", "o1", "file", 1, None), ("t", "o2", "file", 2, None), ("t", "x", "dir", None, "u"), ("u", "y", "file", 3, None), ("u", "z", "file", 3, None)]
+    nodes = spark.createDataFrame([(*r, ["c"]) for r in rows], "tree_id string, name string, type string, size long, subtree string, content array<string>")
+    roots, tables, settled = spark.createDataFrame([("a", "r")], "root string, tree_id string"), [], trees.settled
+    monkeypatch.setattr(trees, "settled", lambda df: tables.append(0) or settled(df))
+    found = trees.closure(roots, nodes)
+    assert len(tables) == 3 and {r.path: r.depth for r in found.collect()} == {"d": 1, "o1": 1, "d/o2": 2, "d/x": 2, "d/x/y": 3, "d/x/z": 3}
+    whole = {r.path: r.tree_id for r in trees.rewritten(found).collect()}
+    for globs, left in ((["!z"], {"", "d", "d/x"}), (["!x"], {"", "d"}), (["!d"], {""})):
+        got = {r.path: r.tree_id for r in trees.rewritten(found, globs).collect()}
+        assert set(got) == left and all(got[p] != whole[p] for p in left)
