@@ -15,6 +15,8 @@ from palimpsest.session import ship
 
 #: The irreducible polynomial of the rolling hash, unless a store has its own, and the hash's window in bytes.
 POLYNOMIAL, WINDOW = 0x3DA3358B4DC173, 64
+#: So many windows are hashed at a time, and so many chunks handed on: what a task holds besides its batch and one file.
+BLOCK, ROWS = 1 << 18, 1 << 13
 
 
 def fixed(files: DataFrame, size: int, key: str = "path", content: str = "content") -> DataFrame:
@@ -55,17 +57,22 @@ def check_sizes(size: int, least: int, most: int) -> None:
 def cuts(data: bytes, size: int = MIB, least: int = 512 * KIB, most: int = 8 * MIB, poly: int = POLYNOMIAL) -> list[int]:
     """Ends of content-defined chunks. A chunk ends where, at least `least` bytes on, the hash of the last WINDOW bytes is 0 in its low bits, or after `most`.
 
-    The hash of a window depends on its bytes alone, so all are computed at once; only the choice of ends goes from left to right.
+    The hash of a window depends on its bytes alone, so all of a block are computed at once; only the choice of ends goes from left to right.
     """
     check_sizes(size, least, most)
     n = len(data)
     if n <= least:
         return [n] if n else []
     raw, tables = np.frombuffer(data, np.uint8), _tables(poly)
-    h = np.zeros(n - WINDOW + 1, np.uint64)
-    for j in range(WINDOW):
-        h ^= tables[j][raw[WINDOW - 1 - j : n - j]]
-    ends = np.flatnonzero(h & np.uint64(size - 1) == 0) + WINDOW
+    ends = []
+    for at in range(0, n - WINDOW + 1, BLOCK):
+        m = min(BLOCK, n - WINDOW + 1 - at)
+        h = np.zeros(m, np.uint64)
+        for j in range(WINDOW):
+            first = at + WINDOW - 1 - j
+            h ^= tables[j][raw[first : first + m]]
+        ends.append(np.flatnonzero(h & np.uint64(size - 1) == 0) + (WINDOW + at))
+    ends = np.concatenate(ends)
     out, start = [], 0
     while n - start > least:
         k = int(np.searchsorted(ends, start + least))
@@ -79,24 +86,32 @@ def content_defined(files: DataFrame, key: str = "path", content: str = "content
     """key, pos, offset, length, blob_id of content-defined chunks of binary content. options: see cuts(); null and empty content has no chunks."""
     import hashlib
 
-    import pandas as pd
+    import pyarrow as pa
 
     check_sizes(*(options.get(k, v) for k, v in (("size", MIB), ("least", 512 * KIB), ("most", 8 * MIB))))
 
     ship(files.sparkSession)
     kind = files.schema[key].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rows = []
-            for k, data in zip(pdf[key], pdf[content], strict=True):
-                start = 0
-                for pos, stop in enumerate(cuts(bytes(data or b""), **options)):
-                    rows.append((k, pos, start, stop - start, hashlib.sha256(data[start:stop]).hexdigest()))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows: list[tuple] = []
+            for i, content in enumerate(b.column(1)):
+                data, start = content.as_py() or b"", 0
+                for pos, stop in enumerate(cuts(data, **options)):
+                    rows.append((i, pos, start, stop - start, hashlib.sha256(memoryview(data)[start:stop]).hexdigest()))
                     start = stop
-            yield pd.DataFrame(rows, columns=[key, "pos", "offset", "length", "blob_id"])
+                    if len(rows) == ROWS:
+                        yield made(b.column(0), rows)
+                        rows = []
+            yield made(b.column(0), rows)
+
+    def made(keys: pa.Array, rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+        at, *rest = (pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))
+        return pa.RecordBatch.from_arrays([keys.take(at), *rest], names=[key, "pos", "offset", "length", "blob_id"])
 
-    return files.select(key, F.col(content).cast("binary").alias(content)).mapInPandas(run, f"{key} {kind}, pos int, offset long, length long, blob_id string")
+    return files.select(key, F.col(content).cast("binary").alias(content)).mapInArrow(run, f"{key} {kind}, pos int, offset long, length long, blob_id string")
 
 
 def dedup_stats(chunks: DataFrame) -> DataFrame:

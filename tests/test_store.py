@@ -565,3 +565,22 @@ def test_closure_joins_nodes_once_a_level(spark, monkeypatch):
     for globs, left in ((["!z"], {"", "d", "d/x"}), (["!x"], {"", "d"}), (["!d"], {""})):
         got = {r.path: r.tree_id for r in trees.rewritten(found, globs).collect()}
         assert set(got) == left and all(got[p] != whole[p] for p in left)
+
+
+def test_rabin_holds_a_block_of_hashes(spark):
+    import tracemalloc
+
+    data = random.Random(4).randbytes(3_000_000)
+    want = chunks.cuts(data[:400_000], 1024, 512, 8192)
+    tracemalloc.start()
+    got = chunks.cuts(data, 1024, 512, 8192)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[: len(want) - 1] == want[:-1] and got[-1] == len(data) and peak < 12_000_000
+    df = spark.createDataFrame([("a", data), ("b", None), ("c", b"")], "path string, content binary")
+    rows = chunks.content_defined(df, size=64, least=64, most=8192).orderBy("pos").collect()  # more rows than are handed on at a time
+    start = 0
+    for r, stop in zip(rows, chunks.cuts(data, 64, 64, 8192), strict=True):
+        assert (r.path, r.offset, r.length, r.blob_id) == ("a", start, stop - start, hashlib.sha256(data[start:stop]).hexdigest())
+        start = stop
+    assert len(rows) > chunks.ROWS
